@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A side is broadcast only when it was counted and holds at most this many narrow rows.
-MAX_BROADCAST_ROWS = 100_000
+MAX_BROADCAST_ROWS = 20_000
 # A side with wide rows (texts) is broadcast only when it was measured at most this large.
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -52,20 +52,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute a small table once and cut its lineage in the shared folder."""
+    """Compute a table once and cut its lineage in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Mark a settled narrow table for broadcast if its row count allows it.
+    """Compute a narrow per-group table once, ready to be joined to wide rows.
 
-    Beyond the bound it is returned as it is, and the join that uses it shuffles.
+    Up to the bound its rows are held by the plan itself and broadcast. With more
+    rows it is settled in the shared folder and the join that uses it shuffles.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return settle(df)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))
 
 
 def small_wide_side(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Like ``small_side`` for rows of unknown width: the bound is on measured bytes."""
+    """Mark rows of unknown width (texts) for broadcast if they were measured small."""
     size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()["bytes"]
     return F.broadcast(df) if (size or 0) <= max_bytes else df
