@@ -8,14 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import add
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plurivote.functions import text as T
 from plurivote.operators.metrics import classification_metrics, join_truth
-from plurivote.operators.ranking import best_epoch_single, is_control
+from plurivote.operators.ranking import is_control
 from plurivote.session import small_side
 
 MAX_FAMILIES = 20  # 2**20 subsets; more would be a search, not an enumeration
@@ -27,17 +26,17 @@ def inducer_combinations(families: DataFrame, sizes: Sequence[int], family: str
 
     ``ensemble_id`` is the subset's bit mask over the sorted family names.
     """
-    names = families.select(F.col(family).alias("_f")).distinct()
-    if len(names.limit(MAX_FAMILIES + 1).collect()) > MAX_FAMILIES:
+    names = small_side(families.select(F.col(family).alias("_f")).distinct(), MAX_FAMILIES + 1)
+    if names.count() > MAX_FAMILIES:
         raise ValueError(f"more than {MAX_FAMILIES} families")
     one = names.agg(F.sort_array(F.collect_set("_f")).alias("_names"))
     masks = one.withColumn(
-        "ensemble_id", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), F.size("_names")) - 1))
+        "ensemble_id", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.size("_names")).cast("int") - 1))
     )
     members = F.filter(
         F.transform(
             "_names",
-            lambda name, i: F.when(F.expr("ensemble_id").bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) != 0, name),
+            lambda name, i: F.when(F.getbit("ensemble_id", i) == 1, name),
         ),
         lambda name: name.isNotNull(),
     )
@@ -66,12 +65,18 @@ def chosen_epochs(scores: DataFrame, selections: dict[str, str]) -> DataFrame:
 
     ``selections`` maps a name such as ``best-F1`` to the metric it maximises.
     """
-    target = scores.where(~is_control())
-    parts = [
-        best_epoch_single(target, metric).select(F.lit(name).alias("selection"), "model_name", "epoch_no")
-        for name, metric in selections.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    best = scores.where(~is_control()).groupBy("model_name").agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(name).alias("selection"),
+                    F.max_by("epoch_no", F.struct(F.col(metric), -F.col("epoch_no"))).alias("epoch_no"),
+                )
+                for name, metric in selections.items()
+            ]
+        ).alias("_best")
+    )
+    return best.select("model_name", F.explode("_best").alias("_b")).select("_b.selection", "model_name", "_b.epoch_no")
 
 
 def pick_predictions(predictions: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -105,8 +110,17 @@ def majority_vote(picked: DataFrame, combinations: DataFrame) -> DataFrame:
     return vote_winner(votes, ["selection", "ensemble_id", "size", "item_id"])
 
 
+def _text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def ensemble_scores(
-    picked: DataFrame, truth: DataFrame, combinations: DataFrame, classes: Sequence[int] = (0, 1)
+    picked: DataFrame,
+    truth: DataFrame,
+    combinations: DataFrame,
+    selections: Sequence[str],
+    classes: Sequence[int] = (0, 1),
 ) -> DataFrame:
     """Accuracy and F1 of every ensemble, from one shuffle on the item.
 
@@ -116,7 +130,6 @@ def ensemble_scores(
     """
     spark = picked.sparkSession
     rows = combinations.select("ensemble_id", "size", "inducers").limit(MAX_INLINE_ENSEMBLES + 1).collect()
-    selections = [r[0] for r in picked.select("selection").distinct().orderBy("selection").limit(20).collect()]
     if len(rows) * len(selections) > MAX_INLINE_ENSEMBLES or len(classes) > 4:
         votes = majority_vote(picked, combinations)
         scored = classification_metrics(join_truth(votes, truth), ["selection", "ensemble_id", "size"])
@@ -124,40 +137,24 @@ def ensemble_scores(
             "selection", "ensemble_id", "size", "inducers", "n", "accuracy", "f1"
         )
 
-    classes = sorted(classes)
+    # The plan is written as SQL text: one short expression per counter and per ensemble.
     families = sorted({f for r in rows for f in r["inducers"]})
+    place = {(s, f): f"v_{i}_{j}" for i, s in enumerate(selections) for j, f in enumerate(families)}
+    counters = [
+        F.expr(f"count_if(selection = {_text(s)} AND family = {_text(f)} AND pred = {c}) AS {name}_{c}")
+        for (s, f), name in place.items()
+        for c in sorted(classes)
+    ]
+    items = join_truth(picked.groupBy("item_id").agg(*counters), truth)
 
-    def counter(selection, family, c):
-        return f"v_{selections.index(selection)}_{families.index(family)}_{c}"
+    def ballot(selection, row):
+        votes = {c: " + ".join(f"{place[selection, f]}_{c}" for f in row["inducers"]) for c in sorted(classes)}
+        most = f"greatest({', '.join(votes.values())})"
+        winner = " ".join(f"WHEN {total} = {most} THEN {c}" for c, total in votes.items())
+        return f"struct({_text(selection)} AS selection, {row['ensemble_id']} AS ensemble_id, CASE WHEN {most} = 0 THEN NULL {winner} END AS pred)"
 
-    sums = [
-        F.count(F.when((F.col("selection") == s) & (F.col("family") == f) & (F.col("pred") == c), 1)).alias(counter(s, f, c))
-        for s in selections
-        for f in families
-        for c in classes
-    ]
-    items = join_truth(picked.groupBy("item_id").agg(*sums), truth)
-
-    def winner(selection, inducers):
-        totals = [reduce(add, [F.col(counter(selection, f, c)) for f in inducers]) for c in classes]
-        pick = F.lit(classes[-1])
-        top = F.greatest(*totals)
-        for c, total in reversed(list(zip(classes[:-1], totals[:-1]))):
-            pick = F.when(total == top, F.lit(c)).otherwise(pick)
-        return F.when(top > 0, pick)
-
-    ballots = F.array(
-        *[
-            F.struct(
-                F.lit(s).alias("selection"),
-                F.lit(r["ensemble_id"]).alias("ensemble_id"),
-                winner(s, r["inducers"]).cast("int").alias("pred"),
-            )
-            for s in selections
-            for r in rows
-        ]
-    )
-    votes = items.select("label", F.explode(ballots).alias("_b")).select("label", "_b.*").where(F.col("pred").isNotNull())
+    ballots = ", ".join(ballot(s, r) for s in selections for r in rows)
+    votes = items.selectExpr("label", f"inline(array({ballots}))").where("pred IS NOT NULL")
     scored = classification_metrics(votes, ["selection", "ensemble_id"])
     named = F.broadcast(spark.createDataFrame(rows, combinations.select("ensemble_id", "size", "inducers").schema))
     return scored.join(named, "ensemble_id").select(
