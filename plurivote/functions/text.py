@@ -13,8 +13,9 @@ NOT_SPACE = r"[^\s\p{Z}\x{1c}-\x{1f}\x{85}]+"
 BRACKETED = r"\[[^\n]*?\]"
 WEB_ADDRESS = rf"https?://{NOT_SPACE}|www\.{NOT_SPACE}"
 TAG = r"<[^\n]*?>+"
-PUNCTUATION = r"[!-/:-@\[-`{-~]"
-WORD_WITH_DIGIT = r"[\p{L}\p{N}_]*\p{Nd}[\p{L}\p{N}_]*"
+PUNCTUATION_OR_BREAK = r"[!-/:-@\[-`{-~\n]"
+# Starts only at the first letter of a word and never steps back, so a text takes linear time.
+WORD_WITH_DIGIT = r"(?<![\p{L}\p{N}_])[\p{L}\p{Nl}\p{No}_]*+\p{Nd}[\p{L}\p{N}_]*+"
 
 
 def words(text: Column) -> Column:
@@ -31,7 +32,7 @@ def clean_text(text: Column) -> Column:
     """Lower case, then drop bracketed parts, web addresses, tags, punctuation,
     line breaks and words that hold a digit — in this order."""
     cleaned = F.lower(text)
-    for pattern in (BRACKETED, WEB_ADDRESS, TAG, PUNCTUATION, r"\n", WORD_WITH_DIGIT):
+    for pattern in (BRACKETED, WEB_ADDRESS, TAG, PUNCTUATION_OR_BREAK, WORD_WITH_DIGIT):
         cleaned = F.regexp_replace(cleaned, pattern, "")
     return cleaned
 

@@ -8,12 +8,13 @@ task's probabilities to the second task as features; it does not move weights.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plurivote.functions import scores as S
@@ -23,18 +24,23 @@ from plurivote.operators import metrics as M
 from plurivote.operators.encode import make_batches
 
 
-def pipeline(iterations: int, width: int = 1 << 12, extra: Sequence[str] = ()) -> Pipeline:
-    """Words → hashed counts (→ extra vector columns) → logistic regression."""
-    stages = [
-        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\s+"),
-        HashingTF(inputCol="words", outputCol="hashed", numFeatures=width),
-    ]
-    features = "hashed"
-    if extra:
-        stages.append(VectorAssembler(inputCols=["hashed", *extra], outputCol="features"))
-        features = "features"
-    stages.append(LogisticRegression(featuresCol=features, labelCol="label", maxIter=iterations, regParam=0.01))
-    return Pipeline(stages=stages)
+def word_features(width: int = 1 << 12) -> Pipeline:
+    """Words → hashed counts. Nothing to fit, so the counts are made once for all runs."""
+    return Pipeline(
+        stages=[
+            RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\s+"),
+            HashingTF(inputCol="words", outputCol="hashed", numFeatures=width),
+        ]
+    )
+
+
+def classifier(passes: int, features: str = "hashed") -> LogisticRegression:
+    return LogisticRegression(featuresCol=features, labelCol="label", maxIter=passes, regParam=0.01)
+
+
+def fit_text_model(train: DataFrame, passes: int, width: int = 1 << 12) -> PipelineModel:
+    """The whole model, from text to prediction, for saving and reuse."""
+    return Pipeline(stages=[*word_features(width).getStages(), classifier(passes)]).fit(train)
 
 
 def resample(train: DataFrame, run: int, share: float = 0.9) -> DataFrame:
@@ -42,7 +48,7 @@ def resample(train: DataFrame, run: int, share: float = 0.9) -> DataFrame:
     return train.where(uniform(f"run{run}", "item_id") < share)
 
 
-def score(model: PipelineModel, rows: DataFrame, model_name: str, epoch_no: int) -> DataFrame:
+def score(model, rows: DataFrame, model_name: str, epoch_no: int, keep: Sequence[str] = ()) -> DataFrame:
     """Long predictions with logits."""
     logits = vector_to_array("rawPrediction")
     return model.transform(rows).select(
@@ -52,57 +58,61 @@ def score(model: PipelineModel, rows: DataFrame, model_name: str, epoch_no: int)
         S.argmax(logits).alias("pred"),
         logits.alias("logits"),
         F.col("label").cast("int").alias("label"),
+        *keep,
     )
 
 
 def fit_and_score(
-    train: DataFrame, test: DataFrame, name: str, runs: Sequence[int] = (1, 2), epochs: Sequence[int] = (4,)
+    train: DataFrame,
+    test: DataFrame,
+    name: str,
+    runs: Sequence[int] = (1, 2),
+    epochs: Sequence[int] = (4,),
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Predictions of every replica (``name_01`` …) after each number of passes."""
-    parts = []
-    for run in runs:
-        seen = resample(train, run).cache()
-        for passes in epochs:
-            fitted = pipeline(passes, 1 << (11 + run % 3)).fit(seen)
-            parts.append(score(fitted, test, f"{name}_{run:02d}", passes))
-        seen.unpersist()
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def validation_curve(train: DataFrame, validation: DataFrame, name: str, epochs: Sequence[int], batch_size: int = 16) -> DataFrame:
+    words = word_features()
+    features = words.fit(train).transform(train).select("item_id", "label", "hashed").persist()
+    rows = words.fit(test).transform(test).select("item_id", "label", "hashed", *keep)
+    parts = [
+        score(classifier(passes).fit(resample(features, run)), rows, f"{name}_{run:02d}", passes, keep)
+        for run in runs
+        for passes in epochs
+    ]
+    features.unpersist()
+    return reduce(DataFrame.unionByName, parts)
+
+
+def validation_curve(
+    train: DataFrame, validation: DataFrame, name: str, epochs: Sequence[int], batch_size: int = 16
+) -> DataFrame:
     """Batch-mean metrics and loss on the validation rows after each number of passes."""
-    rows = make_batches(fit_and_score(train, validation, name, [1], epochs).withColumn("_row", F.concat_ws(":", "epoch_no", "item_id")), "_row", batch_size)
+    batches = make_batches(validation, "item_id", batch_size)
+    rows = fit_and_score(train, batches, name, [1], epochs, ["batch_id"])
     by = ["model_name", "epoch_no"]
-    return M.batch_mean_metrics(rows, "batch_id", by).join(
-        M.cross_entropy(rows, "logits", "label", by).select(*by, "loss"), by
-    )
+    losses = M.cross_entropy(rows, "logits", "label", by).select(*by, "loss")
+    return M.batch_mean_metrics(rows, "batch_id", by).join(losses, by)
 
 
 def stacked_transfer(
-    first_train: DataFrame, train: DataFrame, test: DataFrame, name: str, iterations: int = 4
+    first_train: DataFrame, train: DataFrame, test: DataFrame, name: str, passes: int = 4
 ) -> DataFrame:
     """Fit on an intermediate task, then on the target with that model's probabilities as features."""
-    first = pipeline(iterations).fit(first_train)
+    first = fit_text_model(first_train, passes)
+    both = VectorAssembler(inputCols=["hashed", "probability"], outputCol="features")
 
     def with_first(rows):
-        return first.transform(rows).select(
-            "item_id", "text", "label", F.col("probability").alias("first_probability")
-        )
+        return both.transform(first.transform(rows)).select("item_id", "label", "features")
 
-    second = pipeline(iterations, extra=["first_probability"]).fit(with_first(train))
-    return score(second, with_first(test), name, iterations)
+    second = classifier(passes, "features").fit(with_first(train))
+    return score(second, with_first(test), name, passes)
 
 
 def save_epoch(model: PipelineModel, folder: str, epoch_no: int, accuracy: float, f1: float, every: int | None = 1) -> str | None:
     """Save under ``folder/E01_A0.75_F0.41`` if the epoch is due; the path, or None."""
     if not every or epoch_no % every:
         return None
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.active()
     tag = spark.range(1).select(epoch_tag(F.lit(epoch_no), F.lit(float(accuracy)), F.lit(float(f1)))).first()[0]
     path = f"{folder.rstrip('/')}/{tag}"
     model.write().overwrite().save(path)

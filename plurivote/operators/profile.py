@@ -103,14 +103,18 @@ def length_outliers(df: DataFrame, length: Column, above: int, exactly: int) ->
 
 
 def _slot(value: Column, low: Column, high: Column, bins: int) -> Column:
-    """Bin of equal width; the last one includes its right edge. One bin if all are equal."""
-    share = F.try_divide(value.cast("double") - low, (high - low).cast("double"))
-    return F.coalesce(F.least(F.lit(bins - 1), F.floor(share * bins)), F.lit(0)).cast("int")
+    """Bin of equal width; the last one includes its right edge."""
+    return F.least(F.lit(bins - 1), F.floor((value.cast("double") - low) / (high - low) * bins)).cast("int")
 
 
 def equal_width_histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
-    """Rows per bin between the least and the largest value, with the bin's edges."""
-    edges = df.agg(F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high"))
+    """Rows per bin between the least and the largest value, with the bin's left edge.
+
+    If all values are equal the range is half a unit to either side.
+    """
+    ends = df.agg(F.min(value).cast("double").alias("least"), F.max(value).cast("double").alias("most"))
+    half = F.when(F.col("least") == F.col("most"), 0.5).otherwise(0.0)
+    edges = ends.select((F.col("least") - half).alias("low"), (F.col("most") + half).alias("high"))
     low, high = edges.select("low").scalar(), edges.select("high").scalar()
     binned = df.where(F.col(value).isNotNull()).select(*by, _slot(F.col(value), low, high, bins).alias("bin"))
     width = (high - low) / bins

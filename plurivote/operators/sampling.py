@@ -210,7 +210,7 @@ def oversample_balance(
     wanted = minority.select(F.col(label), "class_rows", needed.cast("bigint").alias("_draws"))
     chunk = 1 << 16
     chunks = minority.count() * (most // chunk + 1)
-    tasks = min(chunks, 4 * spark.sparkContext.defaultParallelism)
+    tasks = max(1, min(chunks, 4 * spark.sparkContext.defaultParallelism))
     draws = (
         wanted.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_draws") - 1) / chunk))))
         .where(F.col("_draws") > 0)

@@ -12,6 +12,7 @@ from plurivote.operators.sampling import assign_split
 from plurivote.plans import inputs as I
 from plurivote.plans.inputs import sql
 from plurivote.plans.registry import query
+from plurivote.session import spread_small
 
 # Frequent words of the test texts, used as stop words.
 STOPWORDS = ["the", "and", "that", "in", "an"]
@@ -116,7 +117,7 @@ def drop_null_text(spark, sf_dir):
     FROM (SELECT doc_id, {WORD_COUNT} AS words FROM documents) WHERE words > 400 OR words = 1""",
 )
 def length_outliers(spark, sf_dir):
-    docs = I.table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"))
+    docs = I.texts(spark, sf_dir, "doc_id", "text").select("doc_id", T.word_count(F.col("text")).alias("words"))
     return P.length_outliers(docs, F.col("words"), above=400, exactly=1)
 
 
@@ -159,7 +160,7 @@ _DESCRIBE = """SELECT '{0}' AS column_name, count(v) AS count, round(avg(v), 6)
     + _DESCRIBE.format("words", f"SELECT {WORD_COUNT}::DOUBLE AS v FROM documents"),
 )
 def describe_numeric(spark, sf_dir):
-    docs = I.table(spark, sf_dir, "documents").select("n_chars", T.word_count(F.col("text")).alias("words"))
+    docs = I.texts(spark, sf_dir, "n_chars", "text").select("n_chars", T.word_count(F.col("text")).alias("words"))
     stats = P.describe_numeric(docs, ["n_chars", "words"])
     return stats.withColumns({c: F.round(c, 6) for c in ("mean", "std", "q25", "q50", "q75")})
 
@@ -209,7 +210,7 @@ def equal_width_histogram(spark, sf_dir):
 
 @query("word_count", f"SELECT doc_id, {WORD_COUNT} AS words FROM documents")
 def word_count(spark, sf_dir):
-    return I.table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"))
+    return I.texts(spark, sf_dir, "doc_id", "text").select("doc_id", T.word_count(F.col("text")).alias("words"))
 
 
 def _clean_sql(text: str) -> str:
@@ -236,9 +237,9 @@ _NOTE = " [note 1] x2y www.a.example/b?c"
     UNION ALL SELECT 'page', page_id, {_clean_sql(f"html || ' ' || url || '{_NOTE}'")} FROM pages""",
 )
 def clean_text(spark, sf_dir):
-    docs = I.table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("item_id"), "text")
+    docs = I.texts(spark, sf_dir, "doc_id", "text").select(F.lit("document").alias("kind"), F.col("doc_id").alias("item_id"), "text")
     noted = F.concat("html", F.lit(" "), "url", F.lit(_NOTE))
-    pages = I.table(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("item_id"), noted.alias("text"))
+    pages = spread_small(I.table(spark, sf_dir, "pages")).select(F.lit("page").alias("kind"), F.col("page_id").alias("item_id"), noted.alias("text"))
     return docs.unionByName(pages).select("kind", "item_id", T.clean_text(F.col("text")).alias("cleaned"))
 
 
@@ -249,7 +250,7 @@ _CLEAN_WORDS = f"""list_filter(regexp_split_to_array({_clean_sql("text")}, '{I.S
 @query("remove_stopwords", f"SELECT doc_id, len(w)::INT AS kept, array_to_string(w, ' ') AS words FROM (SELECT doc_id, {_CLEAN_WORDS} AS w FROM documents)")
 def remove_stopwords(spark, sf_dir):
     words = P.cleaned_words(F.col("text"), STOPWORDS)
-    rows = I.table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
+    rows = I.texts(spark, sf_dir, "doc_id", "text").select("doc_id", words.alias("w"))
     return rows.select("doc_id", F.size("w").alias("kept"), F.array_join("w", " ").alias("words"))
 
 

@@ -13,9 +13,9 @@ from plurivote.plans.registry import query
 
 def _parts(spark, sf_dir, label: str):
     """Train (balanced), validation and test rows of a labelled corpus."""
-    docs = I.table(spark, sf_dir, "documents").join(I.table(spark, sf_dir, "labels"), "doc_id")
+    docs = I.texts(spark, sf_dir, "doc_id", "text").join(I.table(spark, sf_dir, "labels"), "doc_id")
     rows = docs.select(F.col("doc_id").alias("item_id"), "text", F.col(label).alias("label"))
-    parts = three_way_split(rows, "item_id", "label", 0.2, 0.1, balance="over").drop("draw").cache()
+    parts = three_way_split(rows, "item_id", "label", 0.2, 0.1, balance="over").drop("draw")
     return {name: parts.where(F.col("split") == name).drop("split") for name in ("train", "validation", "test")}
 
 
@@ -37,4 +37,4 @@ def stacked_transfer(spark, sf_dir):
 @query("validation_curve")
 def validation_curve(spark, sf_dir):
     parts = _parts(spark, sf_dir, "toxic")
-    return models.validation_curve(parts["train"], parts["validation"], "target-words_01", epochs=(1, 2, 4))
+    return models.validation_curve(parts["train"], parts["validation"], "target-words", epochs=(1, 2, 4))

@@ -16,7 +16,7 @@ from plurivote.functions.text import WHITE_SPACE
 from plurivote.operators import ensemble as E
 from plurivote.operators import metrics as M
 from plurivote.operators import ranking
-from plurivote.session import small_side
+from plurivote.session import small_side, spread_small
 
 # Fixed values of the predictions stand-in: each family's rate of wrong predictions.
 ERROR_RATES = {
@@ -49,12 +49,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items and their class: ``toxic`` of the labelled documents."""
-    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id"), F.col("toxic").alias("label"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id"), F.col("toxic").alias("label"))
+    return spread_small(labels)
+
+
+def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Documents for work that is costly per text."""
+    return spread_small(table(spark, sf_dir, "documents").select(*columns))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled texts, imbalanced and binary."""
-    documents = table(spark, sf_dir, "documents")
+    documents = texts(spark, sf_dir, "doc_id", "text")
     labels = table(spark, sf_dir, "labels")
     return documents.join(labels, "doc_id").select(
         F.col("doc_id").alias("item_id"), "text", F.col("toxic").alias("label")

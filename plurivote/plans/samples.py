@@ -15,6 +15,7 @@ from plurivote.operators import sampling as S
 from plurivote.plans import inputs as I
 from plurivote.plans.inputs import sql
 from plurivote.plans.registry import query
+from plurivote.session import settle
 
 _KEY = "md5(concat_ws(':', '1', {0})), {0}"
 
@@ -192,17 +193,15 @@ def token_encode(spark, sf_dir):
 
 @query("token_length_profile")
 def token_length_profile(spark, sf_dir):
-    docs = I.table(spark, sf_dir, "documents").select("lang", "text")
+    docs = I.texts(spark, sf_dir, "lang", "text")
     lengths = ENC.token_lengths(docs, tokenizer_json(), keep=["lang"])
     return ENC.token_length_profile(lengths, (256, 512), ["lang"])
 
 
 @query("token_length_histogram")
 def token_length_histogram(spark, sf_dir):
-    docs = I.table(spark, sf_dir, "documents").select("doc_id", "text")
-    # The least and largest length and the counts come from one settled narrow table.
-    from plurivote.session import settle
-
+    docs = I.texts(spark, sf_dir, "doc_id", "text")
+    # Encode once: the range and the counts both come from the settled narrow table.
     lengths = settle(ENC.token_lengths(docs, tokenizer_json(), keep=["doc_id"]).select("n_tokens"))
     return P.equal_width_histogram(lengths, "n_tokens", 100)
 
@@ -237,7 +236,7 @@ def word_ids(text):
         SELECT doc_id, {_BATCH}, list_concat([{ENC.BEGIN_ID}], list_concat(list_transform({I.WORDS}, lambda w: length(w)), [{ENC.END_ID}])) AS ids FROM documents))""",
 )
 def pad_batches(spark, sf_dir):
-    docs = I.table(spark, sf_dir, "documents").select("doc_id", word_ids(F.col("text")).alias("input_ids"))
+    docs = I.texts(spark, sf_dir, "doc_id", "text").select("doc_id", word_ids(F.col("text")).alias("input_ids"))
     padded = ENC.pad_batches(ENC.make_batches(docs, "doc_id", 16))
     used = F.aggregate("attention_mask", F.lit(0), lambda total, m: total + m)
     return padded.select(
@@ -256,5 +255,5 @@ def pad_batches(spark, sf_dir):
     FROM (SELECT batch_id, least(n + 2, 256) AS cut FROM (SELECT {_BATCH}, len({I.WORDS}) AS n FROM documents)) GROUP BY batch_id""",
 )
 def padding_waste(spark, sf_dir):
-    docs = I.table(spark, sf_dir, "documents").select("doc_id", (T.word_count(F.col("text")) + 2).alias("length"))
+    docs = I.texts(spark, sf_dir, "doc_id", "text").select("doc_id", (T.word_count(F.col("text")) + 2).alias("length"))
     return ENC.padding_waste(ENC.make_batches(docs, "doc_id", 16), F.col("length"), 256)

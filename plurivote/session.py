@@ -14,6 +14,9 @@ MAX_BROADCAST_ROWS = 20_000
 # A side with wide rows (texts) is broadcast only when it was measured at most this large.
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
+# Tables with less than this per core are dealt out to all cores before costly row work.
+SPREAD_BYTES_PER_CORE = 16 * 1024 * 1024
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "plurivote") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
@@ -73,3 +76,14 @@ def small_wide_side(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> Data
     """Mark rows of unknown width (texts) for broadcast if they were measured small."""
     size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()["bytes"]
     return F.broadcast(df) if (size or 0) <= max_bytes else df
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deal a small table out to all cores before costly work on its rows.
+
+    A small file is one row group and would keep one core busy. A table that is large
+    for the cluster has enough parts of its own and is returned as it is, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores * SPREAD_BYTES_PER_CORE else df

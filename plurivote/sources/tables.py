@@ -15,7 +15,7 @@ SPLITS = ("train", "validation", "test")
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = True) -> DataFrame:
     """CSV with header and a given schema (no inference pass).
 
-    Texts may hold line breaks, so a file is read by one task; write many files.
+    An empty text reads as null, quoted or not. Texts may hold line breaks, so a file is read by one task; write many files.
     ``multi_line=False`` lets a file be split when its texts have no line breaks.
     """
     reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("mode", "FAILFAST")
