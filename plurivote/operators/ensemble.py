@@ -26,21 +26,15 @@ def inducer_combinations(families: DataFrame, sizes: Sequence[int], family: str
 
     ``ensemble_id`` is the subset's bit mask over the sorted family names.
     """
-    names = small_side(families.select(F.col(family).alias("_f")).distinct(), MAX_FAMILIES + 1)
-    if names.count() > MAX_FAMILIES:
+    found = families.select(F.col(family)).distinct().limit(MAX_FAMILIES + 1).collect()
+    if len(found) > MAX_FAMILIES:
         raise ValueError(f"more than {MAX_FAMILIES} families")
-    one = names.agg(F.sort_array(F.collect_set("_f")).alias("_names"))
-    masks = one.withColumn(
-        "ensemble_id", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.size("_names")).cast("int") - 1))
-    )
+    names = F.array(*[F.lit(name) for name in sorted(r[0] for r in found)])
+    subsets = families.sparkSession.range(1 << len(found)).select(F.col("id").cast("int").alias("ensemble_id"))
     members = F.filter(
-        F.transform(
-            "_names",
-            lambda name, i: F.when(F.getbit("ensemble_id", i) == 1, name),
-        ),
-        lambda name: name.isNotNull(),
+        F.transform(names, lambda name, i: F.when(F.getbit("ensemble_id", i) == 1, name)), lambda name: name.isNotNull()
     )
-    return masks.where(F.bit_count("ensemble_id").isin(*sizes)).select(
+    return subsets.where(F.bit_count("ensemble_id").isin(*sizes)).select(
         "ensemble_id", F.bit_count("ensemble_id").alias("size"), members.alias("inducers")
     )
 
@@ -81,8 +75,11 @@ def chosen_epochs(scores: DataFrame, selections: dict[str, str]) -> DataFrame:
 
 def pick_predictions(predictions: DataFrame, chosen: DataFrame) -> DataFrame:
     """Predictions of the chosen epochs with their selection and family."""
-    return predictions.join(small_side(chosen), ["model_name", "epoch_no"]).select(
-        "selection", "item_id", "model_name", T.model_family(F.col("model_name")).alias("family"), "pred"
+    named = chosen.select("selection", "model_name", "epoch_no", T.model_family(F.col("model_name")).alias("family"))
+    return (
+        predictions.select("model_name", "epoch_no", "item_id", "pred")
+        .join(small_side(named), ["model_name", "epoch_no"])
+        .select("selection", "item_id", "model_name", "family", "pred")
     )
 
 
@@ -139,13 +136,13 @@ def ensemble_scores(
 
     # The plan is written as SQL text: one short expression per counter and per ensemble.
     families = sorted({f for r in rows for f in r["inducers"]})
-    place = {(s, f): f"v_{i}_{j}" for i, s in enumerate(selections) for j, f in enumerate(families)}
+    slots = [(s, f) for s in selections for f in families]
+    slot = F.array_position(F.array(*[F.array(F.lit(s), F.lit(f)) for s, f in slots]), F.array("selection", "family"))
+    place = {pair: f"v_{i}" for i, pair in enumerate(slots, 1)}
     counters = [
-        F.expr(f"count_if(selection = {_text(s)} AND family = {_text(f)} AND pred = {c}) AS {name}_{c}")
-        for (s, f), name in place.items()
-        for c in sorted(classes)
+        F.expr(f"count_if(slot = {i} AND pred = {c}) AS v_{i}_{c}") for i in range(1, len(slots) + 1) for c in sorted(classes)
     ]
-    items = join_truth(picked.groupBy("item_id").agg(*counters), truth)
+    items = join_truth(picked.select("item_id", slot.alias("slot"), "pred").groupBy("item_id").agg(*counters), truth)
 
     def ballot(selection, row):
         votes = {c: " + ".join(f"{place[selection, f]}_{c}" for f in row["inducers"]) for c in sorted(classes)}

@@ -97,9 +97,15 @@ def distinct_labels(df: DataFrame, label: str) -> DataFrame:
 
 
 def length_outliers(df: DataFrame, length: Column, above: int, exactly: int) -> DataFrame:
-    """Rows longer than ``above`` or of length ``exactly``, with the reason."""
-    reason = F.when(length > above, "long").when(length == exactly, "short")
-    return df.withColumn("reason", reason).where(F.col("reason").isNotNull())
+    """Rows longer than ``above`` or of length ``exactly``, with the length and the reason.
+
+    The length of a text is costly, so it is bound to a lambda and worked out once.
+    """
+    found = F.transform(
+        F.array(length),
+        lambda n: F.struct(n.alias("length"), F.when(n > above, "long").when(n == exactly, "short").alias("reason")),
+    )
+    return df.select("*", F.inline(F.filter(found, lambda f: f["reason"].isNotNull())))
 
 
 def _slot(value: Column, low: Column, high: Column, bins: int) -> Column:

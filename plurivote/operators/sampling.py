@@ -57,7 +57,7 @@ def rank_cuts(
     for c in by:
         keyed = keyed.where(F.col(c).isNotNull())
     groups = by or [_WHOLE]
-    slices = settle(_slices(keyed, groups))
+    slices = small_side(_slices(keyed, groups))
     sizes = slices.groupBy(*groups).agg(F.max("_upto").alias("class_rows"))
     least = sizes.select(F.min("class_rows")).scalar()
     wanted = sizes.withColumn("least_rows", least).select(

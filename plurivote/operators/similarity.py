@@ -8,7 +8,7 @@ never written out. Levenshtein distance is taken row by row on short sequences.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -51,16 +51,17 @@ def _pair_counter(models: int):
     return count
 
 
-def pair_counts(predictions: DataFrame) -> DataFrame:
+def pair_counts(predictions: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
     """For every ordered pair of models, over the items both predicted: items ``n``,
     equal predictions ``same``, both 1 ``both``, at least one 1 ``either``.
 
-    ``predictions`` holds one row per (model_name, item_id).
+    ``predictions`` holds one row per (model_name, item_id). ``models`` spares the pass
+    that looks the names up.
     """
-    names = [
-        r[0]
-        for r in predictions.select("model_name").distinct().orderBy("model_name").limit(MAX_MODELS + 1).collect()
-    ]
+    if models is None:
+        found = predictions.select("model_name").distinct().limit(MAX_MODELS + 1).collect()
+        models = [r[0] for r in found]
+    names = sorted(models)
     if len(names) > MAX_MODELS:
         raise ValueError(f"more than {MAX_MODELS} models")
     known = F.array(*[F.lit(n) for n in names])

@@ -117,8 +117,9 @@ def drop_null_text(spark, sf_dir):
     FROM (SELECT doc_id, {WORD_COUNT} AS words FROM documents) WHERE words > 400 OR words = 1""",
 )
 def length_outliers(spark, sf_dir):
-    docs = I.texts(spark, sf_dir, "doc_id", "text").select("doc_id", T.word_count(F.col("text")).alias("words"))
-    return P.length_outliers(docs, F.col("words"), above=400, exactly=1)
+    docs = I.texts(spark, sf_dir, "doc_id", "text")
+    found = P.length_outliers(docs, T.word_count(F.col("text")), above=400, exactly=1)
+    return found.select("doc_id", F.col("length").alias("words"), "reason")
 
 
 @query(

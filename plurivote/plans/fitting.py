@@ -9,14 +9,21 @@ from plurivote.operators import models
 from plurivote.operators.sampling import three_way_split
 from plurivote.plans import inputs as I
 from plurivote.plans.registry import query
+from plurivote.session import settle
 
 
 def _parts(spark, sf_dir, label: str):
-    """Train (balanced), validation and test rows of a labelled corpus."""
-    docs = I.texts(spark, sf_dir, "doc_id", "text").join(I.table(spark, sf_dir, "labels"), "doc_id")
-    rows = docs.select(F.col("doc_id").alias("item_id"), "text", F.col(label).alias("label"))
-    parts = three_way_split(rows, "item_id", "label", 0.2, 0.1, balance="over").drop("draw")
-    return {name: parts.where(F.col("split") == name).drop("split") for name in ("train", "validation", "test")}
+    """Train (balanced), validation and test rows of a labelled corpus.
+
+    The split is drawn on ids and labels alone; the texts are joined to its result.
+    """
+    items = I.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id"), F.col(label).alias("label"))
+    parts = settle(three_way_split(items, "item_id", "label", 0.2, 0.1, balance="over").select("item_id", "label", "split"))
+    texts = I.texts(spark, sf_dir, "doc_id", "text").withColumnRenamed("doc_id", "item_id")
+    return {
+        name: texts.join(parts.where(F.col("split") == name).drop("split"), "item_id")
+        for name in ("train", "validation", "test")
+    }
 
 
 @query("fit_and_score")

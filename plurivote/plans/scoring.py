@@ -501,13 +501,12 @@ def rate_bands(spark, sf_dir):
 # ---- similarity -------------------------------------------------------------------
 
 
-def _best_predictions(spark, sf_dir):
-    chosen = ranking.best_epoch_single(I.scores(spark, sf_dir), "test_f1").select("model_name", "epoch_no")
-    return I.predictions(spark, sf_dir).join(small_side(chosen), ["model_name", "epoch_no"])
-
-
 def _pairs(spark, sf_dir):
-    return SIM.pair_counts(_best_predictions(spark, sf_dir))
+    """Pair counts of the models' best epochs."""
+    chosen = ranking.best_epoch_single(I.scores(spark, sf_dir), "test_f1").select("model_name", "epoch_no")
+    chosen = small_side(chosen)
+    rows = I.predictions(spark, sf_dir).join(chosen, ["model_name", "epoch_no"])
+    return SIM.pair_counts(rows, [r["model_name"] for r in chosen.collect()])
 
 
 @query(
