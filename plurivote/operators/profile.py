@@ -31,15 +31,22 @@ def _long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.explode(cells).alias("_c")).select("_c.*").where(F.col("value").isNotNull())
 
 
-def exact_quantiles(values: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation, without one task per group.
+def value_counts_by_range(values: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Distinct values with their row counts, range-partitioned; ``_part`` follows the order.
 
-    Equal values are counted first. The counts are range-partitioned, so each part's
-    total tells which part holds a rank, and only those parts are summed value by value.
+    Settled, because a second evaluation would draw other range bounds.
     """
-    by = list(by)
     counts = values.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_rows"))
-    parts = settle(counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()))
+    return settle(counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()))
+
+
+def exact_quantiles(parts: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """Exact quantiles with linear interpolation from ``value_counts_by_range``.
+
+    Each part's total tells which part holds a rank, and only those parts are summed
+    value by value, so neither a group nor a frequent value has to fit in one task.
+    """
+    by = list(by)
     in_order = Window.partitionBy(*by).orderBy("_part")
     totals = (
         parts.groupBy(*by, "_part")
@@ -68,21 +75,31 @@ def exact_quantiles(values: DataFrame, by: Sequence[str], value: str, shares: Se
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, sample deviation, least, exact quartiles and largest value per column."""
-    values = _long_values(df, columns)
-    summary = values.groupBy("column_name").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    """Count, mean, sample deviation, least, exact quartiles and largest value per column.
+
+    One pass over the rows: everything else comes from the counted distinct values.
+    """
+    parts = value_counts_by_range(_long_values(df, columns), ["column_name"], "value")
+    value, rows = F.col("value"), F.col("_rows")
+    summary = small_side(
+        parts.groupBy("column_name").agg(
+            F.sum(rows).alias("count"),
+            (F.sum(value * rows) / F.sum(rows)).alias("mean"),
+            F.min(value).alias("min"),
+            F.max(value).alias("max"),
+        )
+    )
+    spread = (
+        parts.join(summary.select("column_name", "mean"), "column_name")
+        .groupBy("column_name")
+        .agg(F.sqrt(F.try_divide(F.sum(rows * F.pow(value - F.col("mean"), 2)), F.sum(rows) - 1)).alias("std"))
     )
     quartiles = (
-        exact_quantiles(values, ["column_name"], "value", (0.25, 0.5, 0.75))
+        exact_quantiles(parts, ["column_name"], "value", (0.25, 0.5, 0.75))
         .groupBy("column_name")
         .agg(*[F.max(F.when(F.col("share") == s, F.col("quantile"))).alias(n) for n, s in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))])
     )
-    return summary.join(quartiles, "column_name").select(
+    return summary.join(spread, "column_name").join(quartiles, "column_name").select(
         "column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max"
     )
 

@@ -196,7 +196,7 @@ def oversample_balance(
     drawn. Draw d of a class takes its row number ``hash(seed:label:d) % rows``.
     """
     spark = df.sparkSession
-    sizes = settle(class_sizes(df, label))
+    sizes = small_side(class_sizes(df, label))
     largest = sizes.orderBy(F.desc("class_rows"), label).first()
     if largest is None:
         return df.withColumn("draw", F.lit(None).cast("bigint"))

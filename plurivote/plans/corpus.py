@@ -12,7 +12,7 @@ from plurivote.operators.sampling import assign_split
 from plurivote.plans import inputs as I
 from plurivote.plans.inputs import sql
 from plurivote.plans.registry import query
-from plurivote.session import spread_small
+from plurivote.session import settle, spread_small
 
 # Frequent words of the test texts, used as stop words.
 STOPWORDS = ["the", "and", "that", "in", "an"]
@@ -196,7 +196,8 @@ def _histogram(source: str, value: str, bins: int, by: str = "") -> str:
     sql(f", lengths AS (SELECT label, {WORD_COUNT} AS words FROM corpus) " + _histogram("lengths", "words", 50, "label"), "corpus"),
 )
 def length_histogram(spark, sf_dir):
-    rows = I.corpus(spark, sf_dir).select("label", T.word_count(F.col("text")).alias("words"))
+    # Words are counted once: the range and the bins both come from the settled narrow table.
+    rows = settle(I.corpus(spark, sf_dir).select("label", T.word_count(F.col("text")).alias("words")))
     return P.equal_width_histogram(rows, "words", 50, ["label"]).withColumns(I.round9("left_edge"))
 
 

@@ -30,6 +30,14 @@ def append_results(rows: DataFrame, path: str, key: Sequence[str] = ("model_name
     rows.write.mode("append").parquet(path)
 
 
+def write_predictions(rows: DataFrame, table: str, buckets: int) -> None:
+    """Store long predictions bucketed by item, so that joins and votes on the item need no shuffle.
+
+    Give the truth table the same buckets and the two are joined in place.
+    """
+    rows.write.mode("overwrite").bucketBy(buckets, "item_id").sortBy("item_id").saveAsTable(table)
+
+
 def read_results(spark: SparkSession, path: str, schema: str = SCORES) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plurivote.operators import encode as ENC
+from plurivote.operators import metrics as M
 from plurivote.operators import models, profile as P, projection as PR
 from plurivote.sources import results_table as R
 from plurivote.sources import tables as TAB
@@ -32,7 +33,7 @@ def plain_quantile(values, share):
 def test_exact_quantiles_with_a_heavy_value(spark):
     data = [("a", float(v)) for v in [7] * 50 + list(range(100))] + [("b", 1.0), ("b", 2.0), ("c", 5.0)]
     df = spark.createDataFrame(data, "g string, v double").repartition(5)
-    got = {(r["g"], r["share"]): r["quantile"] for r in P.exact_quantiles(df, ["g"], "v", (0.0, 0.25, 0.5, 0.75, 1.0)).collect()}
+    got = {(r["g"], r["share"]): r["quantile"] for r in P.exact_quantiles(P.value_counts_by_range(df, ["g"], "v"), ["g"], "v", (0.0, 0.25, 0.5, 0.75, 1.0)).collect()}
     for g in "abc":
         own = [v for k, v in data if k == g]
         for s in (0.0, 0.25, 0.5, 0.75, 1.0):
@@ -193,6 +194,21 @@ def test_append_is_idempotent(spark, tmp_path):
     assert R.read_results(spark, path).count() == 2
 
 
+def test_bucketed_predictions_join_in_place(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS buckets LOCATION '{tmp_path}/db'")
+    rows = spark.range(200).selectExpr("'m' AS model_name", "1 AS epoch_no", "id AS item_id", "cast(id % 2 AS int) AS pred", "cast(id % 3 = 0 AS int) AS label")
+    R.write_predictions(rows.drop("label"), "buckets.predictions", 4)
+    R.write_predictions(rows.select("item_id", "label"), "buckets.truth", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = M.join_truth(spark.table("buckets.predictions"), spark.table("buckets.truth"))
+        assert joined.count() == 200
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP DATABASE buckets CASCADE")
+
+
 def test_result_files(spark, tmp_path):
     lines = ["model_name,model_epoch,test_accuracy,test_f1,predictions", 'a_01,E01_A0.5_F0.4,0.5,0.4,"[0, 1, 1]"']
     (tmp_path / "x.csv").write_text("\n".join(lines) + "\n")
