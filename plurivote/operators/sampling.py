@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plurivote.functions.keys import bucket_of, hash32, order_key
-from plurivote.session import settle, small_side, small_wide_side
+from plurivote.session import small_side, small_wide_side
 
 _WHOLE = "_whole"
 _KEY = "_key"
@@ -32,10 +32,13 @@ def _keyed(df: DataFrame, id_col: str, seed, by: Sequence[str]) -> DataFrame:
 
 
 def _slices(keyed: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows per class and slice, with the running total: at most 65,536 rows per class."""
+    """Rows per class and slice, their running total and the rows of the class: at most
+    65,536 rows per class."""
     counts = keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    order = Window.partitionBy(*by).orderBy("_bucket")
-    return counts.withColumn("_upto", F.sum("_rows").over(order))
+    own = Window.partitionBy(*by)
+    return counts.withColumn("_upto", F.sum("_rows").over(own.orderBy("_bucket"))).withColumn(
+        "class_rows", F.sum("_rows").over(own)
+    )
 
 
 def class_sizes(df: DataFrame, label: str) -> DataFrame:
@@ -57,34 +60,31 @@ def rank_cuts(
     for c in by:
         keyed = keyed.where(F.col(c).isNotNull())
     groups = by or [_WHOLE]
-    slices = small_side(_slices(keyed, groups))
-    sizes = slices.groupBy(*groups).agg(F.max("_upto").alias("class_rows"))
-    least = sizes.select(F.min("class_rows")).scalar()
-    wanted = sizes.withColumn("least_rows", least).select(
-        *groups,
-        "class_rows",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(name).alias("_cut"), (n if isinstance(n, Column) else F.lit(n)).cast("bigint").alias("_n"))
-                    for name, n in ranks.items()
-                ]
-            )
-        ).alias("_want"),
-    ).select(*groups, "class_rows", "_want.*")
-    wanted = small_side(wanted)
-    short = wanted.where(F.col("_n") > F.col("class_rows")).first()
-    if short is not None:
-        raise ValueError(f"cannot take more rows than there are: {short.asDict()}")
-    if not by and any(not isinstance(n, Column) and n > 0 for n in ranks.values()) and wanted.first() is None:
+    least = keyed.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).select(F.min("_n")).scalar()
+    wanted = F.array(
+        *[
+            F.struct(F.lit(name).alias("_cut"), (n if isinstance(n, Column) else F.lit(n)).cast("bigint").alias("_n"))
+            for name, n in ranks.items()
+        ]
+    )
+    slices = _slices(keyed, groups).withColumn("least_rows", least).withColumn("_want", F.explode(wanted))
+    slices = slices.select(*groups, "_bucket", "_rows", "_upto", "class_rows", "_want.*")
+    # The slice that holds each cut, and the last slice of a class that is too small.
+    short = F.col("_n") > F.col("class_rows")
+    holds = (F.col("_upto") >= F.col("_n")) & (F.col("_upto") - F.col("_rows") < F.col("_n"))
+    last = F.col("_upto") == F.col("class_rows")
+    at = small_side(
+        slices.where(holds | (short & last)).select(
+            *groups, "_bucket", "_cut", "_n", "class_rows", (F.col("_n") - F.col("_upto") + F.col("_rows")).alias("_nth")
+        )
+    )
+    too_small = at.where(short).select(*by, "class_rows", F.col("_n").alias("wanted")).first()
+    if too_small is not None:
+        raise ValueError(f"cannot take more rows than there are: {too_small.asDict()}")
+    if not by and any(not isinstance(n, Column) and n > 0 for n in ranks.values()) and at.first() is None:
         raise ValueError("cannot sample from an empty table")
 
-    at = (
-        slices.join(wanted, groups)
-        .where((F.col("_upto") >= F.col("_n")) & (F.col("_upto") - F.col("_rows") < F.col("_n")))
-        .select(*groups, "_bucket", "_cut", (F.col("_n") - F.col("_upto") + F.col("_rows")).alias("_nth"))
-    )
-    inside = keyed.join(small_side(at), groups + ["_bucket"])
+    inside = keyed.join(at, groups + ["_bucket"])
     order = Window.partitionBy(*groups, "_bucket", "_cut").orderBy(_KEY, "_id")
     nth = inside.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") == F.col("_nth"))
     cuts = nth.groupBy(*groups).agg(
@@ -197,19 +197,23 @@ def oversample_balance(
     """
     spark = df.sparkSession
     sizes = small_side(class_sizes(df, label))
-    largest = sizes.orderBy(F.desc("class_rows"), label).first()
-    if largest is None:
+    # The least struct is the class with the most rows, the lowest label among equals.
+    top = sizes.agg(
+        F.min(F.struct((-F.col("class_rows")).alias("less"), F.col(label).alias("label"))).alias("largest"),
+        F.count(F.lit(1)).alias("classes"),
+    ).first()
+    if top["classes"] == 0:
         return df.withColumn("draw", F.lit(None).cast("bigint"))
-    most = largest["class_rows"]
-    whole = df.where(F.col(label) == F.lit(largest[label]))
-    others = df.where(F.col(label) != F.lit(largest[label]))
-    minority = sizes.where(F.col(label) != F.lit(largest[label]))
+    most, largest = -top["largest"]["less"], F.lit(top["largest"]["label"])
+    whole = df.where(F.col(label) == largest)
+    others = df.where(F.col(label) != largest)
+    minority = sizes.where(F.col(label) != largest)
 
     # One row per draw, made in parallel; each takes the classes that still need it.
     needed = F.lit(most) - F.col("class_rows") if keep_original else F.lit(most)
     wanted = minority.select(F.col(label), "class_rows", needed.cast("bigint").alias("_draws"))
     chunk = 1 << 16
-    chunks = minority.count() * (most // chunk + 1)
+    chunks = (top["classes"] - 1) * (most // chunk + 1)
     tasks = max(1, min(chunks, 4 * spark.sparkContext.defaultParallelism))
     draws = (
         wanted.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_draws") - 1) / chunk))))
@@ -227,7 +231,7 @@ def oversample_balance(
     )
     numbered = shuffle_order(others, id_col, seed, [label], "_row")
     numbered = numbered.select(*df.columns, "_row")
-    drawn = draws.join(small_wide_side(numbered), [label, "_row"]).select(*df.columns, "draw")
+    drawn = draws.join(small_wide_side(numbered, others), [label, "_row"]).select(*df.columns, "draw")
     kept = whole.unionByName(others) if keep_original else whole
     return kept.withColumn("draw", F.lit(None).cast("bigint")).unionByName(drawn)
 

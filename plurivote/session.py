@@ -72,9 +72,13 @@ def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))
 
 
-def small_wide_side(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Mark rows of unknown width (texts) for broadcast if they were measured small."""
-    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()["bytes"]
+def small_wide_side(df: DataFrame, rows: DataFrame | None = None, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Mark rows of unknown width (texts) for broadcast if they were measured small.
+
+    ``rows`` is what to measure where ``df`` only adds short columns to it.
+    """
+    measured = df if rows is None else rows
+    size = measured.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()["bytes"]
     return F.broadcast(df) if (size or 0) <= max_bytes else df
 
 

@@ -111,7 +111,7 @@ def test_oversample_can_keep_the_originals(spark):
 def test_oversample_same_by_shuffled_join(spark, monkeypatch):
     df = table(spark)
     whole = {tuple(r) for r in S.oversample_balance(df, "id", "label").collect()}
-    monkeypatch.setattr(S, "small_wide_side", lambda side: side)
+    monkeypatch.setattr(S, "small_wide_side", lambda side, rows: side)
     assert {tuple(r) for r in S.oversample_balance(df, "id", "label").collect()} == whole
 
 
