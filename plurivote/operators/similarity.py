@@ -158,10 +158,13 @@ def family_levenshtein(predictions: DataFrame, against: str, runs: list[tuple[st
     slot = {r: i for i, r in enumerate(runs)}
     keys = F.array(*[F.lit(f"{run}:{epoch}") for run, epoch in slot])
     position = F.array_position(keys, F.concat_ws(":", "run", "epoch_no"))
+    # Moved once by item: the sequences and the join below both keep that partitioning.
     sequences = (
         predictions.where(position > 0)
+        .select("item_id", "family", position.alias("slot"), "pred")
+        .repartition("item_id")
         .groupBy("item_id", "family")
-        .agg(F.array_sort(F.collect_list(F.struct(position.alias("slot"), "pred"))).alias("_s"))
+        .agg(F.array_sort(F.collect_list(F.struct("slot", "pred"))).alias("_s"))
         .select("item_id", "family", F.col("_s.pred").alias("seq"))
     )
     own = sequences.where(F.col("family") != against)

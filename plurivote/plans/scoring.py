@@ -319,10 +319,19 @@ def ensemble_scores(spark, sf_dir):
 _BOARD = "ensemble_id, inducers, test_accuracy, test_f1, ensemble_type, place"
 
 
-@query("ensemble_leaderboard", sql(f"SELECT {_BOARD} FROM board", "board"))
+@query(
+    "ensemble_leaderboard",
+    sql(
+        f"""SELECT {_BOARD}, (SELECT string_agg(family || '_0' || run, ',' ORDER BY family, run) FROM member m, range(1, {I.RUNS + 1}) r(run)
+        WHERE m.ensemble_id = board.ensemble_id) AS inducers_spec, 'toxic_test' AS dataset FROM board""",
+        "board",
+        "member",
+    ),
+)
 def ensemble_leaderboard(spark, sf_dir):
-    board = I.leaderboard(spark, sf_dir, I.scores(spark, sf_dir)).withColumn("inducers", F.array_join("inducers", ","))
-    return board.select("ensemble_id", "inducers", "test_accuracy", "test_f1", "ensemble_type", "place")
+    board = I.leaderboard(spark, sf_dir, I.scores(spark, sf_dir))
+    board = board.withColumns({c: F.array_join(c, ",") for c in ("inducers", "inducers_spec")})
+    return board.drop("selection")
 
 
 _CUSTOM = ["target-FAM_A_01", "target-fam_a_02", "target-fam_a_03", "target-Fam_c_01", "target-fam_c_02"]

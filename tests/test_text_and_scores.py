@@ -2,6 +2,7 @@
 
 import re
 import string
+from functools import reduce
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -22,11 +23,13 @@ def test_word_count(spark):
     assert values(spark, texts, "string", T.word_count) == [0, 0, 0, 1, 3, 2, 3]
 
 
+# What is removed, in Python's syntax and in this order.
+REMOVED = (r"\[.*?\]", r"https?://\S+|www\.\S+", r"<.*?>+", "[" + re.escape(string.punctuation) + "]", "\n", r"\w*\d\w*")
+
+
 def plain_clean(text):
-    text = text.lower()
-    for pattern in (r"\[.*?\]", r"https?://\S+|www\.\S+", r"<.*?>+", "[" + re.escape(string.punctuation) + "]", "\n", r"\w*\d\w*"):
-        text = re.sub(pattern, "", text)
-    return text
+    """The same removals by Python's own engine, one text at a time."""
+    return reduce(lambda rest, pattern: re.sub(pattern, "", rest), REMOVED, text.lower())
 
 
 CLEAN = [
