@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plurivote.llm import mixing, token_counts, token_files
+from plurivote.llm import decontaminate, language_id, mixing, token_counts, token_files, url_filter
 from plurivote.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -33,3 +33,43 @@ def op3_mix_sources(spark, sf_dir):
 def op6_token_files(spark, sf_dir):
     files = token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_text("word_bpe_49k.json"))
     return token_files.read_documents(files)
+
+
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+# The block list of the query: the addresses of hosts with one of these words in their name.
+LISTED_HOST = "casino|bets|pills|spam|adult|ads-"
+
+_OP2 = """
+WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+named AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut),
+parts AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM named),
+ruled AS (SELECT *, CASE
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM parts)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN regexp_matches(host, 'casino|bets|pills|spam|adult|ads-') THEN 'block' ELSE 'allow' END AS verdict,
+    regexp_matches(host, 'casino|bets|pills|spam|adult|ads-') AS listed FROM ruled"""
+
+
+@query("op2_url_filter", _OP2)
+def op2_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    host, path = url_filter.url_parts(F.col("url"))
+    listed = pages.select(host.alias("host"), F.concat(host, path).alias("key")).where(F.col("host").rlike(LISTED_HOST)).select("key")
+    return url_filter.filter_urls(pages, RULES, listed)
+
+
+@query("op4_language_id")
+def op4_language_id(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.identify(documents, language_id.fit(documents))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "language.lang_pred", "language.score")
+
+
+@query("op8_decontaminate")
+def op8_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
