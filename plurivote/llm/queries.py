@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plurivote.llm import decontaminate, language_id, mixing, token_counts, token_files, url_filter
+from plurivote.llm import decontaminate, language_id, mixing, order_minhash, token_counts, token_files, url_filter
 from plurivote.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -73,3 +73,19 @@ def op4_language_id(spark, sf_dir):
 @query("op8_decontaminate")
 def op8_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_order_minhash")
+def op9_order_minhash(spark, sf_dir):
+    paired = order_minhash.fingerprints(table(spark, sf_dir, "documents"))
+    changed = paired.withColumn("edited", order_minhash.edited(F.col("text"), F.col("next_text")))
+    changed = changed.withColumn("edited_fingerprint", order_minhash.fingerprint(F.col("edited")))
+    return changed.select(
+        "doc_id",
+        F.length("text").cast("bigint").alias("n_chars"),
+        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        order_minhash.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        order_minhash.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
