@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plurivote.llm import decontaminate, language_id, mixing, order_minhash, token_counts, token_files, url_filter
+from plurivote.llm import decontaminate, language_id, mixing, order_minhash, phrases, token_counts, token_files, url_filter
 from plurivote.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -89,3 +89,8 @@ def op9_order_minhash(spark, sf_dir):
         order_minhash.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         order_minhash.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
+
+
+@query("op10_repeated_phrases")
+def op10_repeated_phrases(spark, sf_dir):
+    return phrases.remove_repeats(table(spark, sf_dir, "documents"))
