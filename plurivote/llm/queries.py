@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plurivote.llm import decontaminate, language_id, mixing, order_minhash, phrases, token_counts, token_files, url_filter
+from plurivote.llm import decontaminate, language_id, mixing, near_duplicates, order_minhash, phrases, token_counts, token_files, url_filter
 from plurivote.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -94,3 +94,8 @@ def op9_order_minhash(spark, sf_dir):
 @query("op10_repeated_phrases")
 def op10_repeated_phrases(spark, sf_dir):
     return phrases.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op5_near_duplicates")
+def op5_near_duplicates(spark, sf_dir):
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
