@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plurivote.llm import decontaminate, language_id, mixing, near_duplicates, order_minhash, phrases, token_counts, token_files, url_filter
+from plurivote.llm import decontaminate, language_id, mixing, near_duplicates, order_minhash, phrases, pii, token_counts, token_files, url_filter
 from plurivote.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -99,3 +99,11 @@ def op10_repeated_phrases(spark, sf_dir):
 @query("op5_near_duplicates")
 def op5_near_duplicates(spark, sf_dir):
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_personal_data")
+def op7_personal_data(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.personal_data(documents, pii.fit(documents))
+    digest = F.sha2(F.encode("base_spans", "UTF-8"), 256).alias("base_sha256")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", digest, "spans")
