@@ -159,19 +159,40 @@ def _searcher(shipped, rate: float, min_chars: int):
     return run
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id, item_id, distance, end``: one row for each document and item it holds.
-
-    ``end`` is where the nearest passage ends, in characters of the plain text.
-    """
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
+    """The items in blocks of about ``BLOCK_BYTES``, each small enough to be broadcast."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     numbered = items.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    rows = documents.select("doc_id", "text")
-    found = []
     for block in range(blocks):
-        part = [(r["item_id"], r["text"]) for r in numbered.where(F.col("_block") == block).orderBy("item_id", "text").collect()]
-        shipped = documents.sparkSession.sparkContext.broadcast(part)
-        found.append(rows.mapInArrow(_searcher(shipped, rate, min_chars), ddl(rows, "doc_id") + ", item_id bigint, distance int, end bigint"))
-    return reduce(DataFrame.unionByName, found)
+        yield [(r["item_id"], r["text"]) for r in numbered.where(F.col("_block") == block).orderBy("item_id", "text").collect()]
+
+
+def contaminated(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``doc_id, item_id, distance, end``: one row for each document and item it holds.
+
+    ``end`` is where the nearest passage ends, in characters of the plain text.
+    """
+    context, rows = documents.sparkSession.sparkContext, documents.select("doc_id", "text")
+    kinds = ddl(rows, "doc_id") + ", item_id bigint, distance int, end bigint"
+    return reduce(
+        DataFrame.unionByName, [rows.mapInArrow(_searcher(context.broadcast(block), rate, min_chars), kinds) for block in _blocks(benchmark)]
+    )
+
+
+def _flagger(shipped, rate: float, min_chars: int):
+    @F.arrow_udf("boolean")
+    def flag(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        items = Items(shipped.value, rate, min_chars)
+        for column in columns:
+            yield pa.array([next(items.matches(plain(text)), None) is not None for text in column.to_pylist()], pa.bool_())
+
+    return flag
+
+
+def flagged(documents: DataFrame, benchmark: DataFrame, into: str = "leak", rate: float = ERROR_RATE, min_chars: int = MIN_CHARS) -> DataFrame:
+    """The documents with a boolean column: does the text hold an item? All other columns stay."""
+    context = documents.sparkSession.sparkContext
+    flags = [_flagger(context.broadcast(block), rate, min_chars)(F.col("text")) for block in _blocks(benchmark)]
+    return documents.withColumn(into, reduce(lambda a, b: a | b, flags))

@@ -36,6 +36,7 @@ CHUNK = 1 << 20  # bytes scored at once
 EVIDENCE = 64  # bytes beyond which the score does not sharpen any more
 NO_LANGUAGE = "und"
 BLANK = 32
+PARTS = 64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -82,14 +83,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(documents: DataFrame, docs_per_language: int = 300, max_contexts: int = 20_000, max_bytes: int = 120) -> Model | None:
     """Count the context trees on documents that are not held out; none without labels."""
     rows = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    first = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    chosen = (
-        rows.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("_h"))
-        .withColumn("_n", F.row_number().over(first))
-        .where(F.col("_n") <= docs_per_language)
-        .select("doc_id", "lang")
-        .distinct()
-    )
+    # The first of every language, chosen among the first of its parts, so a language with most rows is not one task.
+    first = rows.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("_h")).withColumn("_part", F.pmod("_h", F.lit(PARTS)))
+    for by in (["lang", "_part"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("_h", "doc_id"))
+        first = first.withColumn("_n", place).where(F.col("_n") <= docs_per_language)
+    chosen = first.select("doc_id", "lang").distinct()
     sample = rows.select("doc_id", "lang", "text").join(small_side(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     if counts.num_rows == 0:
