@@ -4,17 +4,18 @@ The documents are put in the order of ``doc_id`` by one range shuffle. Every tas
 its own range as it streams by, packs the ids end to end, and writes two files:
 
 * ``shard-00007.tokens.arrow`` — Arrow file format; record batches of a fixed-size list
-  ``input_ids`` (unsigned 32 bit) and a fixed-size list ``mask`` (1: an id, 0: padding at
-  the end of the shard). Row r of batch b is found without reading the rest.
+  ``input_ids`` (the narrowest unsigned type that holds the vocabulary) and a fixed-size list of
+  bits ``mask`` (false: padding at the end of the shard). A row is found without reading the rest.
 * ``shard-00007.docs.arrow`` — ``doc_id``, ``start`` inside the shard and ``n_tokens``.
 
 A file is written under the attempt's own name and then renamed, so a task that is run
 again after a lost executor replaces its files whole. The manifest (one row per shard) is
 settled in the shared folder before anything is read.
 
-Words are encoded once and kept by the worker in a table of bounded size. Cutting at
-blanks first is exact for this tokenizer: its pattern never joins characters across white
-space, and its normalizers only change white space or single characters.
+Distinct words are encoded once by the library and kept by the worker in a table of bounded size. Cutting
+at blanks first is exact for a tokenizer like this one: its pattern never joins characters across white
+space, and its normalizers only change white space or single characters. Its pattern also
+cuts between a letter or digit and the marks behind it, so a word sheds these before it is looked up.
 
 Defined cases: a null text counts as empty and holds the end mark alone; null ids come
 first; documents with the same id stand in the order of their texts; an empty table gives no shards; extra columns
@@ -24,6 +25,7 @@ are not written.
 from __future__ import annotations
 
 import os
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -42,8 +44,10 @@ from plurivote.session import scratch_path, settle
 END_ID = 1  # appended to every document
 ROW_LENGTH = 2048  # ids of a row
 BATCH_ROWS = 256  # rows of a record batch
-CACHED_WORDS = 300_000
-CACHED_CHARS = 16_000_000
+CACHED_WORDS = 600_000
+CACHED_PIECES = 800_000
+CACHED_CHARS = 12_000_000
+TAIL = ".,!|*$#%&?;:"  # marks that a word sheds before it is looked up
 
 
 class TokenFiles(NamedTuple):
@@ -53,12 +57,38 @@ class TokenFiles(NamedTuple):
     manifest: DataFrame
 
 
-class WordIds(dict):
-    """Ids of the words seen so far as one flat array; notes the words it lacks."""
+class Pieces(dict):
+    """Ids of the word pieces seen so far as one flat array; notes the pieces it lacks. Piece 0 is empty."""
+
+    def __init__(self):
+        super().__init__({"": 0})
+        self.flat, self.length, self.start = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.new: list[str] = []
+        self.chars = 0
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = place = len(self)
+        self.new.append(piece)
+        self.chars += len(piece)
+        return place
+
+    def learn(self, tokenizer) -> None:
+        if not self.new:
+            return
+        ids = _encode_pieces(self.new, tokenizer)
+        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.length = np.concatenate([self.length, lengths])
+        self.flat = np.concatenate([self.flat, *ids]) if len(ids) else self.flat
+        self.new = []
+
+
+class Words(dict):
+    """The two pieces of the words seen so far; notes the words it lacks."""
 
     def __init__(self):
         super().__init__()
-        self.flat, self.length, self.start = (np.zeros(0, dtype=t) for t in (np.uint32, np.int64, np.int64))
+        self.pairs = np.zeros((0, 2), dtype=np.int64)
         self.new: list[str] = []
         self.chars = 0
 
@@ -68,15 +98,10 @@ class WordIds(dict):
         self.chars += len(word)
         return place
 
-    def learn(self, tokenizer) -> None:
-        if self.new:
-            ids = [e.ids for e in tokenizer.encode_batch(self.new, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            flat = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(lengths.sum()))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
-            self.length = np.concatenate([self.length, lengths])
-            self.flat = np.concatenate([self.flat, flat])
-            self.new = []
+    def learn(self, pieces: Pieces) -> None:
+        found = np.array([(pieces[a], pieces[b]) for a, b in map(_cut, self.new)], dtype=np.int64).reshape(-1, 2)
+        self.pairs = np.concatenate([self.pairs, found])
+        self.new = []
 
     def shrink(self) -> None:
         if len(self) > CACHED_WORDS or self.chars > CACHED_CHARS:
@@ -84,6 +109,57 @@ class WordIds(dict):
             self.__init__()
 
 
+class Encoder:
+    """The library's tokenizer with what the worker remembers of it."""
+
+    def __init__(self, tokenizer_json: str):
+        self.tokenizer, self.pieces, self.words = _load(tokenizer_json), Pieces(), Words()
+
+    def shrink(self) -> None:
+        """Bound the memory. Words name pieces by number, so they go when the pieces go."""
+        if len(self.pieces) > CACHED_PIECES or self.pieces.chars > CACHED_CHARS:
+            self.pieces, self.words = Pieces(), Words()
+        self.words.shrink()
+
+
+def _encode_pieces(pieces: list[str], tokenizer) -> list[np.ndarray]:
+    """Ids of every piece from the library.
+
+    Pieces of letters alone are joined by blanks and encoded many at a time: each gives one
+    pre-token, whose last id carries the mark of a word's end.
+    """
+    out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(pieces)
+    ends = kept("word-ends", lambda: _word_ends(tokenizer))
+    # A capital I with a dot falls apart when it is lowered; such pieces go one by one.
+    plain = [i for i, p in enumerate(pieces) if p.isalpha() and "\u0130" not in p] if ends is not None else []
+    groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+    for group, found in zip(groups, tokenizer.encode_batch([" ".join([pieces[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+        ids = np.array(found.ids, dtype=np.uint32)
+        cuts = np.flatnonzero(ends[ids]) + 1
+        if len(cuts) == len(group):
+            for i, part in zip(group, np.split(ids, cuts[:-1]), strict=True):
+                out[i] = part
+        else:  # not one pre-token per piece after all
+            for i, one in zip(group, tokenizer.encode_batch([pieces[i] for i in group], add_special_tokens=False), strict=True):
+                out[i] = np.array(one.ids, dtype=np.uint32)
+    done = set(plain)
+    others = [i for i in range(len(pieces)) if i not in done]
+    for i, one in zip(others, tokenizer.encode_batch([pieces[i] for i in others], add_special_tokens=False), strict=True):
+        out[i] = np.array(one.ids, dtype=np.uint32)
+    return out
+
+
+def _word_ends(tokenizer) -> np.ndarray | None:
+    """Which ids end a word; none where the vocabulary has no such mark."""
+    mark = tokenizer.model.end_of_word_suffix
+    if not mark:
+        return None
+    vocab = tokenizer.get_vocab(with_added_tokens=False)
+    ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+    ends[[i for token, i in vocab.items() if token.endswith(mark)]] = True
+    return ends
+
+
 def _load(tokenizer_json: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
     from tokenizers import Tokenizer
@@ -91,20 +167,31 @@ def _load(tokenizer_json: str):
     return Tokenizer.from_str(tokenizer_json)
 
 
-def encode_slice(texts: list[str | None], words: WordIds, tokenizer) -> tuple[np.ndarray, np.ndarray]:
+def _cut(word: str) -> tuple[str, str]:
+    """A word and the marks behind it, where the tokenizer's pattern also cuts; ASCII in lower case."""
+    core = word.rstrip(TAIL)
+    if not core or not (core.isalpha() or unicodedata.category(core[-1])[0] in "LN"):
+        core = word
+    # Special strings are told by their case, so what may hold one keeps it.
+    return core.lower() if core.isascii() and "<" not in core else core, word[len(core) :]
+
+
+def encode_slice(texts: list[str | None], encoder: Encoder) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end, each with the end mark, and the number of ids of each."""
+    words, pieces = encoder.words, encoder.pieces
     places: list[int] = []
     per_text = np.zeros(len(texts), dtype=np.int64)
     for i, text in enumerate(texts):
         before = len(places)
         places += map(words.__getitem__, (text or "").replace("\n", " ").split(" "))
         per_text[i] = len(places) - before
-    words.learn(tokenizer)
-    place = np.array(places, dtype=np.int64)
-    lengths = words.length[place]
-    ids = words.flat[ragged(lengths, words.start[place])]
-    ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(per_text)]
-    words.shrink()
+    words.learn(pieces)
+    pieces.learn(encoder.tokenizer)
+    piece = words.pairs[np.array(places, dtype=np.int64)].ravel()
+    lengths = pieces.length[piece]
+    ids = pieces.flat[ragged(lengths, pieces.start[piece])]
+    ends = np.concatenate([[0], np.cumsum(lengths)])[2 * np.cumsum(per_text)]
+    encoder.shrink()
     return np.insert(ids, ends, END_ID), np.diff(np.concatenate([[0], ends])) + 1
 
 
@@ -112,18 +199,24 @@ def _opened(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-TOKEN_SCHEMA = pa.schema([("input_ids", pa.list_(pa.uint32(), ROW_LENGTH)), ("mask", pa.list_(pa.uint8(), ROW_LENGTH))])
+def token_schema(kind: pa.DataType) -> pa.Schema:
+    return pa.schema([("input_ids", pa.list_(kind, ROW_LENGTH)), ("mask", pa.list_(pa.bool_(), ROW_LENGTH))])
+
+
 DOC_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def _rows(ids: np.ndarray) -> pa.RecordBatch:
-    """Full rows of ids; the last one is padded with id 0 under mask 0."""
+def _rows(ids: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    """Full rows of ids; the last one is padded with id 0 outside the mask."""
     short = -len(ids) % ROW_LENGTH
-    mask = np.ones(len(ids) + short, dtype=np.uint8)
-    mask[len(ids) :] = 0
-    padded = np.concatenate([ids, np.zeros(short, dtype=np.uint32)])
-    arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), ROW_LENGTH) for x in (padded, mask)]
-    return pa.RecordBatch.from_arrays(arrays, schema=TOKEN_SCHEMA)
+    mask = np.ones(len(ids) + short, dtype=bool)
+    mask[len(ids) :] = False
+    padded = np.concatenate([ids, np.zeros(short, dtype=ids.dtype)])
+    arrays = [
+        pa.FixedSizeListArray.from_arrays(pa.array(padded, schema.field("input_ids").type.value_type), ROW_LENGTH),
+        pa.FixedSizeListArray.from_arrays(pa.array(mask), ROW_LENGTH),
+    ]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
 def _writer(tokenizer_json, folder: str):
@@ -132,35 +225,37 @@ def _writer(tokenizer_json, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         shard = task.partitionId()
-        tokenizer = kept(f"tokenizer-{hash(shipped.value)}", lambda: _load(shipped.value))
-        words = kept(f"ids-{hash(shipped.value)}", WordIds)
+        encoder = kept(f"encoder-{hash(shipped.value)}", lambda: Encoder(shipped.value))
         files, root = _opened(folder)
         files.create_dir(root, recursive=True)
         final = [f"{root}/shard-{shard:05d}.{kind}.arrow" for kind in ("tokens", "docs")]
         trial = [f"{name}.{task.taskAttemptId()}" for name in final]
         docs = tokens = 0
-        rest = np.zeros(0, dtype=np.uint32)
+        # The narrowest type that holds every id of the vocabulary.
+        narrow = np.uint16 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        schema = token_schema(pa.from_numpy_dtype(narrow))
+        rest = np.zeros(0, dtype=narrow)
         block = ROW_LENGTH * BATCH_ROWS
         with (
             files.open_output_stream(trial[0]) as token_file,
             files.open_output_stream(trial[1]) as doc_file,
-            pa.ipc.new_file(token_file, TOKEN_SCHEMA) as token_out,
+            pa.ipc.new_file(token_file, schema) as token_out,
             pa.ipc.new_file(doc_file, DOC_SCHEMA) as doc_out,
         ):
             for batch in slices(batches):
-                ids, lengths = encode_slice(batch.column("text").to_pylist(), words, tokenizer)
+                ids, lengths = encode_slice(batch.column("text").to_pylist(), encoder)
                 starts = tokens + np.cumsum(lengths) - lengths
                 doc_out.write_batch(
                     pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(starts), pa.array(lengths)], schema=DOC_SCHEMA)
                 )
                 docs, tokens = docs + batch.num_rows, tokens + len(ids)
-                rest = np.concatenate([rest, ids])
+                rest = np.concatenate([rest, ids.astype(narrow)])
                 full = len(rest) // block * block
                 for at in range(0, full, block):
-                    token_out.write_batch(_rows(rest[at : at + block]))
+                    token_out.write_batch(_rows(rest[at : at + block], schema))
                 rest = rest[full:]
             if len(rest):
-                token_out.write_batch(_rows(rest))
+                token_out.write_batch(_rows(rest, schema))
         for here, there in zip(trial, final, strict=True):
             files.move(here, there)
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([docs]), pa.array([tokens])], names=["shard", "n_docs", "n_tokens"])
@@ -182,22 +277,27 @@ def write_token_files(documents: DataFrame, tokenizer_json: str, folder: str | N
     return TokenFiles(folder, settle(written))
 
 
+def _batch_arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids (a view of the file's own buffer) and mask (unpacked from bits)."""
+    ids = batch.column("input_ids").flatten().to_numpy(zero_copy_only=True)
+    return ids, batch.column("mask").flatten().to_numpy(zero_copy_only=False)
+
+
 def read_rows(folder: str, shard: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and mask of a shard, batch by batch, as arrays over the file's own buffers."""
+    """Ids and mask of a shard, batch by batch."""
     files, root = _opened(folder)
     with files.open_input_file(f"{root}/shard-{shard:05d}.tokens.arrow") as source:
         reader = pa.ipc.open_file(source)
         for i in range(reader.num_record_batches):
-            batch = reader.get_batch(i)
-            yield tuple(batch.column(n).flatten().to_numpy(zero_copy_only=True) for n in ("input_ids", "mask"))
+            yield _batch_arrays(reader.get_batch(i))
 
 
 def read_row(folder: str, shard: int, row: int) -> tuple[np.ndarray, np.ndarray]:
     """One row by its number; only its record batch is read."""
     files, root = _opened(folder)
     with files.open_input_file(f"{root}/shard-{shard:05d}.tokens.arrow") as source:
-        batch = pa.ipc.open_file(source).get_batch(row // BATCH_ROWS).slice(row % BATCH_ROWS, 1)
-        return tuple(batch.column(n).flatten().to_numpy(zero_copy_only=True).copy() for n in ("input_ids", "mask"))
+        ids, mask = _batch_arrays(pa.ipc.open_file(source).get_batch(row // BATCH_ROWS).slice(row % BATCH_ROWS, 1))
+        return ids.copy(), mask
 
 
 def _reader(folder: str):
@@ -216,7 +316,7 @@ def _reader(folder: str):
                         if at >= begin + len(ids):
                             begin += len(ids)
                             block, mask = next(blocks)
-                            ids = block[mask == 1].astype("<u4")
+                            ids = block[mask].astype("<u4")
                             continue
                         until = min(stop, begin + len(ids))
                         check = zlib.crc32(ids[at - begin : until - begin].tobytes(), check)
