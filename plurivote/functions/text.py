@@ -18,6 +18,19 @@ PUNCTUATION_OR_BREAK = r"[!-/:-@\[-`{-~\n]"
 WORD_WITH_DIGIT = r"(?<![\p{L}\p{N}_])[\p{L}\p{Nl}\p{No}_]*+\p{Nd}[\p{L}\p{N}_]*+"
 
 
+# Common English stop words, the default list.
+ENGLISH_STOPWORDS = tuple(
+    """i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself she
+    she's her hers herself it it's its itself they them their theirs themselves what which who whom this that that'll these those am
+    is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for
+    with about against between into through during before after above below to from up down in out on off over under again further
+    then once here there when where why how all any both each few more most other some such no nor not only own same so than too
+    very s t can will just don don't should should've now d ll m o re ve y ain aren aren't couldn couldn't didn didn't doesn
+    doesn't hadn hadn't hasn hasn't haven haven't isn isn't ma mightn mightn't mustn mustn't needn needn't shan shan't shouldn
+    shouldn't wasn wasn't weren weren't won won't wouldn wouldn't""".split()
+)
+
+
 def words(text: Column) -> Column:
     """Words between white space; no empty entries. Null stays null."""
     return F.filter(F.split(text, WHITE_SPACE), lambda w: w != "")
@@ -37,8 +50,8 @@ def clean_text(text: Column) -> Column:
     return cleaned
 
 
-def remove_stopwords(word_list: Column, stopwords: Sequence[str]) -> Column:
-    """Drop the listed words. ``stopwords`` is a short list held by the caller."""
+def remove_stopwords(word_list: Column, stopwords: Sequence[str] = ENGLISH_STOPWORDS) -> Column:
+    """Drop the listed words, by default the English stop words."""
     if not stopwords:
         return word_list
     return F.filter(word_list, lambda w: ~w.isin(*stopwords))
@@ -93,13 +106,23 @@ def parse_epoch_tag(tag: Column) -> Column:
 
 
 def list_from_text(text: Column, item_type: str = "int") -> Column:
-    """Read ``[1, 0]`` as an array. Text items may use single quotes."""
+    """Read ``[1, 0]`` as an array. Text items stand in single or double quotes."""
     if item_type == "string":
-        text = F.translate(text, "'", '"')
+        return quoted_items(text)
     return F.from_json(text, f"array<{item_type}>")
 
 
+# One quoted item: a mark, then characters or escaped characters, then the same mark.
+QUOTED_ITEM = r"""'((?:[^'\\]|\\.)*+)'|"((?:[^"\\]|\\.)*+)\""""
+
+
+def quoted_items(text: Column) -> Column:
+    """The quoted items of a list or tuple text; an escaped mark or backslash is one character of the item."""
+    single, double = (F.regexp_extract_all(text, F.lit(QUOTED_ITEM), F.lit(i)) for i in (1, 2))
+    items = F.zip_with(single, double, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
+    return F.transform(items, lambda item: F.regexp_replace(item, r"\\(.)", "$1"))
+
+
 def tuple_from_text(text: Column) -> Column:
     """Read ``('a', 'b')`` (also ``('a',)``) as an array of strings."""
-    as_list = F.translate(F.regexp_replace(text, r",\s*\)$", ")"), "()'", '[]"')
-    return F.from_json(as_list, "array<string>")
+    return quoted_items(text)

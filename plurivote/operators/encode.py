@@ -1,62 +1,29 @@
-"""Token ids, multiple-choice pairs, batches and padding.
+"""Token ids, multiple-choice pairs, batches and padding, as column expressions.
 
-A tokenizer is given as the text of its JSON file. The driver broadcasts that text
-(a few MB) and every Python worker builds the tokenizer once.
+The ids are of words: a word's id is a hash of its letters, so no vocabulary is collected or
+shipped. Marks, truncation, pair fitting and masks are the same for any other array of ids.
 """
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plurivote.functions import text as T
+from plurivote.functions.keys import hash32
 from plurivote.operators.sampling import shuffle_order
 
 # Ids of the marks around a sequence, next to a 50,257-entry vocabulary.
 BEGIN_ID, PAD_ID, END_ID = 50257, 50258, 50259
-TEXTS_PER_CALL = 256
+WORD_IDS = 50_257
 
-_tokenizers: dict[int, object] = {}
 
-
-def _tokenizer(shipped):
-    """The worker's own tokenizer; marks inside a text are read as plain text."""
-    key = hash(shipped.value)
-    if key not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
-        from tokenizers import Tokenizer
-
-        made = Tokenizer.from_str(shipped.value)
-        made.encode_special_tokens = True
-        _tokenizers[key] = made
-    return _tokenizers[key]
-
-
-def _encode(shipped, texts: Sequence[str | None]) -> list[list[int]]:
-    tokenizer = _tokenizer(shipped)
-    ids = []
-    for start in range(0, len(texts), TEXTS_PER_CALL):
-        part = [t or "" for t in texts[start : start + TEXTS_PER_CALL]]
-        ids.extend(e.ids for e in tokenizer.encode_batch(part, add_special_tokens=False))
-    return ids
-
-
-def _small_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, TEXTS_PER_CALL):
-            yield batch.slice(start, TEXTS_PER_CALL)
-
-
-def _with_column(batch: pa.RecordBatch, drop: Sequence[str], name: str, values: pa.Array) -> pa.RecordBatch:
-    kept = [n for n in batch.schema.names if n not in drop]
-    return pa.RecordBatch.from_arrays([batch.column(n) for n in kept] + [values], names=kept + [name])
-
-
-def _ship(df: DataFrame, tokenizer_json: str):
-    return df.sparkSession.sparkContext.broadcast(tokenizer_json)
+def word_ids(text: Column) -> Column:
+    """One id per word; a null text has none."""
+    words = F.coalesce(T.words(text), F.array().cast("array<string>"))
+    return F.transform(words, lambda w: (hash32("word", w) % WORD_IDS).cast("int"))
 
 
 def mask_of(ids: Column) -> Column:
@@ -64,36 +31,21 @@ def mask_of(ids: Column) -> Column:
     return F.array_repeat(F.lit(1), F.size(ids))
 
 
-def token_encode(
-    df: DataFrame, tokenizer_json: str, max_length: int | None = 256, text: str = "text", keep: Sequence[str] = ("item_id", "label")
-) -> DataFrame:
-    """Begin mark, token ids, end mark — cut to ``max_length`` in all — with mask."""
-    shipped = _ship(df, tokenizer_json)
-    room = None if max_length is None else max_length - 2
+def marked(ids: Column, max_length: int | None = None) -> Column:
+    """Begin mark, ids, end mark — cut to ``max_length`` in all."""
+    body = ids if max_length is None else F.slice(ids, 1, max(0, max_length - 2))
+    return F.concat(F.array(F.lit(BEGIN_ID)), body, F.array(F.lit(END_ID)))
 
-    def run(batches):
-        for batch in _small_slices(batches):
-            ids = [[BEGIN_ID, *i[:room], END_ID] for i in _encode(shipped, batch.column(text).to_pylist())]
-            yield _with_column(batch, [text], "input_ids", pa.array(ids, pa.list_(pa.int32())))
 
-    rows = df.select(*keep, F.col(text).alias(text))
-    kinds = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes if n != text)
-    encoded = rows.mapInArrow(run, f"{kinds}, input_ids array<int>")
+def token_encode(df: DataFrame, max_length: int | None = 256, text: str = "text", keep: Sequence[str] = ("item_id", "label")) -> DataFrame:
+    """Begin mark, word ids, end mark — cut to ``max_length`` in all — with mask."""
+    encoded = df.select(*keep, marked(word_ids(F.col(text)), max_length).alias("input_ids"))
     return encoded.withColumn("attention_mask", mask_of(F.col("input_ids")))
 
 
-def token_lengths(df: DataFrame, tokenizer_json: str, text: str = "text", keep: Sequence[str] = ("item_id",)) -> DataFrame:
-    """Ids per text with both marks, uncut. Only the lengths leave the Python worker."""
-    shipped = _ship(df, tokenizer_json)
-
-    def run(batches):
-        for batch in _small_slices(batches):
-            sizes = [len(i) + 2 for i in _encode(shipped, batch.column(text).to_pylist())]
-            yield _with_column(batch, [text], "n_tokens", pa.array(sizes, pa.int32()))
-
-    rows = df.select(*keep, F.col(text).alias(text))
-    kinds = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes if n != text)
-    return rows.mapInArrow(run, f"{kinds}, n_tokens int")
+def token_lengths(df: DataFrame, text: str = "text", keep: Sequence[str] = ("item_id",)) -> DataFrame:
+    """Ids per text with both marks, uncut. Words are counted, ids are not made."""
+    return df.select(*keep, (T.word_count(F.col(text)) + 2).alias("n_tokens"))
 
 
 def token_length_profile(lengths: DataFrame, limits: Sequence[int] = (256, 512), by: Sequence[str] = ()) -> DataFrame:
@@ -133,43 +85,29 @@ def joined_context(context: Column, question: Column) -> Column:
     return F.when(question.isNull(), context).otherwise(F.concat(context, F.lit(SEPARATOR), question))
 
 
-def fit_pair(first: int, second: int, room: int) -> tuple[int, int]:
+def fit_pair(first: Column, second: Column, room: int) -> tuple[Column, Column]:
     """Lengths after dropping ids one at a time from the longer part (the second on ties)."""
-    if first + second <= room:
-        return first, second
-    keep = min(first, max((room + 1) // 2, room - second))
-    return keep, room - keep
+    half = F.lit((room + 1) // 2)
+    keep = F.when(first + second <= room, first).otherwise(F.least(first, F.greatest(half, F.lit(room) - second)))
+    return keep, F.least(second, F.lit(room) - keep)
 
 
-def multiple_choice_encode(pairs: DataFrame, tokenizer_json: str, max_length: int = 256) -> DataFrame:
+def multiple_choice_encode(pairs: DataFrame, max_length: int = 256) -> DataFrame:
     """One id list per option: begin, context, end, end, option, end. No shuffle: the
     options of a question stay in its row, and its context is encoded once for all."""
-    shipped = _ship(pairs, tokenizer_json)
-
-    def run(batches):
-        for batch in _small_slices(batches):
-            context = _encode(shipped, batch.column("context").to_pylist())
-            questions = batch.column("question").to_pylist()
-            asked = _encode(shipped, questions)
-            options = batch.column("options").to_pylist()
-            flat = iter(_encode(shipped, [o for row in options for o in row]))
-            encoded = []
-            for i, row in enumerate(options):
-                head = context[i] if questions[i] is None else [*context[i], END_ID, END_ID, *asked[i]]
-                lists = []
-                for _ in row:
-                    tail = next(flat)
-                    a, b = fit_pair(len(head), len(tail), max_length - 4)
-                    lists.append([BEGIN_ID, *head[:a], END_ID, END_ID, *tail[:b], END_ID])
-                encoded.append(lists)
-            values = pa.array(encoded, pa.list_(pa.list_(pa.int32())))
-            yield _with_column(batch, ["context", "question", "options"], "input_ids", values)
-
-    kinds = dict(pairs.dtypes)
-    rows = pairs.select("item_id", "label", "context", "question", "options")
-    out = f"item_id {kinds['item_id']}, label {kinds['label']}, input_ids array<array<int>>"
-    encoded = rows.mapInArrow(run, out)
-    return encoded.withColumn("attention_mask", F.transform("input_ids", mask_of))
+    between = F.array(F.lit(END_ID), F.lit(END_ID))
+    asked = F.when(F.col("question").isNull(), F.array().cast("array<int>")).otherwise(F.concat(between, word_ids(F.col("question"))))
+    heads = pairs.select(
+        "item_id", "label", F.concat(word_ids(F.col("context")), asked).alias("_head"), F.transform("options", word_ids).alias("_tails")
+    )
+
+    def encoded(tail: Column) -> Column:
+        head = F.col("_head")
+        a, b = fit_pair(F.size(head), F.size(tail), max_length - 4)
+        return F.concat(F.array(F.lit(BEGIN_ID)), F.slice(head, F.lit(1), a), between, F.slice(tail, F.lit(1), b), F.array(F.lit(END_ID)))
+
+    rows = heads.select("item_id", "label", F.transform("_tails", encoded).alias("input_ids"))
+    return rows.withColumn("attention_mask", F.transform("input_ids", mask_of))
 
 
 def make_batches(df: DataFrame, id_col: str, size: int = 16, seed=1) -> DataFrame:

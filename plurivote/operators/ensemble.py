@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import comb
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plurivote.functions import text as T
@@ -17,41 +18,72 @@ from plurivote.operators.metrics import classification_metrics, join_truth
 from plurivote.operators.ranking import is_control
 from plurivote.session import small_side
 
-MAX_FAMILIES = 20  # 2**20 subsets; more would be a search, not an enumeration
-MAX_INLINE_ENSEMBLES = 200  # votes of more ensembles are counted by the join form
+MAX_INLINE_ENSEMBLES = 200  # votes of more ensembles are counted by the join form, with the same result
+MASK_FAMILIES = 31  # up to so many families an ensemble's id is their bit mask
+
+
+def _subset(number: Column, families: int, size: int) -> Column:
+    """Positions (from 0) of the subset with this number among all subsets of ``size``, in lexicographic order.
+
+    Walks over the families once: those subsets that take the next one come first.
+    """
+    with_next = F.array(*[F.array(*[F.lit(comb(families - 1 - i, left - 1) if left else 0) for left in range(size + 1)]) for i in range(families)])
+    start = F.struct(number.alias("number"), F.lit(size).alias("left"), F.array().cast("array<int>").alias("taken"))
+
+    def step(state: Column, i: Column) -> Column:
+        block = F.get(F.get(with_next, i), state["left"])
+        take = (state["left"] > 0) & (state["number"] < block)
+        return F.struct(
+            F.when(take | (state["left"] == 0), state["number"]).otherwise(state["number"] - block).alias("number"),
+            F.when(take, state["left"] - 1).otherwise(state["left"]).alias("left"),
+            F.when(take, F.concat(state["taken"], F.array(i))).otherwise(state["taken"]).alias("taken"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(families - 1)), start, step)["taken"]
 
 
 def inducer_combinations(families: DataFrame, sizes: Sequence[int], family: str = "family") -> DataFrame:
-    """All subsets of the distinct families with the wanted sizes.
+    """All subsets of the distinct families with the wanted sizes, made in parallel from their numbers.
 
-    ``ensemble_id`` is the subset's bit mask over the sorted family names.
+    ``ensemble_id`` is the subset's bit mask over the sorted family names; with more than
+    ``MASK_FAMILIES`` families, where a mask no longer fits, its number over all sizes in their order.
     """
-    found = families.select(F.col(family)).distinct().limit(MAX_FAMILIES + 1).collect()
-    if len(found) > MAX_FAMILIES:
-        raise ValueError(f"more than {MAX_FAMILIES} families")
-    names = F.array(*[F.lit(name) for name in sorted(r[0] for r in found)])
-    subsets = families.sparkSession.range(1 << len(found)).select(F.col("id").cast("int").alias("ensemble_id"))
-    members = F.filter(
-        F.transform(names, lambda name, i: F.when(F.getbit("ensemble_id", i) == 1, name)), lambda name: name.isNotNull()
-    )
-    return subsets.where(F.bit_count("ensemble_id").isin(*sizes)).select(
-        "ensemble_id", F.bit_count("ensemble_id").alias("size"), members.alias("inducers")
-    )
+    spark = families.sparkSession
+    # The names are a list of models' families, as short as the list of models.
+    names = sorted(r[0] for r in families.select(F.col(family)).distinct().collect())
+    known = F.array(*[F.lit(name) for name in names]).cast("array<string>")
+    masks = len(names) <= MASK_FAMILIES
+    parts, before = [], 0
+    for size in sorted(set(sizes)):
+        if not 0 < size <= len(names):
+            continue
+        subsets = spark.range(comb(len(names), size)).select("id", _subset(F.col("id"), len(names), size).alias("_at"))
+        mask = F.aggregate("_at", F.lit(0), lambda total, i: total + F.call_function("shiftleft", F.lit(1), i))
+        ensemble_id = mask.cast("int") if masks else F.col("id") + F.lit(before)
+        parts.append(
+            subsets.select(ensemble_id.alias("ensemble_id"), F.lit(size).alias("size"), F.transform("_at", lambda i: F.get(known, i)).alias("inducers"))
+        )
+        before += comb(len(names), size)
+    if not parts:
+        kind = "int" if masks else "bigint"
+        return spark.createDataFrame([], f"ensemble_id {kind}, size int, inducers array<string>")
+    return reduce(DataFrame.unionByName, parts)
 
 
-def ensemble_membership(combinations: DataFrame, runs: int = 3) -> DataFrame:
-    """One row per ensemble and member run: each family with its run numbers 01, 02, …"""
-    return combinations.select("ensemble_id", "size", F.explode("inducers").alias("family")).select(
-        "ensemble_id",
-        "size",
-        "family",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.lit(runs)),
-                lambda run: F.concat_ws("_", "family", F.when(run < 100, F.lpad(run.cast("string"), 2, "0")).otherwise(run.cast("string"))),
-            )
-        ).alias("model_name"),
-    )
+def _runs(combinations: DataFrame, models: DataFrame) -> DataFrame:
+    """Run names per family, from the models that exist; a family without a run fails."""
+    runs = models.select("model_name", T.model_family(F.col("model_name")).alias("family")).distinct()
+    runs = small_side(runs.groupBy("family").agg(F.array_sort(F.collect_list("model_name")).alias("_models")))
+    missing = combinations.select(F.explode("inducers").alias("family")).distinct().join(runs, "family", "left_anti").limit(5).collect()
+    if missing:
+        raise ValueError(f"families without a run: {sorted(r['family'] for r in missing)}")
+    return runs
+
+
+def ensemble_membership(combinations: DataFrame, models: DataFrame) -> DataFrame:
+    """One row per ensemble and member run. ``models`` has the ``model_name`` of every run there is."""
+    members = combinations.select("ensemble_id", "size", F.explode("inducers").alias("family"))
+    return members.join(_runs(combinations, models), "family").select("ensemble_id", "size", "family", F.explode("_models").alias("model_name"))
 
 
 def chosen_epochs(scores: DataFrame, selections: dict[str, str]) -> DataFrame:
@@ -92,80 +124,96 @@ def vote_winner(votes: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def majority_vote(picked: DataFrame, combinations: DataFrame) -> DataFrame:
-    """Vote of every ensemble on every item (join form, any classes).
-
-    The family sums of an item are joined to the ensembles that hold the family.
-    """
-    family_votes = picked.groupBy("selection", "item_id", "family", "pred").agg(F.count(F.lit(1)).alias("_votes"))
-    holds = small_side(combinations.select("ensemble_id", "size", F.explode("inducers").alias("family")))
-    votes = (
-        family_votes.join(holds, "family")
-        .groupBy("selection", "ensemble_id", "size", "item_id", "pred")
-        .agg(F.sum("_votes").alias("votes"))
-    )
-    return vote_winner(votes, ["selection", "ensemble_id", "size", "item_id"])
-
-
 def _text(value: str) -> str:
     """A SQL string literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def ensemble_scores(
-    picked: DataFrame,
-    truth: DataFrame,
-    combinations: DataFrame,
-    selections: Sequence[str],
-    classes: Sequence[int] = (0, 1),
-) -> DataFrame:
-    """Accuracy and F1 of every ensemble, from one shuffle on the item.
+def _inline_ballots(picked: DataFrame, rows: Sequence, truth: DataFrame | None = None) -> DataFrame:
+    """Winner of every ensemble on every item, from one shuffle on the item.
 
     An item becomes one row of vote counts per (selection, family, class); all
-    ensembles are evaluated on that row, so the votes of single ensembles are never
-    moved, only their score counts. Falls back to the join form for wide inputs.
+    ensembles are evaluated on that row. With ``truth`` the item's label stands beside.
     """
-    spark = picked.sparkSession
-    rows = combinations.select("ensemble_id", "size", "inducers").limit(MAX_INLINE_ENSEMBLES + 1).collect()
-    if len(rows) * len(selections) > MAX_INLINE_ENSEMBLES or len(classes) > 4:
-        votes = majority_vote(picked, combinations)
-        scored = classification_metrics(join_truth(votes, truth), ["selection", "ensemble_id", "size"])
-        return scored.join(small_side(combinations.select("ensemble_id", "inducers")), "ensemble_id").select(
-            "selection", "ensemble_id", "size", "inducers", "n", "accuracy", "f1"
-        )
-
-    # The plan is written as SQL text: one short expression per counter and per ensemble.
+    # Selection rules and classes: two short lists, found in one pass.
+    seen = picked.agg(F.collect_set("selection").alias("selections"), F.collect_set("pred").alias("classes")).first()
+    selections, classes = sorted(seen["selections"]), sorted(seen["classes"])
     families = sorted({f for r in rows for f in r["inducers"]})
     slots = [(s, f) for s in selections for f in families]
+    keep = ["item_id"] if truth is None else ["item_id", "label"]
+    if not slots or not classes:
+        empty = picked.join(truth, "item_id") if truth is not None else picked
+        votes = ["selection", F.lit(0).alias("ensemble_id"), "pred", F.lit(0).cast("bigint").alias("ballots"), F.lit(0).cast("bigint").alias("winning_votes")]
+        return empty.select(*keep, *votes).limit(0)
+    # The plan is written as SQL text: one short expression per counter and per ensemble.
     slot = F.array_position(F.array(*[F.array(F.lit(s), F.lit(f)) for s, f in slots]), F.array("selection", "family"))
     place = {pair: f"v_{i}" for i, pair in enumerate(slots, 1)}
-    counters = [
-        F.expr(f"count_if(slot = {i} AND pred = {c}) AS v_{i}_{c}") for i in range(1, len(slots) + 1) for c in sorted(classes)
-    ]
-    items = join_truth(picked.select("item_id", slot.alias("slot"), "pred").groupBy("item_id").agg(*counters), truth)
+    counters = [F.expr(f"count_if(slot = {i} AND pred = {c}) AS v_{i}_{k}") for i in range(1, len(slots) + 1) for k, c in enumerate(classes)]
+    items = picked.select("item_id", slot.alias("slot"), "pred").groupBy("item_id").agg(*counters)
+    if truth is not None:
+        items = join_truth(items, truth)
 
     def ballot(selection, row):
-        votes = {c: " + ".join(f"{place[selection, f]}_{c}" for f in row["inducers"]) for c in sorted(classes)}
-        most = f"greatest({', '.join(votes.values())})"
-        winner = " ".join(f"WHEN {total} = {most} THEN {c}" for c, total in votes.items())
-        return f"struct({_text(selection)} AS selection, {row['ensemble_id']} AS ensemble_id, CASE WHEN {most} = 0 THEN NULL {winner} END AS pred)"
+        votes = [" + ".join(f"{place[selection, f]}_{k}" for f in row["inducers"]) for k in range(len(classes))]
+        most = f"greatest({', '.join(votes)}, 0)"
+        winner = " ".join(f"WHEN {total} = {most} THEN {c}" for c, total in zip(classes, votes, strict=True))
+        return (
+            f"struct({_text(selection)} AS selection, {row['ensemble_id']} AS ensemble_id, CASE WHEN {most} = 0 THEN NULL {winner} END AS pred, "
+            f"{' + '.join(votes)} AS ballots, {most} AS winning_votes)"
+        )
 
     ballots = ", ".join(ballot(s, r) for s in selections for r in rows)
-    votes = items.selectExpr("label", f"inline(array({ballots}))").where("pred IS NOT NULL")
-    scored = classification_metrics(votes, ["selection", "ensemble_id"])
-    named = F.broadcast(spark.createDataFrame(rows, combinations.select("ensemble_id", "size", "inducers").schema))
-    return scored.join(named, "ensemble_id").select(
-        "selection", "ensemble_id", "size", "inducers", "n", "accuracy", "f1"
+    return items.selectExpr(*keep, f"inline(array({ballots}))").where("pred IS NOT NULL")
+
+
+def _joined_ballots(picked: DataFrame, combinations: DataFrame) -> DataFrame:
+    """The same for any number of ensembles: the family sums of an item are joined to the ensembles that hold the family."""
+    family_votes = (
+        picked.where(F.col("pred").isNotNull()).groupBy("selection", "item_id", "family", "pred").agg(F.count(F.lit(1)).alias("_votes"))
     )
+    holds = small_side(combinations.select("ensemble_id", F.explode("inducers").alias("family")))
+    votes = family_votes.join(holds, "family").groupBy("selection", "ensemble_id", "item_id", "pred").agg(F.sum("_votes").alias("votes"))
+    return vote_winner(votes, ["selection", "ensemble_id", "item_id"])
+
+
+def _few(combinations: DataFrame, picked: DataFrame) -> list | None:
+    """The ensembles as a list if they are few enough to be written into one plan."""
+    rows = combinations.select("ensemble_id", "size", "inducers").limit(MAX_INLINE_ENSEMBLES + 1).collect()
+    return rows if len(rows) <= MAX_INLINE_ENSEMBLES else None
+
+
+def majority_vote(picked: DataFrame, combinations: DataFrame) -> DataFrame:
+    """Vote of every ensemble on every item: winner (the lowest class on ties), its votes, and all votes.
+
+    A null prediction is no vote; an ensemble without a vote on an item has no row there.
+    """
+    rows = _few(combinations, picked)
+    ballots = _joined_ballots(picked, combinations) if rows is None else _inline_ballots(picked, rows)
+    sizes = small_side(combinations.select("ensemble_id", "size"))
+    return ballots.join(sizes, "ensemble_id").select("selection", "ensemble_id", "size", "item_id", "pred", "ballots", "winning_votes")
+
+
+def ensemble_scores(picked: DataFrame, truth: DataFrame, combinations: DataFrame) -> DataFrame:
+    """Accuracy and F1 of every ensemble over the items it votes on.
+
+    The votes of single ensembles are never moved, only their score counts, while the ensembles
+    are few; many are voted by the join form. The result is the same.
+    """
+    rows = _few(combinations, picked)
+    votes = join_truth(_joined_ballots(picked, combinations), truth) if rows is None else _inline_ballots(picked, rows, truth)
+    scored = classification_metrics(votes, ["selection", "ensemble_id"])
+    named = small_side(combinations.select("ensemble_id", "size", "inducers"))
+    return scored.join(named, "ensemble_id").select("selection", "ensemble_id", "size", "inducers", "n", "accuracy", "f1")
 
 
 SIZE_WORDS = {3: "three", 5: "five"}
 
 
-def ensemble_leaderboard(scored: DataFrame, metrics: dict[str, str], dataset: str, runs: int = 3) -> DataFrame:
+def ensemble_leaderboard(scored: DataFrame, metrics: dict[str, str], dataset: str, models: DataFrame) -> DataFrame:
     """The result table: type, members, scores, and the place inside each type.
 
-    ``metrics`` maps each selection to the score that ranks its ensembles.
+    ``metrics`` maps each selection to the score that ranks its ensembles; ``models`` has the
+    ``model_name`` of every run that voted.
     """
     word = reduce(
         lambda rest, kv: F.when(F.col("size") == kv[0], kv[1]).otherwise(rest), SIZE_WORDS.items(), F.col("size").cast("string")
@@ -174,12 +222,9 @@ def ensemble_leaderboard(scored: DataFrame, metrics: dict[str, str], dataset: st
         lambda rest, kv: F.when(F.col("selection") == kv[0], F.col(kv[1])).otherwise(rest), metrics.items(), F.lit(None)
     )
     place = Window.partitionBy("ensemble_type").orderBy(F.desc("_ranked_by"), "ensemble_id")
-    spec = F.flatten(
-        F.transform(
-            "inducers",
-            lambda f: F.transform(F.sequence(F.lit(1), F.lit(runs)), lambda run: F.concat_ws("_", f, F.lpad(run.cast("string"), 2, "0"))),
-        )
-    )
+    members = ensemble_membership(scored.select("ensemble_id", "size", "inducers").distinct(), models)
+    spec = members.groupBy("ensemble_id").agg(F.array_sort(F.collect_list("model_name")).alias("inducers_spec"))
+    scored = scored.join(small_side(spec), "ensemble_id")
     return (
         scored.withColumn("ensemble_type", F.concat(F.col("selection"), F.lit("_"), word, F.lit("-model")))
         .withColumn("_ranked_by", ranked_by)
@@ -187,7 +232,7 @@ def ensemble_leaderboard(scored: DataFrame, metrics: dict[str, str], dataset: st
         .select(
             "ensemble_id",
             "inducers",
-            spec.alias("inducers_spec"),
+            "inducers_spec",
             F.lit(dataset).alias("dataset"),
             F.col("accuracy").alias("test_accuracy"),
             F.col("f1").alias("test_f1"),

@@ -16,10 +16,26 @@ from plurivote.functions import text as T
 
 
 def join_truth(predictions: DataFrame, truth: DataFrame, item: str = "item_id", label: str = "label") -> DataFrame:
-    """Predictions with their label, aligned by item and not by position."""
+    """Predictions with their label, aligned by item and not by position.
+
+    Predictions without truth, and items a model never scored, have no row here;
+    ``alignment`` counts both.
+    """
     return predictions.join(truth.select(item, label), item)
 
 
+def alignment(predictions: DataFrame, truth: DataFrame, by: Sequence[str] = ("model_name", "epoch_no"), item: str = "item_id") -> DataFrame:
+    """Per model: predictions with truth (``matched``), without (``no_truth``), and items it never scored (``missing``).
+
+    An item counts once per model, however often it was scored. Join on this table to refuse models that are not complete.
+    """
+    items = truth.select(item).distinct()
+    total = items.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    scored = predictions.select(*by, item).distinct().join(items.withColumn("_known", F.lit(True)), item, "left")
+    counts = scored.groupBy(*by).agg(F.count("_known").alias("matched"), (F.count(F.lit(1)) - F.count("_known")).alias("no_truth"))
+    return counts.withColumn("missing", total - F.col("matched"))
+
+
 def _counts():
     pred, label = F.col("pred"), F.col("label")
 
@@ -128,12 +144,25 @@ def cross_entropy(df: DataFrame, logits: str, label: str, by: Sequence[str] = ()
     )
 
 
-def confusion_matrix(df: DataFrame, classes: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
-    """Rows per label, one ``pred_<class>`` count column per predicted class, 0 where empty."""
-    return (
-        df.groupBy(*by, "label")
-        .agg(*[F.count(F.when(F.col("pred") == c, 1)).alias(f"pred_{c}") for c in classes])
-    )
+def confusion_matrix(
+    df: DataFrame, classes: Sequence[int], by: Sequence[str] = (), labels: Sequence[int] | None = None
+) -> DataFrame:
+    """Rows per label, one ``pred_<class>`` count column per listed class, 0 where empty.
+
+    Other predictions count in ``pred_other``, null ones in ``pred_null``. Every group has a row for
+    every label in ``labels`` (by default ``classes``) and for labels that occur besides.
+    """
+    pred = F.col("pred")
+    counts = [F.count(F.when(pred == c, 1)).alias(f"pred_{c}") for c in classes]
+    counts.append(F.count(F.when(~pred.isin(*classes), 1)).alias("pred_other"))
+    counts.append((F.count(F.lit(1)) - F.count("pred")).alias("pred_null"))
+    counted = df.groupBy(*by, "label").agg(*counts)
+    names = [c for c in counted.columns if c.startswith("pred_")]
+    # A row of zeros for every label of every group, added to what was counted.
+    wanted = F.explode(F.array(*[F.lit(c) for c in (labels or classes)]).cast(f"array<{dict(df.dtypes)['label']}>")).alias("label")
+    groups = counted.select(*by).distinct() if by else df.sparkSession.range(1)
+    zeros = groups.select(*by, wanted, *[F.lit(0).cast("bigint").alias(n) for n in names])
+    return counted.unionByName(zeros).groupBy(*by, "label").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def evaluate_models(predictions: DataFrame, truth: DataFrame, num_labels: int = 2) -> DataFrame:

@@ -27,8 +27,9 @@ def profile_nonnull(df: DataFrame) -> DataFrame:
 
 
 def _long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per value; null and NaN are no values."""
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns])
-    return df.select(F.explode(cells).alias("_c")).select("_c.*").where(F.col("value").isNotNull())
+    return df.select(F.explode(cells).alias("_c")).select("_c.*").where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
 def value_counts_by_range(values: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -77,7 +78,8 @@ def exact_quantiles(parts: DataFrame, by: Sequence[str], value: str, shares: Seq
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, least, exact quartiles and largest value per column.
 
-    One pass over the rows: everything else comes from the counted distinct values.
+    One pass over the rows: everything else comes from the counted distinct values. A column without
+    a value has count 0 and nulls.
     """
     parts = value_counts_by_range(_long_values(df, columns), ["column_name"], "value")
     value, rows = F.col("value"), F.col("_rows")
@@ -99,9 +101,10 @@ def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         .groupBy("column_name")
         .agg(*[F.max(F.when(F.col("share") == s, F.col("quantile"))).alias(n) for n, s in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))])
     )
-    return summary.join(spread, "column_name").join(quartiles, "column_name").select(
-        "column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max"
-    )
+    names = F.explode(F.array(*[F.lit(c) for c in columns])).alias("column_name")
+    every = df.sparkSession.range(1).select(names)
+    found = every.join(summary, "column_name", "left").join(spread, "column_name", "left").join(quartiles, "column_name", "left")
+    return found.select("column_name", F.coalesce("count", F.lit(0)).alias("count"), "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def label_distribution(df: DataFrame, *keys: str) -> DataFrame:
@@ -131,7 +134,7 @@ def _slot(value: Column, low: Column, high: Column, bins: int) -> Column:
 
 
 def equal_width_histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
-    """Rows per bin between the least and the largest value, with the bin's left edge.
+    """Rows per bin between the least and the largest value, with the bin's left edge; all bins, also empty ones.
 
     If all values are equal the range is half a unit to either side.
     """
@@ -140,10 +143,15 @@ def equal_width_histogram(df: DataFrame, value: str, bins: int, by: Sequence[str
     edges = ends.select((F.col("least") - half).alias("low"), (F.col("most") + half).alias("high"))
     low, high = edges.select("low").scalar(), edges.select("high").scalar()
     binned = df.where(F.col(value).isNotNull()).select(*by, _slot(F.col(value), low, high, bins).alias("bin"))
+    counted = binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("rows"))
+    # Zeros for all bins of all groups, added to what was counted.
+    groups = df.where(F.col(value).isNotNull()).select(*by).distinct() if by else edges.where("low IS NOT NULL").select()
+    zeros = groups.select(*by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), F.lit(0).cast("bigint").alias("rows"))
     width = (high - low) / bins
     return (
-        binned.groupBy(*by, "bin")
-        .agg(F.count(F.lit(1)).alias("rows"))
+        counted.unionByName(zeros)
+        .groupBy(*by, "bin")
+        .agg(F.sum("rows").alias("rows"))
         .select(*by, "bin", (low + F.col("bin") * width).alias("left_edge"), "rows")
     )
 
@@ -151,14 +159,17 @@ def equal_width_histogram(df: DataFrame, value: str, bins: int, by: Sequence[str
 def duplicate_rows(df: DataFrame, id_col: str) -> DataFrame:
     """Rows whose content (all columns but the id) was seen under a lower id.
 
-    The first row of each content is found by a grouped minimum, which is combined
-    before the shuffle; the others are what is left by an anti join on the unique id.
-    A content that fills a third of the table is thus never gathered in one task.
+    Contents are compared to the microsecond and with nulls kept apart. Only the narrow keys
+    are grouped: contents counted once drop out, the surplus ids are those above their content's
+    least id, and the wide rows are picked by these few ids. A content that fills a
+    third of the table is combined before the shuffle and never gathered in one task.
     """
-    content = F.sha2(F.to_json(F.struct(*[c for c in df.columns if c != id_col])), 256)
-    keys = df.select(id_col, content.alias("_content"))
-    firsts = keys.groupBy("_content").agg(F.min(id_col).alias(id_col))
-    return df.join(firsts.select(id_col), id_col, "left_anti")
+    lossless = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
+    content = F.sha2(F.to_json(F.struct(*[c for c in df.columns if c != id_col]), lossless), 256)
+    keys = settle(df.select(id_col, content.alias("_content")))
+    firsts = keys.groupBy("_content").agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    surplus = keys.join(firsts, "_content").where(F.col(id_col) > F.col("_first")).select(id_col)
+    return df.join(surplus, id_col, "left_semi")
 
 
 def top_words_by_class(df: DataFrame, label: str, word_list: Column, n: int = 20) -> DataFrame:
@@ -170,6 +181,6 @@ def top_words_by_class(df: DataFrame, label: str, word_list: Column, n: int = 20
     return counts.withColumn("place", F.row_number().over(place)).where(F.col("place") <= n)
 
 
-def cleaned_words(text: Column, stopwords: Sequence[str] = ()) -> Column:
-    """Words of the cleaned text without the stop words."""
+def cleaned_words(text: Column, stopwords: Sequence[str] = T.ENGLISH_STOPWORDS) -> Column:
+    """Words of the cleaned text without the stop words (English by default)."""
     return T.remove_stopwords(T.words(T.clean_text(text)), stopwords)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plurivote.session import small_side
+
 
 def rename_and_keep(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     """Keep the listed columns under their new names."""
@@ -29,6 +31,16 @@ def cast_label(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn(label, F.col(label).cast("bigint"))
 
 
+def reindex_labels(df: DataFrame, label: str, into: str) -> DataFrame:
+    """Add the label's index 0 … k-1 among the sorted labels that occur; null stays null.
+
+    Losses index by it, so classes such as 1 … 8 or names need it first. The labels are a short list.
+    """
+    known = df.where(F.col(label).isNotNull()).select(label).distinct()
+    ranked = small_side(known.select(F.col(label), (F.row_number().over(Window.orderBy(label)) - 1).alias(into)))
+    return df.join(ranked, label, "left").select(*df.columns, into)
+
+
 def single_label_rows(df: DataFrame, labels: str, label: str) -> DataFrame:
     """Rows with exactly one label, unwrapped."""
     return df.where(F.size(labels) == 1).withColumn(label, F.element_at(labels, 1))

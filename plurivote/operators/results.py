@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plurivote.functions import scores as S
 from plurivote.functions import text as T
+from plurivote.session import settle, small_side
 
 METRICS = ("test_f1", "test_accuracy")
 
@@ -27,6 +28,21 @@ def sort_case_insensitive(df: DataFrame, column: str, *then: str) -> DataFrame:
     return df.orderBy(F.lower(column), column, *then)
 
 
+def sorted_positions(df: DataFrame, column: str, *then: str) -> DataFrame:
+    """Every row with its place in the case-insensitive order, counted from 1.
+
+    The rows are sorted in range parts; a place is the part's offset and the place inside
+    it, so no task sees more than its part.
+    """
+    ordered = settle(sort_case_insensitive(df, column, *then).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    parts = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # one row per part
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = small_side(parts.select("_part", before.alias("_before")))
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1
+    return ordered.withColumn("_part", part).join(offsets, "_part").withColumn("position", place.cast("int")).drop("_id", "_part", "_before")
+
+
 def round_scores(scores: DataFrame, columns: Sequence[str] = METRICS, places: int = 2) -> DataFrame:
     return scores.withColumns({c: S.round_scaled(F.col(c), places) for c in columns})
 
@@ -74,7 +90,10 @@ def inducer_counts(ensembles: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def prediction_rates(predictions: DataFrame, classes: Sequence[int] = (0, 1)) -> DataFrame:
-    """Rows predicted as each class and their share in percent, per model and epoch."""
+    """Rows predicted as each listed class and their share in percent of all rows, per model and epoch.
+
+    ``n`` counts every prediction, also null ones and those of classes that are not listed.
+    """
     counts = predictions.groupBy("model_name", "epoch_no").agg(
         F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col("pred") == c, 1)).alias(f"count_{c}") for c in classes]
     )
@@ -89,7 +108,7 @@ WHOLE_BANDS = (("0-20", None, 20.0), ("20-50", 20.0, 50.0), ("50-70", 50.0, 70.0
 
 
 def rate_bands(rates: DataFrame, percent: str, strict: bool = True) -> DataFrame:
-    """Models per band of a percentage; values in no band count as ``unbanded``.
+    """Models per band of a percentage, 0 for a band without one; values in no band (and nulls) count as ``unbanded``.
 
     Strict bands are closed on both sides with gaps between them; the whole ones are
     half open and leave no gap.
@@ -97,11 +116,14 @@ def rate_bands(rates: DataFrame, percent: str, strict: bool = True) -> DataFrame
     value = F.col(percent)
 
     def inside(low, high):
-        test = F.lit(True) if low is None else value >= low
+        test = value.isNotNull() if low is None else value >= low
         if high is not None:
             test = test & ((value <= high) if strict else (value < high))
         return test
 
     bands = STRICT_BANDS if strict else WHOLE_BANDS
     band = reduce(lambda rest, b: F.when(inside(b[1], b[2]), b[0]).otherwise(rest), reversed(bands), F.lit("unbanded"))
-    return rates.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("models"))
+    names = [b[0] for b in bands] + ["unbanded"]
+    counted = rates.agg(*[F.count(F.when(band == name, 1)).alias(f"_{i}") for i, name in enumerate(names)])
+    rows = F.array(*[F.struct(F.lit(name).alias("band"), F.col(f"_{i}").alias("models")) for i, name in enumerate(names)])
+    return counted.select(F.explode(rows).alias("_r")).select("_r.*")

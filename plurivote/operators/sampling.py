@@ -6,7 +6,9 @@ slice that holds the n-th key of each class, rank only that slice. The wide rows
 are then chosen by comparing their own key with the cut: they are never sorted
 nor shuffled, and the rows left over are the negated comparison.
 
-Ids must be unique in the table.
+``id_col`` names one column or several that tell the rows apart, such as ``["item_id", "draw"]`` of an
+oversampled table. A cut that would fall between rows of one id fails: their order is not defined.
+Rows without a label belong to no class: balancing and sampling per class leave them out.
 """
 
 from __future__ import annotations
@@ -17,16 +19,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plurivote.functions.keys import bucket_of, hash32, order_key
-from plurivote.session import small_side, small_wide_side
+from plurivote.session import settle, small_side
 
 _WHOLE = "_whole"
 _KEY = "_key"
 
+Ids = str | Sequence[str]
 
-def _keyed(df: DataFrame, id_col: str, seed, by: Sequence[str]) -> DataFrame:
+
+def _ids(id_col: Ids) -> list[str]:
+    return [id_col] if isinstance(id_col, str) else list(id_col)
+
+
+def _id(id_col: Ids) -> Column:
+    """The id as one value: the column, or a struct of several."""
+    names = _ids(id_col)
+    return F.col(names[0]) if len(names) == 1 else F.struct(*names)
+
+
+def _id_literal(id_col: Ids, value) -> Column:
+    names = _ids(id_col)
+    return F.lit(value) if len(names) == 1 else F.struct(*[F.lit(value[n]).alias(n) for n in names])
+
+
+def _keyed(df: DataFrame, id_col: Ids, seed, by: Sequence[str]) -> DataFrame:
     """Narrow rows: class columns, id, random key, slice of the key space."""
     classes = [F.col(c) for c in by] or [F.lit(0).alias(_WHOLE)]
-    return df.select(*classes, F.col(id_col).alias("_id"), order_key(seed, id_col).alias(_KEY)).withColumn(
+    return df.select(*classes, _id(id_col).alias("_id"), order_key(seed, *_ids(id_col)).alias(_KEY)).withColumn(
         "_bucket", bucket_of(F.col(_KEY))
     )
 
@@ -47,7 +66,7 @@ def class_sizes(df: DataFrame, label: str) -> DataFrame:
 
 
 def rank_cuts(
-    df: DataFrame, id_col: str, ranks: dict[str, Column | int], seed=1, by: Sequence[str] = ()
+    df: DataFrame, id_col: Ids, ranks: dict[str, Column | int], seed=1, by: Sequence[str] = ()
 ) -> DataFrame:
     """For each class the key of its n-th row in random order, one struct column per name.
 
@@ -60,14 +79,15 @@ def rank_cuts(
     for c in by:
         keyed = keyed.where(F.col(c).isNotNull())
     groups = by or [_WHOLE]
-    least = keyed.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).select(F.min("_n")).scalar()
+    counted = settle(_slices(keyed, groups))
+    least = counted.select(F.min("class_rows")).scalar()
     wanted = F.array(
         *[
             F.struct(F.lit(name).alias("_cut"), (n if isinstance(n, Column) else F.lit(n)).cast("bigint").alias("_n"))
             for name, n in ranks.items()
         ]
     )
-    slices = _slices(keyed, groups).withColumn("least_rows", least).withColumn("_want", F.explode(wanted))
+    slices = counted.withColumn("least_rows", least).withColumn("_want", F.explode(wanted))
     slices = slices.select(*groups, "_bucket", "_rows", "_upto", "class_rows", "_want.*")
     # The slice that holds each cut, and the last slice of a class that is too small.
     short = F.col("_n") > F.col("class_rows")
@@ -86,20 +106,25 @@ def rank_cuts(
 
     inside = keyed.join(at, groups + ["_bucket"])
     order = Window.partitionBy(*groups, "_bucket", "_cut").orderBy(_KEY, "_id")
-    nth = inside.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") == F.col("_nth"))
+    # A row that has its id's twin behind it cannot be a cut.
+    twin = F.coalesce(F.lead("_id").over(order).eqNullSafe(F.col("_id")) & (F.lead(_KEY).over(order) == F.col(_KEY)), F.lit(False))
+    nth = inside.withColumn("_rank", F.row_number().over(order)).withColumn("_twin", twin).where(F.col("_rank") == F.col("_nth"))
     cuts = nth.groupBy(*groups).agg(
-        *[F.max(F.when(F.col("_cut") == name, F.struct(_KEY, "_id"))).alias(name) for name in ranks]
+        *[F.max(F.when(F.col("_cut") == name, F.struct(_KEY, "_id"))).alias(name) for name in ranks], F.max("_twin").alias("_twin")
     )
-    return small_side(cuts)
+    cuts = small_side(cuts)
+    if cuts.where("_twin").first() is not None:
+        raise ValueError(f"{_ids(id_col)} repeats at a cut: name the columns that tell the rows apart")
+    return cuts.drop("_twin")
 
 
 def _at_or_before(row_key: Column, cut: Column) -> Column:
     return F.coalesce(row_key <= cut, F.lit(False))
 
 
-def _with_cuts(df: DataFrame, id_col: str, cuts: DataFrame, names: Sequence[str], seed, by: Sequence[str]):
+def _with_cuts(df: DataFrame, id_col: Ids, cuts: DataFrame, names: Sequence[str], seed, by: Sequence[str]):
     """Attach the cuts: as literals for one class, else by a join on the class."""
-    key = F.struct(order_key(seed, id_col).alias(_KEY), F.col(id_col).alias("_id"))
+    key = F.struct(order_key(seed, *_ids(id_col)).alias(_KEY), _id(id_col).alias("_id"))
     if by:
         return df.join(cuts, list(by), "left").withColumn("_own", key), {n: F.col(n) for n in names}
     row = cuts.first()
@@ -107,19 +132,19 @@ def _with_cuts(df: DataFrame, id_col: str, cuts: DataFrame, names: Sequence[str]
     for n in names:
         value = row[n] if row is not None else None
         literals[n] = (
-            F.struct(F.lit(value[_KEY]).alias(_KEY), F.lit(value["_id"]).alias("_id")) if value is not None else F.lit(None)
+            F.struct(F.lit(value[_KEY]).alias(_KEY), _id_literal(id_col, value["_id"]).alias("_id")) if value is not None else F.lit(None)
         )
     return df.withColumn("_own", key), literals
 
 
-def shuffle_order(df: DataFrame, id_col: str, seed=1, by: Sequence[str] = (), name: str = "position") -> DataFrame:
+def shuffle_order(df: DataFrame, id_col: Ids, seed=1, by: Sequence[str] = (), name: str = "position") -> DataFrame:
     """Number all rows 0, 1, 2 … in random order (inside each class when ``by`` is given).
 
     Rows are numbered inside slices of the key space and shifted by the slice's
     offset, so no task sees more than its slice, whatever the class sizes are.
     """
     by = list(by)
-    rows = df.withColumn(_KEY, order_key(seed, id_col)).withColumn("_bucket", bucket_of(F.col(_KEY)))
+    rows = df.withColumn(_KEY, order_key(seed, *_ids(id_col))).withColumn("_bucket", bucket_of(F.col(_KEY)))
     groups = by
     if not by:
         rows, groups = rows.withColumn(_WHOLE, F.lit(0)), [_WHOLE]
@@ -129,7 +154,7 @@ def shuffle_order(df: DataFrame, id_col: str, seed=1, by: Sequence[str] = (), na
     offsets = _slices(_keyed(df, id_col, seed, by), groups).select(
         *groups, "_bucket", (F.col("_upto") - F.col("_rows")).alias("_offset")
     )
-    order = Window.partitionBy(*groups, "_bucket").orderBy(_KEY, id_col)
+    order = Window.partitionBy(*groups, "_bucket").orderBy(_KEY, *_ids(id_col))
     return (
         rows.join(offsets, groups + ["_bucket"])
         .withColumn(name, F.col("_offset") + F.row_number().over(order) - 1)
@@ -137,28 +162,28 @@ def shuffle_order(df: DataFrame, id_col: str, seed=1, by: Sequence[str] = (), na
     )
 
 
-def sample_n(df: DataFrame, id_col: str, n: int, seed=1) -> DataFrame:
+def sample_n(df: DataFrame, id_col: Ids, n: int, seed=1) -> DataFrame:
     """Exactly n random rows without replacement."""
     cuts = rank_cuts(df, id_col, {"cut": n}, seed)
     rows, cut = _with_cuts(df, id_col, cuts, ["cut"], seed, ())
     return rows.where(_at_or_before(F.col("_own"), cut["cut"])).select(*df.columns)
 
 
-def stratified_sample_n(df: DataFrame, id_col: str, label: str, n: int | Column, seed=1) -> DataFrame:
+def stratified_sample_n(df: DataFrame, id_col: Ids, label: str, n: int | Column, seed=1) -> DataFrame:
     """Exactly n random rows of every class; fails when a class is smaller."""
     cuts = rank_cuts(df, id_col, {"cut": n}, seed, [label])
     rows, cut = _with_cuts(df, id_col, cuts, ["cut"], seed, [label])
     return rows.where(_at_or_before(F.col("_own"), cut["cut"])).select(*df.columns)
 
 
-def undersample_balance(df: DataFrame, id_col: str, label: str, seed=1) -> DataFrame:
+def undersample_balance(df: DataFrame, id_col: Ids, label: str, seed=1) -> DataFrame:
     """Every class cut to the size of the smallest one."""
     return stratified_sample_n(df, id_col, label, F.col("least_rows"), seed)
 
 
 def assign_split(
     df: DataFrame,
-    id_col: str,
+    id_col: Ids,
     test: int | float,
     validation: int | float,
     seed=1,
@@ -186,7 +211,7 @@ def assign_split(
 
 
 def oversample_balance(
-    df: DataFrame, id_col: str, label: str, seed=1, keep_original: bool = False
+    df: DataFrame, id_col: Ids, label: str, seed=1, keep_original: bool = False
 ) -> DataFrame:
     """Bring every class to the size of the largest one by drawing with replacement.
 
@@ -229,16 +254,19 @@ def oversample_balance(
         )
         .select(label, "draw", (hash32(seed, label, "draw") % F.col("class_rows")).alias("_row"))
     )
-    numbered = shuffle_order(others, id_col, seed, [label], "_row")
-    numbered = numbered.select(*df.columns, "_row")
-    drawn = draws.join(small_wide_side(numbered, others), [label, "_row"]).select(*df.columns, "draw")
+    # Narrow draws find their id; the wide rows are joined to the drawn ids, and not measured first.
+    names = _ids(id_col)
+    numbered = shuffle_order(others.select(*dict.fromkeys([*names, label])), id_col, seed, [label], "_row")
+    picked = draws.join(numbered, [label, "_row"]).select(*dict.fromkeys([*names, label]), "draw")
+    drawn = picked if set(df.columns) <= {*names, label} else others.join(picked, list(dict.fromkeys([*names, label])))
+    drawn = drawn.select(*df.columns, "draw")
     kept = whole.unionByName(others) if keep_original else whole
     return kept.withColumn("draw", F.lit(None).cast("bigint")).unionByName(drawn)
 
 
 def three_way_split(
     df: DataFrame,
-    id_col: str,
+    id_col: Ids,
     label: str,
     test: int | float,
     validation: int | float,
@@ -249,9 +277,15 @@ def three_way_split(
     """Test, then validation, then the (balanced) train rows, in a ``split`` column.
 
     ``balance`` applies to train only, after the other two are cut, so no copy can
-    leak: ``"under"``, ``"over"``, a number of rows per class, or None.
+    leak: ``"under"``, ``"over"``, a number of rows per class, or None. With ``balance``
+    or ``per_class`` rows without a label are left out of all three parts.
     """
+    if balance is not None or per_class:
+        df = df.where(F.col(label).isNotNull())
+    # The parts are cut on ids and labels; with a narrow table they are computed once for all that follows.
     parts = assign_split(df, id_col, test, validation, seed, label if per_class else None)
+    if set(df.columns) <= {*_ids(id_col), label}:
+        parts = settle(parts)
     held_out = parts.where(F.col("split") != "train")
     train = parts.where(F.col("split") == "train")
     if balance == "over":
@@ -262,3 +296,15 @@ def three_way_split(
     elif balance is not None:
         train = stratified_sample_n(train, id_col, label, int(balance), seed)
     return held_out.unionByName(train)
+
+
+def hold_out_labelled(splits: DataFrame, id_col: Ids, label: str, share: float, seed=1) -> DataFrame:
+    """For a data set whose given test split has no labels: drop that split's rows, and cut a new
+    test part, ``share`` of them, from the labelled train rows. Other splits stay as they are.
+    """
+    labelled = splits.where(F.col(label).isNotNull())
+    train = labelled.where(F.col("split") == "train").drop("split")
+    cut = assign_split(train, id_col, share, 0, seed)
+    others = labelled.where(~F.col("split").isin("train", "test"))
+    given = labelled.where(F.col("split") == "test")
+    return cut.unionByName(others).unionByName(given)

@@ -9,16 +9,20 @@ never written out. Levenshtein distance is taken row by row on short sequences.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_MODELS = 2_000  # an M x M matrix of counts must fit in a task
+from plurivote.session import settle
 
+BLOCK_MODELS = 1_000  # a task multiplies two blocks of models at a time
 
-def _pair_counter(models: int):
+
+def _pair_counter(models: int, split: int | None = None):
+    """Counts of all pairs, or with ``split`` of the pairs of a model before it and one behind it."""
     schema = pa.schema([(n, pa.int64()) for n in ("a", "b", "n", "same", "both", "ones_a", "ones_b")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,7 +47,10 @@ def _pair_counter(models: int):
                 if value == 1:
                     both += together
                     ones += (one.T @ present).astype(np.int64)
-        a, b = np.triu_indices(models)
+        if split is None:
+            a, b = np.triu_indices(models)
+        else:
+            a, b = (x.ravel() for x in np.meshgrid(np.arange(split), np.arange(split, models), indexing="ij"))
         yield pa.RecordBatch.from_arrays(
             [pa.array(x) for x in (a, b, seen[a, b], same[a, b], both[a, b], ones[a, b], ones.T[a, b])], schema=schema
         )
@@ -51,33 +58,56 @@ def _pair_counter(models: int):
     return count
 
 
+def _products(items: DataFrame, counter) -> DataFrame:
+    return items.mapInArrow(counter, "a long, b long, n long, same long, both long, ones_a long, ones_b long")
+
+
+def _block_product(items: DataFrame, low: int, size: int, other: int, more: int) -> DataFrame:
+    """Counts inside one block of models (``more`` = 0), or between two blocks."""
+    def local(v: Column) -> Column:
+        inside = (v["model"] >= low) & (v["model"] < low + size)
+        return F.struct(F.when(inside, v["model"] - low).otherwise(v["model"] - other + size).cast("int").alias("model"), v["pred"].alias("pred"))
+
+    def wanted(v: Column) -> Column:
+        return ((v["model"] >= low) & (v["model"] < low + size)) | ((v["model"] >= other) & (v["model"] < other + more))
+
+    votes = items.select(F.transform(F.filter("votes", wanted), local).alias("votes"))
+    found = _products(votes, _pair_counter(size + more, size if more else None))
+    b = F.when(F.col("b") < size, F.col("b") + low).otherwise(F.col("b") - size + other)
+    return found.withColumns({"a": F.col("a") + low, "b": b})
+
+
 def pair_counts(predictions: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
     """For every ordered pair of models, over the items both predicted: items ``n``,
     equal predictions ``same``, both 1 ``both``, at least one 1 ``either``.
 
-    ``predictions`` holds one row per (model_name, item_id). ``models`` spares the pass
-    that looks the names up.
+    ``predictions`` holds one row per (model_name, item_id). ``models`` limits the pairs to the named
+    models and spares the pass that looks the names up. Any number of models: beyond
+    ``BLOCK_MODELS`` the product is taken for two blocks of models at a time.
     """
     if models is None:
-        found = predictions.select("model_name").distinct().limit(MAX_MODELS + 1).collect()
-        models = [r[0] for r in found]
+        models = [r[0] for r in predictions.select("model_name").distinct().collect()]
     names = sorted(models)
-    if len(names) > MAX_MODELS:
-        raise ValueError(f"more than {MAX_MODELS} models")
-    known = F.array(*[F.lit(n) for n in names])
+    known = F.array(*[F.lit(n) for n in names]).cast("array<string>")
     # One entry per model, so an item's list is as long as the model list.
     items = (
         predictions.where(F.col("pred").isNotNull())
         .select("item_id", (F.array_position(known, F.col("model_name")) - 1).cast("int").alias("model"), F.col("pred").cast("int"))
+        .where("model >= 0")
         .groupBy("item_id")
         .agg(F.collect_list(F.struct("model", "pred")).alias("votes"))
         .select("votes")
     )
-    sums = (
-        items.mapInArrow(_pair_counter(len(names)), "a long, b long, n long, same long, both long, ones_a long, ones_b long")
-        .groupBy("a", "b")
-        .agg(*[F.sum(c).alias(c) for c in ("n", "same", "both", "ones_a", "ones_b")])
-    )
+    starts = list(range(0, max(1, len(names)), BLOCK_MODELS))
+    if len(starts) > 1:
+        items = settle(items)
+    parts = []
+    for i, low in enumerate(starts):
+        size = min(BLOCK_MODELS, len(names) - low)
+        for other in starts[i:]:
+            more = min(BLOCK_MODELS, len(names) - other) if other > low else 0
+            parts.append(_block_product(items, low, size, other, more) if len(starts) > 1 else _products(items, _pair_counter(len(names))))
+    sums = reduce(DataFrame.unionByName, parts).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "same", "both", "ones_a", "ones_b")])
     name = lambda i: F.element_at(known, (F.col(i) + 1).cast("int"))
     upper = sums.select(
         name("a").alias("model_a"),
@@ -146,12 +176,43 @@ def similarity_summary(pairs: DataFrame, value: str) -> DataFrame:
 
 
 def sequence_levenshtein(a: Column, b: Column) -> Column:
-    """Edits between two short arrays of single-digit classes."""
-    return F.levenshtein(F.array_join(a.cast("array<string>"), ""), F.array_join(b.cast("array<string>"), ""))
+    """Edits between two arrays of classes 0, 1, 2 …: every class is one character, so 1, 0 is not 10."""
+
+    def text(values: Column) -> Column:
+        return F.array_join(F.transform(values, lambda v: F.chr(v.cast("bigint") + 48)), "")
+
+    return F.levenshtein(text(a), text(b))
+
+
+def block_levenshtein(predictions: DataFrame, against: str, block: int = 64) -> DataFrame:
+    """Edits between each model's and one model's predictions, summed over blocks of ``block`` items.
+
+    The predictions of a model are a sequence in the order of ``item_id``; edit distance takes the square
+    of the length, so both sequences are cut at the same items (``item_id`` divided by ``block``) and
+    compared block by block. Null predictions are left out. ``block`` bounds a sequence's length.
+    """
+    rows = predictions.where(F.col("pred").isNotNull()).select("model_name", F.floor(F.col("item_id") / block).alias("_block"), "item_id", "pred")
+    sequences = (
+        rows.groupBy("_block", "model_name")
+        .agg(F.array_sort(F.collect_list(F.struct("item_id", "pred"))).alias("_s"))
+        .select("_block", "model_name", F.col("_s.pred").alias("seq"))
+    )
+    base = sequences.where(F.col("model_name") == against).select("_block", F.col("seq").alias("base"))
+    nothing = F.array().cast("array<int>")
+    edits = sequence_levenshtein(F.coalesce(F.col("seq").cast("array<int>"), nothing), F.coalesce(F.col("base").cast("array<int>"), nothing))
+    # A block that one of the two lacks counts with all its predictions.
+    others = sequences.where(F.col("model_name") != against)
+    return (
+        others.join(base, "_block", "left")
+        .select("model_name", F.size("seq").alias("_n"), edits.alias("_edits"))
+        .groupBy("model_name")
+        .agg(F.count(F.lit(1)).alias("blocks"), F.sum("_n").cast("bigint").alias("n"), F.sum("_edits").cast("bigint").alias("edits"))
+    )
 
 
 def family_levenshtein(predictions: DataFrame, against: str, runs: list[tuple[str, int]]) -> DataFrame:
-    """Edits between each family's and one family's prediction sequence of an item.
+    """Edits between each family's and one family's prediction sequence of an item
+    (runs and epochs of one item; ``block_levenshtein`` compares two models over items).
 
     A sequence is the item's predictions over ``runs`` = ordered (run, epoch) slots.
     """

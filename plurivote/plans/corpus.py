@@ -14,9 +14,6 @@ from plurivote.plans.inputs import sql
 from plurivote.plans.registry import query
 from plurivote.session import settle, spread_small
 
-# Frequent words of the test texts, used as stop words.
-STOPWORDS = ["the", "and", "that", "in", "an"]
-
 WORD_COUNT = f"len({I.WORDS})::INT"
 
 
@@ -71,6 +68,16 @@ def label_cast(spark, sf_dir):
     return PR.cast_label(rows, "label")
 
 
+@query(
+    "label_reindex",
+    """SELECT doc_id, lang, dense_rank() OVER (ORDER BY lang) - 1 AS label FROM documents WHERE lang IS NOT NULL
+    UNION ALL SELECT doc_id, lang, NULL FROM documents WHERE lang IS NULL""",
+)
+def label_reindex(spark, sf_dir):
+    rows = I.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return PR.reindex_labels(rows, "lang", "label").select("doc_id", "lang", F.col("label").cast("bigint").alias("label"))
+
+
 def _event_sets(spark, sf_dir) -> DataFrame:
     """Classes seen per user and day: a multi-label corpus (at most five labels a row)."""
     events = I.table(spark, sf_dir, "events")
@@ -91,11 +98,11 @@ def single_label_filter(spark, sf_dir):
 
 @query(
     "array_to_columns",
-    "SELECT vec_id, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS ending{i}" for i in range(4)) + " FROM embeddings",
+    "SELECT vec_id, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS ending{i}" for i in range(64)) + " FROM embeddings",
 )
 def array_to_columns(spark, sf_dir):
     rows = I.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("endings"))
-    return PR.array_to_columns(rows, "endings", 4, "ending").drop("endings")
+    return PR.array_to_columns(rows, "endings", 64, "ending").drop("endings")
 
 
 # ---- filters -----------------------------------------------------------------
@@ -185,10 +192,14 @@ def distinct_labels(spark, sf_dir):
 
 
 def _histogram(source: str, value: str, bins: int, by: str = "") -> str:
-    lead = f"{by}, " if by else ""
-    return f"""SELECT {lead}bin, round(low + bin * ((high - low) / {bins}), 9) AS left_edge, count(*) AS rows FROM (
-        SELECT {lead}low, high, least({bins - 1}, floor(({value} - low) / (high - low) * {bins}))::INT AS bin
-        FROM {source}, (SELECT min({value})::DOUBLE AS low, max({value})::DOUBLE AS high FROM {source})) GROUP BY ALL"""
+    """All bins of all groups, with zeros."""
+    lead, using = (f"{by}, ", f"{by}, bin") if by else ("", "bin")
+    groups = f"(SELECT DISTINCT {by} FROM {source}), " if by else ""
+    return f"""SELECT {lead}bin, round(low + bin * ((high - low) / {bins}), 9) AS left_edge, coalesce(rows, 0) AS rows
+        FROM (SELECT {lead}b::INT AS bin FROM {groups}range(0, {bins}) r(b)) LEFT JOIN (
+            SELECT {lead}least({bins - 1}, floor(({value} - low) / (high - low) * {bins}))::INT AS bin, count(*) AS rows
+            FROM {source}, (SELECT min({value})::DOUBLE AS low, max({value})::DOUBLE AS high FROM {source}) GROUP BY ALL) USING ({using}),
+        (SELECT min({value})::DOUBLE AS low, max({value})::DOUBLE AS high FROM {source})"""
 
 
 @query(
@@ -245,13 +256,13 @@ def clean_text(spark, sf_dir):
     return docs.unionByName(pages).select("kind", "item_id", T.clean_text(F.col("text")).alias("cleaned"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.ENGLISH_STOPWORDS)
 _CLEAN_WORDS = f"""list_filter(regexp_split_to_array({_clean_sql("text")}, '{I.SPACE}'), lambda w: w <> '' AND w NOT IN ({_STOP}))"""
 
 
 @query("remove_stopwords", f"SELECT doc_id, len(w)::INT AS kept, array_to_string(w, ' ') AS words FROM (SELECT doc_id, {_CLEAN_WORDS} AS w FROM documents)")
 def remove_stopwords(spark, sf_dir):
-    words = P.cleaned_words(F.col("text"), STOPWORDS)
+    words = P.cleaned_words(F.col("text"))
     rows = I.texts(spark, sf_dir, "doc_id", "text").select("doc_id", words.alias("w"))
     return rows.select("doc_id", F.size("w").alias("kept"), F.array_join("w", " ").alias("words"))
 
@@ -265,4 +276,4 @@ def remove_stopwords(spark, sf_dir):
     ),
 )
 def top_words_by_class(spark, sf_dir):
-    return P.top_words_by_class(I.corpus(spark, sf_dir), "label", P.cleaned_words(F.col("text"), STOPWORDS))
+    return P.top_words_by_class(I.corpus(spark, sf_dir), "label", P.cleaned_words(F.col("text")))

@@ -16,11 +16,16 @@ from plurivote.sources import tables as TAB
 from plurivote.sources import training_log as LOG
 
 
-@query("src_csv", sql("SELECT doc_id, text, lang, toxic FROM partly", "partly"))
+_EDGED = "CASE doc_id % 4 WHEN 0 THEN '  ' || text || ' ' WHEN 1 THEN chr(9) || text WHEN 2 THEN '' ELSE text END AS text"
+
+
+@query("src_csv", sql(f"SELECT doc_id, {_EDGED}, lang, toxic FROM partly", "partly"))
 def src_csv(spark, sf_dir):
+    """Texts with blanks at their ends, empty texts and nulls come back as they were."""
     path = scratch_path(spark, "corpus_csv")
-    TAB.write_csv(I.partly_labelled(spark, sf_dir).select("doc_id", "text", "lang", "toxic"), path)
-    return TAB.read_csv(spark, path, "doc_id bigint, text string, lang string, toxic int")
+    edged = F.expr(_EDGED.replace("chr(9)", "char(9)").removesuffix(" AS text")).alias("text")
+    TAB.write_csv(I.partly_labelled(spark, sf_dir).select("doc_id", edged, "lang", "toxic"), path, null_text="\\N")
+    return TAB.read_csv(spark, path, "doc_id bigint, text string, lang string, toxic int", null_text="\\N")
 
 
 def _split_docs(spark, sf_dir):
@@ -68,40 +73,79 @@ def results_append(spark, sf_dir):
 @query(
     "parse_list_column",
     sql(
-        """SELECT item_id, count(*) AS entries, sum(pred)::BIGINT AS ones, max(CASE WHEN model_name = 'target-fam_c_02' THEN pred END) AS one_entry,
-        count(DISTINCT family) AS families, min(family) AS first_family FROM predictions WHERE epoch_no = 2 GROUP BY item_id""",
+        """SELECT item_id, epoch_no, count(*) AS entries, sum(pred)::BIGINT AS ones, max(CASE WHEN model_name = 'target-fam_c_02' THEN pred END) AS one_entry,
+        count(DISTINCT family) AS families, min(family) AS first_family, min('fam''s ' || family) AS quoted FROM predictions GROUP BY item_id, epoch_no""",
         "predictions",
     ),
 )
 def parse_list_column(spark, sf_dir):
     """Lists and tuples kept as text, read back as arrays (one entry per model)."""
-    second = I.predictions(spark, sf_dir).where(F.col("epoch_no") == 2)
-    rows = second.groupBy("item_id").agg(
+    rows = I.predictions(spark, sf_dir).groupBy("item_id", "epoch_no").agg(
         F.array_sort(F.collect_list(F.struct("model_name", "pred"))).alias("_p"),
         F.array_sort(F.collect_set("family")).alias("_f"),
     )
     texts = rows.select(
         "item_id",
+        "epoch_no",
         F.concat(F.lit("["), F.array_join(F.col("_p.pred").cast("array<string>"), ", "), F.lit("]")).alias("predictions"),
         R.tuple_text(F.col("_f")).alias("inducers"),
-        F.concat(F.lit("['"), F.array_join(F.col("_p.model_name"), "', '"), F.lit("']")).alias("models"),
+        R.list_text(F.col("_p.model_name")).alias("models"),
+        R.tuple_text(F.transform("_f", lambda f: F.concat(F.lit("fam's "), f))).alias("quoted"),
     )
     parsed = texts.select(
         "item_id",
+        "epoch_no",
         T.list_from_text(F.col("predictions")).alias("p"),
         T.tuple_from_text(F.col("inducers")).alias("f"),
         T.list_from_text(F.col("models"), "string").alias("m"),
+        T.tuple_from_text(F.col("quoted")).alias("q"),
     )
     return parsed.select(
         "item_id",
+        "epoch_no",
         F.size("p").cast("bigint").alias("entries"),
         F.aggregate("p", F.lit(0).cast("bigint"), lambda total, x: total + x).alias("ones"),
         F.element_at("p", F.array_position("m", "target-fam_c_02").cast("int")).alias("one_entry"),
         F.size("f").cast("bigint").alias("families"),
         F.element_at("f", 1).alias("first_family"),
+        F.element_at("q", 1).alias("quoted"),
     )
 
 
+@query(
+    "results_csv",
+    sql(
+        """SELECT s.model_name, s.model_epoch, s.test_accuracy, s.test_f1, s.epoch_no, row_number() OVER (PARTITION BY p.model_name, p.epoch_no ORDER BY item_id) - 1 AS item_id, pred
+        FROM predictions p JOIN scores s USING (model_name, epoch_no)""",
+        "predictions",
+        "scores",
+    ),
+)
+def results_csv(spark, sf_dir):
+    """The result file with its list of predictions, written, read and spread again."""
+    path = scratch_path(spark, "results_csv")
+    R.write_results_csv(I.scores(spark, sf_dir), I.predictions(spark, sf_dir).select("model_name", "epoch_no", "item_id", "pred"), path)
+    stored = R.read_results_csv(spark, path)
+    return R.scores_of(stored).join(R.predictions_of(stored), ["model_name", "epoch_no"])
+
+
+@query(
+    "ensembles_csv",
+    sql(
+        f"""SELECT ensemble_id::VARCHAR AS ensemble_id, inducers, (SELECT string_agg(family || '_0' || run, ',' ORDER BY family, run) FROM member m, range(1, {I.RUNS + 1}) r(run)
+        WHERE m.ensemble_id = board.ensemble_id) AS inducers_spec, 'toxic''s "test", 1' AS dataset, test_accuracy, test_f1, ensemble_type FROM board""",
+        "board",
+        "member",
+    ),
+)
+def ensembles_csv(spark, sf_dir):
+    """The ensemble file with its tuples, written and read again."""
+    path = scratch_path(spark, "ensembles_csv")
+    board = I.leaderboard(spark, sf_dir, I.scores(spark, sf_dir)).withColumn("dataset", F.lit('toxic\'s "test", 1'))
+    R.write_ensembles_csv(board.select("ensemble_id", "inducers", "inducers_spec", "dataset", "test_accuracy", "test_f1", "ensemble_type"), path)
+    return R.read_ensembles_csv(spark, path).withColumns({c: F.array_join(c, ",") for c in ("inducers", "inducers_spec")})
+
+
 def _log_lines():
     """An epoch's block in the shape of a training log, from its metrics and row count."""
     batches = F.ceil(F.col("n") / 16)
@@ -144,7 +188,9 @@ def _log_lines():
         """SELECT r.model_name, r.epoch_no, ceil(n / 16.0)::INT AS batches, (7 * ones)::BIGINT AS seconds, CASE WHEN r.epoch_no % 2 = 1 THEN 2.5 ELSE 0.25 END::DOUBLE AS batches_per_second,
         (n % 60)::BIGINT AS val_seconds, printf('%.6f', 1 - accuracy)::DOUBLE AS train_loss, printf('%.6f', 1 - f1)::DOUBLE AS val_loss,
         printf('%.6f', accuracy)::DOUBLE AS val_accuracy, printf('%.6f', f1)::DOUBLE AS val_f1, printf('%.6f', recall)::DOUBLE AS val_recall,
-        printf('%.6f', precision)::DOUBLE AS val_precision, 'model_saves/' || r.model_name || '/' || model_epoch AS model_path, true AS model_saved, r.family = 'control' AS checkpoint_saved
+        printf('%.6f', precision)::DOUBLE AS val_precision, 'model_saves/' || r.model_name || '/' || model_epoch AS model_path, true AS model_saved, r.family = 'control' AS checkpoint_saved,
+        ceil(n / 16.0)::INT AS val_batches, 5.0::DOUBLE AS val_batches_per_second,
+        CASE WHEN r.family = 'control' THEN 'model_saves/' || r.model_name || '/' || model_epoch || '/checkpoint.pt' END AS checkpoint_path
         FROM raw_scores r JOIN scores s USING (model_name, epoch_no)
         JOIN (SELECT model_name, epoch_no, sum(pred) AS ones FROM predictions GROUP BY ALL) USING (model_name, epoch_no)""",
         "scores",
@@ -163,6 +209,4 @@ def training_log_metrics(spark, sf_dir):
     logs = blocks.repartition("model_name").sortWithinPartitions("model_name", "epoch_no")
     logs.select(F.col("model_name").alias("run_name"), "value").write.partitionBy("run_name").text(path)
     parsed = LOG.read_training_logs(spark, path)
-    return parsed.withColumn("model_name", F.regexp_replace("model_name", "^run_name=", "")).drop(
-        "val_batches", "val_batches_per_second", "checkpoint_path"
-    )
+    return parsed.withColumn("model_name", F.regexp_replace("model_name", "^run_name=", ""))

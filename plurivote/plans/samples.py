@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +12,7 @@ from plurivote.operators import sampling as S
 from plurivote.plans import inputs as I
 from plurivote.plans.inputs import sql
 from plurivote.plans.registry import query
-from plurivote.session import settle
+from plurivote.session import settle, small_side
 
 _KEY = "md5(concat_ws(':', '1', {0})), {0}"
 
@@ -67,6 +64,40 @@ def oversample_balance(spark, sf_dir):
     return S.oversample_balance(I.truth(spark, sf_dir), "item_id", "label")
 
 
+@query(
+    "oversampled_batches",
+    sql(
+        f""", drawn AS ({_oversample("truth")})
+        SELECT item_id, label, draw, (row_number() OVER (ORDER BY md5(concat_ws(':', '1', item_id, draw)), item_id, draw NULLS FIRST) - 1) // 16 AS batch_id FROM drawn""",
+        "truth",
+    ),
+)
+def oversampled_batches(spark, sf_dir):
+    """The balanced table, whose ids repeat, shuffled and cut into batches."""
+    drawn = S.oversample_balance(I.truth(spark, sf_dir), "item_id", "label")
+    return ENC.make_batches(drawn, ["item_id", "draw"], 16)
+
+
+@query(
+    "holdout_unlabelled_test",
+    sql(
+        f""", given AS (SELECT doc_id, toxic AS label, CASE WHEN doc_id % 5 = 0 THEN 'test' WHEN doc_id % 5 = 1 THEN 'validation' ELSE 'train' END AS split FROM partly),
+        seen AS (SELECT doc_id, CASE WHEN split <> 'test' THEN label END AS label, split FROM given),
+        train AS (SELECT *, row_number() OVER (ORDER BY {_KEY.format('doc_id')}) AS k, count(*) OVER () AS total FROM seen WHERE split = 'train' AND label IS NOT NULL)
+        SELECT doc_id, label, CASE WHEN k <= floor(total * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM train
+        UNION ALL SELECT doc_id, label, split FROM seen WHERE split = 'validation' AND label IS NOT NULL""",
+        "partly",
+    ),
+)
+def holdout_unlabelled_test(spark, sf_dir):
+    """A data set whose test split came without labels."""
+    third = F.col("doc_id") % 5
+    split = F.when(third == 0, "test").when(third == 1, "validation").otherwise("train")
+    given = I.partly_labelled(spark, sf_dir).select("doc_id", split.alias("split"), "toxic")
+    seen = given.select("doc_id", F.when(F.col("split") != "test", F.col("toxic")).alias("label"), "split")
+    return S.hold_out_labelled(seen, "doc_id", "label", 0.2)
+
+
 _SPLIT = """SELECT doc_id, lang, CASE WHEN k <= floor(total * 0.1::DOUBLE) THEN 'test' WHEN k <= 2 * floor(total * 0.1::DOUBLE) THEN 'validation'
     ELSE 'train' END AS split FROM doc_rank"""
 
@@ -132,15 +163,21 @@ def choice_table(spark, sf_dir) -> DataFrame:
 
 
 def question_table(spark, sf_dir) -> DataFrame:
-    """Context, question and four answers for each conversation."""
+    """Context, question and four answers for each conversation: the last turn asks, all before it are the context.
+
+    The options are a table as short as the benchmark; it is measured, and broadcast while it is small.
+    """
     turns = I.table(spark, sf_dir, "conversations")
-    first = turns.groupBy("conv_id").agg(
-        F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("context"),
-        F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("question"),
+    ordered = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_t"))
+    said = F.col("_t.text")
+    first = ordered.select(
+        "conv_id",
+        F.when(F.size(said) > 1, F.array_join(F.slice(said, F.lit(1), F.size(said) - 1), " ")).otherwise(F.get(said, 0)).alias("context"),
+        F.when(F.size(said) > 1, F.element_at(said, -1)).alias("question"),
     )
     n = I.table(spark, sf_dir, "benchmark").select(F.count(F.lit(1))).scalar()
     keyed = first.withColumn("_slot", F.pmod("conv_id", n))
-    answers = _options(spark, sf_dir).withColumnRenamed("item_id", "_slot")
+    answers = small_side(_options(spark, sf_dir).withColumnRenamed("item_id", "_slot"))
     return keyed.join(answers, "_slot").select(
         F.col("conv_id").alias("item_id"), "context", "question", *[f"answer{j}" for j in range(4)], (F.col("conv_id") % 4).alias("label")
     )
@@ -151,7 +188,8 @@ def _pairs_sql() -> str:
         f"(SELECT text FROM benchmark b{j} WHERE b{j}.item_id = (x.k + {j}) % (SELECT count(*) FROM benchmark)) AS a{j}" for j in range(1, 5)
     )
     return f"""WITH opts AS (SELECT k, {opts} FROM (SELECT item_id AS k FROM benchmark) x),
-        first AS (SELECT conv_id, max(CASE turn WHEN 0 THEN text END) AS context, max(CASE turn WHEN 1 THEN text END) AS question FROM conversations GROUP BY conv_id),
+        spoken AS (SELECT conv_id, list(text ORDER BY turn, text) AS t FROM conversations GROUP BY conv_id),
+        first AS (SELECT conv_id, CASE WHEN len(t) > 1 THEN array_to_string(t[1:len(t) - 1], ' ') ELSE t[1] END AS context, CASE WHEN len(t) > 1 THEN t[len(t)] END AS question FROM spoken),
         long_a AS (SELECT 'endings' AS kind, b.item_id, b.text AS context, p.pos, 'q' || b.item_id || ' ' || [a1, a2, a3, a4][p.pos + 1] AS option, b.item_id % 4 AS label
             FROM benchmark b JOIN opts ON k = b.item_id, range(0, 4) p(pos)),
         long_b AS (SELECT 'answers', conv_id, context || coalesce('</s></s>' || question, ''), p.pos, [a1, a2, a3, a4][p.pos + 1], conv_id % 4
@@ -175,43 +213,80 @@ def multiple_choice_pairs(spark, sf_dir):
 # ---- tokens -----------------------------------------------------------------------
 
 
-def tokenizer_json() -> str:
-    """Text of the byte-level vocabulary; only the driver reads the file."""
-    path = os.environ.get("PLURIVOTE_TOKENIZER")
-    if not path:
-        found = importlib.util.find_spec("public_tokenizers")
-        folder = os.path.dirname(found.origin) if found and found.origin else "/opt/tokenizers"
-        path = os.path.join(folder, "byte_bpe_50k.json")
-    with open(path, encoding="utf-8") as file:
-        return file.read()
+def _ids_sql(words: str) -> str:
+    return f"""list_transform({words}, lambda w: ('0x' || substring(md5('word:' || w), 1, 8))::BIGINT % {ENC.WORD_IDS})"""
+
+
+def _shown(ids: str) -> str:
+    return f"array_to_string({ids}, ' ')"
 
 
-@query("token_encode")
+def _words_of(column: str) -> str:
+    return f"list_filter(regexp_split_to_array({column}, '{I.SPACE}'), lambda w: w <> '')"
+
+
+def _as_text(ids: str):
+    return F.array_join(F.col(ids).cast("array<string>"), " ").alias(ids)
+
+
+@query(
+    "token_encode",
+    sql(
+        f"""SELECT item_id, label, {_shown("ids")} AS input_ids, {_shown("list_transform(ids, lambda i: 1)")} AS attention_mask FROM (
+        SELECT item_id, label, list_concat(list_concat([{ENC.BEGIN_ID}], {_ids_sql(I.WORDS)}[1:254]), [{ENC.END_ID}]) AS ids FROM corpus)""",
+        "corpus",
+    ),
+)
 def token_encode(spark, sf_dir):
-    return ENC.token_encode(I.corpus(spark, sf_dir), tokenizer_json(), max_length=256)
+    encoded = ENC.token_encode(I.corpus(spark, sf_dir), max_length=256)
+    return encoded.select("item_id", "label", _as_text("input_ids"), _as_text("attention_mask"))
 
 
-@query("token_length_profile")
+@query(
+    "token_length_profile",
+    f"""SELECT lang, count(*) AS texts, max(n)::INT AS max_tokens, avg(n) AS mean_tokens, count(*) FILTER (n > 256) AS over_256, count(*) FILTER (n > 512) AS over_512
+    FROM (SELECT lang, len({I.WORDS}) + 2 AS n FROM documents) GROUP BY lang""",
+)
 def token_length_profile(spark, sf_dir):
     docs = I.texts(spark, sf_dir, "lang", "text")
-    lengths = ENC.token_lengths(docs, tokenizer_json(), keep=["lang"])
-    return ENC.token_length_profile(lengths, (256, 512), ["lang"])
+    return ENC.token_length_profile(ENC.token_lengths(docs, keep=["lang"]), (256, 512), ["lang"])
 
 
-@query("token_length_histogram")
+@query(
+    "token_length_histogram",
+    f"""WITH l AS (SELECT len({I.WORDS}) + 2 AS n FROM documents), e AS (SELECT min(n)::DOUBLE AS low, max(n)::DOUBLE AS high FROM l)
+    SELECT bin, round(low + bin * ((high - low) / 100), 9) AS left_edge, coalesce(rows, 0) AS rows FROM e, (SELECT b::INT AS bin FROM range(0, 100) r(b))
+    LEFT JOIN (SELECT least(99, floor((n - low) / (high - low) * 100))::INT AS bin, count(*) AS rows FROM l, e GROUP BY ALL) USING (bin)""",
+)
 def token_length_histogram(spark, sf_dir):
     docs = I.texts(spark, sf_dir, "doc_id", "text")
-    # Encode once: the range and the counts both come from the settled narrow table.
-    lengths = settle(ENC.token_lengths(docs, tokenizer_json(), keep=["doc_id"]).select("n_tokens"))
-    return P.equal_width_histogram(lengths, "n_tokens", 100)
+    # Words are counted once: the range and the counts both come from the settled narrow table.
+    lengths = settle(ENC.token_lengths(docs, keep=["doc_id"]).select("n_tokens"))
+    return P.equal_width_histogram(lengths, "n_tokens", 100).withColumns(I.round9("left_edge"))
 
 
-@query("multiple_choice_encode")
+def _choice_sql() -> str:
+    """Every option's ids, fitted into 256 with the longer part cut first."""
+    room = 252
+    source = _pairs_sql().replace("SELECT kind, item_id, context, pos::INT AS pos, option, label FROM (SELECT * FROM long_a UNION ALL SELECT * FROM long_b)", "")
+    heads = f"""h AS (SELECT 'endings' AS kind, b.item_id, {_ids_sql(_words_of("b.text"))} AS head FROM benchmark b
+            UNION ALL SELECT 'answers', conv_id, list_concat({_ids_sql(_words_of("context"))}, CASE WHEN question IS NULL THEN [] ELSE
+            list_concat([{ENC.END_ID}, {ENC.END_ID}], {_ids_sql(_words_of("question"))}) END) FROM first)"""
+    return f"""{source.rstrip().rstrip(",")}, {heads},
+        fits AS (SELECT kind, item_id, pos, label, head, {_ids_sql(_words_of("option"))} AS tail FROM (SELECT * FROM long_a UNION ALL SELECT * FROM long_b) JOIN h USING (kind, item_id)),
+        cut AS (SELECT *, CASE WHEN len(head) + len(tail) <= {room} THEN len(head) ELSE least(len(head), greatest({(room + 1) // 2}, {room} - len(tail))) END AS a FROM fits)
+        SELECT kind, item_id, pos::INT AS pos, label, {_shown(f"list_concat(list_concat(list_concat([{ENC.BEGIN_ID}], head[1:a]), list_concat([{ENC.END_ID}, {ENC.END_ID}], tail[1:least(len(tail), {room} - a)])), [{ENC.END_ID}])")} AS input_ids FROM cut"""
+
+
+@query("multiple_choice_encode", _choice_sql())
 def multiple_choice_encode(spark, sf_dir):
-    tokens = tokenizer_json()
-    endings = ENC.multiple_choice_encode(ENC.multiple_choice_pairs(choice_table(spark, sf_dir)), tokens)
-    answers = ENC.multiple_choice_encode(ENC.multiple_choice_pairs(question_table(spark, sf_dir)), tokens)
-    return endings.unionByName(answers)
+    def long(table, kind):
+        encoded = ENC.multiple_choice_encode(ENC.multiple_choice_pairs(table))
+        return encoded.select(F.lit(kind).alias("kind"), "item_id", F.posexplode("input_ids").alias("pos", "input_ids"), "label").select(
+            "kind", "item_id", "pos", "label", _as_text("input_ids")
+        )
+
+    return long(choice_table(spark, sf_dir), "endings").unionByName(long(question_table(spark, sf_dir), "answers"))
 
 
 _BATCH = f"(row_number() OVER (ORDER BY {_KEY.format('doc_id')}) - 1) // 16 AS batch_id"

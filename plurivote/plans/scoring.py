@@ -47,8 +47,9 @@ def _class_rows(spark, sf_dir) -> DataFrame:
 @query(
     "micro_metrics",
     sql(
-        f"""SELECT count(*) AS n, avg((pred = label)::INT) AS accuracy, avg((pred = label)::INT) AS precision,
-        avg((pred = label)::INT) AS recall, avg((pred = label)::INT) AS f1 FROM ({_ARGMAX})""",
+        f""", sides AS (SELECT c.class, (label = class AND pred = class)::INT AS tp, (label <> class AND pred = class)::INT AS fp, (label = class AND pred <> class)::INT AS fn
+            FROM ({_ARGMAX}), range(0, 10) c(class)), sums AS (SELECT sum(tp)::DOUBLE AS tp, sum(fp) AS fp, sum(fn) AS fn FROM sides)
+        SELECT (tp + fn)::BIGINT AS n, tp / (tp + fn) AS accuracy, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2.0::DOUBLE * tp / (2 * tp + fp + fn) AS f1 FROM sums""",
         "logits",
     ),
 )
@@ -71,14 +72,16 @@ def per_class_counts(spark, sf_dir):
 @query(
     "confusion_matrix",
     sql(
-        """SELECT family, label, sum((pred = 0)::INT)::BIGINT AS pred_0, sum((pred = 1)::INT)::BIGINT AS pred_1
-        FROM predictions GROUP BY family, label""",
-        "predictions",
+        """SELECT f.family, f.label, count(p.item_id) FILTER (p.pred = 0) AS pred_0, count(p.item_id) FILTER (p.pred = 1) AS pred_1,
+        count(p.item_id) FILTER (p.pred NOT IN (0, 1)) AS pred_other, count(p.item_id) FILTER (p.pred IS NULL) AS pred_null
+        FROM (SELECT DISTINCT family, l.label FROM rough, (VALUES (0), (1), (2)) l(label)) f LEFT JOIN rough p USING (family, label) GROUP BY ALL""",
+        "rough",
     ),
 )
 def confusion_matrix(spark, sf_dir):
-    rows = M.join_truth(I.predictions(spark, sf_dir), I.truth(spark, sf_dir))
-    return M.confusion_matrix(rows, (0, 1), ["family"])
+    """With predictions outside the listed classes, null ones, and a class without truth."""
+    rows = M.join_truth(I.rough_predictions(spark, sf_dir), I.truth(spark, sf_dir))
+    return M.confusion_matrix(rows, (0, 1), ["family"], labels=(0, 1, 2))
 
 
 _BATCHED = """SELECT item_id, (row_number() OVER (ORDER BY md5(concat_ws(':', '1', item_id)), item_id) - 1) // 16 AS batch_id FROM """
@@ -201,11 +204,8 @@ def model_family(spark, sf_dir):
 )
 def sort_case_insensitive(spark, sf_dir):
     """The order itself, made visible as a position (one row per model and epoch)."""
-    ordered = results.sort_case_insensitive(_displayed(spark, sf_dir), "model_display_name", "model_name", "epoch_no")
-    rows = ordered.select(F.struct("model_display_name", "model_name", "epoch_no").alias("_r"))
-    return rows.agg(F.collect_list("_r").alias("_all")).select(F.posexplode("_all")).select(
-        "col.*", (F.col("pos") + 1).alias("position")
-    )
+    named = _displayed(spark, sf_dir).select("model_display_name", "model_name", "epoch_no")
+    return results.sorted_positions(named, "model_display_name", "model_name", "epoch_no")
 
 
 @query(
@@ -298,7 +298,8 @@ def inducer_combinations(spark, sf_dir):
     ),
 )
 def ensemble_membership(spark, sf_dir):
-    return E.ensemble_membership(I.combinations(I.scores(spark, sf_dir)), I.RUNS)
+    scores = I.scores(spark, sf_dir)
+    return E.ensemble_membership(I.combinations(scores), scores.where(~ranking.is_control()))
 
 
 @query(
@@ -375,6 +376,45 @@ def ensemble_errors(spark, sf_dir):
     return E.ensemble_errors(_custom(spark, sf_dir), I.truth(spark, sf_dir), I.corpus(spark, sf_dir))
 
 
+def _rough(spark, sf_dir):
+    """Votes of the second epochs, with null, missing and third-class predictions."""
+    rows = I.rough_predictions(spark, sf_dir).where((F.col("epoch_no") == 2) & ~ranking.is_control())
+    return rows.select(F.lit("second").alias("selection"), "item_id", "model_name", "family", "pred")
+
+
+_ROUGH_WINNERS = """SELECT v.selection, v.ensemble_id, v.size, v.item_id, t.label, v.pred, v.votes, v.ballots FROM (
+    SELECT *, sum(votes) OVER (PARTITION BY selection, ensemble_id, item_id)::BIGINT AS ballots,
+        row_number() OVER (PARTITION BY selection, ensemble_id, item_id ORDER BY votes DESC, pred) AS k
+    FROM (SELECT p.selection, m.ensemble_id, m.size, p.item_id, p.pred, count(*) AS votes
+        FROM member m JOIN rough_picked p USING (family) WHERE p.pred IS NOT NULL GROUP BY ALL)) v JOIN truth t USING (item_id) WHERE k = 1"""
+
+
+@query(
+    "majority_vote_rough",
+    sql(f"SELECT selection, ensemble_id, size, item_id, pred::INT AS pred, votes AS winning_votes, ballots FROM ({_ROUGH_WINNERS})", "member", "rough_picked", "truth"),
+)
+def majority_vote_rough(spark, sf_dir):
+    picked = _rough(spark, sf_dir)
+    return E.majority_vote(picked, E.inducer_combinations(picked, I.SIZES))
+
+
+@query(
+    "ensemble_scores_rough",
+    sql(
+        f"""SELECT selection, ensemble_id, size, inducers, n, accuracy, f1 FROM
+        ({I._metric_sql('selection, ensemble_id, size', f'({_ROUGH_WINNERS})')}) JOIN combos USING (ensemble_id, size)""",
+        "member",
+        "rough_picked",
+        "truth",
+        "combos",
+    ),
+)
+def ensemble_scores_rough(spark, sf_dir):
+    picked = _rough(spark, sf_dir)
+    scored = E.ensemble_scores(picked, I.truth(spark, sf_dir), E.inducer_combinations(picked, I.SIZES))
+    return scored.withColumn("inducers", F.array_join("inducers", ","))
+
+
 # ---- analysis of results ---------------------------------------------------------
 
 
@@ -492,11 +532,12 @@ def prediction_rates(spark, sf_dir):
 @query(
     "rate_bands",
     sql(
-        f"""SELECT 'strict' AS bands, CASE WHEN p <= 19 THEN '0-19' WHEN p BETWEEN 20 AND 49 THEN '20-49'
-            WHEN p >= 50 AND p <= 69.9::DOUBLE THEN '50-70' WHEN p >= 70 THEN '70+' ELSE 'unbanded' END AS band, count(*) AS models
-        FROM (SELECT percent_0 AS p FROM ({_RATES})) GROUP BY ALL
-        UNION ALL SELECT 'whole', CASE WHEN p < 20 THEN '0-20' WHEN p < 50 THEN '20-50' WHEN p < 70 THEN '50-70' ELSE '70+' END, count(*)
-        FROM (SELECT percent_0 AS p FROM ({_RATES})) GROUP BY ALL""",
+        f""", p AS (SELECT percent_0 AS p FROM ({_RATES})), counted AS (
+        SELECT 'strict' AS bands, CASE WHEN p <= 19 THEN '0-19' WHEN p BETWEEN 20 AND 49 THEN '20-49'
+            WHEN p >= 50 AND p <= 69.9::DOUBLE THEN '50-70' WHEN p >= 70 THEN '70+' ELSE 'unbanded' END AS band, count(*) AS models FROM p GROUP BY ALL
+        UNION ALL SELECT 'whole', CASE WHEN p < 20 THEN '0-20' WHEN p < 50 THEN '20-50' WHEN p < 70 THEN '50-70' WHEN p >= 70 THEN '70+' ELSE 'unbanded' END, count(*) FROM p GROUP BY ALL)
+        SELECT a.bands, a.band, coalesce(c.models, 0) AS models FROM (VALUES ('strict', '0-19'), ('strict', '20-49'), ('strict', '50-70'), ('strict', '70+'), ('strict', 'unbanded'),
+            ('whole', '0-20'), ('whole', '20-50'), ('whole', '50-70'), ('whole', '70+'), ('whole', 'unbanded')) a(bands, band) LEFT JOIN counted c USING (bands, band)""",
         "predictions",
     ),
 )
@@ -529,6 +570,20 @@ def pairwise_hamming(spark, sf_dir):
     return SIM.hamming(_pairs(spark, sf_dir))
 
 
+@query(
+    "pairwise_counts_rough",
+    sql(
+        """SELECT a.model_name AS model_a, b.model_name AS model_b, count(*) AS n, sum((a.pred = b.pred)::INT)::BIGINT AS same,
+        sum((a.pred = 1 AND b.pred = 1)::INT)::BIGINT AS both, sum((a.pred = 1 OR b.pred = 1)::INT)::BIGINT AS either
+        FROM rough a JOIN rough b USING (item_id) WHERE a.epoch_no = 3 AND b.epoch_no = 3 AND a.pred IS NOT NULL AND b.pred IS NOT NULL GROUP BY ALL""",
+        "rough",
+    ),
+)
+def pairwise_counts_rough(spark, sf_dir):
+    """Pairs over the items that both models scored."""
+    return SIM.pair_counts(I.rough_predictions(spark, sf_dir).where("epoch_no = 3"))
+
+
 @query("pairwise_jaccard", sql("SELECT model_a, model_b, both_one::DOUBLE / nullif(either_one, 0) AS jaccard FROM pairs", "pairs"))
 def pairwise_jaccard(spark, sf_dir):
     return SIM.jaccard(_pairs(spark, sf_dir))
@@ -554,6 +609,21 @@ def pairwise_levenshtein(spark, sf_dir):
     return SIM.family_levenshtein(I.predictions(spark, sf_dir), "control", slots)
 
 
+@query(
+    "model_levenshtein",
+    sql(
+        """, seqs AS (SELECT model_name, item_id // 64 AS block, string_agg(pred::VARCHAR, '' ORDER BY item_id) AS seq FROM best_f1 GROUP BY ALL)
+        SELECT a.model_name, count(*) AS blocks, sum(length(a.seq))::BIGINT AS n, sum(levenshtein(a.seq, coalesce(b.seq, '')))::BIGINT AS edits
+        FROM seqs a LEFT JOIN (SELECT * FROM seqs WHERE model_name = 'control_01') b USING (block) WHERE a.model_name <> 'control_01' GROUP BY a.model_name""",
+        "best_f1",
+    ),
+)
+def model_levenshtein(spark, sf_dir):
+    chosen = small_side(ranking.best_epoch_single(I.scores(spark, sf_dir), "test_f1").select("model_name", "epoch_no"))
+    rows = I.predictions(spark, sf_dir).join(chosen, ["model_name", "epoch_no"])
+    return SIM.block_levenshtein(rows, "control_01")
+
+
 _MODELS = [
     ("" if family == "control" else "target-") + f"{family}_{run:02d}" for family in I.ERROR_RATES for run in range(1, I.RUNS + 1)
 ]

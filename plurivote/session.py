@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -14,9 +16,6 @@ MAX_BROADCAST_ROWS = 20_000
 # A side with wide rows (texts) is broadcast only when it was measured at most this large.
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
-# Tables with less than this per core are dealt out to all cores before costly row work.
-SPREAD_BYTES_PER_CORE = 16 * 1024 * 1024
-
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "plurivote") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
@@ -43,6 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="plurivote-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
@@ -60,34 +60,28 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Compute a narrow per-group table once, ready to be joined to wide rows.
 
-    Up to the bound its rows are held by the plan itself and broadcast. With more
-    rows it is settled in the shared folder and the join that uses it shuffles.
-    """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return settle(df)
-    return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))
-
-
-def small_wide_side(df: DataFrame, rows: DataFrame | None = None, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Mark rows of unknown width (texts) for broadcast if they were measured small.
-
-    ``rows`` is what to measure where ``df`` only adds short columns to it.
+    It is measured where it is computed. Up to both bounds its rows are held by the plan itself and
+    broadcast. Beyond them it is settled in the shared folder and the join that uses it shuffles.
     """
-    measured = df if rows is None else rows
-    size = measured.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()["bytes"]
-    return F.broadcast(df) if (size or 0) <= max_bytes else df
+    held = df.persist()
+    try:
+        width = F.octet_length(F.to_json(F.struct("*"))) if df.columns else F.lit(0)
+        size = held.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(width).alias("bytes")).first()
+        if size["rows"] > max_rows or (size["bytes"] or 0) > max_bytes:
+            return settle(held)
+        return F.broadcast(df.sparkSession.createDataFrame(held.toArrow(), schema=df.schema))
+    finally:
+        held.unpersist()
 
 
 def spread_small(df: DataFrame) -> DataFrame:
     """Deal a small table out to all cores before costly work on its rows.
 
-    A small file is one row group and would keep one core busy. A table that is large
-    for the cluster has enough parts of its own and is returned as it is, unshuffled.
+    A small file is one row group and would keep one core busy. A table that has a part for every
+    core is returned as it is, unshuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(str(size)) < cores * SPREAD_BYTES_PER_CORE else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

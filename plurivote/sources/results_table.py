@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plurivote.functions import text as T
+from plurivote.sources.tables import read_csv, write_csv
 
 SCORES = "model_name string, model_epoch string, epoch_no int, test_accuracy double, test_f1 double"
 RESULTS_CSV = "model_name string, model_epoch string, test_accuracy double, test_f1 double, predictions string"
@@ -19,7 +20,8 @@ ENSEMBLES_CSV = (
 
 
 def append_results(rows: DataFrame, path: str, key: Sequence[str] = ("model_name", "epoch_no")) -> None:
-    """Append rows whose key is not stored yet, so a repeated run changes nothing."""
+    """Append rows whose key is not stored yet, so a repeated run changes nothing. Of rows with one key in a call one is stored."""
+    rows = rows.dropDuplicates(list(key))
     try:
         stored = rows.sparkSession.read.schema(rows.schema).parquet(path)
     except AnalysisException as missing:
@@ -65,15 +67,43 @@ def parse_ensembles(ensembles: DataFrame) -> DataFrame:
     )
 
 
+def quoted(item):
+    """A text in single quotes, with marks and backslashes inside escaped."""
+    return F.concat(F.lit("'"), F.regexp_replace(item, r"(['\\])", r"\\$1"), F.lit("'"))
+
+
 def tuple_text(items):
-    """An array of strings as ``('a', 'b')``."""
-    quoted = F.array_join(F.transform(items, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", ")
-    return F.concat(F.lit("("), quoted, F.when(F.size(items) == 1, ",").otherwise(""), F.lit(")"))
+    """An array of strings as ``('a', 'b')``; ``tuple_from_text`` reads it back."""
+    return F.concat(F.lit("("), F.array_join(F.transform(items, quoted), ", "), F.when(F.size(items) == 1, ",").otherwise(""), F.lit(")"))
+
+
+def list_text(items):
+    """An array of strings as ``['a', 'b']``."""
+    return F.concat(F.lit("["), F.array_join(F.transform(items, quoted), ", "), F.lit("]"))
+
+
+def write_results_csv(scores: DataFrame, predictions: DataFrame, path: str) -> None:
+    """One row per model and epoch, its predictions as list text in the order of items.
+
+    A model's predictions of one epoch are one cell of the file by its format.
+    """
+    lists = predictions.groupBy("model_name", "epoch_no").agg(F.array_sort(F.collect_list(F.struct("item_id", "pred"))).alias("_p"))
+    texts = F.concat(F.lit("["), F.array_join(F.col("_p.pred").cast("array<string>"), ", ", "null"), F.lit("]"))
+    rows = scores.join(lists, ["model_name", "epoch_no"]).select("model_name", "model_epoch", "test_accuracy", "test_f1", texts.alias("predictions"))
+    write_csv(rows, path)
+
+
+def read_results_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Result rows; ``scores_of`` and ``predictions_of`` read their parts."""
+    return read_csv(spark, path, RESULTS_CSV, multi_line=False)
 
 
 def write_ensembles_csv(ensembles: DataFrame, path: str) -> None:
-    texts = ensembles.withColumns({c: tuple_text(F.col(c)) for c in ("inducers", "inducers_spec")})
-    texts.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    write_csv(ensembles.withColumns({c: tuple_text(F.col(c)) for c in ("inducers", "inducers_spec")}), path)
+
+
+def read_ensembles_csv(spark: SparkSession, path: str) -> DataFrame:
+    return parse_ensembles(read_csv(spark, path, ENSEMBLES_CSV, multi_line=False))
 
 
 def model_epoch_listing(paths: DataFrame, path: str = "path") -> DataFrame:

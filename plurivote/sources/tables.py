@@ -12,18 +12,31 @@ from pyspark.sql.types import StructType
 SPLITS = ("train", "validation", "test")
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = True) -> DataFrame:
-    """CSV with header and a given schema (no inference pass).
+# Texts keep their blanks at both ends, in either direction.
+EXACT_CSV = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
-    An empty text reads as null, quoted or not. Texts may hold line breaks, so a file is read by one task; write many files.
-    ``multi_line=False`` lets a file be split when its texts have no line breaks.
-    """
-    reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("mode", "FAILFAST")
-    return reader.option("multiLine", multi_line).csv(path)
 
+def read_csv(
+    spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = True, null_text: str | None = None
+) -> DataFrame:
+    """CSV with header and a given schema (no inference pass).
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", False).csv(path)
+    Texts may hold line breaks, so a file is read by one task; write many files, or give
+    ``multi_line=False`` where texts have no line breaks, which lets large files be split.
+    An empty text reads as null, unless the file was written with a ``null_text``: then only that text is null.
+    """
+    reader = spark.read.schema(schema).options(**EXACT_CSV, mode="FAILFAST").option("multiLine", multi_line)
+    if null_text is not None:
+        reader = reader.option("nullValue", null_text)
+    return reader.csv(path)
+
+
+def write_csv(df: DataFrame, path: str, null_text: str | None = None) -> None:
+    """CSV with header. With ``null_text`` for nulls, empty texts and nulls stay apart."""
+    writer = df.write.mode("overwrite").options(**EXACT_CSV, quoteAll="false")
+    if null_text is not None:
+        writer = writer.option("nullValue", null_text)
+    writer.csv(path)
 
 
 def read_named_splits(

@@ -50,7 +50,16 @@ def test_batch_means_do_not_weigh_rows(spark):
 
 def test_confusion_matrix(spark):
     rows = M.confusion_matrix(pairs(spark, [(1, 1), (1, 0), (0, 0), (0, 0)]), (0, 1)).orderBy("label").collect()
-    assert [tuple(r) for r in rows] == [(0, 2, 0), (1, 1, 1)]
+    assert [tuple(r) for r in rows] == [(0, 2, 0, 0, 0), (1, 1, 1, 0, 0)]
+    odd = M.confusion_matrix(pairs(spark, [(1, 2), (1, None), (3, 0)]), (0, 1)).orderBy("label").collect()
+    assert [tuple(r) for r in odd] == [(0, 0, 0, 0, 0), (1, 0, 0, 1, 1), (3, 1, 0, 0, 0)]
+
+
+def test_alignment_counts_what_a_join_drops(spark):
+    preds = spark.createDataFrame([("a", 1, 1, 0), ("a", 1, 2, 1), ("a", 1, 2, 1), ("a", 1, 9, 1), ("b", 1, 9, 1)], "model_name string, epoch_no int, item_id long, pred int")
+    truth = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "item_id long, label int")
+    got = {r["model_name"]: (r["matched"], r["no_truth"], r["missing"]) for r in M.alignment(preds, truth).collect()}
+    assert got == {"a": (2, 1, 1), "b": (0, 1, 3)}
 
 
 SCORES = "model_name string, epoch_no int, test_f1 double, test_accuracy double"
@@ -74,9 +83,22 @@ def test_combinations(spark):
     assert sorted(tuple(r["inducers"]) for r in got) == sorted(want)
     for r in got:
         assert r["ensemble_id"] == sum(1 << "abcdef".index(f) for f in r["inducers"])
-    members = E.ensemble_membership(E.inducer_combinations(df, (3,)), 3)
-    assert members.count() == 180
+    runs = spark.createDataFrame([(f"{f}_{r:02d}",) for f in "abcdef" for r in ((1, 2, 3) if f != "b" else (7,))], "model_name string")
+    members = E.ensemble_membership(E.inducer_combinations(df, (3,)), runs)
+    assert members.count() == 20 * 9 - 10 * 2
     assert {r["model_name"] for r in members.where("family = 'a'").collect()} == {"a_01", "a_02", "a_03"}
+    assert {r["model_name"] for r in members.where("family = 'b'").collect()} == {"b_07"}
+    with pytest.raises(ValueError, match="without a run"):
+        E.ensemble_membership(E.inducer_combinations(df, (3,)), runs.where("model_name <> 'b_07'"))
+
+
+def test_combinations_of_many_families(spark):
+    names = [f"f{i:03d}" for i in range(40)]
+    df = spark.createDataFrame([(n,) for n in names], "family string")
+    got = E.inducer_combinations(df, (1, 3, 99)).collect()
+    assert sorted(tuple(r["inducers"]) for r in got) == sorted([c for r in (1, 3) for c in itertools.combinations(names, r)])
+    assert len({r["ensemble_id"] for r in got}) == len(got)
+    assert E.inducer_combinations(df, (0, 99)).count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -109,12 +131,30 @@ def test_vote_ties_take_the_lowest_class(spark, voting):
 
 
 def test_both_vote_forms_agree(spark, voting, monkeypatch):
-    _, picked, truth = voting
-    combos = E.inducer_combinations(picked, (2, 3))
-    wide = {tuple(map(str, r)) for r in E.ensemble_scores(picked, truth, combos, ["best-F1"], (0, 1, 2)).collect()}
-    monkeypatch.setattr(E, "MAX_INLINE_ENSEMBLES", 0)
-    joined = {tuple(map(str, r)) for r in E.ensemble_scores(picked, truth, combos, ["best-F1"], (0, 1, 2)).collect()}
-    assert wide == joined and len(wide) == 10
+    """With default arguments, a third class, nulls and items some families never voted on."""
+    rows, picked, truth = voting
+    rough = picked.withColumn("pred", F.when(F.hash("item_id", "model_name") % 4 != 0, F.col("pred"))).where("item_id > 3 OR family = 'f1'")
+    for votes in (picked, rough):
+        combos = E.inducer_combinations(votes, (1, 2, 3))
+        results_ = []
+        for bound in (200, 0):
+            monkeypatch.setattr(E, "MAX_INLINE_ENSEMBLES", bound)
+            scored = {tuple(map(str, r)) for r in E.ensemble_scores(votes, truth, combos).collect()}
+            ballots = {tuple(map(str, r)) for r in E.majority_vote(votes, combos).collect()}
+            results_.append((scored, ballots))
+        assert results_[0] == results_[1] and len(results_[0][0]) == 14
+
+
+@pytest.mark.parametrize("copies", [1, 200, 201])
+def test_scores_do_not_depend_on_their_number(spark, copies):
+    picked = spark.createDataFrame(
+        [("s", 1, "a_01", "a", 2), ("s", 1, "b_01", "b", 2), ("s", 1, "c_01", "c", 0), ("s", 2, "a_01", "a", None), ("s", 2, "b_01", "b", None), ("s", 2, "c_01", "c", 1)],
+        "selection string, item_id long, model_name string, family string, pred int",
+    )
+    truth = spark.createDataFrame([(1, 0), (2, 1)], "item_id long, label int")
+    one = E.inducer_combinations(picked, (3,))
+    many = one.crossJoin(spark.range(copies)).select(F.col("id").cast("int").alias("ensemble_id"), "size", "inducers")
+    assert {(r["n"], r["accuracy"]) for r in E.ensemble_scores(picked, truth, many).collect()} == {(2, 0.5)}
 
 
 def test_vote_of_copies_is_that_model(spark):
@@ -164,6 +204,30 @@ def test_levenshtein(spark):
     x, y, z = "010001001", "001000001", "110001000"
     row = spark.range(1).select(*[SIM.sequence_levenshtein(arr(a), arr(b)) for a, b in ((x, y), (x, z), (y, z), (x, x))]).first()
     assert tuple(row) == (2, 2, 4, 0)
+    wide = spark.range(1).select(SIM.sequence_levenshtein(F.array(F.lit(1), F.lit(0)), F.array(F.lit(10)))).first()
+    assert wide[0] == 2
+
+
+def test_block_levenshtein(spark):
+    df = vectors(spark, a="1100010011111", b="0100010010000", c="11")
+    got = {r["model_name"]: (r["blocks"], r["n"], r["edits"]) for r in SIM.block_levenshtein(df, "a", 64).collect()}
+    assert got == {"b": (1, 13, 5), "c": (1, 2, 11)}
+    blocks = {r["model_name"]: (r["blocks"], r["n"]) for r in SIM.block_levenshtein(df, "a", 5).collect()}
+    assert blocks == {"b": (3, 13), "c": (1, 2)}
+
+
+def test_named_models_and_blocks(spark, monkeypatch):
+    df = vectors(spark, m1="1100", m2="1010", m3="0111", m4="0001")
+
+    def counts(**kw):
+        return {(r["model_a"], r["model_b"]): tuple(r)[2:] for r in SIM.pair_counts(df, **kw).collect()}
+
+    whole = counts()
+    assert counts(models=["m1", "m2"]) == {k: v for k, v in whole.items() if set(k) <= {"m1", "m2"}}
+    monkeypatch.setattr(SIM, "BLOCK_MODELS", 3)
+    assert counts() == whole
+    monkeypatch.setattr(SIM, "BLOCK_MODELS", 1)
+    assert counts() == whole and len(whole) == 16
 
 
 def test_pairs_with_many_classes_and_gaps(spark):
@@ -209,7 +273,15 @@ def test_rate_bands(spark):
     strict = {r["band"]: r["models"] for r in results.rate_bands(rates, "p").collect()}
     assert strict == {"0-19": 1, "20-49": 2, "50-70": 2, "70+": 2, "unbanded": 3}
     whole = {r["band"]: r["models"] for r in results.rate_bands(rates, "p", strict=False).collect()}
-    assert whole == {"0-20": 2, "20-50": 3, "50-70": 3, "70+": 2}
+    assert whole == {"0-20": 2, "20-50": 3, "50-70": 3, "70+": 2, "unbanded": 0}
+    none = {r["band"]: r["models"] for r in results.rate_bands(rates.limit(0), "p").collect()}
+    assert none == {"0-19": 0, "20-49": 0, "50-70": 0, "70+": 0, "unbanded": 0}
+
+
+def test_sorted_positions(spark):
+    df = spark.createDataFrame([(c, i) for i, c in enumerate("bAaBcaC")], "name string, i int").repartition(3)
+    got = [(r["name"], r["i"]) for r in sorted(results.sorted_positions(df, "name", "i").collect(), key=lambda r: r["position"])]
+    assert got == [("A", 1), ("a", 2), ("a", 5), ("B", 3), ("b", 0), ("C", 6), ("c", 4)]
 
 
 def test_means_and_deltas(spark):

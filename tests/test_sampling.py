@@ -108,11 +108,36 @@ def test_oversample_can_keep_the_originals(spark):
     assert got.where("draw is null").select("id").distinct().count() == 300
 
 
-def test_oversample_same_by_shuffled_join(spark, monkeypatch):
-    df = table(spark)
-    whole = {tuple(r) for r in S.oversample_balance(df, "id", "label").collect()}
-    monkeypatch.setattr(S, "small_wide_side", lambda side, rows: side)
-    assert {tuple(r) for r in S.oversample_balance(df, "id", "label").collect()} == whole
+def test_repeated_ids(spark):
+    """The oversampled table is shuffled and sampled by id and draw; by id alone a cut inside a tie fails."""
+    over = S.oversample_balance(table(spark), "id", "label").select("id", "label", "draw")
+    ids = ["id", "draw"]
+    positions = sorted(r["position"] for r in S.shuffle_order(over, ids).collect())
+    assert positions == list(range(over.count()))
+    for n in (1, 10, 57):
+        got = S.sample_n(over, ids, n).collect()
+        assert len(got) == n == len({(r["id"], r["draw"]) for r in got})
+    twins = spark.createDataFrame([(1, "x")] * 6, "id int, t string")
+    with pytest.raises(ValueError, match="repeats at a cut"):
+        S.sample_n(twins, "id", 3)
+
+
+def test_rows_without_a_label(spark):
+    df = table(spark).withColumn("label", F.when(F.col("id") % 10 != 0, F.col("label")))
+    for balance in ("over", "under", 3):
+        got = S.three_way_split(df, "id", "label", 0.1, 0.1, balance=balance)
+        assert got.where("label IS NULL").count() == 0
+        assert {r["split"] for r in got.select("split").distinct().collect()} == {"train", "validation", "test"}
+
+
+def test_test_split_without_labels(spark):
+    rows = table(spark).select("id", "label").withColumn("split", F.when(F.col("id") % 4 == 0, "test").when(F.col("id") % 4 == 1, "validation").otherwise("train"))
+    given = rows.withColumn("label", F.when(F.col("split") != "test", F.col("label")))
+    got = S.hold_out_labelled(given, "id", "label", 0.2)
+    counts = {r["split"]: r["count"] for r in got.groupBy("split").count().collect()}
+    train = rows.where("split = 'train'").count()
+    assert counts == {"test": int(train * 0.2), "train": train - int(train * 0.2), "validation": rows.where("split = 'validation'").count()}
+    assert got.where("label IS NULL").count() == 0
 
 
 def test_single_class_needs_no_draws(spark):

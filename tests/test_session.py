@@ -44,14 +44,14 @@ def test_small_side_beyond_its_bound_is_not_broadcast(spark):
     assert sorted(held.collect()) == sorted(settled.collect()) == sorted(df.collect())
 
 
-def test_wide_side_is_measured(spark):
+def test_small_side_is_measured_in_bytes_too(spark):
     df = spark.range(10).withColumn("text", F.repeat(F.lit("x"), 100))
-    assert "broadcast" in plan(session.small_wide_side(df)).lower()
-    assert "broadcast" not in plan(session.small_wide_side(df, max_bytes=500)).lower()
+    assert "broadcast" in plan(session.small_side(df)).lower()
+    assert "broadcast" not in plan(session.small_side(df, max_bytes=500)).lower()
 
 
-def test_only_small_tables_are_dealt_out(spark, monkeypatch):
-    df = spark.range(100)
-    assert session.spread_small(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    monkeypatch.setattr(session, "SPREAD_BYTES_PER_CORE", 1)
-    assert session.spread_small(df) is df
+def test_only_small_tables_are_dealt_out(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert session.spread_small(spark.range(100).coalesce(1)).rdd.getNumPartitions() == cores
+    whole = spark.range(100).repartition(cores + 1)
+    assert session.spread_small(whole) is whole
