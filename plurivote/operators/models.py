@@ -8,7 +8,6 @@ task's probabilities to the second task as features; it does not move weights.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -22,6 +21,7 @@ from plurivote.functions.keys import uniform
 from plurivote.functions.text import epoch_tag
 from plurivote.operators import metrics as M
 from plurivote.operators.encode import make_batches
+from plurivote.session import settle
 
 
 def word_features(width: int = 1 << 12) -> Pipeline:
@@ -34,13 +34,15 @@ def word_features(width: int = 1 << 12) -> Pipeline:
     )
 
 
-def classifier(passes: int, features: str = "hashed") -> LogisticRegression:
-    return LogisticRegression(featuresCol=features, labelCol="label", maxIter=passes, regParam=0.01)
+def classifier(passes: int, features: str = "hashed", weight: str | None = None) -> LogisticRegression:
+    """``weight`` names a column that says how often a row counts, in place of copies of the row."""
+    made = LogisticRegression(featuresCol=features, labelCol="label", maxIter=passes, regParam=0.01)
+    return made.setWeightCol(weight) if weight else made
 
 
-def fit_text_model(train: DataFrame, passes: int, width: int = 1 << 12) -> PipelineModel:
+def fit_text_model(train: DataFrame, passes: int, width: int = 1 << 12, weight: str | None = None) -> PipelineModel:
     """The whole model, from text to prediction, for saving and reuse."""
-    return Pipeline(stages=[*word_features(width).getStages(), classifier(passes)]).fit(train)
+    return Pipeline(stages=[*word_features(width).getStages(), classifier(passes, weight=weight)]).fit(train)
 
 
 def resample(train: DataFrame, run: int, share: float = 0.9) -> DataFrame:
@@ -62,49 +64,86 @@ def score(model, rows: DataFrame, model_name: str, epoch_no: int, keep: Sequence
     )
 
 
+def score_all(models: Sequence[tuple[str, int, object]], rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Long predictions of many models from one pass over the rows."""
+    for i, (_, _, model) in enumerate(models):
+        # Only the logits are made; empty names switch the other outputs off.
+        quiet = model.copy({model.rawPredictionCol: f"_raw{i}", model.probabilityCol: "", model.predictionCol: ""})
+        rows = quiet.transform(rows)
+    each = [
+        F.struct(F.lit(name).alias("model_name"), F.lit(epoch_no).alias("epoch_no"), vector_to_array(f"_raw{i}").alias("logits"))
+        for i, (name, epoch_no, _) in enumerate(models)
+    ]
+    found = rows.select("item_id", F.col("label").cast("int").alias("label"), *keep, F.inline(F.array(*each)))
+    return found.select("model_name", "epoch_no", "item_id", S.argmax(F.col("logits")).alias("pred"), "logits", "label", *keep)
+
+
 def fit_and_score(
     train: DataFrame,
     test: DataFrame,
     name: str,
-    runs: Sequence[int] = (1, 2),
-    epochs: Sequence[int] = (4,),
+    runs: Sequence[int] = (1, 2, 3),
+    epochs: Sequence[int] = tuple(range(1, 11)),
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Predictions of every replica (``name_01`` …) after each number of passes."""
+    """Predictions of every replica (``name_01`` …) after each number of passes.
+
+    ``train`` may have a ``weight`` column. Train and test texts are hashed once each; the
+    hashed test rows are settled and scored by all models in one pass.
+    """
     words = word_features()
-    features = words.fit(train).transform(train).select("item_id", "label", "hashed").persist()
-    rows = words.fit(test).transform(test).select("item_id", "label", "hashed", *keep)
-    parts = [
-        score(classifier(passes).fit(resample(features, run)), rows, f"{name}_{run:02d}", passes, keep)
-        for run in runs
-        for passes in epochs
-    ]
-    features.unpersist()
-    return reduce(DataFrame.unionByName, parts)
+    weight = "weight" if "weight" in train.columns else None
+    features = words.fit(train).transform(train).select("item_id", "label", "hashed", *([weight] if weight else [])).persist()
+    try:
+        fitted = [
+            (f"{name}_{run:02d}", passes, classifier(passes, weight=weight).fit(resample(features, run))) for run in runs for passes in epochs
+        ]
+    finally:
+        features.unpersist()
+    rows = settle(words.fit(test).transform(test).select("item_id", "label", "hashed", *keep))
+    return score_all(fitted, rows, keep)
 
 
 def validation_curve(
-    train: DataFrame, validation: DataFrame, name: str, epochs: Sequence[int], batch_size: int = 16
+    train: DataFrame, validation: DataFrame, name: str, epochs: Sequence[int] = tuple(range(1, 11)), batch_size: int = 16
 ) -> DataFrame:
     """Batch-mean metrics and loss on the validation rows after each number of passes."""
-    batches = make_batches(validation, "item_id", batch_size)
-    rows = fit_and_score(train, batches, name, [1], epochs, ["batch_id"])
+    # Batches are cut on the ids; the texts are joined to them.
+    batches = make_batches(validation.select("item_id"), "item_id", batch_size)
+    rows = settle(fit_and_score(train, validation.join(batches, "item_id"), name, [1], epochs, ["batch_id"]))
     by = ["model_name", "epoch_no"]
     losses = M.cross_entropy(rows, "logits", "label", by).select(*by, "loss")
     return M.batch_mean_metrics(rows, "batch_id", by).join(losses, by)
 
 
 def stacked_transfer(
-    first_train: DataFrame, train: DataFrame, test: DataFrame, name: str, passes: int = 4
+    first_train: DataFrame, train: DataFrame, test: DataFrame, name: str, passes: int = 10
 ) -> DataFrame:
-    """Fit on an intermediate task, then on the target with that model's probabilities as features."""
-    first = fit_text_model(first_train, passes)
+    """Fit on an intermediate task, then on the target with that model's probabilities as features.
+
+    Texts are hashed once each; train tables may have a ``weight`` column.
+    """
+    words = word_features()
     both = VectorAssembler(inputCols=["hashed", "probability"], outputCol="features")
 
+    def hashed(rows):
+        weight = ["weight"] if "weight" in rows.columns else []
+        return words.fit(rows).transform(rows).select("item_id", "label", "hashed", *weight)
+
+    def fit(rows, features):
+        held = rows.persist()
+        try:
+            return classifier(passes, features, "weight" if "weight" in held.columns else None).fit(held)
+        finally:
+            held.unpersist()
+
+    first = fit(hashed(first_train), "hashed")
+
     def with_first(rows):
-        return both.transform(first.transform(rows)).select("item_id", "label", "features")
+        weight = ["weight"] if "weight" in rows.columns else []
+        return both.transform(first.transform(hashed(rows))).select("item_id", "label", "features", *weight)
 
-    second = classifier(passes, "features").fit(with_first(train))
+    second = fit(with_first(train), "features")
     return score(second, with_first(test), name, passes)
 
 

@@ -18,10 +18,12 @@ def _parts(spark, sf_dir, label: str):
     The split is drawn on ids and labels alone; the texts are joined to its result.
     """
     items = I.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id"), F.col(label).alias("label"))
-    parts = settle(three_way_split(items, "item_id", "label", 0.2, 0.1, balance="over").select("item_id", "label", "split"))
+    parts = three_way_split(items, "item_id", "label", 0.2, 0.1, balance="over").select("item_id", "label", "split")
+    # A text that was drawn often stands once, with its draws as weight.
+    weighted = settle(parts.groupBy("item_id", "label", "split").agg(F.count(F.lit(1)).cast("double").alias("weight")))
     texts = I.texts(spark, sf_dir, "doc_id", "text").withColumnRenamed("doc_id", "item_id")
     return {
-        name: texts.join(parts.where(F.col("split") == name).drop("split"), "item_id")
+        name: texts.join(weighted.where(F.col("split") == name).drop("split"), "item_id")
         for name in ("train", "validation", "test")
     }
 
@@ -29,7 +31,7 @@ def _parts(spark, sf_dir, label: str):
 @query("fit_and_score")
 def fit_and_score(spark, sf_dir):
     parts = _parts(spark, sf_dir, "toxic")
-    scored = models.fit_and_score(parts["train"], parts["test"], "target-words", runs=(1, 2))
+    scored = models.fit_and_score(parts["train"], parts["test"], "target-words")
     return M.classification_metrics(scored, ["model_name", "epoch_no"])
 
 
@@ -44,4 +46,4 @@ def stacked_transfer(spark, sf_dir):
 @query("validation_curve")
 def validation_curve(spark, sf_dir):
     parts = _parts(spark, sf_dir, "toxic")
-    return models.validation_curve(parts["train"], parts["validation"], "target-words", epochs=(1, 2, 4))
+    return models.validation_curve(parts["train"], parts["validation"], "target-words")
