@@ -9,6 +9,8 @@ from plurivote.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
+_WORDS = """w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)"""
+
 
 def tokenizer_text(name: str) -> str:
     """The text of a public tokenizer file."""
@@ -91,12 +93,36 @@ def op9_order_minhash(spark, sf_dir):
     )
 
 
-@query("op10_repeated_phrases")
+_OP10 = f"""WITH {_WORDS},
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+first AS (SELECT g, min(doc_id) AS f FROM win GROUP BY g),
+hit AS (SELECT DISTINCT doc_id, i + k AS p FROM win JOIN first USING (g), range(0, 13) r(k) WHERE f < doc_id),
+word AS (SELECT doc_id, p, ws[p] AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN hit USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op10_repeated_phrases", _OP10)
 def op10_repeated_phrases(spark, sf_dir):
     return phrases.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-@query("op5_near_duplicates")
+
+# Copies and documents that share four fifths of their runs of five words; the class is the least id that can be reached.
+_OP5 = f"""WITH RECURSIVE {_WORDS},
+runs AS (SELECT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)
+    UNION ALL SELECT doc_id, chr(1) || array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4),
+cells AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id, g) AS o FROM runs),
+sizes AS (SELECT doc_id, count(*) AS n FROM cells GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS s FROM cells a JOIN cells b ON a.g = b.g AND a.o = b.o AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 5 * s >= 4 * (x.n + y.n - s)
+    UNION SELECT a.doc_id, b.doc_id FROM documents a JOIN documents b ON coalesce(a.text, '') = coalesce(b.text, '') AND a.doc_id < b.doc_id),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM reach r JOIN both_ways l ON l.a = r.node)
+SELECT node AS doc_id, min(root) AS class_id FROM reach GROUP BY node"""
+
+
+@query("op5_near_duplicates", _OP5)
 def op5_near_duplicates(spark, sf_dir):
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
