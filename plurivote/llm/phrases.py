@@ -245,9 +245,8 @@ class Automaton:
             text, at = _as_text(words), 0
             for doc_id, n in zip(ids.tolist(), lengths.tolist(), strict=True):
                 for start in range(at, at + n - WINDOW + 1):
-                    window = text[2 * start : 2 * (start + WINDOW)]
-                    if doc_id < self.machine.get(window, doc_id + 1):
-                        self.machine.add_word(window, doc_id)
+                    # A window comes from its first document alone, so a repeat has the same value.
+                    self.machine.add_word(text[2 * start : 2 * (start + WINDOW)], doc_id)
                 at += n
         if len(self.machine):
             self.machine.make_automaton()
@@ -343,7 +342,9 @@ def remove_repeats(documents: DataFrame, with_text: bool = False) -> DataFrame:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(1, partitions * SHARDS_PER_PARTITION)
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = rows.withColumn("h", F.xxhash64("text"))
+    named = rows.withColumn("h", F.xxhash64("text"))
+    # Rows with an id go through the joins; all of these read one exchange of the texts.
+    keyed, unnamed = named.where("doc_id IS NOT NULL"), named.where("doc_id IS NULL")
 
     # 1. Copies: rows whose text stands under a smaller id. The groups are aggregated, never gathered.
     narrow = settle(keyed.select("doc_id", "h", F.xxhash64(F.lit(1), "text").alias("h2")))
@@ -351,7 +352,7 @@ def remove_repeats(documents: DataFrame, with_text: bool = False) -> DataFrame:
     copies = narrow.join(groups, ["h", "h2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("h").alias("copied"))
 
     # 2. Anchors that stand in several documents, as a list per document.
-    found = rows.where("doc_id IS NOT NULL").mapInArrow(_anchors(shards), "shard int, known boolean, ids array<bigint>, anchors array<bigint>, many array<boolean>")
+    found = keyed.select("doc_id", "text").mapInArrow(_anchors(shards), "shard int, known boolean, ids array<bigint>, anchors array<bigint>, many array<boolean>")
     recurring = found.groupBy("shard").applyInArrow(_recurring, "doc_id bigint, anchor bigint")
     lists = settle(recurring.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")))
 
@@ -380,4 +381,7 @@ def remove_repeats(documents: DataFrame, with_text: bool = False) -> DataFrame:
     # 5. What stays of every document.
     per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("h", "begin", "end")).alias("spans"))
     kinds = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return marked.join(per_doc, "doc_id", "left").select("doc_id", "text", "h", "copy", "spans").mapInArrow(_report(with_text), kinds)
+    judged = marked.join(per_doc, "doc_id", "left").select("doc_id", "text", "h", "copy", "spans")
+    others = unnamed.select("doc_id", "text", "h", F.lit(False).alias("copy"), F.lit(None).cast(judged.schema["spans"].dataType).alias("spans"))
+    report = _report(with_text)
+    return judged.mapInArrow(report, kinds).unionByName(others.mapInArrow(report, kinds))
