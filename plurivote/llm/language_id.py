@@ -32,7 +32,7 @@ from plurivote.llm.arrow import slices, text_buffers
 from plurivote.session import small_side
 
 ORDER = 3
-CHUNK = 1 << 20  # bytes scored at once
+SLICE, CHUNK = 1 << 20, 1 << 18  # bytes of text that are prepared and scored at once
 EVIDENCE = 64  # bytes beyond which the score does not sharpen any more
 NO_LANGUAGE = "und"
 BLANK = 32
@@ -101,11 +101,13 @@ def fit(documents: DataFrame, docs_per_language: int = 300, max_contexts: int =
 
 def tree(languages: list[str], lang: np.ndarray, code: np.ndarray, n: np.ndarray, max_contexts: int, max_bytes: int) -> Model:
     """Freeze the code lengths of every (context, byte, language)."""
+    if not 0 < max_bytes < 256:
+        raise ValueError("a byte's symbol is one byte itself: 1 to 255 bytes can have their own")
     total = np.bincount(code & 255, weights=n, minlength=256)
     total[BLANK] += 1  # the blank always has a symbol of its own
     own = np.argsort(-total, kind="stable")[:max_bytes]
     own = np.sort(own[total[own] > 0])
-    symbol = np.zeros(256, dtype=np.int32)
+    symbol = np.zeros(256, dtype=np.uint8)
     symbol[own] = np.arange(1, len(own) + 1)
     width = len(own) + 1
     shared = 256 - len(own)  # bytes behind symbol 0
@@ -164,7 +166,7 @@ def code_lengths(model: Model, data: np.ndarray, bounds: np.ndarray) -> np.ndarr
     one, two, three = _contexts(symbols, starts, int(model.symbol[BLANK]))
     for low in range(0, len(symbols), CHUNK):
         part = slice(low, min(low + CHUNK, len(symbols)))
-        row = model.row[(three[part] * model.width + two[part]) * model.width + one[part]]
+        row = model.row[(three[part].astype(np.int32) * model.width + two[part]) * model.width + one[part]]
         bits = model.bits[row * model.width + symbols[part]]
         here = slice(int(np.searchsorted(starts, low, side="right")) - 1, int(np.searchsorted(starts, part.stop, side="left")))
         totals[filled[here]] += np.add.reduceat(bits, np.maximum(starts[here], low) - low, axis=0, dtype=np.float64)
@@ -191,7 +193,7 @@ def predictor(shipped):
     def predict(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             batch = pa.RecordBatch.from_arrays([column], names=["text"])
-            parts = [_answers(shipped.value, part.column("text")) for part in slices(iter([batch]))]
+            parts = [_answers(shipped.value, part.column("text")) for part in slices(iter([batch]), limit=SLICE)]
             yield pa.concat_arrays(parts) if parts else pa.array([], ANSWER)
 
     return predict
