@@ -13,10 +13,12 @@ Signatures are cut into bands of ``ROWS`` coordinates; documents that share a ba
 * Documents with one text are one entry, so a text with very many copies costs one signature.
 * In a bucket all members are held against its leader: the member that shares most bands with others, and
   against its first member. That is linear in the bucket. Exact similarities decide.
-* Linked documents form components. Where a bucket still holds several components, their members are held against
-  the other components' members as well, if 128 bits of the signatures say that 0.8 is possible (a
-  bound of 4.5 standard deviations). So no link between different texts is given up, and the members of
-  one component are never paired again.
+* Linked documents form components. Where a bucket still holds several components, members of different ones may be
+  linked without the leader. What a member shares with another beyond the leader is bounded exactly by what both
+  lack of the leader and what both add to it, so each member carries these two sets as bits, and only pairs whose bits
+  allow 0.8 (and whose signatures do, within 4.5 standard deviations) are looked at. Random edits of one
+  text share almost nothing there, so a large group of copies leaves few pairs; no link between
+  different texts is given up, and the members of one component are never paired again.
 
 The similarity is exact: shared weight over all weight of the runs (as 64-bit hashes of run and occurrence).
 
@@ -182,19 +184,60 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Similarity of ``x`` to its leader ``y``, and where it departs from it, as bits.
+
+    ``lacks``: one bit per cell of the leader that x lacks. ``adds``: a bit for each cell x adds, by its hash;
+    ``doubled``: how many of these fell on a bit that was taken.
+    """
+
+    def words(bits: np.ndarray) -> list[int]:
+        return np.packbits(bits, bitorder="little").view(np.int64).tolist()
+
+    for batch in batches:
+        xs, ys = (batch.column(n) for n in ("_x", "_y"))
+        rows = []
+        for i in range(batch.num_rows):
+            x, y = (c[i].values.to_numpy(zero_copy_only=False) for c in (xs, ys))
+            length = -(-max(len(y), 1) // 64) * 64
+            lacks, adds = np.zeros(length, dtype=np.uint8), np.zeros(2 * length, dtype=np.uint8)
+            shared = np.isin(y, x, assume_unique=True)
+            lacks[: len(y)] = ~shared
+            new = x[~np.isin(x, y, assume_unique=True)]
+            adds[new.view(np.uint64) % np.uint64(len(adds))] = 1
+            both = int(shared.sum())
+            alike = both / max(1, len(x) + len(y) - both) >= SIMILARITY
+            rows.append((alike, len(x) + len(y) - 2 * both, words(lacks), words(adds), len(new) - int(adds.sum())))
+        kinds = (pa.bool_(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32())
+        found = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("to"), *found], names=["id", "to", "alike", "apart", "lacks", "adds", "doubled"])
+
+
+def _both(a: Column, b: Column) -> Column:
+    """Bits set in both."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda n, m: n + m)
+
+
 def similarity(a: Column, b: Column) -> Column:
     shared = F.size(F.array_intersect(a, b))
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose texts are similar enough. Only texts that stand in a pair are moved."""
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    cells = settle(texts.join(wanted, "id", "left_semi").mapInArrow(_cells, "id bigint, cells array<bigint>"))
-    both = pairs.join(cells.select(F.col("id").alias("a"), F.col("cells").alias("_x")), "a").join(
-        cells.select(F.col("id").alias("b"), F.col("cells").alias("_y")), "b"
-    )
-    return both.where(similarity(F.col("_x"), F.col("_y")) >= SIMILARITY).select("a", "b")
+def cells_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``id, cells`` of the texts that stand in a pair ``(id, to)``; only these are moved, once."""
+    wanted = pairs.select("id").unionByName(pairs.select(F.col("to").alias("id"))).distinct()
+    return settle(texts.join(wanted, "id", "left_semi").mapInArrow(_cells, "id bigint, cells array<bigint>"))
+
+
+def _with_cells(pairs: DataFrame, cells: DataFrame, a: str, b: str) -> DataFrame:
+    """The pairs with the cells of both texts, ``_x`` and ``_y``."""
+    first, second = (cells.select(F.col("id").alias(n), F.col("cells").alias(c)) for n, c in ((a, "_x"), (b, "_y")))
+    return pairs.join(first, a).join(second, b)
+
+
+def linked(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` whose texts are similar enough."""
+    return _with_cells(pairs, cells, "a", "b").where(similarity(F.col("_x"), F.col("_y")) >= SIMILARITY).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -236,31 +279,40 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     leaders = ranked.groupBy("band", "key").agg(F.max(F.struct(F.col("met"), (-F.col("id")).alias("_minus"))).alias("_top"))
     leaders = leaders.select("band", "key", (-F.col("_top._minus")).alias("leader"))
     star = members.join(leaders, ["band", "key"])
-    to = F.explode(F.array_distinct(F.array("leader", "least")))
-    ordered = star.select("id", to.alias("_to")).where("id <> _to").select(F.least("id", "_to").alias("a"), F.greatest("id", "_to").alias("b"))
-    first_pairs = settle(ordered.distinct())
+    to = F.explode(F.array_distinct(F.array("leader", "least"))).alias("to")
+    stars = settle(star.select("id", to).where("id <> to").distinct())
     texts = rows.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "id")
-    links = settle(linked(first_pairs, texts).distinct())
+    kinds = "id bigint, to bigint, alike boolean, apart int, lacks array<bigint>, adds array<bigint>, doubled int"
+    # Every member of a bucket stands in a star, so these cells serve the second round too.
+    cells = cells_of(stars, texts)
+    measured = settle(_with_cells(stars, cells, "id", "to").select("id", "to", "_x", "_y").mapInArrow(_measure, kinds))
+    links = measured.where("alike").select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
 
     # Buckets that still hold several components: their members against those of the other components.
     labels = components(links)
-    labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    labelled = star.select("band", "key", "id", "leader", "weight", "bits1", "bits2").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = labelled.groupBy("band", "key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("band", "key")
-    open_members = settle(labelled.join(mixed, ["band", "key"]).select("band", "key", "id", "label", "weight", "bits1", "bits2"))
+    open_members = labelled.join(mixed, ["band", "key"]).join(
+        measured.select("id", F.col("to").alias("leader"), "apart", "lacks", "adds", "doubled"), ["id", "leader"]
+    )
+    open_members = settle(open_members)
     x, y = open_members.alias("x"), open_members.alias("y")
     different = F.bit_count(F.col("x.bits1").bitwiseXOR(F.col("y.bits1"))) + F.bit_count(F.col("x.bits2").bitwiseXOR(F.col("y.bits2")))
+    # |x - y| = |x - l| + |y - l| - 2 shared, and 0.8 asks for at most a ninth of both weights.
+    shared = _both(F.col("x.lacks"), F.col("y.lacks")) + _both(F.col("x.adds"), F.col("y.adds")) + F.least("x.doubled", "y.doubled")
+    apart = F.col("x.apart") + F.col("y.apart") - 2 * shared
     possible = (
         (F.col("x.band") == F.col("y.band"))
         & (F.col("x.key") == F.col("y.key"))
         & (F.col("x.id") < F.col("y.id"))
         & (F.col("x.label") != F.col("y.label"))
         & (different <= MAX_DIFFERENT_BITS)
-        & (F.least("x.weight", "y.weight") >= SIMILARITY * F.greatest("x.weight", "y.weight"))
+        & (5 * F.least("x.weight", "y.weight") >= 4 * F.greatest("x.weight", "y.weight"))
+        & (9 * apart <= F.col("x.weight") + F.col("y.weight"))
     )
-    others = x.join(y, possible).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(first_pairs, ["a", "b"], "left_anti")
-    others = settle(others)
+    others = settle(x.join(y, possible).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
     if not others.isEmpty():
-        labels = components(links.unionByName(linked(others, texts)).distinct())
+        labels = components(links.unionByName(linked(others, cells)).distinct())
 
     classed = entry.join(labels, "id", "left").select("h", "h2", F.coalesce("label", "id").alias("class_id"))
     return signed.select("doc_id", "h", "h2").join(classed, ["h", "h2"]).select("doc_id", "class_id")
