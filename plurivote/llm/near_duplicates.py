@@ -268,8 +268,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     )
     # One entry per text, under its least id.
     entry = signed.groupBy("h", "h2").agg(F.min("doc_id").alias("id"))
-    entries = signed.join(entry, ["h", "h2"]).where("doc_id = id AND weight > 0").select("id", "weight", "bits1", "bits2", "bands")
-    banded = settle(entries.select("id", "weight", "bits1", "bits2", F.posexplode("bands").alias("band", "key")).dropDuplicates(["id", "band", "key"]))
+    entries = signed.join(entry, ["h", "h2"]).where("doc_id = id AND weight > 0").dropDuplicates(["h", "h2", "id"])
+    entries = settle(entries.select("id", "weight", "bits1", "bits2", "bands"))
+    banded = entries.select("id", F.posexplode("bands").alias("band", "key"))
 
     sizes = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")).where("size > 1")
     members = settle(banded.join(sizes, ["band", "key"]))
@@ -290,12 +291,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     # Buckets that still hold several components: their members against those of the other components.
     labels = components(links)
-    labelled = star.select("band", "key", "id", "leader", "weight", "bits1", "bits2").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    labelled = star.select("band", "key", "id", "leader").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = labelled.groupBy("band", "key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("band", "key")
     open_members = labelled.join(mixed, ["band", "key"]).join(
         measured.select("id", F.col("to").alias("leader"), "apart", "lacks", "adds", "doubled"), ["id", "leader"]
     )
-    open_members = settle(open_members)
+    open_members = settle(open_members.join(entries.select("id", "weight", "bits1", "bits2"), "id"))
     x, y = open_members.alias("x"), open_members.alias("y")
     different = F.bit_count(F.col("x.bits1").bitwiseXOR(F.col("y.bits1"))) + F.bit_count(F.col("x.bits2").bitwiseXOR(F.col("y.bits2")))
     # |x - y| = |x - l| + |y - l| - 2 shared, and 0.8 asks for at most a ninth of both weights.
