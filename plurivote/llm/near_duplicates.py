@@ -49,7 +49,6 @@ COORDINATES = ROWS * BANDS
 DARTS = COORDINATES * (math.log(COORDINATES) + 2)
 LEAST_LEVEL = -10  # ranks below 2**-9 are one interval
 MAX_DIFFERENT_BITS = 28  # of 128: 12.8 are expected at 0.8, with a deviation of 3.4
-MAX_ROUNDS = 60
 
 
 def _poisson_steps(length: float) -> np.ndarray:
@@ -240,23 +239,57 @@ def linked(pairs: DataFrame, cells: DataFrame) -> DataFrame:
     return _with_cells(pairs, cells, "a", "b").where(similarity(F.col("_x"), F.col("_y")) >= SIMILARITY).select("a", "b")
 
 
+def _measured(df: DataFrame) -> DataFrame:
+    """The table settled, under its measured size.
+
+    A settled join counts as the product of its sides' sizes; over many rounds that number alone would take all the time.
+    """
+    held = df.persist()
+    try:
+        held.count()
+        return settle(held.select("*"))
+    finally:
+        held.unpersist()
+
+
+def _roots(both: DataFrame) -> DataFrame:
+    """``id, label``: every id's root, where each id hooks onto its least neighbour.
+
+    Along these hooks every second id never grows, so each way ends in two ids that name each other; the lower one is
+    the root. Jumps double how far an id sees until all see their root.
+    """
+    near = _measured(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label")))
+    back = near.select(F.col("id").alias("label"), F.col("label").alias("_back"))
+    root = (F.col("_back") == F.col("id")) & (F.col("id") < F.col("label"))
+    hooks = _measured(near.join(back, "label").select("id", F.when(root, F.col("id")).otherwise(F.col("label")).alias("label")))
+    while True:
+        ahead = hooks.select(F.col("id").alias("label"), F.col("label").alias("_ahead"))
+        jumped = _measured(hooks.join(ahead, "label").select("id", F.col("label").alias("_old"), F.col("_ahead").alias("label")))
+        hooks = jumped.select("id", "label")
+        if jumped.where("label <> _old").isEmpty():
+            return hooks
+
+
 def components(links: DataFrame) -> DataFrame:
     """``id, label``: the least id of the component, for every id that has a link.
 
-    Every round takes the least label around an id and then that label's own label, until none changes.
+    Every round the ids of a tree of hooks become one, and the links are drawn between the roots. Each id with a link hooks onto another,
+    so a round leaves at most half of them; the rounds end when no link is left.
     """
-    both = settle(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = settle(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    for _ in range(MAX_ROUNDS):
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("_near"))
-        stepped = labels.join(near, "id").select("id", F.col("label").alias("_old"), F.least("label", "_near").alias("label"))
-        ahead = labels.select(F.col("id").alias("label"), F.col("label").alias("_ahead"))
-        jumped = stepped.join(ahead, "label", "left").select("id", "_old", F.least(F.col("label"), F.col("_ahead")).alias("label"))
-        labels = settle(jumped)
-        if labels.where("label <> _old").isEmpty():
-            return labels.select("id", "label")
-        labels = labels.select("id", "label")
-    raise RuntimeError("components did not settle")
+    both = _measured(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = _roots(both)
+    roots = labels
+    while True:
+        for end in ("a", "b"):
+            both = both.join(roots.select(F.col("id").alias(end), F.col("label").alias("_root")), end).drop(end).withColumnRenamed("_root", end)
+        both = _measured(both.where("a <> b").select("a", "b").distinct())
+        if both.isEmpty():
+            break
+        roots = _roots(both)
+        up = roots.select(F.col("id").alias("label"), F.col("label").alias("_root"))
+        labels = _measured(labels.join(up, "label", "left").select("id", F.coalesce("_root", "label").alias("label")))
+    least = labels.groupBy("label").agg(F.min("id").alias("_least"))
+    return _measured(labels.join(least, "label").select("id", F.col("_least").alias("label")))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:

@@ -85,6 +85,37 @@ def test_second_round_finds_what_stars_miss(spark):
     assert {r["doc_id"]: r["class_id"] for r in N.near_duplicates(table).collect()} == classes(docs)
 
 
+def drifting(n, words=100, step=6):
+    """Texts of which each is near the next one only, with shuffled ids."""
+    ids, w = list(range(n)), made_text(4, words, VOCABULARY).split()
+    random.Random(n).shuffle(ids)
+    for i in range(n):
+        yield ids[i], " ".join(w)
+        for j in range(i * step, i * step + step):
+            w[j % words] = f"c{i}_{j}"
+
+
+def test_a_long_chain_is_one_class(spark):
+    docs = list(drifting(1000))
+    assert all(alike(s, t) >= 0.8 for (_, s), (_, t) in zip(docs, docs[1:])) and all(alike(s, t) < 0.8 for (_, s), (_, t) in zip(docs, docs[2:]))
+    got = N.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert len(got) == 1000 and {r["class_id"] for r in got} == {0}
+
+
+@pytest.mark.parametrize("reach", [1, 2])
+def test_components_of_long_chains_and_stars(spark, reach):
+    ids = list(range(3000))
+    random.Random(reach).shuffle(ids)
+    chain, sorted_chain = ids[:1500], sorted(ids[1500:2500])
+    links = [(c[i], c[i + k]) for c in (chain, sorted_chain) for k in range(1, reach + 1) for i in range(len(c) - k)]
+    star = ids[2500:]
+    links += [(max(star), x) for x in star if x != max(star)]
+    rng = random.Random(9)
+    links = [pair if rng.random() < 0.5 else pair[::-1] for pair in links]
+    got = {r["id"]: r["label"] for r in N.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {x: min(part) for part in (chain, sorted_chain, star) for x in part}
+
+
 def test_large_groups(spark):
     """Many exact and many near copies of one text."""
     base = made_text(2, 90, VOCABULARY).split()
