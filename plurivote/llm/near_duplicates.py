@@ -16,7 +16,7 @@ Signatures are cut into bands of ``ROWS`` coordinates; documents that share a ba
 * Linked documents form components. Where a bucket still holds several components, members of different ones may be
   linked without the leader. What a member shares with another beyond the leader is bounded exactly by what both
   lack of the leader and what both add to it, so each member carries these two sets as bits, and only pairs whose bits
-  allow 0.8 (and whose signatures do, within 4.5 standard deviations) are looked at. Random edits of one
+  allow 0.8 are written out. Random edits of one
   text share almost nothing there, so a large group of copies leaves few pairs; no link between
   different texts is given up, and the members of one component are never paired again.
 
@@ -48,7 +48,6 @@ ROWS, BANDS = 5, 26
 COORDINATES = ROWS * BANDS
 DARTS = COORDINATES * (math.log(COORDINATES) + 2)
 LEAST_LEVEL = -10  # ranks below 2**-9 are one interval
-MAX_DIFFERENT_BITS = 28  # of 128: 12.8 are expected at 0.8, with a deviation of 3.4
 
 
 def _poisson_steps(length: float) -> np.ndarray:
@@ -164,13 +163,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.zeros((batch.num_rows, BANDS), dtype=np.uint64)
         for row in range(ROWS):
             keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + names[:, row::ROWS])
-        bits = (names & 1).astype(np.uint64)
         weight = np.bincount(owner, minlength=batch.num_rows)
-        sketch = [(bits[:, i * 64 : i * 64 + 64] << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64) for i in range(2)]
         bands = pa.ListArray.from_arrays(np.arange(0, (batch.num_rows + 1) * BANDS, BANDS, dtype=np.int32), pa.array(keys.ravel().view(np.int64)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("h"), batch.column("h2"), pa.array(weight, pa.int64()), pa.array(sketch[0]), pa.array(sketch[1]), bands],
-            names=["doc_id", "h", "h2", "weight", "bits1", "bits2", "bands"],
+            [batch.column("doc_id"), batch.column("h"), batch.column("h2"), pa.array(weight, pa.int64()), bands],
+            names=["doc_id", "h", "h2", "weight", "bands"],
         )
 
 
@@ -297,12 +294,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     hashed = rows.withColumn("h", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(1), "text"))
     signed = settle(
-        hashed.mapInArrow(_sign, "doc_id bigint, h bigint, h2 bigint, weight bigint, bits1 bigint, bits2 bigint, bands array<bigint>")
+        hashed.mapInArrow(_sign, "doc_id bigint, h bigint, h2 bigint, weight bigint, bands array<bigint>")
     )
     # One entry per text, under its least id.
     entry = signed.groupBy("h", "h2").agg(F.min("doc_id").alias("id"))
     entries = signed.join(entry, ["h", "h2"]).where("doc_id = id AND weight > 0").dropDuplicates(["h", "h2", "id"])
-    entries = settle(entries.select("id", "weight", "bits1", "bits2", "bands"))
+    entries = settle(entries.select("id", "weight", "bands"))
     banded = entries.select("id", F.posexplode("bands").alias("band", "key"))
 
     sizes = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")).where("size > 1")
@@ -329,9 +326,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     open_members = labelled.join(mixed, ["band", "key"]).join(
         measured.select("id", F.col("to").alias("leader"), "apart", "lacks", "adds", "doubled"), ["id", "leader"]
     )
-    open_members = settle(open_members.join(entries.select("id", "weight", "bits1", "bits2"), "id"))
+    open_members = settle(open_members.join(entries.select("id", "weight"), "id"))
     x, y = open_members.alias("x"), open_members.alias("y")
-    different = F.bit_count(F.col("x.bits1").bitwiseXOR(F.col("y.bits1"))) + F.bit_count(F.col("x.bits2").bitwiseXOR(F.col("y.bits2")))
     # |x - y| = |x - l| + |y - l| - 2 shared, and 0.8 asks for at most a ninth of both weights.
     shared = _both(F.col("x.lacks"), F.col("y.lacks")) + _both(F.col("x.adds"), F.col("y.adds")) + F.least("x.doubled", "y.doubled")
     apart = F.col("x.apart") + F.col("y.apart") - 2 * shared
@@ -340,7 +336,6 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         & (F.col("x.key") == F.col("y.key"))
         & (F.col("x.id") < F.col("y.id"))
         & (F.col("x.label") != F.col("y.label"))
-        & (different <= MAX_DIFFERENT_BITS)
         & (5 * F.least("x.weight", "y.weight") >= 4 * F.greatest("x.weight", "y.weight"))
         & (9 * apart <= F.col("x.weight") + F.col("y.weight"))
     )

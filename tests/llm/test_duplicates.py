@@ -116,6 +116,28 @@ def test_components_of_long_chains_and_stars(spark, reach):
     assert got == {x: min(part) for part in (chain, sorted_chain, star) for x in part}
 
 
+def one_bucket(sign):
+    """Signatures that put all texts into one bucket, with bits, where rows carry any, that differ between even and odd ids."""
+
+    def signed(batches):
+        for batch in sign(batches):
+            made = {n: batch.column(n) for n in batch.schema.names}
+            bits = pa.array([-(d % 2) for d in batch.column("doc_id").to_pylist()], pa.int64())
+            made |= {n: bits for n in made if n.startswith("bits")} | {"bands": pa.array([[0] * N.BANDS] * batch.num_rows, pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
+
+    return signed
+
+
+def test_second_round_does_not_judge_by_signatures(spark, monkeypatch):
+    base = made_text(1, 200, VOCABULARY).split()
+    far = base[:100] + made_text(3, 100, VOCABULARY).split()
+    docs = [(0, " ".join(base)), (1, " ".join(far)), (2, " ".join([*far[:-1], "end"]))]
+    monkeypatch.setattr(N, "_sign", one_bucket(N._sign))
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert {r["doc_id"]: r["class_id"] for r in N.near_duplicates(table).collect()} == classes(docs) == {0: 0, 1: 1, 2: 1}
+
+
 def test_large_groups(spark):
     """Many exact and many near copies of one text."""
     base = made_text(2, 90, VOCABULARY).split()
