@@ -18,7 +18,8 @@ Signatures are cut into bands of ``ROWS`` coordinates; documents that share a ba
   lack of the leader and what both add to it, so each member carries these two sets as bits, and only pairs whose bits
   allow 0.8 are written out. Random edits of one
   text share almost nothing there, so a large group of copies leaves few pairs; no link between
-  different texts is given up, and the members of one component are never paired again.
+  different texts is given up, and only members outside the largest component
+  of a bucket are held against its others.
 
 The similarity is exact: shared weight over all weight of the runs (as 64-bit hashes of run and occurrence).
 
@@ -48,6 +49,7 @@ ROWS, BANDS = 5, 26
 COORDINATES = ROWS * BANDS
 DARTS = COORDINATES * (math.log(COORDINATES) + 2)
 LEAST_LEVEL = -10  # ranks below 2**-9 are one interval
+SALT_ROWS = 2_000  # members of a bucket that one group of the second round holds
 
 
 def _poisson_steps(length: float) -> np.ndarray:
@@ -289,6 +291,37 @@ def components(links: DataFrame) -> DataFrame:
     return _measured(labels.join(least, "label").select("id", F.col("_least").alias("label")))
 
 
+def _sides(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Who is held against whom in a bucket: the members outside its largest label against all, per ``(band, key, _salt)``.
+
+    Of two members with different labels one stands outside the largest. The members are dealt to salts
+    of about ``SALT_ROWS`` rows, and every outsider goes to each.
+    """
+    sizes = members.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "label"))["label"].alias("_largest"), F.ceil(F.sum("n") / SALT_ROWS).cast("int").alias("_salts"))
+    placed = members.join(largest, ["band", "key"]).withColumn("outside", F.col("label") != F.col("_largest"))
+    outside = placed.where("outside").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    return outside, placed.withColumn("_salt", F.pmod(F.xxhash64("id"), F.col("_salts")).cast("int"))
+
+
+def _open_pairs(members: DataFrame) -> DataFrame:
+    """``a, b``: members of one bucket with different labels whose bits allow a link."""
+    x, y = (side.alias(name) for side, name in zip(_sides(members), "xy", strict=True))
+    # |x - y| = |x - l| + |y - l| - 2 shared, and 0.8 asks for at most a ninth of both weights.
+    shared = _both(F.col("x.lacks"), F.col("y.lacks")) + _both(F.col("x.adds"), F.col("y.adds")) + F.least("x.doubled", "y.doubled")
+    apart = F.col("x.apart") + F.col("y.apart") - 2 * shared
+    possible = (
+        (F.col("x.band") == F.col("y.band"))
+        & (F.col("x.key") == F.col("y.key"))
+        & (F.col("x._salt") == F.col("y._salt"))
+        & (F.col("x.label") != F.col("y.label"))
+        & (~F.col("y.outside") | (F.col("x.id") < F.col("y.id")))
+        & (5 * F.least("x.weight", "y.weight") >= 4 * F.greatest("x.weight", "y.weight"))
+        & (9 * apart <= F.col("x.weight") + F.col("y.weight"))
+    )
+    return x.join(y, possible).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """``doc_id, class_id``, one row per input row."""
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -327,19 +360,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         measured.select("id", F.col("to").alias("leader"), "apart", "lacks", "adds", "doubled"), ["id", "leader"]
     )
     open_members = settle(open_members.join(entries.select("id", "weight"), "id"))
-    x, y = open_members.alias("x"), open_members.alias("y")
-    # |x - y| = |x - l| + |y - l| - 2 shared, and 0.8 asks for at most a ninth of both weights.
-    shared = _both(F.col("x.lacks"), F.col("y.lacks")) + _both(F.col("x.adds"), F.col("y.adds")) + F.least("x.doubled", "y.doubled")
-    apart = F.col("x.apart") + F.col("y.apart") - 2 * shared
-    possible = (
-        (F.col("x.band") == F.col("y.band"))
-        & (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.id") < F.col("y.id"))
-        & (F.col("x.label") != F.col("y.label"))
-        & (5 * F.least("x.weight", "y.weight") >= 4 * F.greatest("x.weight", "y.weight"))
-        & (9 * apart <= F.col("x.weight") + F.col("y.weight"))
-    )
-    others = settle(x.join(y, possible).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    others = settle(_open_pairs(open_members))
     if not others.isEmpty():
         labels = components(links.unionByName(linked(others, cells)).distinct())
 

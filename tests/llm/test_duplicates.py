@@ -138,6 +138,20 @@ def test_second_round_does_not_judge_by_signatures(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in N.near_duplicates(table).collect()} == classes(docs) == {0: 0, 1: 1, 2: 1}
 
 
+def test_second_round_looks_at_outsiders_only(spark, monkeypatch):
+    """300 linked copies and 4 outsiders of 3 labels: the looks grow with the copies, and no pair is given up."""
+    monkeypatch.setattr(N, "SALT_ROWS", 100, raising=False)
+    label = {i: 0 for i in range(300)} | {300: 300, 301: 300, 302: 302, 303: 303}
+    made = [(1, 7, i, 0, lab, 0, [0], [0], 0, 50) for i, lab in label.items()]
+    kinds = "band int, key bigint, id bigint, leader bigint, label bigint, apart int, lacks array<bigint>, adds array<bigint>, doubled int, weight bigint"
+    members = spark.createDataFrame(made, kinds)
+    outside, all_ = N._sides(members)
+    assert {r["id"] for r in outside.collect()} == {300, 301, 302, 303}
+    assert outside.select("band", "key", "_salt").join(all_, ["band", "key", "_salt"]).count() == 4 * 304
+    got = {tuple(r) for r in N._open_pairs(members).collect()}
+    assert got == {(a, b) for a in label for b in label if a < b and label[a] != label[b]}
+
+
 def test_large_groups(spark):
     """Many exact and many near copies of one text."""
     base = made_text(2, 90, VOCABULARY).split()
