@@ -208,8 +208,8 @@ coded AS (SELECT conv_id, turn, role, text, {_CRC.format("k")} % 20 AS f FROM na
 rows AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
     CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
     FROM coded, range(2) r(c) WHERE f <> 0 AND (c = 0 OR f = 3)),
-seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS i,
-    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut FROM rows),
+told AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again FROM rows),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text), again) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut FROM told),
 turns AS (SELECT *, CASE WHEN cut = '' THEN 2 WHEN again > 1 THEN 3 WHEN right(cut, 1) IN ('.', '!', '?') THEN 0 ELSE 1 END AS state, left(role, 1) AS c FROM seen),
 paired AS (SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair FROM turns),
 counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (state = 2) AS blank,
