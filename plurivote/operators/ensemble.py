@@ -1,24 +1,29 @@
 """Majority-vote ensembles over every combination of model families.
 
-Families enter an ensemble whole, so votes are first added up per item and family;
-each ensemble then adds three or five of those sums instead of nine or fifteen votes.
+Families enter an ensemble whole, so votes are first added up per item and family. The votes of all
+ensembles are those sums times a matrix that says which family is in which ensemble; a task multiplies its own items.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from plurivote.functions import text as T
-from plurivote.operators.metrics import classification_metrics, join_truth
+from plurivote.operators.metrics import join_truth, metrics_of_counts
 from plurivote.operators.ranking import is_control
 from plurivote.session import small_side
 
-MAX_INLINE_ENSEMBLES = 200  # votes of more ensembles are counted by the join form, with the same result
+BLOCK_ENSEMBLES = 1 << 12  # ensembles whose votes a task adds up at once
+BLOCK_ITEMS = 1 << 10
+BLOCK_ROWS = 1 << 16  # votes that leave a task at once
 MASK_FAMILIES = 31  # up to so many families an ensemble's id is their bit mask
 
 
@@ -73,7 +78,7 @@ def inducer_combinations(families: DataFrame, sizes: Sequence[int], family: str
 def _runs(combinations: DataFrame, models: DataFrame) -> DataFrame:
     """Run names per family, from the models that exist; a family without a run fails."""
     runs = models.select("model_name", T.model_family(F.col("model_name")).alias("family")).distinct()
-    runs = small_side(runs.groupBy("family").agg(F.array_sort(F.collect_list("model_name")).alias("_models")))
+    runs = small_side(runs.groupBy("family").agg(F.array_sort(F.collect_list("model_name")).alias("_models")), short=True)
     missing = combinations.select(F.explode("inducers").alias("family")).distinct().join(runs, "family", "left_anti").limit(5).collect()
     if missing:
         raise ValueError(f"families without a run: {sorted(r['family'] for r in missing)}")
@@ -110,7 +115,7 @@ def pick_predictions(predictions: DataFrame, chosen: DataFrame) -> DataFrame:
     named = chosen.select("selection", "model_name", "epoch_no", T.model_family(F.col("model_name")).alias("family"))
     return (
         predictions.select("model_name", "epoch_no", "item_id", "pred")
-        .join(small_side(named), ["model_name", "epoch_no"])
+        .join(small_side(named, short=True), ["model_name", "epoch_no"])
         .select("selection", "item_id", "model_name", "family", "pred")
     )
 
@@ -124,85 +129,134 @@ def vote_winner(votes: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def _text(value: str) -> str:
-    """A SQL string literal."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+class _Ensembles:
+    """The ensembles as a list of member families, held by the driver and shipped to the tasks in blocks.
 
-
-def _inline_ballots(picked: DataFrame, rows: Sequence, truth: DataFrame | None = None) -> DataFrame:
-    """Winner of every ensemble on every item, from one shuffle on the item.
-
-    An item becomes one row of vote counts per (selection, family, class); all
-    ensembles are evaluated on that row. With ``truth`` the item's label stands beside.
+    Families and selection rules are short lists; ``classes`` are those that occur, in ascending order.
     """
-    # Selection rules and classes: two short lists, found in one pass.
-    seen = picked.agg(F.collect_set("selection").alias("selections"), F.collect_set("pred").alias("classes")).first()
-    selections, classes = sorted(seen["selections"]), sorted(seen["classes"])
-    families = sorted({f for r in rows for f in r["inducers"]})
-    slots = [(s, f) for s in selections for f in families]
-    keep = ["item_id"] if truth is None else ["item_id", "label"]
-    if not slots or not classes:
-        empty = picked.join(truth, "item_id") if truth is not None else picked
-        votes = ["selection", F.lit(0).alias("ensemble_id"), "pred", F.lit(0).cast("bigint").alias("ballots"), F.lit(0).cast("bigint").alias("winning_votes")]
-        return empty.select(*keep, *votes).limit(0)
-    # The plan is written as SQL text: one short expression per counter and per ensemble.
-    slot = F.array_position(F.array(*[F.array(F.lit(s), F.lit(f)) for s, f in slots]), F.array("selection", "family"))
-    place = {pair: f"v_{i}" for i, pair in enumerate(slots, 1)}
-    counters = [F.expr(f"count_if(slot = {i} AND pred = {c}) AS v_{i}_{k}") for i in range(1, len(slots) + 1) for k, c in enumerate(classes)]
-    items = picked.select("item_id", slot.alias("slot"), "pred").groupBy("item_id").agg(*counters)
-    if truth is not None:
-        items = join_truth(items, truth)
-
-    def ballot(selection, row):
-        votes = [" + ".join(f"{place[selection, f]}_{k}" for f in row["inducers"]) for k in range(len(classes))]
-        most = f"greatest({', '.join(votes)}, 0)"
-        winner = " ".join(f"WHEN {total} = {most} THEN {c}" for c, total in zip(classes, votes, strict=True))
-        return (
-            f"struct({_text(selection)} AS selection, {row['ensemble_id']} AS ensemble_id, CASE WHEN {most} = 0 THEN NULL {winner} END AS pred, "
-            f"{' + '.join(votes)} AS ballots, {most} AS winning_votes)"
-        )
-
-    ballots = ", ".join(ballot(s, r) for s in selections for r in rows)
-    return items.selectExpr(*keep, f"inline(array({ballots}))").where("pred IS NOT NULL")
-
-
-def _joined_ballots(picked: DataFrame, combinations: DataFrame) -> DataFrame:
-    """The same for any number of ensembles: the family sums of an item are joined to the ensembles that hold the family."""
-    family_votes = (
-        picked.where(F.col("pred").isNotNull()).groupBy("selection", "item_id", "family", "pred").agg(F.count(F.lit(1)).alias("_votes"))
-    )
-    holds = small_side(combinations.select("ensemble_id", F.explode("inducers").alias("family")))
-    votes = family_votes.join(holds, "family").groupBy("selection", "ensemble_id", "item_id", "pred").agg(F.sum("_votes").alias("votes"))
-    return vote_winner(votes, ["selection", "ensemble_id", "item_id"])
-
 
-def _few(combinations: DataFrame, picked: DataFrame) -> list | None:
-    """The ensembles as a list if they are few enough to be written into one plan."""
-    rows = combinations.select("ensemble_id", "size", "inducers").limit(MAX_INLINE_ENSEMBLES + 1).collect()
-    return rows if len(rows) <= MAX_INLINE_ENSEMBLES else None
+    def __init__(self, picked: DataFrame, combinations: DataFrame):
+        rows = combinations.select("ensemble_id", "inducers").toArrow()
+        members = rows.column("inducers").combine_chunks()
+        self.ids = rows.column("ensemble_id").to_numpy()
+        names = members.flatten().to_pylist()
+        self.families = sorted(set(names))
+        place = {f: i for i, f in enumerate(self.families)}
+        self.family = np.array([place[f] for f in names], dtype=np.int32)
+        self.bounds = np.concatenate([[0], np.cumsum(members.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        seen = picked.agg(F.collect_set("selection").alias("selections"), F.collect_set("pred").alias("classes")).first()
+        self.selections, self.classes = sorted(seen["selections"]), sorted(seen["classes"])
+
+    def blocks(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of ensembles and the matrix that holds 1 where a family (row) is in an ensemble (column)."""
+        made = []
+        for low in range(0, len(self.ids), BLOCK_ENSEMBLES):
+            high = min(low + BLOCK_ENSEMBLES, len(self.ids))
+            column = np.repeat(np.arange(high - low), np.diff(self.bounds[low : high + 1]))
+            holds = np.zeros((len(self.families), high - low), dtype=np.float32)
+            holds[self.family[self.bounds[low] : self.bounds[high]], column] = 1
+            made.append((self.ids[low:high], holds))
+        return made
+
+    def items(self, picked: DataFrame) -> DataFrame:
+        """One row per item with the votes of its models: the one shuffle of a vote."""
+        names = [F.array(F.lit(s), F.lit(f)) for s in self.selections for f in self.families]
+        slot = F.array_position(F.array(*names).cast("array<array<string>>"), F.array("selection", "family")) - 1
+        voted = F.array_position(F.array(*[F.lit(c) for c in self.classes]).cast(f"array<{dict(picked.dtypes)['pred']}>"), F.col("pred")) - 1
+        votes = picked.where("pred IS NOT NULL").select("item_id", slot.cast("int").alias("slot"), voted.cast("int").alias("voted"))
+        return votes.where("slot >= 0").groupBy("item_id").agg(F.collect_list(F.struct("slot", "voted")).alias("votes"))
+
+    def tallies(self, blocks):
+        """For an Arrow batch: rows, selection, ids of a block of ensembles, winning class, its votes and all votes."""
+        shape = (len(self.selections), len(self.families), len(self.classes))
+
+        def run(batch: pa.RecordBatch):
+            for start in range(0, batch.num_rows, BLOCK_ITEMS):
+                part = batch.slice(start, BLOCK_ITEMS)
+                votes, n = part.column("votes"), part.num_rows
+                flat = votes.flatten()
+                row = np.repeat(np.arange(n), votes.value_lengths().to_numpy(zero_copy_only=False))
+                at = (row * shape[0] * shape[1] + flat.field("slot").to_numpy()) * shape[2] + flat.field("voted").to_numpy()
+                counts = np.bincount(at, minlength=n * shape[0] * shape[1] * shape[2]).reshape(n, *shape).astype(np.float32)
+                for s in range(shape[0]):
+                    for ids, holds in blocks:
+                        totals = np.stack([counts[:, s, :, c] @ holds for c in range(shape[2])])
+                        # The first of the largest is the lowest class.
+                        yield part, s, ids, totals.argmax(axis=0), totals.max(axis=0), totals.sum(axis=0)
+
+        return run
 
 
 def majority_vote(picked: DataFrame, combinations: DataFrame) -> DataFrame:
     """Vote of every ensemble on every item: winner (the lowest class on ties), its votes, and all votes.
 
-    A null prediction is no vote; an ensemble without a vote on an item has no row there.
+    A null prediction is no vote; an ensemble without a vote on an item has no row there. Votes are added up per item
+    and family, and these sums times the membership matrix are the ensembles' votes: one shuffle, on the item.
     """
-    rows = _few(combinations, picked)
-    ballots = _joined_ballots(picked, combinations) if rows is None else _inline_ballots(picked, rows)
-    sizes = small_side(combinations.select("ensemble_id", "size"))
-    return ballots.join(sizes, "ensemble_id").select("selection", "ensemble_id", "size", "item_id", "pred", "ballots", "winning_votes")
+    known = _Ensembles(picked, combinations)
+    kinds = dict(picked.dtypes) | dict(combinations.dtypes)
+    schema = f"selection string, ensemble_id {kinds['ensemble_id']}, item_id {kinds['item_id']}, pred {kinds['pred']}, ballots bigint, winning_votes bigint"
+    if not len(known.ids) or not known.classes:
+        found = picked.sparkSession.createDataFrame([], schema)
+    else:
+        tallied, classes, selections = known.tallies(known.blocks()), np.array(known.classes), known.selections
+        kind = to_arrow_type(picked.schema["pred"].dataType)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, s, ids, winner, most, ballots in tallied(batch):
+                    row, column = np.nonzero(most > 0)
+                    for low in range(0, len(row), BLOCK_ROWS):
+                        r, c = row[low : low + BLOCK_ROWS], column[low : low + BLOCK_ROWS]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([selections[s]] * len(r), pa.string()),
+                                pa.array(ids[c]),
+                                part.column("item_id").take(pa.array(r)),
+                                pa.array(classes[winner[r, c]]).cast(kind),
+                                pa.array(ballots[r, c].astype(np.int64)),
+                                pa.array(most[r, c].astype(np.int64)),
+                            ],
+                            names=["selection", "ensemble_id", "item_id", "pred", "ballots", "winning_votes"],
+                        )
+
+        found = known.items(picked).mapInArrow(run, schema)
+    sizes = small_side(combinations.select("ensemble_id", "size"), short=True)
+    return found.join(sizes, "ensemble_id").select("selection", "ensemble_id", "size", "item_id", "pred", "ballots", "winning_votes")
 
 
 def ensemble_scores(picked: DataFrame, truth: DataFrame, combinations: DataFrame) -> DataFrame:
     """Accuracy and F1 of every ensemble over the items it votes on.
 
-    The votes of single ensembles are never moved, only their score counts, while the ensembles
-    are few; many are voted by the join form. The result is the same.
+    The votes of single ensembles are never made into rows: a task adds up the score counts of its own items
+    and gives out one row per ensemble, for any number of ensembles.
     """
-    rows = _few(combinations, picked)
-    votes = join_truth(_joined_ballots(picked, combinations), truth) if rows is None else _inline_ballots(picked, rows, truth)
-    scored = classification_metrics(votes, ["selection", "ensemble_id"])
-    named = small_side(combinations.select("ensemble_id", "size", "inducers"))
+    known = _Ensembles(picked, combinations)
+    kinds = dict(combinations.dtypes)
+    schema = f"selection string, ensemble_id {kinds['ensemble_id']}, n bigint, _hit bigint, _tp bigint, _fp bigint, _fn bigint"
+    if not len(known.ids) or not known.classes:
+        counts = picked.sparkSession.createDataFrame([], schema)
+    else:
+        tallied, classes, selections = known.tallies(known.blocks()), np.array(known.classes, dtype=np.float64), known.selections
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple[int, int], list] = {}
+            for batch in batches:
+                for part, s, ids, winner, most, _ in tallied(batch):
+                    label = part.column("label").cast(pa.float64()).to_numpy(zero_copy_only=False)[:, None]
+                    voted, pred = most > 0, classes[winner]
+                    one, other = voted & (pred == 1), (label != 1) & ~np.isnan(label)
+                    found = [voted, voted & (pred == label), one & (label == 1), one & other, voted & ~one & (label == 1)]
+                    held = sums.setdefault((s, int(ids[0])), [ids, np.zeros((5, len(ids)), dtype=np.int64)])
+                    held[1] += np.stack([x.sum(axis=0) for x in found])
+            for (s, _), (ids, total) in sums.items():
+                some = np.flatnonzero(total[0])
+                columns = [pa.array([selections[s]] * len(some), pa.string()), pa.array(ids[some]), *[pa.array(x[some]) for x in total]]
+                yield pa.RecordBatch.from_arrays(columns, names=["selection", "ensemble_id", "n", "_hit", "_tp", "_fp", "_fn"])
+
+        counts = join_truth(known.items(picked), truth).mapInArrow(run, schema)
+    scored = metrics_of_counts(counts, ["selection", "ensemble_id"])
+    named = small_side(combinations.select("ensemble_id", "size", "inducers"), short=True)
     return scored.join(named, "ensemble_id").select("selection", "ensemble_id", "size", "inducers", "n", "accuracy", "f1")
 
 
@@ -222,9 +276,11 @@ def ensemble_leaderboard(scored: DataFrame, metrics: dict[str, str], dataset: st
         lambda rest, kv: F.when(F.col("selection") == kv[0], F.col(kv[1])).otherwise(rest), metrics.items(), F.lit(None)
     )
     place = Window.partitionBy("ensemble_type").orderBy(F.desc("_ranked_by"), "ensemble_id")
+    # The votes are counted once; members, places and the board itself are made from the scores.
+    scored = small_side(scored, short=True)
     members = ensemble_membership(scored.select("ensemble_id", "size", "inducers").distinct(), models)
     spec = members.groupBy("ensemble_id").agg(F.array_sort(F.collect_list("model_name")).alias("inducers_spec"))
-    scored = scored.join(small_side(spec), "ensemble_id")
+    scored = scored.join(small_side(spec, short=True), "ensemble_id")
     return (
         scored.withColumn("ensemble_type", F.concat(F.col("selection"), F.lit("_"), word, F.lit("-model")))
         .withColumn("_ranked_by", ranked_by)

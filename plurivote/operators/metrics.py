@@ -66,6 +66,12 @@ def classification_metrics(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(*_counts()).select(*by, "n", *_binary_columns())
 
 
+def metrics_of_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The same from rows that already hold counts (``n, _hit, _tp, _fp, _fn``), added up per group."""
+    sums = counts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", "_hit", "_tp", "_fp", "_fn")])
+    return sums.select(*by, "n", *_binary_columns())
+
+
 def per_class_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """True positives, false positives and false negatives of every class."""
     cells = df.groupBy(*by, "label", "pred").agg(F.count(F.lit(1)).alias("_rows"))

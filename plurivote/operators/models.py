@@ -1,8 +1,8 @@
-"""Fitting and scoring text classifiers with Spark ML.
+"""Fitting and scoring text classifiers.
 
-Stand-ins for fine-tuning a language model on one device: hashed words and logistic
-regression, fitted on all rows in parallel. ``stacked_transfer`` hands the first
-task's probabilities to the second task as features; it does not move weights.
+Stand-ins for fine-tuning a language model on one device, fitted on all rows in parallel: replicas, per-epoch
+snapshots and weight transfer with the network of ``training``; whole pipelines of Spark ML to be saved and loaded.
+``stacked_transfer`` hands the first task's probabilities to the second task as features.
 """
 
 from __future__ import annotations
@@ -13,15 +13,16 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plurivote.functions import scores as S
 from plurivote.functions.keys import uniform
 from plurivote.functions.text import epoch_tag
 from plurivote.operators import metrics as M
+from plurivote.operators import training as N
 from plurivote.operators.encode import make_batches
-from plurivote.session import settle
+from plurivote.session import settle, spread_small
 
 
 def word_features(width: int = 1 << 12) -> Pipeline:
@@ -45,9 +46,9 @@ def fit_text_model(train: DataFrame, passes: int, width: int = 1 << 12, weight:
     return Pipeline(stages=[*word_features(width).getStages(), classifier(passes, weight=weight)]).fit(train)
 
 
-def resample(train: DataFrame, run: int, share: float = 0.9) -> DataFrame:
-    """The part of the train rows a replica sees: a fixed draw per run and item."""
-    return train.where(uniform(f"run{run}", "item_id") < share)
+def seen(run: int, share: float = 0.9) -> Column:
+    """Does a replica see the row? A fixed draw per run and item."""
+    return uniform(f"run{run}", "item_id") < share
 
 
 def score(model, rows: DataFrame, model_name: str, epoch_no: int, keep: Sequence[str] = ()) -> DataFrame:
@@ -64,20 +65,6 @@ def score(model, rows: DataFrame, model_name: str, epoch_no: int, keep: Sequence
     )
 
 
-def score_all(models: Sequence[tuple[str, int, object]], rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Long predictions of many models from one pass over the rows."""
-    for i, (_, _, model) in enumerate(models):
-        # Only the logits are made; empty names switch the other outputs off.
-        quiet = model.copy({model.rawPredictionCol: f"_raw{i}", model.probabilityCol: "", model.predictionCol: ""})
-        rows = quiet.transform(rows)
-    each = [
-        F.struct(F.lit(name).alias("model_name"), F.lit(epoch_no).alias("epoch_no"), vector_to_array(f"_raw{i}").alias("logits"))
-        for i, (name, epoch_no, _) in enumerate(models)
-    ]
-    found = rows.select("item_id", F.col("label").cast("int").alias("label"), *keep, F.inline(F.array(*each)))
-    return found.select("model_name", "epoch_no", "item_id", S.argmax(F.col("logits")).alias("pred"), "logits", "label", *keep)
-
-
 def fit_and_score(
     train: DataFrame,
     test: DataFrame,
@@ -85,37 +72,61 @@ def fit_and_score(
     runs: Sequence[int] = (1, 2, 3),
     epochs: Sequence[int] = tuple(range(1, 11)),
     keep: Sequence[str] = (),
+    steps: int = 2,
 ) -> DataFrame:
-    """Predictions of every replica (``name_01`` …) after each number of passes.
+    """Predictions of every replica (``name_01`` …) after each of the ``epochs``.
 
-    ``train`` may have a ``weight`` column. Train and test texts are hashed once each; the
-    hashed test rows are settled and scored by all models in one pass.
+    All replicas are trained once, in the same passes over the hashed rows; what they know after an epoch
+    is kept, and all of it scores the test rows in one pass. A replica differs in its first weights and in the rows
+    it sees (``seen``). ``train`` may have a ``weight`` column. Classes are 0 … the greatest label.
     """
-    words = word_features()
-    weight = "weight" if "weight" in train.columns else None
-    features = words.fit(train).transform(train).select("item_id", "label", "hashed", *([weight] if weight else [])).persist()
-    try:
-        fitted = [
-            (f"{name}_{run:02d}", passes, classifier(passes, weight=weight).fit(resample(features, run))) for run in runs for passes in epochs
-        ]
-    finally:
-        features.unpersist()
-    rows = settle(words.fit(test).transform(test).select("item_id", "label", "hashed", *keep))
-    return score_all(fitted, rows, keep)
+    counts = F.col("weight").cast("double") if "weight" in train.columns else F.lit(1.0)
+    each = [F.when(seen(run), counts).otherwise(0.0).alias(f"_run{run}") for run in runs]
+    rows = settle(spread_small(N.features(train, keep=each)))
+    classes = max(2, 1 + (rows.agg(F.max("label")).first()[0] or 0))
+    kept = []
+    networks = [N.new_network(classes, run) for run in runs]
+    for trained, _ in N.train(rows, networks, max(epochs), [f"_run{run}" for run in runs], steps):
+        kept += [(f"{name}_{run:02d}", n.epoch, n) for run, n in zip(runs, trained, strict=True) if n.epoch in epochs]
+    return N.score(kept, N.features(test, keep=keep), keep)
 
 
 def validation_curve(
     train: DataFrame, validation: DataFrame, name: str, epochs: Sequence[int] = tuple(range(1, 11)), batch_size: int = 16
 ) -> DataFrame:
-    """Batch-mean metrics and loss on the validation rows after each number of passes."""
+    """Batch-mean metrics and loss on the validation rows after each epoch of one training run."""
     # Batches are cut on the ids; the texts are joined to them.
     batches = make_batches(validation.select("item_id"), "item_id", batch_size)
     rows = settle(fit_and_score(train, validation.join(batches, "item_id"), name, [1], epochs, ["batch_id"]))
+    return curve_of(rows)
+
+
+def curve_of(rows: DataFrame) -> DataFrame:
+    """The curve from stored predictions with their ``batch_id``."""
     by = ["model_name", "epoch_no"]
     losses = M.cross_entropy(rows, "logits", "label", by).select(*by, "loss")
     return M.batch_mean_metrics(rows, "batch_id", by).join(losses, by)
 
 
+def weight_transfer(
+    first_train: DataFrame, train: DataFrame, test: DataFrame, name: str, first_epochs: int = 5, epochs: int = 5, steps: int = 2
+) -> DataFrame:
+    """Train on an intermediate task, carry the hidden layer over, make the head anew, train on the target.
+
+    The tasks may differ in their classes. Predictions of the test rows after each epoch on the target.
+    """
+
+    def learn(rows: DataFrame, network: N.Network | None, number: int) -> list[N.Network]:
+        counts = F.col("weight").cast("double") if "weight" in rows.columns else F.lit(1.0)
+        held = settle(spread_small(N.features(rows, keep=[counts.alias("_weight")])))
+        classes = max(2, 1 + (held.agg(F.max("label")).first()[0] or 0))
+        start = N.new_network(classes) if network is None else N.with_new_head(network, classes)
+        return [n[0] for n, _ in N.train(held, [start], number, ["_weight"], steps)]
+
+    intermediate = learn(first_train, None, first_epochs)[-1]
+    return N.score([(name, n.epoch, n) for n in learn(train, intermediate, epochs)], N.features(test))
+
+
 def stacked_transfer(
     first_train: DataFrame, train: DataFrame, test: DataFrame, name: str, passes: int = 10
 ) -> DataFrame:

@@ -66,28 +66,30 @@ def class_sizes(df: DataFrame, label: str) -> DataFrame:
 
 
 def rank_cuts(
-    df: DataFrame, id_col: Ids, ranks: dict[str, Column | int], seed=1, by: Sequence[str] = ()
+    df: DataFrame, id_col: Ids, ranks: dict[str, Column | int], seed=1, by: Sequence[str] = (), least: Column | None = None
 ) -> DataFrame:
     """For each class the key of its n-th row in random order, one struct column per name.
 
-    ``ranks`` maps an output name to n: a number, or an expression over
-    ``class_rows`` (rows of the class) and ``least_rows`` (rows of the smallest
-    class). A cut of rank 0 is null. Fails when a class has fewer rows than asked.
+    ``ranks`` maps an output name to n: a number, or an expression over ``class_rows`` (rows of the class) and, where
+    ``least`` is given, ``least_rows`` (the least value of that expression over all classes). A cut of rank 0 is null. Fails
+    when a class has fewer rows than asked.
     """
     by = list(by)
     keyed = _keyed(df, id_col, seed, by)
     for c in by:
         keyed = keyed.where(F.col(c).isNotNull())
     groups = by or [_WHOLE]
-    counted = settle(_slices(keyed, groups))
-    least = counted.select(F.min("class_rows")).scalar()
+    slices = _slices(keyed, groups)
+    if least is not None:
+        slices = settle(slices)
+        slices = slices.withColumn("least_rows", slices.select(F.min(least)).scalar())
     wanted = F.array(
         *[
             F.struct(F.lit(name).alias("_cut"), (n if isinstance(n, Column) else F.lit(n)).cast("bigint").alias("_n"))
             for name, n in ranks.items()
         ]
     )
-    slices = counted.withColumn("least_rows", least).withColumn("_want", F.explode(wanted))
+    slices = slices.withColumn("_want", F.explode(wanted))
     slices = slices.select(*groups, "_bucket", "_rows", "_upto", "class_rows", "_want.*")
     # The slice that holds each cut, and the last slice of a class that is too small.
     short = F.col("_n") > F.col("class_rows")
@@ -96,7 +98,8 @@ def rank_cuts(
     at = small_side(
         slices.where(holds | (short & last)).select(
             *groups, "_bucket", "_cut", "_n", "class_rows", (F.col("_n") - F.col("_upto") + F.col("_rows")).alias("_nth")
-        )
+        ),
+        short=True,
     )
     too_small = at.where(short).select(*by, "class_rows", F.col("_n").alias("wanted")).first()
     if too_small is not None:
@@ -112,7 +115,7 @@ def rank_cuts(
     cuts = nth.groupBy(*groups).agg(
         *[F.max(F.when(F.col("_cut") == name, F.struct(_KEY, "_id"))).alias(name) for name in ranks], F.max("_twin").alias("_twin")
     )
-    cuts = small_side(cuts)
+    cuts = small_side(cuts, short=True)
     if cuts.where("_twin").first() is not None:
         raise ValueError(f"{_ids(id_col)} repeats at a cut: name the columns that tell the rows apart")
     return cuts.drop("_twin")
@@ -178,7 +181,9 @@ def stratified_sample_n(df: DataFrame, id_col: Ids, label: str, n: int | Column,
 
 def undersample_balance(df: DataFrame, id_col: Ids, label: str, seed=1) -> DataFrame:
     """Every class cut to the size of the smallest one."""
-    return stratified_sample_n(df, id_col, label, F.col("least_rows"), seed)
+    cuts = rank_cuts(df, id_col, {"cut": F.col("least_rows")}, seed, [label], F.col("class_rows"))
+    rows, cut = _with_cuts(df, id_col, cuts, ["cut"], seed, [label])
+    return rows.where(_at_or_before(F.col("_own"), cut["cut"])).select(*df.columns)
 
 
 def assign_split(
@@ -194,11 +199,7 @@ def assign_split(
     Sizes are row counts, or shares when below 1; with ``label`` they hold per class.
     """
     by = [label] if label else []
-
-    def size(n):
-        return F.floor(F.col("class_rows") * F.lit(float(n))) if isinstance(n, float) and n < 1 else F.lit(int(n))
-
-    ranks = {"cut_test": size(test), "cut_validation": size(test) + size(validation)}
+    ranks = {"cut_test": _share(test), "cut_validation": _share(test) + _share(validation)}
     cuts = rank_cuts(df, id_col, ranks, seed, by)
     rows, cut = _with_cuts(df, id_col, cuts, list(ranks), seed, by)
     own = F.col("_own")
@@ -210,6 +211,29 @@ def assign_split(
     return rows.withColumn("split", split).select(*df.columns, "split")
 
 
+def _share(n: int | float) -> Column:
+    """A number of rows, or a share of the class below 1."""
+    return F.floor(F.col("class_rows") * F.lit(float(n))) if isinstance(n, float) and n < 1 else F.lit(int(n))
+
+
+def _split_evenly(df: DataFrame, id_col: Ids, label: str, test: int | float, validation: int | float, train: int | None, seed) -> DataFrame:
+    """Test, validation and equally many train rows of every class (``train``, or what the smallest class has left).
+
+    All three parts are stretches of one random order, so one search finds all cuts.
+    """
+    before = _share(test) + _share(validation)
+    left = F.col("class_rows") - before
+    wanted = F.when(left > 0, F.col("least_rows") if train is None else F.lit(train)).otherwise(0)
+    ranks = {"cut_test": _share(test), "cut_validation": before, "cut_train": before + wanted}
+    least = F.when(left > 0, left) if train is None else None
+    cuts = rank_cuts(df, id_col, ranks, seed, [label], least)
+    rows, cut = _with_cuts(df, id_col, cuts, list(ranks), seed, [label])
+    own = F.col("_own")
+    names = {"test": "cut_test", "validation": "cut_validation", "train": "cut_train"}
+    split = F.coalesce(*[F.when(_at_or_before(own, cut[c]), name) for name, c in names.items()])
+    return rows.withColumn("split", split).where("split IS NOT NULL").select(*df.columns, "split")
+
+
 def oversample_balance(
     df: DataFrame, id_col: Ids, label: str, seed=1, keep_original: bool = False
 ) -> DataFrame:
@@ -221,7 +245,7 @@ def oversample_balance(
     drawn. Draw d of a class takes its row number ``hash(seed:label:d) % rows``.
     """
     spark = df.sparkSession
-    sizes = small_side(class_sizes(df, label))
+    sizes = small_side(class_sizes(df, label), short=True)
     # The least struct is the class with the most rows, the lowest label among equals.
     top = sizes.agg(
         F.min(F.struct((-F.col("class_rows")).alias("less"), F.col(label).alias("label"))).alias("largest"),
@@ -282,6 +306,8 @@ def three_way_split(
     """
     if balance is not None or per_class:
         df = df.where(F.col(label).isNotNull())
+    if per_class and balance is not None and balance != "over":
+        return _split_evenly(df, id_col, label, test, validation, None if balance == "under" else int(balance), seed)
     # The parts are cut on ids and labels; with a narrow table they are computed once for all that follows.
     parts = assign_split(df, id_col, test, validation, seed, label if per_class else None)
     if set(df.columns) <= {*_ids(id_col), label}:

@@ -96,7 +96,7 @@ def rough_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per model and epoch. Computed once: the table is as long as the model list."""
-    return small_side(M.evaluate_models(predictions(spark, sf_dir), truth(spark, sf_dir)))
+    return small_side(M.evaluate_models(predictions(spark, sf_dir), truth(spark, sf_dir)), short=True)
 
 
 def combinations(scores_: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def picked(spark: SparkSession, sf_dir: str, scores_: DataFrame) -> DataFrame:
 
 
 def ensemble_scores(spark: SparkSession, sf_dir: str, scores_: DataFrame) -> DataFrame:
-    return E.ensemble_scores(picked(spark, sf_dir, scores_), truth(spark, sf_dir), small_side(combinations(scores_)))
+    return E.ensemble_scores(picked(spark, sf_dir, scores_), truth(spark, sf_dir), small_side(combinations(scores_), short=True))
 
 
 def leaderboard(spark: SparkSession, sf_dir: str, scores_: DataFrame) -> DataFrame:

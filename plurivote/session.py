@@ -60,12 +60,19 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES, short: bool = False) -> DataFrame:
     """Compute a narrow per-group table once, ready to be joined to wide rows.
 
     It is measured where it is computed. Up to both bounds its rows are held by the plan itself and
     broadcast. Beyond them it is settled in the shared folder and the join that uses it shuffles.
+    ``short`` says that a row is a few numbers, keys and names: then no more than ``max_rows`` + 1 of them are
+    fetched at once, and only a longer table is computed a second time.
     """
+    if short:
+        found = df.limit(max_rows + 1).toArrow()
+        if found.num_rows > max_rows or found.nbytes > max_bytes:
+            return settle(df)
+        return F.broadcast(df.sparkSession.createDataFrame(found, schema=df.schema))
     held = df.persist()
     try:
         width = F.octet_length(F.to_json(F.struct("*"))) if df.columns else F.lit(0)

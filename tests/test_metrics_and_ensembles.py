@@ -130,19 +130,55 @@ def test_vote_ties_take_the_lowest_class(spark, voting):
         assert v["pred"] == plain_vote(rows, members[v["ensemble_id"]], v["item_id"])
 
 
-def test_both_vote_forms_agree(spark, voting, monkeypatch):
-    """With default arguments, a third class, nulls and items some families never voted on."""
-    rows, picked, truth = voting
+def plain_votes(rows, members):
+    """(selection, ensemble, item) → winner, ballots, winning votes."""
+    made = {}
+    for ensemble, families in members.items():
+        for selection, item in {(r[0], r[1]) for r in rows}:
+            votes = [r[4] for r in rows if (r[0], r[1]) == (selection, item) and r[3] in families and r[4] is not None]
+            if votes:
+                pred = max(sorted(set(votes)), key=votes.count)
+                made[selection, ensemble, item] = (pred, len(votes), votes.count(pred))
+    return made
+
+
+@pytest.mark.parametrize("blocks", [(1 << 12, 1 << 10, 1 << 16), (3, 7, 11)])
+def test_votes_equal_plain_counting(spark, voting, monkeypatch, blocks):
+    """A third class, nulls, items some families never voted on, two selections, blocks of any size."""
+    for name, value in zip(("BLOCK_ENSEMBLES", "BLOCK_ITEMS", "BLOCK_ROWS"), blocks, strict=True):
+        monkeypatch.setattr(E, name, value)
+    _, picked, truth = voting
     rough = picked.withColumn("pred", F.when(F.hash("item_id", "model_name") % 4 != 0, F.col("pred"))).where("item_id > 3 OR family = 'f1'")
-    for votes in (picked, rough):
-        combos = E.inducer_combinations(votes, (1, 2, 3))
-        results_ = []
-        for bound in (200, 0):
-            monkeypatch.setattr(E, "MAX_INLINE_ENSEMBLES", bound)
-            scored = {tuple(map(str, r)) for r in E.ensemble_scores(votes, truth, combos).collect()}
-            ballots = {tuple(map(str, r)) for r in E.majority_vote(votes, combos).collect()}
-            results_.append((scored, ballots))
-        assert results_[0] == results_[1] and len(results_[0][0]) == 14
+    second = rough.where("item_id % 2 = 0").withColumn("selection", F.lit("best-acc"))
+    votes = rough.unionByName(second)
+    combos = E.inducer_combinations(votes, (1, 2, 3))
+    members = {r["ensemble_id"]: r["inducers"] for r in combos.collect()}
+    plain = plain_votes([tuple(r) for r in votes.collect()], members)
+    got = E.majority_vote(votes, combos).collect()
+    assert {(r["selection"], r["ensemble_id"], r["item_id"]): (r["pred"], r["ballots"], r["winning_votes"]) for r in got} == plain
+    labels = dict(tuple(r) for r in truth.collect())
+    scored = E.ensemble_scores(votes, truth, combos).collect()
+    assert len(scored) == 28
+    for r in scored:
+        mine = [(p[0], labels[i]) for (s, e, i), p in plain.items() if (s, e) == (r["selection"], r["ensemble_id"])]
+        tp, fp, fn = (sum(cond(p, t) for p, t in mine) for cond in (lambda p, t: p == t == 1, lambda p, t: p == 1 != t, lambda p, t: t == 1 != p))
+        assert r["n"] == len(mine) and r["accuracy"] == sum(p == t for p, t in mine) / len(mine)
+        assert r["f1"] == (2 * tp / (2 * tp + fp + fn) if tp + fp + fn else 0.0)
+
+
+def test_many_ensembles_need_no_second_exchange(spark):
+    """5,000 ensembles: the only wide move before the counts is the one on the item."""
+    families = [f"m{i:02d}" for i in range(30)]
+    rows = [("s", i, f"{f}_01", f, (i * 7 + k) % 2) for i in range(50) for k, f in enumerate(families)]
+    picked = spark.createDataFrame(rows, "selection string, item_id long, model_name string, family string, pred int")
+    truth = spark.createDataFrame([(i, i % 2) for i in range(50)], "item_id long, label int")
+    combos = E.inducer_combinations(picked, (3, 4)).orderBy("ensemble_id").limit(5_000)
+    scored = E.ensemble_scores(picked, truth, combos)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [item_id") == 1 and "Generate" not in plan and "Aggregate [selection" in plan
+    assert scored.count() == 5_000
+    one = scored.orderBy("ensemble_id").first()
+    assert one["accuracy"] == sum(p[0] == i % 2 for (_, _, i), p in plain_votes(rows, {0: one["inducers"]}).items()) / 50
 
 
 @pytest.mark.parametrize("copies", [1, 200, 201])

@@ -162,7 +162,7 @@ def test_more_classes_than_the_broadcast_bound(spark, monkeypatch):
 
     df = spark.range(400).withColumn("label", F.col("id") % 40)
     want = {r["id"] for r in S.stratified_sample_n(df, "id", "label", 3).collect()}
-    monkeypatch.setattr(S, "small_side", lambda side: session.small_side(side, 10))
+    monkeypatch.setattr(S, "small_side", lambda side, **more: session.small_side(side, 10, **more))
     assert {r["id"] for r in S.stratified_sample_n(df, "id", "label", 3).collect()} == want
     assert len(want) == 120
 
