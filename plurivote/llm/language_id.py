@@ -193,7 +193,7 @@ def predictor(shipped):
     def predict(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             batch = pa.RecordBatch.from_arrays([column], names=["text"])
-            parts = [_answers(shipped.value, part.column("text")) for part in slices(iter([batch]), limit=SLICE)]
+            parts = [_answers(Model(*shipped.value), part.column("text")) for part in slices(iter([batch]), limit=SLICE)]
             yield pa.concat_arrays(parts) if parts else pa.array([], ANSWER)
 
     return predict
@@ -207,6 +207,7 @@ def identify(documents: DataFrame, model: Model | None, into: str = "language")
     nothing = F.struct(F.lit(NO_LANGUAGE).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
     if model is None:
         return documents.withColumn(into, nothing)
-    shipped = documents.sparkSession.sparkContext.broadcast(model)
+    # Shipped as a plain tuple: a broadcast class would be looked up by name on the executors.
+    shipped = documents.sparkSession.sparkContext.broadcast(tuple(model))
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return documents.withColumn(into, predictor(shipped)(F.col("text"))).withColumn(into, F.when(has_letter, F.col(into)).otherwise(nothing))

@@ -435,7 +435,7 @@ def fit(documents: DataFrame, max_documents: int = MAX_DOCUMENTS, max_windows: i
 # ---- the operator ----
 def _finder(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = shipped.value
+        tagger = None if shipped.value is None else Tagger(*shipped.value)
         wanted = np.zeros(256, dtype=bool)
         wanted[48:58] = wanted[64] = True
         for batch in slices(batches):
@@ -465,7 +465,8 @@ def personal_data(documents: DataFrame, tagger: Tagger | None) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone`` (spans of the patterns), ``base_spans`` and ``spans``
     (those of the patterns and the tagger), as ``kind:start:end`` in code points. One pass, no shuffle.
     """
-    shipped = documents.sparkSession.sparkContext.broadcast(tagger)
+    # Shipped as a plain tuple: a broadcast class would be looked up by name on the executors.
+    shipped = documents.sparkSession.sparkContext.broadcast(None if tagger is None else tuple(tagger))
     rows = documents.select("doc_id", "text")
     kinds = ", ".join(f"n_{k} bigint" for k in KINDS)
     return rows.mapInArrow(_finder(shipped), f"{ddl(rows, 'doc_id')}, {kinds}, base_spans string, spans string")

@@ -13,9 +13,10 @@ again after a lost executor replaces its files whole. The manifest (one row per
 settled in the shared folder before anything is read.
 
 Distinct words are encoded once by the library and kept by the worker in a table of bounded size. Cutting
-at blanks first is exact for a tokenizer like this one: its pattern never joins characters across white
-space, and its normalizers only change white space or single characters. Its pattern also
-cuts between a letter or digit and the marks behind it, so a word sheds these before it is looked up.
+at blanks first is exact for a tokenizer whose pattern never joins characters across white
+space, and whose normalizers only change white space or single characters. Its pattern also
+cuts between a letter or digit and the marks behind it, so a word that ends in an ASCII letter or digit sheds these before it
+is looked up. Whether a tokenizer is of this kind is read from its file; with any other the texts are encoded whole.
 
 Defined cases: a null text counts as empty and holds the end mark alone; null ids come
 first; documents with the same id stand in the order of their texts; an empty table gives no shards; extra columns
@@ -24,8 +25,9 @@ are not written.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
-import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -47,6 +49,8 @@ BATCH_ROWS = 256  # rows of a record batch
 CACHED_WORDS = 600_000
 CACHED_PIECES = 800_000
 CACHED_CHARS = 12_000_000
+# Fixed value: the pattern this module knows to be cut at blanks, and between a letter or digit and other marks.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 TAIL = ".,!|*$#%&?;:"  # marks that a word sheds before it is looked up
 
 
@@ -72,10 +76,10 @@ class Pieces(dict):
         self.chars += len(piece)
         return place
 
-    def learn(self, tokenizer) -> None:
+    def learn(self, tokenizer, ends: np.ndarray) -> None:
         if not self.new:
             return
-        ids = _encode_pieces(self.new, tokenizer)
+        ids = _encode_pieces(self.new, tokenizer, ends)
         lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
         self.length = np.concatenate([self.length, lengths])
@@ -114,6 +118,8 @@ class Encoder:
 
     def __init__(self, tokenizer_json: str):
         self.tokenizer, self.pieces, self.words = _load(tokenizer_json), Pieces(), Words()
+        # None: the tokenizer is not one whose words can be told apart beforehand; texts are encoded whole.
+        self.ends = _word_ends(self.tokenizer) if cuts_at_words(tokenizer_json) else None
 
     def shrink(self) -> None:
         """Bound the memory. Words name pieces by number, so they go when the pieces go."""
@@ -122,16 +128,39 @@ class Encoder:
         self.words.shrink()
 
 
-def _encode_pieces(pieces: list[str], tokenizer) -> list[np.ndarray]:
+def cuts_at_words(tokenizer_json: str) -> bool:
+    """Does this tokenizer never join characters across a blank, nor a letter or digit and the marks behind it?
+
+    Told from its file: the normalizers, the pattern and the mark of a word's end must be the known ones, and special
+    strings must take no neighbours with them.
+    """
+    spec = json.loads(tokenizer_json)
+    normalizer = spec.get("normalizer") or {"type": "Sequence", "normalizers": []}
+    steps = normalizer.get("normalizers", [normalizer])
+    blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    if any(step != blanks and step not in ({"type": "NFC"}, {"type": "Lowercase"}) for step in steps):
+        return False
+    cutter = spec.get("pre_tokenizer") or {}
+    parts = cutter.get("pretokenizers", [cutter])
+    split = {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}
+    if len(parts) != 2 or parts[0] != split or parts[1].get("type") != "ByteLevel" or parts[1].get("use_regex") or parts[1].get("add_prefix_space"):
+        return False
+    special = spec.get("added_tokens") or []
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or " " in t["content"] or "<" not in t["content"] or t["content"][-1] in TAIL for t in special):
+        return False
+    model = spec["model"]
+    return model.get("type") == "BPE" and bool(model.get("end_of_word_suffix")) and not model.get("dropout")
+
+
+def _encode_pieces(pieces: list[str], tokenizer, ends: np.ndarray) -> list[np.ndarray]:
     """Ids of every piece from the library.
 
     Pieces of letters alone are joined by blanks and encoded many at a time: each gives one
     pre-token, whose last id carries the mark of a word's end.
     """
     out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(pieces)
-    ends = kept("word-ends", lambda: _word_ends(tokenizer))
     # A capital I with a dot falls apart when it is lowered; such pieces go one by one.
-    plain = [i for i, p in enumerate(pieces) if p.isalpha() and "\u0130" not in p] if ends is not None else []
+    plain = [i for i, p in enumerate(pieces) if p.isalpha() and "\u0130" not in p]
     groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
     for group, found in zip(groups, tokenizer.encode_batch([" ".join([pieces[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
         ids = np.array(found.ids, dtype=np.uint32)
@@ -149,11 +178,9 @@ def _encode_pieces(pieces: list[str], tokenizer) -> list[np.ndarray]:
     return out
 
 
-def _word_ends(tokenizer) -> np.ndarray | None:
-    """Which ids end a word; none where the vocabulary has no such mark."""
+def _word_ends(tokenizer) -> np.ndarray:
+    """Which ids end a word."""
     mark = tokenizer.model.end_of_word_suffix
-    if not mark:
-        return None
     vocab = tokenizer.get_vocab(with_added_tokens=False)
     ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
     ends[[i for token, i in vocab.items() if token.endswith(mark)]] = True
@@ -168,9 +195,13 @@ def _load(tokenizer_json: str):
 
 
 def _cut(word: str) -> tuple[str, str]:
-    """A word and the marks behind it, where the tokenizer's pattern also cuts; ASCII in lower case."""
+    """A word and the marks behind it, where the tokenizer's pattern also cuts; ASCII in lower case.
+
+    It cuts behind an ASCII letter or digit. Other letters may end in a combining mark once they are normalized, which
+    the pattern takes together with the marks, so a word that ends in one stays whole.
+    """
     core = word.rstrip(TAIL)
-    if not core or not (core.isalpha() or unicodedata.category(core[-1])[0] in "LN"):
+    if not core or not (core[-1].isascii() and core[-1].isalnum()):
         core = word
     # Special strings are told by their case, so what may hold one keeps it.
     return core.lower() if core.isascii() and "<" not in core else core, word[len(core) :]
@@ -178,6 +209,11 @@ def _cut(word: str) -> tuple[str, str]:
 
 def encode_slice(texts: list[str | None], encoder: Encoder) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end, each with the end mark, and the number of ids of each."""
+    if encoder.ends is None:
+        found = [np.array(e.ids, dtype=np.uint32) for e in encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        lengths = np.array([len(x) + 1 for x in found], dtype=np.int64)
+        end = np.array([END_ID], dtype=np.uint32)
+        return np.concatenate([x for ids in found for x in (ids, end)] or [end[:0]]), lengths
     words, pieces = encoder.words, encoder.pieces
     places: list[int] = []
     per_text = np.zeros(len(texts), dtype=np.int64)
@@ -186,7 +222,7 @@ def encode_slice(texts: list[str | None], encoder: Encoder) -> tuple[np.ndarray,
         places += map(words.__getitem__, (text or "").replace("\n", " ").split(" "))
         per_text[i] = len(places) - before
     words.learn(pieces)
-    pieces.learn(encoder.tokenizer)
+    pieces.learn(encoder.tokenizer, encoder.ends)
     piece = words.pairs[np.array(places, dtype=np.int64)].ravel()
     lengths = pieces.length[piece]
     ids = pieces.flat[ragged(lengths, pieces.start[piece])]
@@ -225,7 +261,7 @@ def _writer(tokenizer_json, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         shard = task.partitionId()
-        encoder = kept(f"encoder-{hash(shipped.value)}", lambda: Encoder(shipped.value))
+        encoder = kept(f"encoder-{hashlib.md5(shipped.value.encode()).hexdigest()}", lambda: Encoder(shipped.value))
         files, root = _opened(folder)
         files.create_dir(root, recursive=True)
         final = [f"{root}/shard-{shard:05d}.{kind}.arrow" for kind in ("tokens", "docs")]

@@ -1,5 +1,7 @@
 """Token counts (1) and token files (6) against the library itself."""
 
+import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -111,3 +113,32 @@ def test_small_caches_change_nothing(monkeypatch):
     encoder = token_files.Encoder(tokenizer_text(WORD))
     parts = [token_files.encode_slice([t], encoder) for t in texts]
     assert np.concatenate([p[0] for p in parts]).tolist() == whole[0].tolist()
+
+
+def same_ids(texts, name=WORD):
+    ids, lengths = token_files.encode_slice(texts, token_files.Encoder(tokenizer_text(name)))
+    plain = [[*e.ids, 1] for e in library(name).encode_batch(texts, add_special_tokens=False)]
+    return lengths.tolist() == [len(p) for p in plain] and ids.tolist() == [i for p in plain for i in p]
+
+
+def test_every_code_point_beside_marks():
+    """Letters that fall apart or lose their end when they are normalized, before and behind every mark."""
+    points = [chr(c) for c in range(0x21, 0x110000) if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    moved = [c for c in points if unicodedata.normalize("NFC", c.lower()) != c or unicodedata.category(c)[0] == "M"]
+    assert same_ids(["İSTANBUL SAATİ.", "TÜRKİYE CUMHURİYETİ,", "SAATİ! x", "a\u0958.", "ΑΣ. ΑΣ", "<|endoftext|>. <|endoftext|", "it's. 'S."])
+    assert same_ids([" ".join(f"a{c}{mark} {mark}{c}" for c in moved) for mark in token_files.TAIL])
+    assert same_ids([" ".join(f"a{c}. .{c}b," for c in points[i : i + 4000]) for i in range(0, len(points), 4000)])
+
+
+def test_random_texts_equal_the_library():
+    rng = random.Random(4)
+    letters = "abcXYZ019 .,!|*$#%&?;:'<>-_\n\t\u0301\u093cİıßΣσςéÉ\u0958日本🎉\u00a0\u2028"
+    assert same_ids(["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(20_000)])
+
+
+def test_other_tokenizers_are_not_cut():
+    assert token_files.cuts_at_words(tokenizer_text(WORD)) and not token_files.cuts_at_words(tokenizer_text(BYTE))
+    texts = ["hello big world", "", "a  b\n c", "İSTANBUL."]
+    assert same_ids(texts, BYTE)
+    # One after the other: neither uses what the worker keeps of the other.
+    assert same_ids(texts, WORD) and same_ids(texts, BYTE)
