@@ -1,6 +1,7 @@
 """Order MinHash fingerprints, in DataFrame functions only (operator 9).
 
-The k-mers of a text are its runs of ``K`` words. Each is numbered by its occurrence in the
+The k-mers of a text are its runs of ``K`` pieces of a few code points. A piece ends at white space, so an edit moves the
+cuts of its own word only; in scripts without cases every letter is a piece. Each k-mer is numbered by its occurrence in the
 text, so a repeated k-mer counts as often as it stands there. A sketch selects the ``TUPLE``
 numbered k-mers with the least hash, puts them back into text order and hashes the tuple.
 Two texts agree in a sketch where they share these k-mers in the same order, so the share of equal
@@ -13,24 +14,27 @@ So one hash per k-mer serves all sketches.
 
 Occurrence numbers come from one sorted array of (hash, place): equal hashes stand side by
 side, and the place of the first in its run is found by doubling steps, as many as the longest possible run needs.
-A text of n words takes n log n steps, whatever repeats in it.
+A text of n pieces takes n log n steps, whatever repeats in it.
 
-Defined cases: a null text counts as empty; a text of fewer than ``K`` words has one k-mer of all
-its words, and one without words a fingerprint of its own kind, equal only to that of other
-texts without words; where a text has fewer k-mers than a tuple, the tuple is shorter. Equal texts
+Defined cases: a null text counts as empty; a text of fewer than ``K`` pieces has one k-mer of all
+its pieces, and one of white space alone a fingerprint of its own kind, equal only to that of other
+such texts; where a text has fewer k-mers than a tuple, the tuple is shorter. Equal texts
 have equal fingerprints. Null ids come last in the order of documents; rows with one id stand in
 the order of their texts; a table of one row is its own next document; empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K = 3
+K = 2
+# A piece: a letter of a script without cases (such scripts often write no blanks), or up to five code points of anything else.
+PIECE = r"\p{Lo}|[^\x20\x09-\x0D\p{Lo}]{1,5}"
 SKETCHES = 32  # a power of two
 TUPLE = 2
-WHITE = r"[\x20\x09-\x0D]+"
 # A packed k-mer: 37 leading bits of its hash, then 26 bits of its place.
 PLACE_BITS = 26
 SLICE_SHIFT = 63 - 5  # the leading 5 of 63 bits name one of 32 slices
@@ -41,19 +45,18 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _words(text: Column) -> Column:
-    trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WHITE))
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
 
 
-def _kmer_hashes(words: Column) -> Column:
+def _kmer_hashes(pieces: Column) -> Column:
     """63-bit hashes of the k-mers in text order; one for a text shorter than a k-mer."""
-    count = F.greatest(F.size(words) - (K - 1), F.lit(1))
+    count = F.greatest(F.size(pieces) - (K - 1), F.lit(1))
 
     def kmer(i: Column) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(*[F.get(words, i + j) for j in range(K)]), 1)
+        return F.shiftrightunsigned(F.xxhash64(*[F.get(pieces, i + j) for j in range(K)]), 1)
 
-    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), count - 1), kmer)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(pieces) > 0, F.transform(F.sequence(F.lit(0), count - 1), kmer)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _same_kmer(ordered: Column, x: Column, i: Column) -> Column:
@@ -118,8 +121,8 @@ def _sketches(ordered: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """``SKETCHES`` sketches of 32 bits as one hex string."""
-    words = _words(F.coalesce(text, F.lit("")))
-    return F.array_join(_sketches(_numbered(_let(words, _kmer_hashes))), "")
+    pieces = _pieces(F.coalesce(text, F.lit("")))
+    return F.array_join(_sketches(_numbered(_let(pieces, _kmer_hashes))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -128,6 +131,21 @@ def likeness(a: Column, b: Column) -> Column:
     return F.size(equal) / F.lit(float(SKETCHES))
 
 
+def _table(values: list[int | None]) -> Column:
+    """A constant array, however long, as one literal."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
+def _cuts_up_to(value: Column, cuts: list[int]) -> Column:
+    """How many of the ascending ``cuts`` are not above ``value``: whole blocks first, then inside one block."""
+    if not cuts:
+        return F.lit(0)
+    block = max(1, round(len(cuts) ** 0.5))
+    blocks = F.size(F.filter(_table(cuts[block - 1 :: block]), lambda c: c <= value))
+    inside = F.slice(_table(cuts), blocks * block + 1, F.lit(block))
+    return blocks * block + F.size(F.filter(inside, lambda c: c <= value))
+
+
 def in_order(documents: DataFrame) -> DataFrame:
     """The documents dealt to ranges of ascending ``doc_id``: ``part, guard, doc_id, text``.
 
@@ -140,16 +158,17 @@ def in_order(documents: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = [i / parts for i in range(1, parts)] or [0.5]
     found = rows.agg(F.percentile_approx("doc_id", shares, 10_000).alias("cuts")).first()["cuts"] or []
-    cuts = F.array(*[F.lit(c) for c in sorted(set(found))]).cast("array<bigint>")
+    cuts = sorted(set(found))
     # A null id stands behind all others.
-    number = F.when(F.col("doc_id").isNull(), F.lit(parts)).otherwise(F.size(F.filter(cuts, lambda c: c <= F.col("doc_id"))))
+    number = F.when(F.col("doc_id").isNull(), F.lit(parts)).otherwise(_cuts_up_to(F.col("doc_id"), cuts))
     ranged = rows.withColumn("part", number)
     # One row per range, and no more ranges than partitions.
     firsts = sorted(tuple(r) for r in ranged.groupBy("part").agg(F.min("doc_id").alias("doc_id")).collect())
-    guard = F.lit(None).cast("int")
+    first, before = [None] * (parts + 1), [None] * (parts + 1)
     for i, (part, doc_id) in enumerate(firsts):
-        here = (F.col("part") == part) & F.col("doc_id").eqNullSafe(F.lit(doc_id))
-        guard = F.when(here, F.lit(firsts[i - 1][0])).otherwise(guard)
+        first[part], before[part] = doc_id, firsts[i - 1][0]
+    here = F.col("doc_id").eqNullSafe(F.get(_table(first), F.col("part")))
+    guard = F.when(here, F.get(_table(before), F.col("part")).cast("int"))
     own = F.struct(F.col("part").alias("part"), F.lit(False).alias("guard"))
     lent = F.struct(F.col("_lent").alias("part"), F.lit(True).alias("guard"))
     places = F.when(F.col("_lent").isNull(), F.array(own)).otherwise(F.array(own, lent))

@@ -1,11 +1,13 @@
 """Order MinHash (9) against a plain version, and the pairing of neighbours."""
 
 import hashlib
-import re
+import random
 import struct
+import time
 from collections import Counter
 
 import pytest
+import regex
 import xxhash
 from conftest import made_text, rows
 from pyspark.sql import functions as F
@@ -25,8 +27,8 @@ def h64(*parts):
 
 
 def plain(text):
-    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-    grams = [words[i : i + O.K] for i in range(max(1, len(words) - O.K + 1))] if words else []
+    pieces = regex.findall(r"\p{Lo}|[^\x20\x09-\x0D\p{Lo}]{1,5}", text or "")
+    grams = [pieces[i : i + O.K] for i in range(max(1, len(pieces) - O.K + 1))] if pieces else []
     seen, numbered = Counter(), []
     for place, gram in enumerate(grams):
         kmer = (h64(*gram) >> 1) >> O.PLACE_BITS
@@ -45,7 +47,7 @@ def plain(text):
     return "".join(out)
 
 
-TEXTS = ["a b c d e f g", "a a a a a a a a", "x", "x y", "", None, " \t", made_text(1, 300), ("la li lu " * 50) + made_text(4, 9), "é " * 40]
+TEXTS = ["a b c d e f g", "a a a a a a a a", "x", "x y", "", None, " \t", made_text(1, 300), ("la li lu " * 50) + made_text(4, 9), "é " * 40, "日本語のテキスト漢字仮名交じり文", "x=foo(bar,baz);return(x)", "🎉" * 12]
 
 
 def test_same_as_plain(spark):
@@ -57,7 +59,7 @@ def test_same_as_plain(spark):
 def test_falls_with_edits_and_order(spark):
     text = made_text(5, 400, tuple(f"w{i}" for i in range(300)))
     words = text.split()
-    few = " ".join(words[:100] + ["new"] + words[101:])
+    few = " ".join("new" if i % 40 == 20 else w for i, w in enumerate(words))
     half = " ".join(words[:200] + [f"n{i}" for i in range(200)])
     turned = " ".join(words[200:] + words[:200])
     table = spark.createDataFrame([(text, t) for t in (text, few, half, turned)], "a string, b string")
@@ -104,3 +106,50 @@ def test_query(spark, tmp_path):
         assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert got[i]["edited_fingerprint"] == plain(edited)
     assert got[3]["fingerprint"] == got[5]["fingerprint"]
+
+
+def likeness_of(spark, pairs):
+    table = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    made = table.select("i", O.likeness(O.fingerprint(F.col("a")), O.fingerprint(F.col("b"))).alias("l")).collect()
+    return [r["l"] for r in sorted(made)]
+
+
+def test_short_and_unspaced_texts_answer_to_edits(spark):
+    rng = random.Random(2)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(200))
+    other = "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(50))
+    twelve = "the of and a thing that was here for you and me"
+    pairs = [("one two three four", "one two three five"), (han, han[:150] + other), (han, han[:100] + other[:1] + han[100:]), (twelve, twelve[:-2] + "us")]
+    found = likeness_of(spark, pairs)
+    assert all(0 < x < 1 for x in found) and found[2] > 0.8
+
+
+def test_falls_as_edits_grow(spark):
+    """Likeness goes down with the share of edited code points, on average over random texts."""
+    rng = random.Random(6)
+    shares, means = (0.005, 0.02, 0.1, 0.3), []
+    texts = ["".join(rng.choice("abcdefghij    ") for _ in range(600)) for _ in range(40)]
+    for share in shares:
+        edits = [list(t) for t in texts]
+        for chars in edits:
+            for _ in range(int(share * len(chars))):
+                at = rng.randrange(len(chars))
+                chars[at : at + rng.randrange(2)] = rng.choice(["", "k", "m"])
+        found = likeness_of(spark, [(t, "".join(e)) for t, e in zip(texts, edits, strict=True)])
+        means.append(sum(found) / len(found))
+    assert means[0] > means[1] > means[2] > means[3] and means[0] > 0.75 and means[3] < 0.2
+
+
+def test_many_ranges(spark):
+    """5,000 ranges are planned and dealt in seconds, and every document finds its follower."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "5000")
+    try:
+        table = spark.range(20_000).select((F.col("id") * 3).alias("doc_id"), F.lit("x").alias("text"))
+        start = time.perf_counter()
+        planned = O.in_order(table)
+        planned._jdf.queryExecution().executedPlan()
+        assert time.perf_counter() - start < 60
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert planned.coalesce(8).where("guard").count() == planned.select("part").distinct().coalesce(8).count()
