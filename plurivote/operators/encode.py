@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plurivote.functions import text as T
 from plurivote.functions.keys import hash32
+from plurivote.operators.projection import label_column
 from plurivote.operators.sampling import shuffle_order
 
 # Ids of the marks around a sequence, next to a 50,257-entry vocabulary.
@@ -146,8 +147,8 @@ def padding_waste(df: DataFrame, length: Column, max_length: int, batch: str = "
 
 
 def collect_batches(df: DataFrame, batch: str = "batch_id", id_col: str = "item_id") -> DataFrame:
-    """One row per batch: ids, masks and labels as matrices. A batch has a fixed few rows."""
-    row = F.struct(F.col(id_col).alias("item"), "input_ids", "attention_mask", F.col("label").cast("bigint").alias("label"))
+    """One row per batch: ids, masks and labels (from ``label`` or ``labels``) as matrices. A batch has a fixed few rows."""
+    row = F.struct(F.col(id_col).alias("item"), "input_ids", "attention_mask", F.col(label_column(df)).cast("bigint").alias("label"))
     rows = F.array_sort(F.collect_list(row))
     return df.groupBy(batch).agg(rows.alias("_rows")).select(
         batch, *[F.col(f"_rows.{n}").alias(n) for n in ("input_ids", "attention_mask", "label")]

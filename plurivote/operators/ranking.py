@@ -41,6 +41,26 @@ def stage_registry(chosen: DataFrame, stage: str, next_stage: str) -> DataFrame:
     )
 
 
+def lineage(registry: DataFrame, model: str = "model", parent: str = "parent") -> DataFrame:
+    """Every model with all models it was trained on from, nearest first: ``model, ancestor, steps, is_first``.
+
+    ``registry`` names each model's direct parent (null: trained from the beginning); it is as long as the list of
+    models. A model is its own ancestor at 0 steps; a parent that is not registered ends the chain. A circle fails at the
+    session's ``spark.sql.cteRecursionLevelLimit``.
+    """
+    spark = registry.sparkSession
+    named = registry.select(F.col(model).alias("model"), F.col(parent).alias("parent"))
+    chains = spark.sql(
+        """WITH RECURSIVE chain(model, ancestor, above, steps) AS (
+            SELECT model, model, parent, 0 FROM {registry}
+            UNION ALL
+            SELECT c.model, r.model, r.parent, c.steps + 1 FROM chain c JOIN {registry} r ON r.model = c.above)
+        SELECT model, ancestor, steps, above IS NULL OR above NOT IN (SELECT model FROM {registry} WHERE model IS NOT NULL) AS is_first FROM chain""",
+        registry=named,
+    )
+    return chains
+
+
 def is_control(model: str = "model_name"):
     return F.col(model).rlike("control")
 

@@ -212,6 +212,22 @@ def length_histogram(spark, sf_dir):
     return P.equal_width_histogram(rows, "words", 50, ["label"]).withColumns(I.round9("left_edge"))
 
 
+_AUTO = """, lengths AS (SELECT label, {words} AS words FROM corpus), ends AS (SELECT min(words)::DOUBLE AS low, max(words)::DOUBLE AS high, count(*) AS n,
+        quantile_cont(words, 0.75) - quantile_cont(words, 0.25) AS iqr FROM lengths),
+        chosen AS (SELECT low, high, ceil((high - low) / greatest(1, CASE WHEN iqr > 0 THEN least((high - low) / (log2(n) + 1), 2 * iqr / n ** (1.0::DOUBLE / 3)) ELSE (high - low) / (log2(n) + 1) END))::INT AS bins FROM ends)
+        SELECT label, bin, bins, round(low + bin * ((high - low) / bins), 9) AS left_edge, coalesce(rows, 0) AS rows
+        FROM (SELECT label, b::INT AS bin FROM (SELECT DISTINCT label FROM lengths), chosen, range(0, 100000) r(b) WHERE b < bins) LEFT JOIN (
+            SELECT label, least(bins - 1, floor((words - low) / (high - low) * bins))::INT AS bin, count(*) AS rows FROM lengths, chosen GROUP BY ALL) USING (label, bin), chosen"""
+
+
+@query("automatic_histogram", sql(_AUTO.format(words=WORD_COUNT), "corpus"))
+def automatic_histogram(spark, sf_dir):
+    """Word counts by class in as many bins as the usual rule gives."""
+    rows = settle(I.corpus(spark, sf_dir).select("label", T.word_count(F.col("text")).alias("words")))
+    bins = P.automatic_bins(rows, "words")
+    return P.equal_width_histogram(rows, "words", bins, ["label"]).withColumns(I.round9("left_edge")).withColumn("bins", F.lit(bins))
+
+
 @query("equal_width_histogram", _histogram("documents", "n_chars", 100))
 def equal_width_histogram(spark, sf_dir):
     rows = I.table(spark, sf_dir, "documents").select("n_chars")

@@ -9,6 +9,7 @@ from plurivote.functions import text as T
 from plurivote.operators import encode as ENC
 from plurivote.operators import profile as P
 from plurivote.operators import sampling as S
+from plurivote.operators import vocabulary as VOC
 from plurivote.plans import inputs as I
 from plurivote.plans.inputs import sql
 from plurivote.plans.registry import query
@@ -282,7 +283,8 @@ def _choice_sql() -> str:
 def multiple_choice_encode(spark, sf_dir):
     def long(table, kind):
         encoded = ENC.multiple_choice_encode(ENC.multiple_choice_pairs(table))
-        return encoded.select(F.lit(kind).alias("kind"), "item_id", F.posexplode("input_ids").alias("pos", "input_ids"), "label").select(
+        # The outer form: from the other one a filter on the array is inferred, which encodes everything once more.
+        return encoded.select(F.lit(kind).alias("kind"), "item_id", F.posexplode_outer("input_ids").alias("pos", "input_ids"), "label").select(
             "kind", "item_id", "pos", "label", _as_text("input_ids")
         )
 
@@ -332,3 +334,47 @@ def pad_batches(spark, sf_dir):
 def padding_waste(spark, sf_dir):
     docs = I.texts(spark, sf_dir, "doc_id", "text").select("doc_id", (T.word_count(F.col("text")) + 2).alias("length"))
     return ENC.padding_waste(ENC.make_batches(docs, "doc_id", 16), F.col("length"), 256)
+
+
+@query(
+    "collected_batches",
+    f"""SELECT batch_id, count(*)::INT AS rows, string_agg(label::VARCHAR, ' ' ORDER BY doc_id) AS labels,
+    string_agg(array_to_string(list_concat(ids, list_transform(range(0, longest - len(ids)), lambda i: {ENC.PAD_ID})), ' '), '|' ORDER BY doc_id) AS input_ids
+    FROM (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS longest FROM (
+        SELECT doc_id, batch_id, toxic AS label, list_concat([{ENC.BEGIN_ID}], list_concat(list_transform({I.WORDS}, lambda w: length(w)), [{ENC.END_ID}])) AS ids
+        FROM (SELECT doc_id, toxic, text, {_BATCH} FROM documents JOIN labels USING (doc_id)))) GROUP BY batch_id""",
+)
+def collected_batches(spark, sf_dir):
+    """Padded batches as matrices, from a table that calls its class ``labels``."""
+    rows = I.corpus(spark, sf_dir).select(F.col("item_id").alias("doc_id"), word_ids(F.col("text")).alias("input_ids"), F.col("label").alias("labels"))
+    batches = ENC.collect_batches(ENC.pad_batches(ENC.make_batches(rows, "doc_id", 16)), id_col="doc_id")
+    return batches.select(
+        "batch_id",
+        F.size("label").alias("rows"),
+        F.array_join(F.col("label").cast("array<string>"), " ").alias("labels"),
+        F.array_join(F.transform("input_ids", lambda ids: F.array_join(ids.cast("array<string>"), " ")), "|").alias("input_ids"),
+    )
+
+
+_VOCABULARY = f"""words AS (SELECT item_id, label, w AS word, k FROM (SELECT item_id, label, unnest({I.WORDS}) AS w, generate_subscripts({I.WORDS}, 1) AS k FROM corpus)),
+    vocabulary AS (SELECT word, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, word) - 1 AS word_id FROM words GROUP BY word)"""
+
+
+@query("vocabulary", sql(f", {_VOCABULARY} SELECT word, count, word_id FROM vocabulary", "corpus"))
+def vocabulary(spark, sf_dir):
+    return VOC.vocabulary(I.corpus(spark, sf_dir))
+
+
+@query(
+    "vocabulary_encode",
+    sql(
+        f""", {_VOCABULARY}, ids AS (SELECT item_id, list(word_id + {VOC.FIRST_WORD} ORDER BY k) AS ids FROM words JOIN vocabulary USING (word) GROUP BY item_id)
+        SELECT item_id, label, {_shown(f"list_concat(list_concat([{ENC.BEGIN_ID}], coalesce(ids, [])[1:254]), [{ENC.END_ID}])")} AS input_ids
+        FROM corpus LEFT JOIN ids USING (item_id)""",
+        "corpus",
+    ),
+)
+def vocabulary_encode(spark, sf_dir):
+    corpus = settle(I.corpus(spark, sf_dir))
+    encoded = VOC.encode(corpus, settle(VOC.vocabulary(corpus)))
+    return encoded.select("item_id", "label", _as_text("input_ids"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plurivote.functions import scores as S
 from plurivote.functions import text as T
-from plurivote.operators import baseline, ranking, results
+from plurivote.operators import baseline, edit_distance, ranking, results
 from plurivote.operators import encode as ENC
 from plurivote.operators import ensemble as E
 from plurivote.operators import metrics as M
@@ -181,6 +181,37 @@ def epoch_rank_both_metrics(spark, sf_dir):
     )
 
 
+@query(
+    "stage_lineage",
+    sql(
+        """, ranked AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY model_name, epoch_no) AS k FROM scores)
+        SELECT a.model_name || '/' || a.model_epoch AS model, b.model_name || '/' || b.model_epoch AS ancestor, (a.k - b.k)::INT AS steps, b.k = 1 AS is_first
+        FROM ranked a JOIN ranked b ON a.family = b.family AND b.k <= a.k""",
+        "scores",
+    ),
+)
+def stage_lineage(spark, sf_dir):
+    """Each run's epochs follow each other, and each run its family's run before: from every epoch back to the first."""
+    scores = I.scores(spark, sf_dir).withColumn("family", T.model_family(F.col("model_name")))
+    name = F.concat_ws("/", "model_name", "model_epoch")
+    before = F.lag(name).over(Window.partitionBy("family").orderBy("model_name", "epoch_no"))
+    return ranking.lineage(scores.select(name.alias("model"), before.alias("parent")))
+
+
+@query(
+    "prediction_alignment",
+    sql(
+        """SELECT model_name, epoch_no, count(*) FILTER (t.item_id IS NOT NULL) AS matched, count(*) FILTER (t.item_id IS NULL) AS no_truth,
+        (SELECT count(*) FROM truth) - count(*) FILTER (t.item_id IS NOT NULL) AS missing FROM rough LEFT JOIN truth t USING (item_id) GROUP BY ALL""",
+        "rough",
+        "truth",
+    ),
+)
+def prediction_alignment(spark, sf_dir):
+    """What either side lacks, for models that left items out."""
+    return M.alignment(I.rough_predictions(spark, sf_dir), I.truth(spark, sf_dir))
+
+
 _DISPLAY = """SELECT *, regexp_replace(model_name, '_[0-9]+$', '') AS model_cat, CASE regexp_replace(regexp_replace(model_name, '_[0-9]+$', ''), '^target-', '')
     WHEN 'fam_b' THEN 'Fam_B-coarse' ELSE regexp_replace(regexp_replace(model_name, '_[0-9]+$', ''), '^target-', '') END AS model_display_name FROM scores"""
 
@@ -624,6 +655,21 @@ def model_levenshtein(spark, sf_dir):
     return SIM.block_levenshtein(rows, "control_01")
 
 
+@query(
+    "vector_levenshtein",
+    sql(
+        """, seqs AS (SELECT model_name, string_agg(pred::VARCHAR, '' ORDER BY item_id) AS seq FROM best_f1 GROUP BY ALL)
+        SELECT a.model_name, length(a.seq) AS n, length(b.seq) AS n_against, levenshtein(a.seq, b.seq) AS edits
+        FROM seqs a, seqs b WHERE b.model_name = 'control_01' AND a.model_name <> 'control_01'""",
+        "best_f1",
+    ),
+)
+def vector_levenshtein(spark, sf_dir):
+    chosen = small_side(ranking.best_epoch_single(I.scores(spark, sf_dir), "test_f1").select("model_name", "epoch_no"), short=True)
+    rows = I.predictions(spark, sf_dir).join(chosen, ["model_name", "epoch_no"])
+    return edit_distance.vector_levenshtein(rows, "control_01")
+
+
 _MODELS = [
     ("" if family == "control" else "target-") + f"{family}_{run:02d}" for family in I.ERROR_RATES for run in range(1, I.RUNS + 1)
 ]

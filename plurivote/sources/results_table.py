@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,16 +19,13 @@ ENSEMBLES_CSV = (
 
 
 def append_results(rows: DataFrame, path: str, key: Sequence[str] = ("model_name", "epoch_no")) -> None:
-    """Append rows whose key is not stored yet, so a repeated run changes nothing. Of rows with one key in a call one is stored."""
-    rows = rows.dropDuplicates(list(key))
-    try:
-        stored = rows.sparkSession.read.schema(rows.schema).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-    else:
-        rows = rows.join(stored.select(*key), list(key), "left_anti")
-    rows.write.mode("append").parquet(path)
+    """Store rows by key; rows with a stored key replace it. Of rows with one key in a call one is stored.
+
+    The table is partitioned by the key and a write replaces the partitions it has rows for when it is committed, so
+    a job that is run again, and two writers of one key, leave one row. Nothing is read first.
+    """
+    unique = rows.dropDuplicates(list(key))
+    unique.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*key).parquet(path)
 
 
 def write_predictions(rows: DataFrame, table: str, buckets: int) -> None:
@@ -41,7 +37,8 @@ def write_predictions(rows: DataFrame, table: str, buckets: int) -> None:
 
 
 def read_results(spark: SparkSession, path: str, schema: str = SCORES) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+    stored = spark.read.schema(schema).parquet(path)
+    return stored.select(*spark.createDataFrame([], schema).columns)  # key columns come last from the folders
 
 
 def scores_of(results: DataFrame) -> DataFrame:
