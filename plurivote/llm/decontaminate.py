@@ -12,13 +12,15 @@ The items are a stated query set. They are taken in blocks of bounded size, each
 broadcast as its own automaton's pieces and run against all documents.
 
 Defined cases: null and empty documents and items match nothing; an item shorter than
-``min_chars`` characters counts only where it is the whole document; repeated rows match each for itself; null ids
+``min_chars`` characters is searched for unchanged and as whole words, wherever it stands, and its matches say so in
+``short`` (letters of scripts without cases need no word boundary); repeated rows match each for itself; null ids
 are carried along; empty tables give no matches; extra columns are left alone.
 """
 
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
@@ -79,20 +81,32 @@ def nearest(masks: dict[str, int], n: int, text: str, budget: int) -> tuple[int,
     return (best, best_end) if best <= budget else None
 
 
+def _joined(a: str, b: str) -> bool:
+    """Do two neighbouring characters belong to one word?"""
+    return a.isalnum() and b.isalnum() and "Lo" not in (unicodedata.category(a), unicodedata.category(b))
+
+
+def whole_words(text: str, start: int, stop: int) -> bool:
+    """Is ``text[start:stop]`` cut out at word boundaries?"""
+    return not (start and _joined(text[start - 1], text[start])) and not (stop < len(text) and _joined(text[stop - 1], text[stop]))
+
+
 class Items:
     """A block of items, ready to be searched for."""
 
     def __init__(self, rows: list[tuple[int | None, str]], rate: float, min_chars: int):
         import ahocorasick
 
-        self.long, self.short = [], {}
+        self.long, self.short = [], []
         at_piece: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in rows:
             item = plain(text)
             if not item:
                 continue
             if len(item) < min_chars:
-                self.short.setdefault(item, []).append(item_id)
+                # Short items are numbered from -1 downwards.
+                self.short.append((item_id, item))
+                at_piece.setdefault(item, []).append((-len(self.short), 0))
                 continue
             budget = math.floor(rate * len(item))
             for place, piece in pieces(item, budget):
@@ -104,16 +118,20 @@ class Items:
         if at_piece:
             self.automaton.make_automaton()
 
-    def matches(self, text: str) -> Iterator[tuple[int | None, int, int]]:
-        """``(item id, distance, end)`` of every item the text holds; the nearest place of each, the first of equals."""
-        for item_id in self.short.get(text, ()):
-            yield item_id, 0, len(text)
-        if not self.long:
+    def matches(self, text: str) -> Iterator[tuple[int | None, int, int, bool]]:
+        """``(item id, distance, end, short)`` of every item the text holds; the nearest place of each, the first of equals."""
+        if not self.long and not self.short:
             return
         begins: dict[int, set[int]] = {}
+        ends: dict[int, int] = {}
         for end, (length, where) in self.automaton.iter(text):
             for number, place in where:
-                begins.setdefault(number, set()).add(end + 1 - length - place)
+                if number >= 0:
+                    begins.setdefault(number, set()).add(end + 1 - length - place)
+                elif number not in ends and whole_words(text, end + 1 - length, end + 1):
+                    ends[number] = end + 1
+        for number in sorted(ends, reverse=True):
+            yield self.short[-number - 1][0], 0, ends[number], True
         for number in sorted(begins):
             item_id, item, budget, masks = self.long[number]
             best = None
@@ -125,7 +143,7 @@ class Items:
                     if best[0] == 0:
                         break
             if best:
-                yield item_id, *best
+                yield item_id, *best, False
 
     @staticmethod
     def _windows(begins: list[int], length: int, budget: int) -> Iterator[tuple[int, int]]:
@@ -144,17 +162,18 @@ def _searcher(shipped, rate: float, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(shipped.value, rate, min_chars)
         for batch in slices(batches):
-            rows, ids, distances, ends = [], [], [], []
+            rows, ids, distances, ends, shorts = [], [], [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
-                for item_id, distance, end in items.matches(plain(text)):
+                for item_id, distance, end, short in items.matches(plain(text)):
                     rows.append(row)
                     ids.append(item_id)
                     distances.append(distance)
                     ends.append(end)
+                    shorts.append(short)
             kept = [n for n in batch.schema.names if n != "text"]
             picked = [batch.column(n).take(pa.array(rows, pa.int32())) for n in kept]
-            found = [pa.array(ids, pa.int64()), pa.array(distances, pa.int32()), pa.array(ends, pa.int64())]
-            yield pa.RecordBatch.from_arrays(picked + found, names=[*kept, "item_id", "distance", "end"])
+            found = [pa.array(ids, pa.int64()), pa.array(distances, pa.int32()), pa.array(ends, pa.int64()), pa.array(shorts, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(picked + found, names=[*kept, "item_id", "distance", "end", "short"])
 
     return run
 
@@ -170,12 +189,12 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id, item_id, distance, end``: one row for each document and item it holds.
+    """``doc_id, item_id, distance, end, short``: one row for each document and item it holds.
 
     ``end`` is where the nearest passage ends, in characters of the plain text.
     """
     context, rows = documents.sparkSession.sparkContext, documents.select("doc_id", "text")
-    kinds = ddl(rows, "doc_id") + ", item_id bigint, distance int, end bigint"
+    kinds = ddl(rows, "doc_id") + ", item_id bigint, distance int, end bigint, short boolean"
     return reduce(
         DataFrame.unionByName, [rows.mapInArrow(_searcher(context.broadcast(block), rate, min_chars), kinds) for block in _blocks(benchmark)]
     )

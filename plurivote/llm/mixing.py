@@ -32,7 +32,6 @@ from plurivote.session import settle, small_side
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLICES = 4096
-MAX_ROUNDS = 1000  # of capping; every round but the last caps one source at least
 
 
 def word_count(text: Column) -> Column:
@@ -69,7 +68,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap
     top = F.col("source_size") * cap
     total = numbered.agg(F.sum("source_size").alias("s")).first()["s"] or 0
     budget, rate = total * share, 0.0
-    for _ in range(MAX_ROUNDS):
+    while True:  # every round but the last caps one more source at least, so it ends
         # One row of sums per round: what the capped sources take, and the weight of the others.
         full = top <= F.col("_weight") * rate
         row = numbered.agg(

@@ -159,8 +159,27 @@ def test_benchmark_edge_rows(spark, edge, none):
     )
     got = decontaminate.contaminated(edge, bench).collect()
     found = sorted(((r["doc_id"], r["item_id"]) for r in got), key=repr)
-    # A short item counts only as a whole document; the repeated row matches for itself.
+    # A short item counts as a whole word; the repeated row matches for itself.
     assert found == sorted([(1, 5), (2, 5), (2, 5), (12, 5), (6, 3), (None, None)], key=repr)
     assert decontaminate.contaminated(none, bench).collect() == []
     assert decontaminate.contaminated(edge, bench.limit(0)).collect() == []
     assert decontaminate.flagged(edge, bench.limit(0)).where("leak").count() == 0
+
+
+def test_short_items_inside_longer_documents(spark):
+    items = [(1, "Why is the sky blue?"), (2, "blue"), (3, "天空"), (4, made_text(1, 40)), (5, "sky. blue")]
+    docs = [
+        (1, "well, WHY is\nthe sky  blue? because"),
+        (2, "why is the sky bluer than the sea"),
+        (3, "bluebell"),
+        (4, "为什么天空是蓝的"),
+        (5, "blue"),
+        (6, "a blue-green " + made_text(1, 40)),
+        (7, "xwhy is the sky blue?"),
+    ]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"], r["distance"], r["short"]) for r in got.collect()) == [
+        (1, 1, 0, True), (1, 2, 0, True), (4, 3, 0, True), (5, 2, 0, True), (6, 2, 0, True), (6, 4, 0, False), (7, 2, 0, True),
+    ]
+    flags = decontaminate.flagged(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items[:1], "item_id long, text string"))
+    assert [r["doc_id"] for r in flags.collect() if r["leak"]] == [1]
