@@ -136,6 +136,56 @@ def test_tagger_adds_other_notations(spark, tagger):
     assert not any(pii.added_spans(tagger, clean, [[] for _ in clean]))
 
 
+def whole_search(tagger, x):
+    emit = pii._emit(tagger, pii._scan(tagger, x, np.float32)).astype(float)
+    out = np.zeros(x.shape, int)
+    for j in range(len(x)):
+        best, back = tagger.begin + emit[0, :, j], []
+        for t in range(1, x.shape[1]):
+            step = best[:, None] + tagger.move
+            back.append(step.argmax(0))
+            best = step.max(0) + emit[t, :, j]
+        k = int(best.argmax())
+        for t in range(x.shape[1] - 1, -1, -1):
+            out[j, t] = k
+            k = back[t - 1][k] if t else k
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_runs_give_what_whole_windows_give(seed):
+    rng = np.random.default_rng(seed)
+    tagger = pii.fresh_tagger(seed)._replace(
+        move=rng.normal(size=(pii.TAGS, pii.TAGS)) * (seed % 3 + 0.3), begin=rng.normal(size=pii.TAGS), out_bias=np.array([1.0 + seed / 3] + [0.0] * (pii.TAGS - 1))
+    )
+    x = rng.integers(0, pii.SYMBOLS, (24, 96))
+    assert (pii.decode(tagger, x) == whole_search(tagger, x)).all()
+
+
+def test_wide_forms_and_other_digits_are_classed_alike():
+    assert (pii.symbols("０１２＠．＋Ａb") == pii.symbols("012@.+ab")).all()
+    assert (pii.symbols("٣४") == pii.DIGIT).all()
+    assert pii.symbols("é中").tolist() == [pii.LETTER] * 2
+
+
+def test_whole_texts_are_read(tagger):
+    """A spelled address far inside a text without any digit or at sign."""
+    found = 0
+    for i in range(20):
+        head = made_text(i, 700) + " "
+        thing = f"{made_text(i, 1)[:5].strip(',. ').lower()} (at) mail.example.com"
+        text = re.sub("[0-9@]", "", head) + thing + " " + re.sub("[0-9@]", "", made_text(i + 3, 300))
+        start = text.index(thing)
+        found += any(k == 0 and a <= start + 8 and b == start + len(thing) for a, k, b in pii.added_spans(tagger, [text], [[]])[0])
+    assert found >= 15
+
+
+def test_added_spans_are_plausible():
+    good = [(0, "jane dot doe at mail dot org"), (0, "j (at) mail.org"), (0, "ｊ＠mail.org"), (1, "10[.]2[.]33[.]4"), (2, "4111.1111.1111.1111"), (3, "020 7946 0958"), (3, "＋１ (867) 555-2364")]
+    bad = [(0, "met at noon"), (0, "dot at"), (1, "10[.]2[.]333[.]4"), (1, "10[.]2[.]33"), (2, "4111.1111.1111.1112"), (3, "12 34"), (3, "call 020 7946"), (0, "")]
+    assert all(pii.plausible(k, t) for k, t in good) and not any(pii.plausible(k, t) for k, t in bad)
+
+
 def test_base_spans_stay(spark, tagger):
     docs = carrier(spark, 60).unionByName(spark.createDataFrame([(1000, "+12 34 56 78 90 a@b.c " * 40 + "9" * 300)], "doc_id bigint, text string"))
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
