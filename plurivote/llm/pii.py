@@ -486,6 +486,8 @@ def added_spans(tagger: Tagger, texts: list[str], base: list[list[tuple[int, int
             if not tagged[mine].any():
                 continue
             for start, kind, end in spans_of(reconciled(tags[mine], 0, len(text), window, window - OVERLAP)):
+                if text[max(start - 1, 0) : start].isalnum() or text[end : end + 1].isalnum():
+                    continue  # a piece of a longer word or number
                 if plausible(kind, text[start:end]) and not any(a < end and start < b for a, _, b in base[row]):
                     out[row].append((start, kind, end))
     return out

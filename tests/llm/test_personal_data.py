@@ -180,6 +180,12 @@ def test_whole_texts_are_read(tagger):
     assert found >= 15
 
 
+def test_pieces_of_longer_words_are_not_added(tagger):
+    for i in range(10):
+        text = f"{made_text(i, 9)} a4524132264652876b{i} {made_text(i + 1, 9)}"
+        assert pii.added_spans(tagger, [text], [[]]) == [[]]
+
+
 def test_added_spans_are_plausible():
     good = [(0, "jane dot doe at mail dot org"), (0, "j (at) mail.org"), (0, "ｊ＠mail.org"), (1, "10[.]2[.]33[.]4"), (2, "4111.1111.1111.1111"), (3, "020 7946 0958"), (3, "＋１ (867) 555-2364")]
     bad = [(0, "met at noon"), (0, "dot at"), (1, "10[.]2[.]333[.]4"), (1, "10[.]2[.]33"), (2, "4111.1111.1111.1112"), (3, "12 34"), (3, "call 020 7946"), (0, "")]
