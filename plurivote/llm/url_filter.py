@@ -7,8 +7,10 @@ built over the complete set of keys of the corpus, the first level a key fails t
 whether it is listed: an even level means listed, an odd one means not.
 
 The keys are dealt to shards by hash and every shard has its own small cascade, one array of
-64-bit words per level. A page looks its shard up and tests bits in place; page keys are never joined to
-the list. Everything is DataFrame functions.
+64-bit words per level. A page looks its shard up and tests bits in place. The number of shards follows the
+listed keys and the keys that the first level is expected to let through, whichever are more, so no
+level of a shard grows with the corpus. While the cascade is built, the first level is tested on the pages in place, and only the keys that
+pass it (the listed ones and one in 16 of the others) are told apart by a join with the list. Everything is DataFrame functions.
 
 The filters are broadcast when their measured size is below ``MAX_BROADCAST_BYTES``. Above it
 they are joined by shuffle on (shard, salt), with the pages of a shard spread over all salts,
@@ -16,7 +18,7 @@ so a URL on a third of all pages does not meet in one task.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, fits no rule and has
 the empty key; null ids, repeated rows and extra columns are kept apart from the result
-(one row per input row: ``page_id, host, path, rule, verdict, listed``); an empty list blocks nothing;
+(one row per input row: ``page_id, host, path, rule, verdict, listed``); an empty list blocks nothing; a null key is never listed;
 empty tables give empty results. Of two rules of one length that both fit, the first in code point order holds.
 """
 
@@ -94,23 +96,45 @@ def _level(keys: DataFrame, number: int) -> DataFrame:
     )
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame) -> tuple[DataFrame, int]:
+def _beside(rows: DataFrame, filters: DataFrame, how: str = "inner") -> DataFrame:
+    """The rows, which have ``key`` and ``shard``, each beside its shard's filters."""
+    if _small(filters):
+        return rows.join(F.broadcast(filters), "shard", how)
+    salted = filters.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # By all columns of a row, so that the rows of one key do not meet in one task.
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, ["shard", "_salt"], how).drop("_salt")
+
+
+def build_cascade(listed: DataFrame, universe: DataFrame, spread: Sequence[str] = ()) -> tuple[DataFrame, int]:
     """Cascades ``shard, levels`` of the listed keys, exact over ``universe``; and the number of shards.
 
-    Both tables have one column ``key``; keys that are listed but not in the universe do no harm.
+    Both tables have a column ``key``. Keys that are listed but not in the universe do no harm. The universe may hold a key
+    in any number of rows; columns named in ``spread`` (an id) deal the rows of one key to many tasks.
     """
-    inside = settle(listed.select("key").distinct())
-    shards = max(1, math.ceil(inside.count() / KEYS_PER_SHARD))
+    inside = settle(listed.select("key").where(F.col("key").isNotNull()).distinct())
+    held = universe.select("key", *spread).where(F.col("key").isNotNull())
+    # An estimate is enough: it sizes the shards and decides nothing else.
+    keys = held.agg(F.approx_count_distinct("key")).first()[0]
+    shards = max(1, math.ceil(max(inside.count(), keys / 2**HASHES) / KEYS_PER_SHARD))
     inside = inside.withColumn("shard", shard_of(F.col("key"), shards))
-    outside = universe.select("key").distinct().join(inside.select("key"), "key", "left_anti").withColumn("shard", shard_of(F.col("key"), shards))
-    encoded, others = inside, settle(outside)
+
+    def passing(rows: DataFrame, level: DataFrame, number: int) -> DataFrame:
+        tested = _beside(rows, level).where(_has(F.col("key"), F.lit(number), F.col("bits"), F.col("words")))
+        return tested.select("key", "shard")
+
+    encoded, others = inside, None
     made, number = [], 0
     while True:
         number += 1
         level = settle(_level(encoded, number))
         made.append(level)
-        held = others.join(F.broadcast(level) if _small(level) else level, "shard")
-        passed = held.where(_has(F.col("key"), F.lit(number), F.col("bits"), F.col("words"))).select("key", "shard")
+        if others is None:
+            # The distinct keys are combined before their exchange, so a key in many rows is not one task.
+            passed = passing(held.withColumn("shard", shard_of(F.col("key"), shards)), level, number).distinct()
+            passed = passed.join(inside.select("key"), "key", "left_anti")
+        else:
+            passed = passing(others, level, number)
         passed = settle(passed)
         if passed.isEmpty():
             break
@@ -144,13 +168,8 @@ def filter_urls(
     host, path = url_parts(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     keyed = parts.withColumn("key", F.concat("host", "path"))
-    cascade, shards = build_cascade(listed, keyed.select("key"))
-    sharded = keyed.withColumn("shard", shard_of(F.col("key"), shards))
-    if _small(cascade):
-        held = sharded.join(F.broadcast(cascade), "shard", "left")
-    else:
-        salted = cascade.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        held = sharded.withColumn("salt", F.pmod(F.xxhash64("page_id", "key"), F.lit(SALTS)).cast("int")).join(salted, ["shard", "salt"], "left")
+    cascade, shards = build_cascade(listed, keyed, spread=["page_id"])
+    held = _beside(keyed.withColumn("shard", shard_of(F.col("key"), shards)), cascade, "left")
     judged = held.select(
         "page_id", "host", "path", longest_rule(F.col("host"), F.col("path"), rules).alias("_r"), is_listed(F.col("key"), F.col("levels")).alias("listed")
     )

@@ -1,6 +1,7 @@
 """URL rules and the filter cascade (2)."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from plurivote.llm import url_filter
 from plurivote.llm.queries import RULES
@@ -56,3 +57,33 @@ def test_membership_is_exact(spark, monkeypatch, per_shard, broadcast):
     got = url_filter.filter_urls(pages.unionByName(hot), [], listed).collect()
     assert len(got) == 8000
     assert all(r["listed"] == (r["host"] + r["path"] in want) for r in got)
+
+
+def test_levels_stay_small(spark, monkeypatch):
+    """A short list over a large universe: the shards are as many as the false positives need."""
+    monkeypatch.setattr(url_filter, "KEYS_PER_SHARD", 64)
+    universe = spark.range(60_000).selectExpr("concat('k', id) AS key")
+    listed = spark.range(10).selectExpr("concat('k', id * 7) AS key")
+    cascade, shards = url_filter.build_cascade(listed, universe)
+    assert shards >= 50
+    widest = cascade.selectExpr("explode(levels) AS l").selectExpr("max(size(l.words)) AS w").first()["w"]
+    assert widest * 64 <= 4 * 64 * url_filter.BITS_PER_KEY
+    held = universe.withColumn("shard", url_filter.shard_of(F.col("key"), shards)).join(cascade, "shard", "left")
+    got = {r["key"] for r in held.where(url_filter.is_listed(F.col("key"), F.col("levels"))).collect()}
+    assert got == {f"k{7 * i}" for i in range(10)}
+
+
+def test_null_keys(spark):
+    """A null key is not listed and does not keep the cascade from ending."""
+    universe = spark.createDataFrame([(None,), ("a",), ("b",)], "key string")
+    cascade, shards = url_filter.build_cascade(spark.createDataFrame([(None,), ("a",)], "key string"), universe)
+    held = universe.withColumn("shard", url_filter.shard_of(F.col("key"), shards)).join(cascade, "shard", "left")
+    got = held.select("key", url_filter.is_listed(F.col("key"), F.col("levels")).alias("listed")).where("key IS NOT NULL").collect()
+    assert {r["key"]: r["listed"] for r in got} == {"a": True, "b": False}
+
+
+def test_list_longer_than_the_universe(spark):
+    pages = spark.range(50).selectExpr("id AS page_id", "concat('http://h', id, '.net/') AS url")
+    listed = spark.range(20_000).selectExpr("concat('h', id * 10, '.net/') AS key")
+    got = url_filter.filter_urls(pages, [], listed).where("listed").collect()
+    assert sorted(r["page_id"] for r in got) == [0, 10, 20, 30, 40]
