@@ -4,14 +4,14 @@ For each language a byte context tree of order 3 is counted on labelled document
 length of a byte is that of PPM with escape method C: from the longest context the language has
 seen, ``n(byte) / (N + T)`` where the byte was seen there, else the escape ``T / (N + T)`` and
 the next shorter context, down to equal chances for all 256 bytes (T: distinct bytes of
-a context, N: their number). The statistics are frozen, so the code lengths of all bytes after all contexts
-are worked out once: a table row per context, an entry per byte and language. A text is
-scored by two look-ups per byte, on whole batches, and the language with the shortest code is the answer.
+a context, N: their number). The statistics are frozen, so code lengths are worked out once, in
+sparse tables: a row for each sequence of a context and its byte that any language has seen, and a row for the escapes of
+each context, an entry per language in both. A text is scored on whole batches, from the longest order down;
+bytes that an order knows are done, the others pay its escape and go on. The language with the shortest code is the answer.
 
 Learning uses at most ``docs_per_language`` labelled documents per language (whole texts; those
-with the smallest hash of their id) and keeps the ``max_contexts`` most frequent contexts of order 3 and
-the ``max_bytes`` most frequent bytes (others share one symbol). These bounds are parameters.
-The model is some tens of MB at most and is broadcast.
+with the smallest hash of their id), which is a parameter. All their contexts and all bytes are kept, so the model grows with that sample and not with the
+corpus: 4 bytes per language and table row. It is broadcast.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; equal code lengths go to
 the language first in code point order; without labelled documents all are ``und``; repeated
@@ -43,28 +43,34 @@ LOWER[65:91] += 32
 
 class Model(NamedTuple):
     languages: list[str]
-    symbol: np.ndarray  # of each byte
-    width: int  # symbols
-    row: np.ndarray  # table row of every triple of symbols
-    bits: np.ndarray  # (rows x symbols, languages) code lengths
+    grams: list[np.ndarray]  # per order: context and byte as one number, ascending
+    bits: list[np.ndarray]  # per order: (grams, languages) code lengths
+    contexts: list[np.ndarray]  # per order: contexts, ascending
+    escapes: list[np.ndarray]  # per order: (contexts, languages) code lengths
 
 
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def _contexts(data: np.ndarray, starts: np.ndarray, blank: int) -> list[np.ndarray]:
-    """The ORDER symbols before every position, the nearest first; blanks before a text."""
+def _contexts(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """The ORDER bytes before every position, the nearest first; blanks before a text."""
     before, out = data, []
     for _ in range(ORDER):
         shifted = np.empty_like(before)
         shifted[1:] = before[:-1]
-        shifted[starts] = blank
+        shifted[starts] = BLANK
         out.append(shifted)
         before = shifted
     return out
 
 
+def _codes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Every byte with its context as one number, the byte lowest."""
+    one, two, three = (c.astype(np.uint32) for c in _contexts(data, starts))
+    return (three << 24) | (two << 16) | (one << 8) | data
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         data, bounds = text_buffers(batch.column("text"))
@@ -72,15 +78,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(starts):
             continue
         plain = LOWER[data]
-        one, two, three = (c.astype(np.int64) for c in _contexts(plain, starts, BLANK))
-        code = (three << 24) | (two << 16) | (one << 8) | plain
+        code = _codes(plain, starts)
         language = np.repeat(np.array(batch.column("lang").to_pylist(), dtype=object), np.diff(bounds))
         for lang in set(language):
             codes, counts = np.unique(code[language == lang], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(counts)], names=["lang", "code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes, pa.int64()), pa.array(counts)], names=["lang", "code", "n"])
 
 
-def fit(documents: DataFrame, docs_per_language: int = 300, max_contexts: int = 20_000, max_bytes: int = 120) -> Model | None:
+def fit(documents: DataFrame, docs_per_language: int = 300) -> Model | None:
     """Count the context trees on documents that are not held out; none without labels."""
     rows = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     # The first of every language, chosen among the first of its parts, so a language with most rows is not one task.
@@ -96,63 +101,56 @@ def fit(documents: DataFrame, docs_per_language: int = 300, max_contexts: int =
     languages = sorted(set(counts.column("lang").to_pylist()))
     place = {lang: i for i, lang in enumerate(languages)}
     lang = np.array([place[x] for x in counts.column("lang").to_pylist()])
-    return tree(languages, lang, counts.column("code").to_numpy(), counts.column("n").to_numpy().astype(np.float64), max_contexts, max_bytes)
-
-
-def tree(languages: list[str], lang: np.ndarray, code: np.ndarray, n: np.ndarray, max_contexts: int, max_bytes: int) -> Model:
-    """Freeze the code lengths of every (context, byte, language)."""
-    if not 0 < max_bytes < 256:
-        raise ValueError("a byte's symbol is one byte itself: 1 to 255 bytes can have their own")
-    total = np.bincount(code & 255, weights=n, minlength=256)
-    total[BLANK] += 1  # the blank always has a symbol of its own
-    own = np.argsort(-total, kind="stable")[:max_bytes]
-    own = np.sort(own[total[own] > 0])
-    symbol = np.zeros(256, dtype=np.uint8)
-    symbol[own] = np.arange(1, len(own) + 1)
-    width = len(own) + 1
-    shared = 256 - len(own)  # bytes behind symbol 0
-    three, two, one, byte = (symbol[(code >> s) & 255].astype(np.int64) for s in (24, 16, 8, 0))
-    seen_triples = (three * width + two) * width + one
-    weight = np.bincount(seen_triples, weights=n, minlength=width**3)
-    triples = np.argsort(-weight, kind="stable")[:max_contexts]
-    triples = np.sort(triples[weight[triples] > 0])
-
-    def tables(context: np.ndarray, contexts: int) -> np.ndarray:
-        """Counts (context, symbol, language)."""
-        flat = (context * width + byte) * len(languages) + lang
-        return np.bincount(flat, weights=n, minlength=contexts * width * len(languages)).reshape(contexts, width, len(languages))
-
-    uniform = np.full((1, width, len(languages)), 8.0)
-
-    def lengths(count: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        distinct = (count > 0).sum(axis=1, keepdims=True)
-        whole = count.sum(axis=1, keepdims=True)
-        per_byte = count.copy()
-        per_byte[:, 0] /= max(1, shared)  # one of the bytes that share symbol 0
+    return tree(languages, lang, counts.column("code").to_numpy().astype(np.uint32), counts.column("n").to_numpy())
+
+
+def tree(languages: list[str], lang: np.ndarray, code: np.ndarray, n: np.ndarray) -> Model:
+    """Freeze the code lengths of every (context, byte) seen and of every context's escape."""
+    grams, bits, contexts, escapes = [], [], [], []
+    for order in range(ORDER + 1):
+        gram, place = np.unique(_shorter(code, order), return_inverse=True)
+        count = np.zeros((len(gram), len(languages)))
+        np.add.at(count, (place, lang), n)
+        context, of = np.unique(gram >> 8, return_inverse=True)
+        whole, distinct = np.zeros((2, len(context), len(languages)))
+        np.add.at(whole, of, count)
+        np.add.at(distinct, of, count > 0)
+        # A sequence that is known here is known to the shorter orders too, if perhaps in other languages.
+        behind = bits[-1][np.searchsorted(grams[-1], _shorter(gram, order - 1))] if order else np.full(count.shape, 8.0)
         with np.errstate(divide="ignore", invalid="ignore"):
-            coded = -np.log2(per_byte / (whole + distinct))
-            escaped = -np.log2(distinct / (whole + distinct)) + shorter
-        return np.where(whole == 0, shorter, np.where(count > 0, coded, escaped))
-
-    zero = lengths(tables(np.zeros_like(one), 1), uniform)
-    first = lengths(tables(one, width), zero)
-    pairs = np.unique(two * width + one)
-    second = lengths(tables(np.searchsorted(pairs, two * width + one), len(pairs)), first[pairs % width])
-    at = np.searchsorted(triples, seen_triples)
-    at = np.minimum(at, len(triples) - 1)
-    kept = triples[at] == seen_triples
-    count = np.bincount(
-        ((at * width + byte) * len(languages) + lang)[kept], weights=n[kept], minlength=len(triples) * width * len(languages)
-    ).reshape(len(triples), width, len(languages))
-    third = lengths(count, second[np.searchsorted(pairs, triples % (width * width))])
-    bits = np.concatenate([first, second, third]).astype(np.float32)
-
-    # Every triple of symbols leads to the row of its longest context in the tree.
-    row = np.tile(np.arange(width, dtype=np.int32), width * width)
-    by_pair = row.reshape(width, width * width)
-    by_pair[:, pairs] = width + np.arange(len(pairs), dtype=np.int32)
-    row[triples] = width + len(pairs) + np.arange(len(triples), dtype=np.int32)
-    return Model(languages, symbol, width, row, bits.reshape(-1, len(languages)))
+            escape = np.where(whole > 0, -np.log2(distinct / (whole + distinct)), 0.0)
+            coded = -np.log2(count / (whole + distinct)[of])
+        grams.append(gram)
+        bits.append(np.where(count > 0, coded, escape[of] + behind))
+        contexts.append(context)
+        escapes.append(escape)
+    return Model(languages, grams, [b.astype(np.float32) for b in bits], contexts, [e.astype(np.float32) for e in escapes])
+
+
+def _shorter(code: np.ndarray, order: int) -> np.ndarray:
+    """The byte with the nearest ``order`` bytes of its context."""
+    return code & np.uint32((1 << 8 * (order + 1)) - 1)
+
+
+def _find(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in an ascending table, and which are there."""
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return at, known[at] == wanted
+
+
+def _bits(model: Model, code: np.ndarray) -> np.ndarray:
+    """Code length (byte, language)."""
+    total = np.zeros((len(code), len(model.languages)), np.float32)
+    left = np.arange(len(code))
+    for order in range(ORDER, -1, -1):
+        here = _shorter(code[left], order)
+        at, known = _find(model.grams[order], here)
+        total[left[known]] += model.bits[order][at[known]]
+        left, here = left[~known], here[~known]
+        at, known = _find(model.contexts[order], here >> 8)
+        total[left[known]] += model.escapes[order][at[known]]
+    total[left] += 8.0
+    return total
 
 
 def code_lengths(model: Model, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -162,13 +160,11 @@ def code_lengths(model: Model, data: np.ndarray, bounds: np.ndarray) -> np.ndarr
     if not len(filled):
         return totals
     starts = bounds[:-1][filled]
-    symbols = model.symbol[LOWER[data]]
-    one, two, three = _contexts(symbols, starts, int(model.symbol[BLANK]))
-    for low in range(0, len(symbols), CHUNK):
-        part = slice(low, min(low + CHUNK, len(symbols)))
-        row = model.row[(three[part].astype(np.int32) * model.width + two[part]) * model.width + one[part]]
-        bits = model.bits[row * model.width + symbols[part]]
-        here = slice(int(np.searchsorted(starts, low, side="right")) - 1, int(np.searchsorted(starts, part.stop, side="left")))
+    code = _codes(LOWER[data], starts)
+    for low in range(0, len(code), CHUNK):
+        stop = min(low + CHUNK, len(code))
+        bits = _bits(model, code[low:stop])
+        here = slice(int(np.searchsorted(starts, low, side="right")) - 1, int(np.searchsorted(starts, stop, side="left")))
         totals[filled[here]] += np.add.reduceat(bits, np.maximum(starts[here], low) - low, axis=0, dtype=np.float64)
     return totals
 
