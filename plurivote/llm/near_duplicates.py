@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plurivote.llm.arrow import kept, slices, text_buffers
+from plurivote.llm.hot_keys import join_unique
 from plurivote.llm.words import mix, runs, whole_runs, word_hashes, word_spans
 from plurivote.session import settle
 
@@ -331,8 +332,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     )
     # One entry per text, under its least id.
     entry = signed.groupBy("h", "h2").agg(F.min("doc_id").alias("id"))
-    entries = signed.join(entry, ["h", "h2"]).where("doc_id = id AND weight > 0").dropDuplicates(["h", "h2", "id"])
-    entries = settle(entries.select("id", "weight", "bands"))
+    # Found by its id, so that all copies of a text do not meet in one task.
+    chosen = entry.select(F.col("id").alias("doc_id"), "h", "h2")
+    entries = signed.where("weight > 0").join(chosen, ["doc_id", "h", "h2"], "left_semi").dropDuplicates(["doc_id", "h", "h2"])
+    entries = settle(entries.select(F.col("doc_id").alias("id"), "weight", "bands"))
     banded = entries.select("id", F.posexplode("bands").alias("band", "key"))
 
     sizes = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")).where("size > 1")
@@ -364,8 +367,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     if not others.isEmpty():
         labels = components(links.unionByName(linked(others, cells)).distinct())
 
-    classed = entry.join(labels, "id", "left").select("h", "h2", F.coalesce("label", "id").alias("class_id"))
-    return signed.select("doc_id", "h", "h2").join(classed, ["h", "h2"]).select("doc_id", "class_id")
+    both = F.struct("h", "h2").alias("hh")
+    classed = entry.join(labels, "id", "left").select(both, F.coalesce("label", "id").alias("class_id"))
+    return join_unique(signed.select("doc_id", both), classed, "hh").select("doc_id", "class_id")
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
