@@ -99,7 +99,8 @@ _BATCHED = """SELECT item_id, (row_number() OVER (ORDER BY md5(concat_ws(':', '1
 )
 def batch_mean_metrics(spark, sf_dir):
     batches = ENC.make_batches(I.truth(spark, sf_dir), "item_id", 16).select("item_id", "label", "batch_id")
-    rows = I.predictions(spark, sf_dir).join(batches, "item_id")
+    # Moved by item as in ``join_truth``; the predictions are never broadcast.
+    rows = I.predictions(spark, sf_dir).join(batches.hint("merge"), "item_id")
     means = M.batch_mean_metrics(rows, "batch_id", ["model_name", "epoch_no"])
     return means.withColumns(I.round9("accuracy", "precision", "recall", "f1"))
 

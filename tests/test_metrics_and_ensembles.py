@@ -336,3 +336,30 @@ def test_control_golden(spark):
     scores = {(r["model_name"], r["epoch_no"]): r for r in I.scores(spark, sf).collect()}
     assert round(scores["control_01", 2]["test_accuracy"], 4) == 0.7594 and round(scores["control_01", 2]["test_f1"], 4) == 0.4146
     assert round(scores["control_02", 2]["test_accuracy"], 4) == 0.7669 and round(scores["control_02", 2]["test_f1"], 4) == 0.4561
+
+
+def exploded_predictions(spark):
+    """Truth of 20 items, and predictions made of it by an ``explode``, which the planner takes for as few rows."""
+    truth = spark.range(20).select(F.col("id").alias("item_id"), (F.col("id") % 2).cast("int").alias("label"))
+    made = truth.select("item_id", F.col("label").alias("pred"), F.explode(F.sequence(F.lit(1), F.lit(63))).alias("epoch_no"))
+    return made.withColumn("model_name", F.lit("a")), truth
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_predictions_are_never_broadcast_to_the_truth(spark):
+    preds, truth = exploded_predictions(spark)
+    joined = M.join_truth(preds, truth)
+    assert "BroadcastHashJoin" not in plan_of(joined) and joined.where("pred = label").count() == 20 * 63
+    assert "BroadcastHashJoin" not in plan_of(M.evaluate_models(preds, truth))
+
+
+def test_predictions_are_never_broadcast_to_the_batches(spark, tmp_path):
+    from plurivote.plans import scoring
+
+    spark.createDataFrame([(i, 0, i % 2) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = scoring.batch_mean_metrics(spark, str(tmp_path))
+    assert "SortMergeJoin [item_id" in plan_of(found)  # the batches themselves may come from small broadcast tables
+    assert {r["batches"] for r in found.collect()} == {3} and found.count() == 63
