@@ -19,9 +19,10 @@ def join_truth(predictions: DataFrame, truth: DataFrame, item: str = "item_id",
     """Predictions with their label, aligned by item and not by position.
 
     Predictions without truth, and items a model never scored, have no row here;
-    ``alignment`` counts both.
+    ``alignment`` counts both. Both sides are moved by item: the planner takes rows from an ``explode`` for as few as
+    the items they were made of and would broadcast the predictions.
     """
-    return predictions.join(truth.select(item, label), item)
+    return predictions.join(truth.select(item, label).hint("merge"), item)
 
 
 def alignment(predictions: DataFrame, truth: DataFrame, by: Sequence[str] = ("model_name", "epoch_no"), item: str = "item_id") -> DataFrame:
