@@ -226,11 +226,16 @@ def _stretches(kind: int, by_hash: bool, shards: int, salts):
 
 
 def _as_text(words: np.ndarray) -> str:
-    """Two characters per word; the halves come from different planes, so a word never begins in the middle of one."""
+    """Two characters per word, of its upper 12 and its lower 20 bits; they come from different planes, so a word never begins
+    in the middle of one.
+
+    The automaton looks through a node's children one by one, and the root is asked for every word that goes on no phrase:
+    the first character has few values.
+    """
     bits = words.view(np.uint32)
     points = np.empty((len(bits), 2), dtype="<u4")
-    points[:, 0] = (bits >> 16) + 0x10000
-    points[:, 1] = (bits & 0xFFFF) + 0x20000
+    points[:, 0] = (bits >> 20) + 0x1000
+    points[:, 1] = (bits & 0xFFFFF) + 0x10000
     return points.tobytes().decode("utf-32-le")
 
 

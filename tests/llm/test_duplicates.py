@@ -273,3 +273,14 @@ def test_passage_edge_rows(edge, none):
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got), key=repr) == removed_by_hand(docs)
     assert all(hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in got)
     assert P.remove_repeats(none).collect() == []
+
+
+def test_words_of_the_automaton_begin_with_few_characters():
+
+
+    words = np.concatenate([np.arange(0, 1 << 32, 60_013, dtype=np.int64), [0, (1 << 31) - 1, 1 << 31, (1 << 32) - 1]]).astype(np.uint32)
+    text = P._as_text(words.view(np.int32))
+    begins, ends = set(text[::2]), set(text[1::2])
+    assert len(text) == 2 * len(words) and not begins & ends
+    assert len({text[i : i + 2] for i in range(0, len(text), 2)}) == len(set(words.tolist()))
+    assert len(begins) <= 4096  # a node's children are looked through one by one
