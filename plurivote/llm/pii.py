@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plurivote.llm.arrow import ddl, slices, text_buffers
+from plurivote.llm.arrow import ddl, ragged, slices, text_buffers
+from plurivote.session import settle
 
 KINDS = ["email", "ip", "card", "phone"]
 WINDOW, STRIDE = 64, 32  # of the examples
@@ -43,7 +44,7 @@ TAGS = 1 + 2 * len(KINDS)  # 0: outside, 2k + 1: begin of kind k, 2k + 2: inside
 MAX_DOCUMENTS, MAX_WINDOWS = 2_000, 4_000
 STEPS, BATCH, RATE = 700, 96, 0.03
 RUNS = 4_096  # runs that are searched at once
-TEXTS = 1 << 19  # characters that are read at once
+TEXTS = 1 << 20  # characters that are read at once
 
 # ---- the patterns ----
 MAY_HOLD = re.compile("[0-9@]")  # no pattern fits a text without
@@ -364,15 +365,10 @@ def _in_runs(worth: np.ndarray) -> np.ndarray:
     return before + after - worth > 0
 
 
-def decode(tagger: Tagger, x: np.ndarray) -> np.ndarray:
-    """Best tags of every window, by Viterbi.
-
-    Only the runs that can hold a tag other than outside by an upper bound are searched; the result is that of a search
-    over whole windows.
-    """
+def _runs(tagger: Tagger, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs that can hold a tag other than outside: window, place, size, and the scores (TAGS) of their characters."""
     n, length = x.shape
     emit = _emit(tagger, _scan(tagger, x, np.float32))
-    tags = np.zeros((n, length), dtype=np.int64)
     worth = _worth(tagger, emit)
     some = np.flatnonzero((worth > 0).any(axis=0))
     free = np.zeros((n, length), dtype=bool)
@@ -381,29 +377,45 @@ def decode(tagger: Tagger, x: np.ndarray) -> np.ndarray:
     steps = np.diff(np.concatenate([edge, free, edge], axis=1).astype(np.int8), axis=1)
     row, low = np.nonzero(steps == 1)
     size = np.nonzero(steps == -1)[1] - low
+    at = ragged(size, low)
+    return row, low, size, emit[at, :, np.repeat(row, size)]
+
+
+def decode(tagger: Tagger, x: np.ndarray) -> np.ndarray:
+    """Best tags of every window, by Viterbi.
+
+    Only the runs that can hold a tag other than outside by an upper bound are searched; the result is that of a search
+    over whole windows. States are worked out for ``TEXTS`` characters at a time, the runs of all windows are searched together.
+    """
+    n, length = x.shape
+    tags = np.zeros((n, length), dtype=np.int8)
+    batch = max(1, TEXTS // length)
+    found = [_runs(tagger, x[i : i + batch]) for i in range(0, n, batch)]
+    row = np.concatenate([f[0] + i * batch for i, f in enumerate(found)])
+    low, size, scores = (np.concatenate([f[k] for f in found]) for k in (1, 2, 3))
+    first = np.cumsum(size) - size
     by_size = np.argsort(size, kind="stable")
     # Runs of like size together, so short ones do not wait for long ones.
     cuts = {0, len(row), *range(0, len(row), RUNS), *np.searchsorted(size[by_size], 2 ** np.arange(12)).tolist()}
     for at, stop in pairwise(sorted(cuts)):
         pick = by_size[at:stop]
-        r, a, m = row[pick], low[pick], size[pick]
+        r, a, m, begin = row[pick], low[pick], size[pick], first[pick]
         longest = int(m.max())
-        score = emit[np.minimum(a[:, None] + np.arange(longest), length - 1), :, r[:, None]]  # (runs, longest, TAGS)
-        best = np.where((a == 0)[:, None], tagger.begin, tagger.move[0]) + score[:, 0]
-        back, every, to = [], np.arange(len(pick)), tagger.move.T
+        # Tags first, runs last. Runs come by size, so those that have ended are in front; ``live`` is where the others begin.
+        best = np.where(a == 0, tagger.begin[:, None], tagger.move[0][:, None]) + scores[begin].T
+        to, lives, bests = tagger.move.T[:, :, None], [0], [best.copy()]  # to: (tag here, tag before, 1)
         for t in range(1, longest):
-            step = best[:, None, :] + to  # (runs, tag here, tag before)
-            come = step.argmax(axis=2)
-            back.append(come)
-            ahead = np.take_along_axis(step, come[:, :, None], axis=2)[:, :, 0] + score[:, t]
-            best = np.where((t < m)[:, None], ahead, best)
-        # The way out of a run, where a character follows it.
-        tag = (best + np.where((a + m < length)[:, None], tagger.move[:, 0], 0.0)).argmax(axis=1)
+            live = int(np.searchsorted(m, t, side="right"))
+            best[:, live:] = (best[None, :, live:] + to).max(axis=1) + scores[begin[live:] + t].T
+            lives.append(live)
+            bests.append(best[:, live:].copy())
+        # The way out of a run, where a character follows it; then back, each tag from the best one before it.
+        tag = (best + np.where(a + m < length, tagger.move[:, :1], 0.0)).argmax(axis=0)
         for t in range(longest - 1, -1, -1):
-            inside = t < m
-            tags[r[inside], a[inside] + t] = tag[inside]
+            live = lives[t]
+            tags[r[live:], a[live:] + t] = tag[live:]
             if t:
-                tag = np.where(inside, back[t - 1][every, tag], tag)
+                tag[live:] = (bests[t - 1][:, live - lives[t - 1] :] + tagger.move[:, tag[live:]]).argmax(axis=0)
     return tags
 
 
@@ -476,8 +488,7 @@ def added_spans(tagger: Tagger, texts: list[str], base: list[list[tuple[int, int
     for window in READ:
         if not where[window]:
             continue
-        x, batch = np.concatenate(windows[window]), max(1, TEXTS // window)
-        tags = np.concatenate([decode(tagger, x[i : i + batch]) for i in range(0, len(x), batch)])
+        tags = decode(tagger, np.concatenate(windows[window]))
         tagged = tags.any(axis=1)
         at = 0
         for row, n in where[window]:
@@ -561,12 +572,15 @@ def fit(documents: DataFrame, max_documents: int = MAX_DOCUMENTS, max_windows: i
     """Train the tagger on the pattern spans of a bounded sample: half of the windows hold spans, as many of each kind as
     there are up to an eighth, a quarter other digits.
     """
-    rows = documents.where(F.col("text").rlike("[0-9@]")).select(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"), "text")
-    last = rows.select("key").orderBy("key").limit(max_documents).agg(F.max("key").alias("key")).first()["key"]
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    rows = documents.where(F.col("text").rlike("[0-9@]")).select(key.alias("key"))
+    last = rows.orderBy("key").limit(max_documents).agg(F.max("key").alias("key")).first()["key"]
     if last is None:
         return None
-    windows = rows.where(F.col("key") <= last).mapInArrow(_examples, "key string, part int, x binary, y binary")
-    drawn = windows.withColumn("place", F.md5("key"))
+    # The key first: the texts of other documents are not looked through again.
+    sample = documents.where(key <= last).where(F.col("text").rlike("[0-9@]")).select(key.alias("key"), "text")
+    windows = sample.mapInArrow(_examples, "key string, part int, x binary, y binary")
+    drawn = settle(windows.withColumn("place", F.md5("key")))
     shares = [max_windows // 8] * len(KINDS) + [max_windows // 4] * 2
     chosen = reduce(
         DataFrame.unionAll,

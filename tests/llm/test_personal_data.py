@@ -208,3 +208,31 @@ def test_edge_rows(edge, none, tagger):
     assert all(r["spans"] == "" for r in got)
     assert pii.fit(none) is None and pii.personal_data(none, None).collect() == []
     assert len(pii.personal_data(edge, None).collect()) == len(rows())
+
+
+def test_the_sample_is_worked_out_once_for_all_draws(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    texts = [(i, f"write to a{i}@b.org or 10.0.0.{i} today") for i in range(40)]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        seen.add(1)
+        return text
+
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("text", read.asNondeterministic()("text"))
+    monkeypatch.setattr(pii, "train", lambda x, y: (x, y))
+    x, y = pii.fit(docs)
+    assert len(x) == len(y) and y.any()
+    assert seen.value <= 2 * len(texts)  # the pass for the keys, and one for all examples
+
+
+def test_decoding_does_not_depend_on_the_batches(monkeypatch):
+    rng = np.random.default_rng(5)
+    tagger = pii.fresh_tagger(3)
+    x = rng.integers(1, pii.SYMBOLS, (50, 64)).astype(np.int8)
+    whole = pii.decode(tagger, x)
+    monkeypatch.setattr(pii, "TEXTS", 7 * 64)
+    monkeypatch.setattr(pii, "RUNS", 3)
+    assert whole.any() and (pii.decode(tagger, x) == whole).all()
