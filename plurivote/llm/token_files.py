@@ -49,6 +49,8 @@ BATCH_ROWS = 256  # rows of a record batch
 CACHED_WORDS = 600_000
 CACHED_PIECES = 800_000
 CACHED_CHARS = 12_000_000
+SLICE_TEXTS = 1 << 20  # bytes of texts that are encoded at once
+ENCODED_AT_ONCE = 1 << 13  # pieces the library gets at once; its answers take some hundred bytes an id
 # Fixed value: the pattern this module knows to be cut at blanks, and between a letter or digit and other marks.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 TAIL = ".,!|*$#%&?;:"  # marks that a word sheds before it is looked up
@@ -79,11 +81,10 @@ class Pieces(dict):
     def learn(self, tokenizer, ends: np.ndarray) -> None:
         if not self.new:
             return
-        ids = _encode_pieces(self.new, tokenizer, ends)
-        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        lengths, ids = _encode_pieces(self.new, tokenizer, ends)
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
         self.length = np.concatenate([self.length, lengths])
-        self.flat = np.concatenate([self.flat, *ids]) if len(ids) else self.flat
+        self.flat = np.concatenate([self.flat, ids])
         self.new = []
 
 
@@ -152,7 +153,17 @@ def cuts_at_words(tokenizer_json: str) -> bool:
     return model.get("type") == "BPE" and bool(model.get("end_of_word_suffix")) and not model.get("dropout")
 
 
-def _encode_pieces(pieces: list[str], tokenizer, ends: np.ndarray) -> list[np.ndarray]:
+def _encode_pieces(pieces: list[str], tokenizer, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of ids of every piece, and the ids end to end, from bounded calls of the library."""
+    lengths, flat = [], []
+    for at in range(0, len(pieces), ENCODED_AT_ONCE):
+        found = _encode_some(pieces[at : at + ENCODED_AT_ONCE], tokenizer, ends)
+        lengths.append(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+        flat.append(np.concatenate(found))
+    return np.concatenate(lengths), np.concatenate(flat)
+
+
+def _encode_some(pieces: list[str], tokenizer, ends: np.ndarray) -> list[np.ndarray]:
     """Ids of every piece from the library.
 
     Pieces of letters alone are joined by blanks and encoded many at a time: each gives one
@@ -204,7 +215,9 @@ def _cut(word: str) -> tuple[str, str]:
     if not core or not (core[-1].isascii() and core[-1].isalnum()):
         core = word
     # Special strings are told by their case, so what may hold one keeps it.
-    return core.lower() if core.isascii() and "<" not in core else core, word[len(core) :]
+    plain = core.lower() if core.isascii() and "<" not in core else core
+    # A word that is its own piece is held once.
+    return word if plain == word else plain, word[len(core) :]
 
 
 def encode_slice(texts: list[str | None], encoder: Encoder) -> tuple[np.ndarray, np.ndarray]:
@@ -278,7 +291,7 @@ def _writer(tokenizer_json, folder: str):
             pa.ipc.new_file(token_file, schema) as token_out,
             pa.ipc.new_file(doc_file, DOC_SCHEMA) as doc_out,
         ):
-            for batch in slices(batches):
+            for batch in slices(batches, limit=SLICE_TEXTS):
                 ids, lengths = encode_slice(batch.column("text").to_pylist(), encoder)
                 starts = tokens + np.cumsum(lengths) - lengths
                 doc_out.write_batch(

@@ -142,3 +142,19 @@ def test_other_tokenizers_are_not_cut():
     assert same_ids(texts, BYTE)
     # One after the other: neither uses what the worker keeps of the other.
     assert same_ids(texts, WORD) and same_ids(texts, BYTE)
+
+
+def test_the_library_gets_a_bounded_number_of_pieces_at_once():
+    encoder = token_files.Encoder(tokenizer_text("word_bpe_49k.json"))
+    library, sizes = encoder.tokenizer, []
+
+    class Watched:
+        def encode_batch(self, texts, **options):
+            sizes.append(sum(len(t.split(" ")) for t in texts))
+            return library.encode_batch(texts, **options)
+
+    texts = [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}{'' if i % 3 else i}" for i in range(17_000)), None]
+    encoder.tokenizer = Watched()
+    ids, lengths = token_files.encode_slice(texts, encoder)
+    assert max(sizes) <= token_files.ENCODED_AT_ONCE
+    assert ids.tolist() == [*library.encode(texts[0], add_special_tokens=False).ids, 1, 1] and lengths.tolist() == [len(ids) - 1, 1]
