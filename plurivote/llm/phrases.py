@@ -7,7 +7,8 @@ document with a smaller id. All windows of all documents are judged; the steps o
    (if they have a window at all).
 2. Anchors. A window's anchor is the least hash of its eight runs of six words, so equal windows have equal anchors and
    neighbouring windows mostly share one. Anchors are counted in shards; only windows whose anchor stands in
-   several documents are candidates.
+   several documents are candidates. An anchor is named by its shard and 32 bits of its hash; two anchors of one name
+   only make more candidates.
 3. Confirmed passages. Candidate windows are counted by hash with their least and largest document. Those in two
    documents or more recur; their words are read from their first document.
 4. Automata. The recurring windows are dealt to shards by anchor, each shard's Aho-Corasick
@@ -46,16 +47,26 @@ RUN = 6  # words of an anchor
 SHARDS_PER_PARTITION = 4
 
 
+def _names(anchor: np.ndarray, shards: int) -> np.ndarray:
+    """Names of anchors: the shard in the upper 32 bits, the lower 32 bits of the hash below it. The upper bits of the hash
+    give the shard, so the two are independent."""
+    return (anchor >> np.uint64(32)) % np.uint64(shards) << np.uint64(32) | anchor & np.uint64(0xFFFFFFFF)
+
+
+def _shard(names: np.ndarray) -> np.ndarray:
+    return (names >> np.uint64(32)).astype(np.int64)
+
+
 class Windows:
-    """All windows of a slice: place of the first word, text, anchor and hash."""
+    """All windows of a slice: place of the first word, text, name of the anchor and hash."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, shards: int):
         data, bounds = text_buffers(column)
         begins, ends, self.first = word_spans(data, bounds)
         self.words = word_hashes(data, begins, ends)
         self.place, self.text = whole_runs(self.first, WINDOW)
         if len(self.place):
-            self.anchor = sliding_min(runs(self.words, RUN), WINDOW - RUN + 1)[self.place]
+            self.anchor = _names(sliding_min(runs(self.words, RUN), WINDOW - RUN + 1)[self.place], shards)
         else:
             self.anchor = np.zeros(0, dtype=np.uint64)
 
@@ -99,17 +110,25 @@ def _by_shard(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]
 
 
 ANCHORS = pa.schema(
-    [("shard", pa.int32()), ("known", pa.bool_()), ("ids", pa.list_(pa.int64())), ("anchors", pa.list_(pa.int64())), ("many", pa.list_(pa.bool_()))]
+    [
+        ("shard", pa.int32()),
+        ("known", pa.bool_()),
+        ("ids", pa.list_(pa.int64())),
+        ("anchors", pa.list_(pa.int32())),
+        ("shards", pa.list_(pa.int32())),
+        ("many", pa.list_(pa.bool_())),
+    ]
 )
+ANCHOR_DDL = "shard int, known boolean, ids array<bigint>, anchors array<int>, shards array<int>, many array<boolean>"
 
 
 def _anchors(shards: int):
-    """Anchors of a slice by shard. One that stands in several documents of the slice is sent to its shard once, marked
-    ``many``, and its documents go straight on as ``known``."""
+    """Anchors of a slice by shard, as the lower half of their names. One that stands in several documents of the slice is sent
+    to its shard once, marked ``many``, and its documents go straight on as ``known`` with both halves, dealt by slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in enumerate(slices(batches)):
-            windows = Windows(batch.column("text"))
+            windows = Windows(batch.column("text"), shards)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[windows.text]
             anchor = windows.anchor
             fresh = np.ones(len(anchor), dtype=bool)
@@ -125,20 +144,14 @@ def _anchors(shards: int):
             start = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
             count = np.diff(np.append(start, len(anchor)))
             several = np.repeat(count > 1, count)
-            rows = [(number % shards, True, ids[several], anchor[several], np.ones(int(several.sum()), dtype=bool))] if several.any() else []
-            one, one_id, many = anchor[start], ids[start], count > 1
-            for shard, members in _by_shard((one % np.uint64(shards)).astype(np.int64), shards):
-                rows.append((shard, False, one_id[members], one[members], many[members]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in rows], pa.int32()),
-                    pa.array([r[1] for r in rows]),
-                    pa.array([r[2] for r in rows], pa.list_(pa.int64())),
-                    pa.array([r[3].view(np.int64) for r in rows], pa.list_(pa.int64())),
-                    pa.array([r[4] for r in rows], pa.list_(pa.bool_())),
-                ],
-                schema=ANCHORS,
-            )
+            half = anchor.astype(np.uint32).view(np.int32)
+            none = np.zeros(0, dtype=np.int32)
+            rows = [(number % shards, True, ids[several], half[several], _shard(anchor[several]).astype(np.int32), none.astype(bool))] if several.any() else []
+            one, one_id, many = half[start], ids[start], count > 1
+            for shard, members in _by_shard(_shard(anchor[start]), shards):
+                rows.append((shard, False, one_id[members], one[members], none, many[members]))
+            columns = [pa.array([r[i] for r in rows], field.type) for i, field in enumerate(ANCHORS)]
+            yield pa.RecordBatch.from_arrays(columns, schema=ANCHORS)
 
     return run
 
@@ -146,13 +159,17 @@ def _anchors(shards: int):
 def _recurring(group: pa.Table) -> pa.Table:
     """Documents and anchors of a shard, of the anchors that stand in several documents."""
     group = group.combine_chunks()
+    here = group.column("shard")[0].as_py()
     known = group.filter(group.column("known"))
     open_ = group.filter(pc.invert(group.column("known")))
 
     def flat(table: pa.Table, name: str) -> np.ndarray:
         return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
-    ids, anchors, many = flat(open_, "ids"), flat(open_, "anchors"), flat(open_, "many").astype(bool)
+    def whole(table: pa.Table, shard) -> np.ndarray:
+        return shard << np.int64(32) | flat(table, "anchors").view(np.uint32).astype(np.int64)
+
+    ids, anchors, many = flat(open_, "ids"), whole(open_, np.int64(here)), flat(open_, "many").astype(bool)
     order = np.lexsort((ids, anchors))
     ids, anchors, many = ids[order], anchors[order], many[order]
     if len(anchors):
@@ -161,24 +178,29 @@ def _recurring(group: pa.Table) -> pa.Table:
         recurs = (np.maximum.reduceat(ids, start) != np.minimum.reduceat(ids, start)) | np.logical_or.reduceat(many, start)
         send = np.repeat(recurs, count) & ~many
         ids, anchors = ids[send], anchors[send]
-    return pa.table({"doc_id": pa.array(np.concatenate([ids, flat(known, "ids")]), pa.int64()), "anchor": pa.array(np.concatenate([anchors, flat(known, "anchors")]), pa.int64())})
+    ids, anchors = np.concatenate([ids, flat(known, "ids")]), np.concatenate([anchors, whole(known, flat(known, "shards").astype(np.int64))])
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "anchor": pa.array(anchors, pa.int64())})
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(shards: int):
     """Hashes of the candidate windows of a slice, each once, with its least and largest document."""
-    for batch in slices(batches):
-        windows = Windows(batch.column("text"))
-        chosen = _listed(windows, windows.anchor, batch.column("anchors"))
-        if not len(chosen):
-            continue
-        ids = batch.column("doc_id").to_numpy()[windows.text[chosen]]
-        w = windows.hashes(chosen)
-        order = np.argsort(w)
-        w, ids = w[order], ids[order]
-        start = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-        yield pa.RecordBatch.from_arrays(
-            [_longs(w[start]), _longs(np.minimum.reduceat(ids, start)), _longs(np.maximum.reduceat(ids, start))], names=["w", "least", "largest"]
-        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            windows = Windows(batch.column("text"), shards)
+            chosen = _listed(windows, windows.anchor, batch.column("anchors"))
+            if not len(chosen):
+                continue
+            ids = batch.column("doc_id").to_numpy()[windows.text[chosen]]
+            w = windows.hashes(chosen)
+            order = np.argsort(w)
+            w, ids = w[order], ids[order]
+            start = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+            yield pa.RecordBatch.from_arrays(
+                [_longs(w[start]), _longs(np.minimum.reduceat(ids, start)), _longs(np.maximum.reduceat(ids, start))], names=["w", "least", "largest"]
+            )
+
+    return run
 
 
 STRETCHES = pa.schema(
@@ -199,13 +221,13 @@ STRETCH_DDL = "shard int, kind int, salt int, ids array<bigint>, texts array<big
 def _stretches(kind: int, by_hash: bool, shards: int, salts):
     """Stretches of a slice by shard: of the recurring windows (kind 0) or of all candidates (kind 1).
 
-    Phrases go to every salt of their shard; the stretches of a document to one of them.
+    Phrases go to every salt of their shard, without text and place; the stretches of a document to one of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times = salts.value
         for number, batch in enumerate(slices(batches)):
-            windows = Windows(batch.column("text"))
+            windows = Windows(batch.column("text"), shards)
             values = windows.hashes(np.arange(len(windows.place))) if by_hash else windows.anchor
             chosen = _listed(windows, values, batch.column("listed" if by_hash else "anchors"))
             if not len(chosen):
@@ -214,9 +236,10 @@ def _stretches(kind: int, by_hash: bool, shards: int, salts):
             short = (windows.words >> np.uint64(32)).astype(np.uint32).view(np.int32)
             ids, texts = batch.column("doc_id").to_numpy(), batch.column("h").to_numpy()
             rows = []
-            for shard, members in _by_shard((anchor % np.uint64(shards)).astype(np.int64), shards):
+            for shard, members in _by_shard(_shard(anchor), shards):
                 t, p, n = text[members], place[members], length[members]
-                arrays = (ids[t], texts[t], (p - windows.first[t]).astype(np.int32), n.astype(np.int32), short[ragged(n, p)])
+                where = (texts[t], (p - windows.first[t]).astype(np.int32)) if kind else (texts[:0], place[:0])
+                arrays = (ids[t], *where, n.astype(np.int32), short[ragged(n, p)])
                 for salt in range(times[shard]) if kind == 0 else [number % times[shard]]:
                     rows.append((shard, kind, salt, *arrays))
             columns = [pa.array([r[i] for r in rows], field.type) for i, field in enumerate(STRETCHES)]
@@ -357,14 +380,13 @@ def remove_repeats(documents: DataFrame, with_text: bool = False) -> DataFrame:
     copies = narrow.join(groups, ["h", "h2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("h").alias("copied"))
 
     # 2. Anchors that stand in several documents, as a list per document.
-    found = keyed.select("doc_id", "text").mapInArrow(_anchors(shards), "shard int, known boolean, ids array<bigint>, anchors array<bigint>, many array<boolean>")
+    found = keyed.select("doc_id", "text").mapInArrow(_anchors(shards), ANCHOR_DDL)
     recurring = found.groupBy("shard").applyInArrow(_recurring, "doc_id bigint, anchor bigint")
     lists = settle(recurring.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")))
 
     # How many tasks share a shard's stretches: one row of counts per shard, as many as a few per partition.
     per_shard = lists.select(F.explode("anchors").alias("a"))
-    unsigned = F.pmod(F.pmod(F.shiftrightunsigned("a", 1), F.lit(shards)) * 2 + F.col("a").bitwiseAND(F.lit(1)), F.lit(shards))
-    counts = {r[0]: r[1] for r in per_shard.groupBy(unsigned.cast("int")).count().collect()}
+    counts = {r[0]: r[1] for r in per_shard.groupBy(F.shiftright("a", 32).cast("int")).count().collect()}
     mean = max(1.0, sum(counts.values()) / shards)
     salts = spark.sparkContext.broadcast([max(1, round(counts.get(s, 0) / mean)) for s in range(shards)])
 
@@ -373,7 +395,7 @@ def remove_repeats(documents: DataFrame, with_text: bool = False) -> DataFrame:
     sources = marked.where("NOT copy").select("doc_id", "h", "text").join(lists, "doc_id")
 
     # 3. Windows that stand in several documents, with their first document.
-    windows = sources.select("doc_id", "text", "anchors").mapInArrow(_candidates, "w bigint, least bigint, largest bigint")
+    windows = sources.select("doc_id", "text", "anchors").mapInArrow(_candidates(shards), "w bigint, least bigint, largest bigint")
     confirmed = windows.groupBy("w").agg(F.min("least").alias("first"), F.max("largest").alias("last")).where("first < last")
     phrase_lists = confirmed.groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("w").alias("listed"))
     phrases = marked.where("NOT copy").select("doc_id", "h", "text").join(phrase_lists, "doc_id").mapInArrow(_stretches(0, True, shards, salts), STRETCH_DDL)

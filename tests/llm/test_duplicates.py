@@ -275,6 +275,46 @@ def test_passage_edge_rows(edge, none):
     assert P.remove_repeats(none).collect() == []
 
 
+def test_anchors_travel_as_half_of_their_names():
+    """Four bytes an anchor; shard and half give back the name that the windows are looked up by."""
+    docs = [(i, made_text(i, 40, VOCABULARY)) for i in range(30)] + [(100 + i, made_text(i, 40, VOCABULARY)) for i in range(20)]
+    docs += [(i, t) for i, t in zip(range(200, 210), ["short", None, *[made_text(3, 40, VOCABULARY)] * 3, *[made_text(70 + i, 14, VOCABULARY) for i in range(5)]])]
+    shards = 5
+    # Two slices in one case, so that equal anchors meet in a slice and between slices.
+    cuts = [docs[:30], docs[30:]]
+    batches = [pa.RecordBatch.from_arrays([pa.array([d for d, _ in c], pa.int64()), pa.array([t for _, t in c], pa.string())], names=["doc_id", "text"]) for c in cuts]
+    sent = pa.Table.from_batches(list(P._anchors(shards)(iter(batches))))
+    assert sent.schema.field("anchors").type == pa.list_(pa.int32())
+    holders = {}
+    for batch in batches:
+        windows = P.Windows(batch.column("text"), shards)
+        for text, name in zip(windows.text.tolist(), windows.anchor.view(np.int64).tolist()):
+            holders.setdefault(name, set()).add(batch.column("doc_id")[text].as_py())
+    wanted = {(d, name) for name, ids in holders.items() if len(ids) > 1 for d in ids}
+    shard_of = sent.column("shard").to_numpy()
+    found = [P._recurring(sent.filter(pa.array(shard_of == s))) for s in sorted(set(shard_of.tolist()))]
+    got = {(r["doc_id"], r["anchor"]) for t in found for r in t.to_pylist()}
+    assert got == wanted and len(wanted) > 100
+    assert {name >> 32 for _, name in wanted} <= set(range(shards))
+    assert any(name & (1 << 31) for _, name in wanted)
+
+
+def test_phrases_travel_without_text_and_place():
+    class Salts:
+        value = [1] * 3
+
+    text = made_text(1, 40, VOCABULARY)
+    names = P.Windows(pa.array([text]), 3).anchor.view(np.int64).tolist()
+    columns = {"doc_id": pa.array([7], pa.int64()), "h": pa.array([5], pa.int64()), "text": pa.array([text]), "anchors": pa.array([names], pa.list_(pa.int64()))}
+    listed = pa.array([P._longs(P.Windows(pa.array([text]), 3).hashes(np.arange(28))).to_pylist()], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_pydict(columns | {"listed": listed})
+    phrases = [r for b in P._stretches(0, True, 3, Salts)(iter([batch])) for r in b.to_pylist()]
+    stretches = [r for b in P._stretches(1, False, 3, Salts)(iter([batch])) for r in b.to_pylist()]
+    assert phrases and all(r["ids"] and r["words"] and not r["texts"] and not r["places"] for r in phrases)
+    assert [(r["ids"], r["lengths"], r["words"]) for r in phrases] == [(r["ids"], r["lengths"], r["words"]) for r in stretches]
+    assert all(len(r["texts"]) == len(r["places"]) == len(r["ids"]) for r in stretches)
+
+
 def test_words_of_the_automaton_begin_with_few_characters():
 
 
