@@ -20,9 +20,10 @@ def join_truth(predictions: DataFrame, truth: DataFrame, item: str = "item_id",
 
     Predictions without truth, and items a model never scored, have no row here;
     ``alignment`` counts both. Both sides are moved by item: the planner takes rows from an ``explode`` for as few as
-    the items they were made of and would broadcast the predictions.
+    the items they were made of and would broadcast the predictions. A task holds its items' labels and streams the
+    predictions past them, which are many times more and would have to be sorted and spilled in a merge.
     """
-    return predictions.join(truth.select(item, label).hint("merge"), item)
+    return predictions.join(truth.select(item, label).hint("shuffle_hash"), item)
 
 
 def alignment(predictions: DataFrame, truth: DataFrame, by: Sequence[str] = ("model_name", "epoch_no"), item: str = "item_id") -> DataFrame:

@@ -356,6 +356,16 @@ def test_predictions_are_never_broadcast_to_the_truth(spark):
     assert "BroadcastHashJoin" not in plan_of(M.evaluate_models(preds, truth))
 
 
+def test_predictions_are_not_sorted_for_their_truth(spark):
+    """A task holds its items' labels; predictions, and texts of wrong votes, stream by. Repeated and null items as in any join."""
+    preds, truth = exploded_predictions(spark)
+    plan = plan_of(M.join_truth(preds, truth))
+    assert "ShuffledHashJoin" in plan and "BuildRight" in plan and "Sort " not in plan
+    odd = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (50, 1)], "item_id bigint, label int")
+    got = M.join_truth(preds.where("epoch_no = 1").unionByName(preds.where("epoch_no = 1").withColumn("item_id", F.lit(None).cast("bigint"))), odd)
+    assert sorted((r["item_id"], r["pred"], r["label"]) for r in got.collect()) == [(1, 1, 0), (1, 1, 1)]
+
+
 def test_predictions_are_never_broadcast_to_the_batches(spark, tmp_path):
     from plurivote.plans import scoring
 
