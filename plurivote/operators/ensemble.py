@@ -316,4 +316,5 @@ def ensemble_errors(votes: DataFrame, truth: DataFrame, corpus: DataFrame, first
     wrong = join_truth(votes, truth).where(F.col("pred") != F.col("label")).select("item_id", "pred", "label")
     if first is not None:
         wrong = wrong.orderBy("item_id").limit(first)
-    return wrong.join(corpus.select("item_id", "text"), "item_id")
+    # A task holds its wrong votes; the texts stream by and are not sorted.
+    return wrong.hint("shuffle_hash").join(corpus.select("item_id", "text"), "item_id")

@@ -365,6 +365,12 @@ def test_predictions_are_not_sorted_for_their_truth(spark):
     got = M.join_truth(preds.where("epoch_no = 1").unionByName(preds.where("epoch_no = 1").withColumn("item_id", F.lit(None).cast("bigint"))), odd)
     assert sorted((r["item_id"], r["pred"], r["label"]) for r in got.collect()) == [(1, 1, 0), (1, 1, 1)]
 
+    votes = truth.select("item_id", F.lit(1).alias("pred"))
+    corpus = truth.select("item_id", F.concat(F.lit("text "), "item_id").alias("text"), "label")
+    errors = E.ensemble_errors(votes, truth, corpus)
+    assert "Sort " not in plan_of(errors)
+    assert sorted(tuple(r) for r in errors.collect()) == [(i, 1, 0, f"text {i}") for i in range(0, 20, 2)]
+
 
 def test_predictions_are_never_broadcast_to_the_batches(spark, tmp_path):
     from plurivote.plans import scoring
