@@ -14,8 +14,11 @@ SLICE_BYTES = 4 << 20  # texts that are worked on at once; a longer text is a sl
 
 
 def kept(name: str, make: Callable):
-    """An object that lives as long as the worker process and is shared by its tasks."""
+    """An object that the worker process keeps for its next tasks, until an operator of another module asks for one."""
     store = sys.modules.setdefault("_plurivote_kept", types.ModuleType("_plurivote_kept")).__dict__
+    if store.get("owner") != make.__module__:
+        store.clear()
+        store["owner"] = make.__module__
     if name not in store:
         store[name] = make()
     return store[name]
@@ -34,8 +37,9 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of a slice take about ``limit`` bytes."""
+    """Cut batches so that the texts of a slice take about ``limit`` bytes. Memory of batches gone by goes back to the system."""
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         if batch.num_rows == 0:
             continue
         bounds = text_buffers(batch.column(text))[1]

@@ -46,9 +46,10 @@ from plurivote.session import scratch_path, settle
 END_ID = 1  # appended to every document
 ROW_LENGTH = 2048  # ids of a row
 BATCH_ROWS = 256  # rows of a record batch
-CACHED_WORDS = 600_000
-CACHED_PIECES = 800_000
-CACHED_CHARS = 12_000_000
+# A worker remembers up to so many words and pieces; beyond that it forgets all but the most used half.
+CACHED_WORDS = 300_000
+CACHED_PIECES = 400_000
+CACHED_CHARS = 6_000_000
 SLICE_TEXTS = 1 << 20  # bytes of texts that are encoded at once
 ENCODED_AT_ONCE = 1 << 13  # pieces the library gets at once; its answers take some hundred bytes an id
 # Fixed value: the pattern this module knows to be cut at blanks, and between a letter or digit and other marks.
@@ -81,19 +82,28 @@ class Pieces(dict):
     def learn(self, tokenizer, ends: np.ndarray) -> None:
         if not self.new:
             return
-        lengths, ids = _encode_pieces(self.new, tokenizer, ends)
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
+        lengths, starts, ids = _encode_pieces(self.new, tokenizer, ends)
+        self.start = np.concatenate([self.start, len(self.flat) + starts])
         self.length = np.concatenate([self.length, lengths])
         self.flat = np.concatenate([self.flat, ids])
         self.new = []
 
+    def keep(self, places: np.ndarray) -> None:
+        """Forget all pieces but these (ascending, piece 0 among them), which are numbered anew in their order."""
+        names = list(self)
+        self.length, self.flat = self.length[places], self.flat[ragged(self.length[places], self.start[places])]
+        self.start = np.cumsum(self.length) - self.length
+        self.clear()
+        self.update(zip([names[i] for i in places], range(len(places)), strict=True))
+        self.chars = sum(map(len, self))
+
 
 class Words(dict):
     """The two pieces of the words seen so far; notes the words it lacks."""
 
     def __init__(self):
         super().__init__()
-        self.pairs = np.zeros((0, 2), dtype=np.int64)
+        self.pairs, self.uses = np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.new: list[str] = []
         self.chars = 0
 
@@ -106,12 +116,20 @@ class Words(dict):
     def learn(self, pieces: Pieces) -> None:
         found = np.array([(pieces[a], pieces[b]) for a, b in map(_cut, self.new)], dtype=np.int64).reshape(-1, 2)
         self.pairs = np.concatenate([self.pairs, found])
+        self.uses = np.concatenate([self.uses, np.zeros(len(found), dtype=np.int64)])
         self.new = []
 
-    def shrink(self) -> None:
-        if len(self) > CACHED_WORDS or self.chars > CACHED_CHARS:
-            self.clear()
-            self.__init__()
+    def keep_most_used(self) -> None:
+        """Forget the less used half, by number and by characters, and what was used once. Old uses count half."""
+        names = list(self)
+        order = np.argsort(-self.uses, kind="stable")
+        order = order[self.uses[order] > 1][: min(CACHED_WORDS // 2, CACHED_PIECES // 4)]
+        chars = np.cumsum(np.array([len(names[i]) for i in order], dtype=np.int64))
+        places = np.sort(order[chars <= CACHED_CHARS // 2])
+        self.pairs, self.uses = self.pairs[places], self.uses[places] // 2
+        self.clear()
+        self.update(zip([names[i] for i in places], range(len(places)), strict=True))
+        self.chars = sum(map(len, self))
 
 
 class Encoder:
@@ -123,10 +141,13 @@ class Encoder:
         self.ends = _word_ends(self.tokenizer) if cuts_at_words(tokenizer_json) else None
 
     def shrink(self) -> None:
-        """Bound the memory. Words name pieces by number, so they go when the pieces go."""
-        if len(self.pieces) > CACHED_PIECES or self.pieces.chars > CACHED_CHARS:
-            self.pieces, self.words = Pieces(), Words()
-        self.words.shrink()
+        """Bound the memory: the most used words stay, and the pieces these name. A word has two pieces at most."""
+        words, pieces = self.words, self.pieces
+        if len(words) > CACHED_WORDS or len(pieces) > CACHED_PIECES or max(words.chars, pieces.chars) > CACHED_CHARS:
+            words.keep_most_used()
+            named = np.union1d(words.pairs, [0])
+            pieces.keep(named)
+            words.pairs = np.searchsorted(named, words.pairs)
 
 
 def cuts_at_words(tokenizer_json: str) -> bool:
@@ -153,40 +174,42 @@ def cuts_at_words(tokenizer_json: str) -> bool:
     return model.get("type") == "BPE" and bool(model.get("end_of_word_suffix")) and not model.get("dropout")
 
 
-def _encode_pieces(pieces: list[str], tokenizer, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of ids of every piece, and the ids end to end, from bounded calls of the library."""
-    lengths, flat = [], []
+def _encode_pieces(pieces: list[str], tokenizer, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of ids of every piece, where they begin, and the ids of all pieces, from bounded calls of the library."""
+    places, lengths, flat = [], [], []
     for at in range(0, len(pieces), ENCODED_AT_ONCE):
-        found = _encode_some(pieces[at : at + ENCODED_AT_ONCE], tokenizer, ends)
-        lengths.append(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
-        flat.append(np.concatenate(found))
-    return np.concatenate(lengths), np.concatenate(flat)
+        for some, sizes, ids in _encode_some(pieces[at : at + ENCODED_AT_ONCE], tokenizer, ends):
+            places.append(np.array(some, dtype=np.int64) + at)
+            lengths.append(sizes)
+            flat.append(ids)
+    place, length = np.concatenate(places), np.concatenate(lengths)
+    lengths_of, starts_of = np.zeros((2, len(pieces)), dtype=np.int64)
+    lengths_of[place], starts_of[place] = length, np.cumsum(length) - length
+    return lengths_of, starts_of, np.concatenate(flat)
 
 
-def _encode_some(pieces: list[str], tokenizer, ends: np.ndarray) -> list[np.ndarray]:
-    """Ids of every piece from the library.
+def _encode_some(pieces: list[str], tokenizer, ends: np.ndarray) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Numbers of some pieces, how many ids each has, and these ids end to end, until every piece was given out.
 
     Pieces of letters alone are joined by blanks and encoded many at a time: each gives one
     pre-token, whose last id carries the mark of a word's end.
     """
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(pieces)
     # A capital I with a dot falls apart when it is lowered; such pieces go one by one.
     plain = [i for i, p in enumerate(pieces) if p.isalpha() and "\u0130" not in p]
+    done = set(plain)
+    singles = [i for i in range(len(pieces)) if i not in done]
     groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
     for group, found in zip(groups, tokenizer.encode_batch([" ".join([pieces[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
         ids = np.array(found.ids, dtype=np.uint32)
         cuts = np.flatnonzero(ends[ids]) + 1
         if len(cuts) == len(group):
-            for i, part in zip(group, np.split(ids, cuts[:-1]), strict=True):
-                out[i] = part
+            cuts[-1] = len(ids)
+            yield group, np.diff(cuts, prepend=0), ids
         else:  # not one pre-token per piece after all
-            for i, one in zip(group, tokenizer.encode_batch([pieces[i] for i in group], add_special_tokens=False), strict=True):
-                out[i] = np.array(one.ids, dtype=np.uint32)
-    done = set(plain)
-    others = [i for i in range(len(pieces)) if i not in done]
-    for i, one in zip(others, tokenizer.encode_batch([pieces[i] for i in others], add_special_tokens=False), strict=True):
-        out[i] = np.array(one.ids, dtype=np.uint32)
-    return out
+            singles += group
+    found = [one.ids for one in tokenizer.encode_batch([pieces[i] for i in singles], add_special_tokens=False)]
+    ids = np.fromiter((i for one in found for i in one), dtype=np.uint32)
+    yield singles, np.fromiter(map(len, found), dtype=np.int64, count=len(found)), ids
 
 
 def _word_ends(tokenizer) -> np.ndarray:
@@ -236,7 +259,9 @@ def encode_slice(texts: list[str | None], encoder: Encoder) -> tuple[np.ndarray,
         per_text[i] = len(places) - before
     words.learn(pieces)
     pieces.learn(encoder.tokenizer, encoder.ends)
-    piece = words.pairs[np.array(places, dtype=np.int64)].ravel()
+    found = np.array(places, dtype=np.int64)
+    words.uses += np.bincount(found, minlength=len(words))
+    piece = words.pairs[found].ravel()
     lengths = pieces.length[piece]
     ids = pieces.flat[ragged(lengths, pieces.start[piece])]
     ends = np.concatenate([[0], np.cumsum(lengths)])[2 * np.cumsum(per_text)]

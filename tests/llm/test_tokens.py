@@ -10,7 +10,7 @@ import pytest
 from conftest import rows
 from tokenizers import Tokenizer
 
-from plurivote.llm import token_counts, token_files
+from plurivote.llm import arrow, token_counts, token_files
 from plurivote.llm.queries import tokenizer_text
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -115,6 +115,23 @@ def test_small_caches_change_nothing(monkeypatch):
     assert np.concatenate([p[0] for p in parts]).tolist() == whole[0].tolist()
 
 
+def test_full_caches_keep_the_most_used(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHED_WORDS", 8)
+    encoder = token_files.Encoder(tokenizer_text(WORD))
+    texts = [f"the thing. the thing. rare{chr(97 + i)} once{chr(97 + i)}, The" for i in range(20)]
+    parts = [token_files.encode_slice([t], encoder) for t in texts]
+    assert [ids.tolist() for ids, _ in parts] == [[*library(WORD).encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert len(encoder.words) <= 8 and len(encoder.words.pairs) == len(encoder.words.uses) == len(encoder.words)
+    assert {"the", "thing."} <= set(encoder.words) and len(encoder.pieces) == len(encoder.pieces.length)
+
+
+def test_a_worker_keeps_the_objects_of_one_operator():
+    first = arrow.kept("a", token_counts.Counts)
+    assert arrow.kept("a", token_counts.Counts) is first and arrow.kept("b", token_counts.Counts) is not first
+    encoder = arrow.kept("c", token_files.Words)
+    assert arrow.kept("c", token_files.Words) is encoder and arrow.kept("a", token_counts.Counts) is not first
+
+
 def same_ids(texts, name=WORD):
     ids, lengths = token_files.encode_slice(texts, token_files.Encoder(tokenizer_text(name)))
     plain = [[*e.ids, 1] for e in library(name).encode_batch(texts, add_special_tokens=False)]
