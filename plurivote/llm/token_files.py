@@ -31,6 +31,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -69,7 +70,7 @@ class Pieces(dict):
 
     def __init__(self):
         super().__init__({"": 0})
-        self.flat, self.length, self.start = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.flat, self.length, self.start = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int32), np.zeros(1, dtype=np.int64)
         self.new: list[str] = []
         self.chars = 0
 
@@ -79,12 +80,12 @@ class Pieces(dict):
         self.chars += len(piece)
         return place
 
-    def learn(self, tokenizer, ends: np.ndarray) -> None:
+    def learn(self, tokenizer, letters, ends: np.ndarray) -> None:
         if not self.new:
             return
-        lengths, starts, ids = _encode_pieces(self.new, tokenizer, ends)
+        lengths, starts, ids = _encode_pieces(self.new, tokenizer, letters, ends)
         self.start = np.concatenate([self.start, len(self.flat) + starts])
-        self.length = np.concatenate([self.length, lengths])
+        self.length = np.concatenate([self.length, lengths.astype(np.int32)])
         self.flat = np.concatenate([self.flat, ids])
         self.new = []
 
@@ -92,7 +93,7 @@ class Pieces(dict):
         """Forget all pieces but these (ascending, piece 0 among them), which are numbered anew in their order."""
         names = list(self)
         self.length, self.flat = self.length[places], self.flat[ragged(self.length[places], self.start[places])]
-        self.start = np.cumsum(self.length) - self.length
+        self.start = np.cumsum(self.length, dtype=np.int64) - self.length
         self.clear()
         self.update(zip([names[i] for i in places], range(len(places)), strict=True))
         self.chars = sum(map(len, self))
@@ -103,7 +104,7 @@ class Words(dict):
 
     def __init__(self):
         super().__init__()
-        self.pairs, self.uses = np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.pairs, self.uses = np.zeros((0, 2), dtype=np.int32), np.zeros(0, dtype=np.int64)
         self.new: list[str] = []
         self.chars = 0
 
@@ -114,16 +115,21 @@ class Words(dict):
         return place
 
     def learn(self, pieces: Pieces) -> None:
-        found = np.array([(pieces[a], pieces[b]) for a, b in map(_cut, self.new)], dtype=np.int64).reshape(-1, 2)
-        self.pairs = np.concatenate([self.pairs, found])
-        self.uses = np.concatenate([self.uses, np.zeros(len(found), dtype=np.int64)])
+        cut = chain.from_iterable(map(_cut, self.new))
+        found = np.fromiter(map(pieces.__getitem__, cut), dtype=np.int32, count=2 * len(self.new))
+        self.pairs = np.concatenate([self.pairs, found.reshape(-1, 2)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(self.new), dtype=np.int64)])
         self.new = []
 
     def keep_most_used(self) -> None:
-        """Forget the less used half, by number and by characters, and what was used once. Old uses count half."""
+        """Forget the less used half, by number, by pieces and by characters, and what was used once. Old uses count half."""
         names = list(self)
         order = np.argsort(-self.uses, kind="stable")
-        order = order[self.uses[order] > 1][: min(CACHED_WORDS // 2, CACHED_PIECES // 4)]
+        order = order[self.uses[order] > 1][: CACHED_WORDS // 2]
+        # Where in this order each piece is named first; the word that names one too many ends it.
+        first = np.sort(np.unique(self.pairs[order], return_index=True)[1]) // 2
+        if len(first) > CACHED_PIECES // 2:
+            order = order[: first[CACHED_PIECES // 2]]
         chars = np.cumsum(np.array([len(names[i]) for i in order], dtype=np.int64))
         places = np.sort(order[chars <= CACHED_CHARS // 2])
         self.pairs, self.uses = self.pairs[places], self.uses[places] // 2
@@ -139,15 +145,17 @@ class Encoder:
         self.tokenizer, self.pieces, self.words = _load(tokenizer_json), Pieces(), Words()
         # None: the tokenizer is not one whose words can be told apart beforehand; texts are encoded whole.
         self.ends = _word_ends(self.tokenizer) if cuts_at_words(tokenizer_json) else None
+        self.letters = None if self.ends is None else _letters(self.tokenizer)
 
     def shrink(self) -> None:
         """Bound the memory: the most used words stay, and the pieces these name. A word has two pieces at most."""
         words, pieces = self.words, self.pieces
         if len(words) > CACHED_WORDS or len(pieces) > CACHED_PIECES or max(words.chars, pieces.chars) > CACHED_CHARS:
             words.keep_most_used()
-            named = np.union1d(words.pairs, [0])
-            pieces.keep(named)
-            words.pairs = np.searchsorted(named, words.pairs)
+            named = np.zeros(len(pieces), dtype=bool)
+            named[words.pairs], named[0] = True, True
+            pieces.keep(np.flatnonzero(named))
+            words.pairs = (np.cumsum(named, dtype=np.int32) - 1)[words.pairs]
 
 
 def cuts_at_words(tokenizer_json: str) -> bool:
@@ -174,11 +182,11 @@ def cuts_at_words(tokenizer_json: str) -> bool:
     return model.get("type") == "BPE" and bool(model.get("end_of_word_suffix")) and not model.get("dropout")
 
 
-def _encode_pieces(pieces: list[str], tokenizer, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _encode_pieces(pieces: list[str], tokenizer, letters, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number of ids of every piece, where they begin, and the ids of all pieces, from bounded calls of the library."""
     places, lengths, flat = [], [], []
     for at in range(0, len(pieces), ENCODED_AT_ONCE):
-        for some, sizes, ids in _encode_some(pieces[at : at + ENCODED_AT_ONCE], tokenizer, ends):
+        for some, sizes, ids in _encode_some(pieces[at : at + ENCODED_AT_ONCE], tokenizer, letters, ends):
             places.append(np.array(some, dtype=np.int64) + at)
             lengths.append(sizes)
             flat.append(ids)
@@ -188,30 +196,48 @@ def _encode_pieces(pieces: list[str], tokenizer, ends: np.ndarray) -> tuple[np.n
     return lengths_of, starts_of, np.concatenate(flat)
 
 
-def _encode_some(pieces: list[str], tokenizer, ends: np.ndarray) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+def _encode_some(pieces: list[str], tokenizer, letters, ends: np.ndarray) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     """Numbers of some pieces, how many ids each has, and these ids end to end, until every piece was given out.
 
     Pieces of letters alone are joined by blanks and encoded many at a time: each gives one
-    pre-token, whose last id carries the mark of a word's end.
+    pre-token, whose last id carries the mark of a word's end. Those of lower-case ASCII letters, which neither the
+    normalizers nor the byte mapping change, go to ``letters``.
     """
     # A capital I with a dot falls apart when it is lowered; such pieces go one by one.
     plain = [i for i, p in enumerate(pieces) if p.isalpha() and "\u0130" not in p]
-    done = set(plain)
+    unchanged = [i for i in plain if pieces[i].isascii() and pieces[i].islower()]
+    done, fixed = set(plain), set(unchanged)
     singles = [i for i in range(len(pieces)) if i not in done]
-    groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-    for group, found in zip(groups, tokenizer.encode_batch([" ".join([pieces[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
-        ids = np.array(found.ids, dtype=np.uint32)
-        cuts = np.flatnonzero(ends[ids]) + 1
-        if len(cuts) == len(group):
-            cuts[-1] = len(ids)
-            yield group, np.diff(cuts, prepend=0), ids
-        else:  # not one pre-token per piece after all
-            singles += group
-    found = [one.ids for one in tokenizer.encode_batch([pieces[i] for i in singles], add_special_tokens=False)]
+    for some, encoder in ((unchanged, letters), ([i for i in plain if i not in fixed], tokenizer)):
+        groups = [some[i : i + 256] for i in range(0, len(some), 256)]
+        for group, ids in zip(groups, _ids([" ".join([pieces[i] for i in g]) for g in groups], encoder), strict=True):
+            ids = np.array(ids, dtype=np.uint32)
+            cuts = np.flatnonzero(ends[ids]) + 1
+            if len(cuts) == len(group):
+                cuts[-1] = len(ids)
+                yield group, np.diff(cuts, prepend=0), ids
+            else:  # not one pre-token per piece after all
+                singles += group
+    found = _ids([pieces[i] for i in singles], tokenizer)
     ids = np.fromiter((i for one in found for i in one), dtype=np.uint32)
     yield singles, np.fromiter(map(len, found), dtype=np.int64, count=len(found)), ids
 
 
+def _ids(texts: list[str], tokenizer) -> list[list[int]]:
+    """Ids of every text; without offsets where the library can leave them out."""
+    encode = getattr(tokenizer, "encode_batch_fast", None) or tokenizer.encode_batch
+    return [one.ids for one in encode(texts, add_special_tokens=False)]
+
+
+def _letters(tokenizer):
+    """The same model behind a cut at blanks alone."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    plain = Tokenizer(tokenizer.model)
+    plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    return plain
+
+
 def _word_ends(tokenizer) -> np.ndarray:
     """Which ids end a word."""
     mark = tokenizer.model.end_of_word_suffix
@@ -234,6 +260,8 @@ def _cut(word: str) -> tuple[str, str]:
     It cuts behind an ASCII letter or digit. Other letters may end in a combining mark once they are normalized, which
     the pattern takes together with the marks, so a word that ends in one stays whole.
     """
+    if word.isalpha() and (word.islower() or not word.isascii()):
+        return word, ""
     core = word.rstrip(TAIL)
     if not core or not (core[-1].isascii() and core[-1].isalnum()):
         core = word
@@ -251,15 +279,14 @@ def encode_slice(texts: list[str | None], encoder: Encoder) -> tuple[np.ndarray,
         end = np.array([END_ID], dtype=np.uint32)
         return np.concatenate([x for ids in found for x in (ids, end)] or [end[:0]]), lengths
     words, pieces = encoder.words, encoder.pieces
-    places: list[int] = []
-    per_text = np.zeros(len(texts), dtype=np.int64)
-    for i, text in enumerate(texts):
-        before = len(places)
-        places += map(words.__getitem__, (text or "").replace("\n", " ").split(" "))
-        per_text[i] = len(places) - before
+    places: list[np.ndarray] = []
+    for text in texts:
+        some = (text or "").replace("\n", " ").split(" ")
+        places.append(np.fromiter(map(words.__getitem__, some), dtype=np.int32, count=len(some)))
     words.learn(pieces)
-    pieces.learn(encoder.tokenizer, encoder.ends)
-    found = np.array(places, dtype=np.int64)
+    pieces.learn(encoder.tokenizer, encoder.letters, encoder.ends)
+    per_text = np.fromiter(map(len, places), dtype=np.int64, count=len(places))
+    found = np.concatenate([np.zeros(0, dtype=np.int32), *places])
     words.uses += np.bincount(found, minlength=len(words))
     piece = words.pairs[found].ravel()
     lengths = pieces.length[piece]

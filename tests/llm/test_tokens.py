@@ -1,6 +1,7 @@
 """Token counts (1) and token files (6) against the library itself."""
 
 import random
+import string
 import unicodedata
 import zlib
 
@@ -125,6 +126,42 @@ def test_full_caches_keep_the_most_used(monkeypatch):
     assert {"the", "thing."} <= set(encoder.words) and len(encoder.pieces) == len(encoder.pieces.length)
 
 
+def test_full_caches_count_the_pieces_that_are_named(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHED_PIECES", 8)
+    encoder = token_files.Encoder(tokenizer_text(WORD))
+    texts = ["one one one two two two three three three four four five five", "a b c d"]
+    parts = [token_files.encode_slice([t], encoder) for t in texts]
+    assert [ids.tolist() for ids, _ in parts] == [[*library(WORD).encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    # Half of the pieces: the empty one, which words without marks name, and those of the three words used most.
+    assert list(encoder.words) == ["one", "two", "three"] and list(encoder.pieces) == ["", "one", "two", "three"]
+
+
+def test_ids_are_taken_without_offsets():
+    class Watched:
+        calls = 0
+
+        def __init__(self, library):
+            self.library = library
+
+        def encode_batch_fast(self, texts, **options):
+            Watched.calls += 1
+            return self.library.encode_batch(texts, **options)
+
+    encoder = token_files.Encoder(tokenizer_text(WORD))
+    encoder.tokenizer, encoder.letters = Watched(encoder.tokenizer), Watched(encoder.letters)
+    texts = ["lower Case ÄÖ äö 12, it's", "don't <|endoftext|> end."]
+    ids, _ = token_files.encode_slice(texts, encoder)
+    assert ids.tolist() == [i for t in texts for i in [*library(WORD).encode(t, add_special_tokens=False).ids, 1]]
+    assert Watched.calls == 3
+
+
+def test_letters_alone_have_the_ids_of_the_whole_tokenizer():
+    rng = random.Random(7)
+    pieces = ["".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randrange(1, 30))) for _ in range(5_000)]
+    letters = token_files.Encoder(tokenizer_text(WORD)).letters
+    assert [e.ids for e in letters.encode_batch(pieces)] == [e.ids for e in library(WORD).encode_batch(pieces, add_special_tokens=False)]
+
+
 def test_a_worker_keeps_the_objects_of_one_operator():
     first = arrow.kept("a", token_counts.Counts)
     assert arrow.kept("a", token_counts.Counts) is first and arrow.kept("b", token_counts.Counts) is not first
