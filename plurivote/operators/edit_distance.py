@@ -5,18 +5,23 @@ with a bit per row, and a step of a dozen operations on whole numbers moves it o
 needs the steps up or down along its upper and left border and gives out those along its lower and right border, so the
 tiles of one diagonal are worked out side by side, for all pairs of models at once, and a diagonal is one job.
 A task holds one tile: two stretches of ``block`` characters and their borders.
+
+What a tile needs is brought together by one grouping and not by joins. A diagonal is made from the one before it, and the planner takes a
+join for as large as the product of its sides: joined to itself, that estimate gets twice the digits with every diagonal, until it
+fills the driver's memory.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plurivote.session import settle
+from plurivote.session import settle, small_side
 
 BLOCK = 4096
 ITEMS_A_PART = 1 << 16  # ids that are numbered by one task
@@ -68,25 +73,30 @@ def stretches(predictions: DataFrame, block: int = BLOCK) -> DataFrame:
     return numbered.groupBy("model_name", "stretch").agg(F.array_join(letters["_c"], "").alias("text"))
 
 
-_BORDERS = "model_name string, side string, at int, up binary, lower binary, steps binary"
+_BORDERS = "model_name string, i int, up binary, lower binary, steps binary, edge bigint"
+EDGE = -1  # in place of ``i``: the steps down the table's right edge so far
 
 
-def _run_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _run_tiles(batches: Iterator[pa.RecordBatch], last: int) -> Iterator[pa.RecordBatch]:
+    """Borders for the next diagonal. The tile of row ``last`` has the table's right edge, whose steps are added up."""
+    types = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+    names = ["model_name", "i", "up", "lower", "steps", "edge"]
     for batch in batches:
         for r in batch.to_pylist():
-            rows = len(r["down"])
-            # At the table's edge every cell is one more than its neighbour.
-            up = (1 << rows) - 1 if r["up"] is None else int.from_bytes(r["up"], "little")
-            lower = 0 if r["lower"] is None else int.from_bytes(r["lower"], "little")
-            top = np.ones(len(r["along"]), dtype=np.int8) if r["steps"] is None else np.frombuffer(r["steps"], dtype=np.int8)
-            up, lower, bottom = tile(r["down"], r["along"], up, lower, top)
-            size = (rows + 7) // 8
-            out = [
-                (r["model_name"], "right", r["i"], up.to_bytes(size, "little"), lower.to_bytes(size, "little"), None),
-                (r["model_name"], "below", r["j"], None, None, bottom.tobytes()),
-            ]
-            types = [pa.string(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            names = ["model_name", "side", "at", "up", "lower", "steps"]
+            model, i = r["model_name"], r["i"]
+            if i == EDGE:
+                out = [(model, EDGE, None, None, None, r["edge"])]
+            else:
+                rows = len(r["down"])
+                # At the table's edge every cell is one more than its neighbour.
+                up = (1 << rows) - 1 if r["up"] is None else int.from_bytes(r["up"], "little")
+                lower = 0 if r["lower"] is None else int.from_bytes(r["lower"], "little")
+                top = np.ones(len(r["along"]), dtype=np.int8) if r["steps"] is None else np.frombuffer(r["steps"], dtype=np.int8)
+                up, lower, bottom = tile(r["down"], r["along"], up, lower, top)
+                size = (rows + 7) // 8
+                right = (model, i, up.to_bytes(size, "little"), lower.to_bytes(size, "little"), None, None)
+                edge = (model, EDGE, None, None, None, up.bit_count() - lower.bit_count())
+                out = [edge if i == last else right, (model, i + 1, None, None, bottom.tobytes(), None)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
 
@@ -97,8 +107,6 @@ def vector_levenshtein(predictions: DataFrame, against: str, block: int = BLOCK)
     steps of ``block`` cells; lengths / ``block`` diagonals are one job each. A model without a prediction is left out.
     """
     cut = settle(stretches(predictions, block))
-    down = cut.where(F.col("model_name") != against).select("model_name", F.col("stretch").alias("i"), F.col("text").alias("down"))
-    along = cut.where(F.col("model_name") == against).select(F.col("stretch").alias("j"), F.col("text").alias("along"))
     sizes = cut.groupBy("model_name").agg(F.sum(F.length("text")).alias("n"), (F.max("stretch") + 1).alias("stretches"))
     # One row per model.
     known = settle(sizes)
@@ -107,31 +115,22 @@ def vector_levenshtein(predictions: DataFrame, against: str, block: int = BLOCK)
     others = known.where(F.col("model_name") != against).select("model_name", "n")
     if base is None or most is None:
         return others.select("model_name", "n", F.lit(0).cast("bigint").alias("n_against"), F.col("n").alias("edits"))
+    down = cut.where(F.col("model_name") != against).select("model_name", F.col("stretch").alias("i"), F.col("text").alias("down"))
+    along = cut.where(F.col("model_name") == against).select(F.col("stretch").alias("j"), F.col("text").alias("along"))
+    # The base's stretches once per model.
+    along = settle(along.crossJoin(small_side(others.select("model_name"), short=True)))
     tasks = min(4 * predictions.sparkSession.sparkContext.defaultParallelism, tiles)
     borders = predictions.sparkSession.createDataFrame([], _BORDERS)
-    last_right = []
     for diagonal in range(most + base["wide"] - 1):
-        crossing = down.withColumn("j", F.lit(diagonal) - F.col("i")).join(along, "j")
-        left = borders.where("side = 'right'").select("model_name", F.col("at").alias("i"), "up", "lower")
-        top = borders.where("side = 'below'").select("model_name", F.col("at").alias("j"), "steps")
-        ready = crossing.join(left, ["model_name", "i"], "left").join(top, ["model_name", "j"], "left")
-        # So many small rows of heavy work: dealt to a fixed number of tasks, which is not merged again.
-        dealt = ready.select("model_name", "i", "j", "down", "along", "up", "lower", "steps").repartition(tasks, "model_name", "i")
-        borders = settle(dealt.mapInArrow(_run_tiles, _BORDERS))
-        # Tiles of the last column: their right border is part of the table's right edge.
-        last_right.append(borders.where((F.col("side") == "right") & (F.col("at") == F.lit(diagonal - base["wide"] + 1))))
-    edge = last_right[0]
-    for more in last_right[1:]:
-        edge = edge.unionByName(more)
+        last = diagonal - base["wide"] + 1
+        crossing = along.select("model_name", (F.lit(diagonal) - F.col("j")).alias("i"), "along").where(F.col("i").between(0, most - 1))
+        pieces = down.where(F.col("i").between(last, diagonal)).unionByName(crossing, allowMissingColumns=True).unionByName(borders, allowMissingColumns=True)
+        met = pieces.groupBy("model_name", "i").agg(*[F.max(c).alias(c) for c in ("down", "along", "up", "lower", "steps")], F.sum("edge").alias("edge"))
+        ready = met.where((F.col("i") == EDGE) | (F.col("down").isNotNull() & F.col("along").isNotNull()))
+        # So many small rows of heavy work: dealt evenly to a fixed number of tasks, which is not merged again.
+        borders = settle(ready.repartition(tasks).mapInArrow(partial(_run_tiles, last=last), _BORDERS))
     # The corner: the length along the upper edge, and all steps down the right edge.
-    steps = edge.groupBy("model_name").agg(F.sum(_bits("up") - _bits("lower")).alias("_steps"))
+    steps = borders.where(F.col("i") == EDGE).groupBy("model_name").agg(F.sum("edge").alias("_steps"))
     return others.join(steps, "model_name").select(
         "model_name", "n", F.lit(base["n_against"]).cast("bigint").alias("n_against"), (F.lit(base["n_against"]) + F.col("_steps")).cast("bigint").alias("edits")
     )
-
-
-def _bits(column: str):
-    """Number of ones in a binary column."""
-    digits = F.regexp_extract_all(F.hex(column), F.lit("."), F.lit(0))
-    weight = F.create_map(*[x for i in range(16) for x in (F.lit(f"{i:X}"), F.lit(bin(i).count("1")))])
-    return F.aggregate(digits, F.lit(0), lambda total, d: total + F.element_at(weight, d))

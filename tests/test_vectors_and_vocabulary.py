@@ -1,6 +1,7 @@
 """Edit distance in tiles, vocabularies, ancestors, automatic bins, and writers that meet."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -52,6 +53,25 @@ def test_distance_without_a_base(spark):
     assert [tuple(r) for r in ED.vector_levenshtein(df, "base").collect()] == [("a", 2, 0, 2)]
 
 
+def test_size_estimates_stay_small_over_many_diagonals(spark, monkeypatch, capsys):
+    """The planner's estimate for a diagonal must not be a product of those before it: its digits would fill the driver."""
+    rng = random.Random(8)
+    a, base = [rng.choice([0, 0, 1]) for _ in range(100)], [rng.choice([0, 0, 1]) for _ in range(80)]
+    df = spark.createDataFrame([(m, i, p) for m, preds in (("a", a), ("base", base)) for i, p in enumerate(preds)], "model_name string, item_id long, pred int")
+    powers, settle = [], ED.settle
+
+    def measured(table):
+        out = settle(table)
+        out.explain(mode="cost")
+        powers.append(max((int(x) for x in re.findall(r"sizeInBytes=[\d.]+E\+(\d+) B", capsys.readouterr().out)), default=0))
+        assert powers[-1] < 100, powers
+        return out
+
+    monkeypatch.setattr(ED, "settle", measured)
+    assert [tuple(r) for r in ED.vector_levenshtein(df, "base", 9).collect()] == [("a", 100, 80, plain_distance(a, base))]
+    assert len(powers) > 12 + 9 - 1
+
+
 def test_vocabulary_has_one_id_per_word(spark):
     rng = random.Random(1)
     texts = [(i, " ".join(rng.choice(["the", "of", "é", "日本", f"w{rng.randrange(200)}"]) for _ in range(rng.randrange(30))), i % 2) for i in range(200)] + [(900, None, 0), (901, " \t", 1)]
